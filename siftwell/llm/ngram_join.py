@@ -36,7 +36,7 @@ from siftwell.llm import bytewords as bw
 from siftwell.llm.shared import KEY_BITS, Forest, Scratch, answer, ask, connected_components, contract, n_buckets, pack_blocks, told
 
 BLOCK_NODES = 2048
-BLOCK_SETS = 24 << 20
+BLOCK_SETS = 12 << 20
 PIVOTS = 24
 LEAF = 16
 FAN = 8
@@ -187,7 +187,7 @@ def _node_edges(rows: DataFrame, scratch: Scratch, partitions: int) -> DataFrame
                 for key in prefix:
                     if (other := seen.setdefault(key, node)) != node:
                         forest.join(other, node)
-            if len(seen) > 1 << 20:
+            if len(seen) > 1 << 18:
                 yield from flush(seen, forest)
                 seen, forest = {}, Forest()
         yield from flush(seen, forest)
@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_nodes:
         sets, _, first = _block_sets(table, k)
         return [_block_keys(sets, first)]
 
-    answers = scratch.keep(answer(ask(blocks, keys, 1, buckets), buckets), "answers")
+    answers = scratch.keep(answer(ask(blocks, keys, [KEY_BITS], buckets), buckets), "answers")
     rows = scratch.keep(_describe(blocks, answers, k, percent, 2 * buckets), "rows")
     scratch.drop("blocks")
     scratch.drop("answers")

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from siftwell.llm import bytewords as bw
 
-BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 24 << 20
+BLOCK_BYTES = 4 << 20
+BUCKET_BYTES = 10 << 20
 KEY_BITS = 48
 
 
@@ -135,21 +135,21 @@ def _bucket_edges(n: int, bits: int) -> np.ndarray:
     return np.array([(i << bits) // n for i in range(1, n)], dtype=np.uint64)
 
 
-def ask(blocks: DataFrame, extract, kinds: int, buckets: int, bits: int = KEY_BITS) -> DataFrame:
+def ask(blocks: DataFrame, extract, bits: list[int], buckets: int) -> DataFrame:
     """(kind, bucket, block, keys, counts): what each block has to say on each range of keys.
 
-    extract(table) returns, for each kind, sorted distinct keys below 2**bits
+    extract(table) returns, for each kind, sorted distinct keys of so many bits
     and their counts in the block.  A key that any number of rows share is one
     entry a block, so a frequent key is no heavier than a rare one.
     """
-    edges = _bucket_edges(buckets, bits)
+    edges = [_bucket_edges(buckets, b) for b in bits]
 
     def requests(batches):
         for batch in batches:
             for block, payload in zip(batch["block"].to_pylist(), batch["payload"].to_pylist(), strict=True):
                 out = {k: [] for k in ("kind", "bucket", "block", "keys", "counts")}
                 for kind, (keys, counts) in enumerate(extract(open_block(payload))):
-                    cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+                    cuts = np.concatenate([[0], np.searchsorted(keys, edges[kind]), [len(keys)]])
                     for bucket in np.flatnonzero(np.diff(cuts)).tolist():
                         a, b = cuts[bucket], cuts[bucket + 1]
                         for name, value in zip(out, (kind, bucket, block, pack_sorted(keys[a:b]), pack(counts[a:b])), strict=True):
@@ -228,7 +228,7 @@ class Forest:
         return nodes, [self.find(x) for x in nodes]
 
 
-_FOREST_NODES = 1 << 19
+_FOREST_NODES = 1 << 18
 
 
 def contract(edges: DataFrame) -> DataFrame:
