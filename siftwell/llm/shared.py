@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -13,6 +14,11 @@ from pyspark.sql import functions as F
 
 from siftwell.llm import bytewords as bw
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:
+    _LIBC = None
+
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 10 << 20
 KEY_BITS = 48
@@ -56,6 +62,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
+BROADCAST_IDS = 2_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """docs without the rows of these doc_ids; the ids are written, counted, and broadcast only up to limit of them."""
+    kept = Scratch(docs.sparkSession).keep(ids.where("doc_id is not null").distinct(), "ids")
+    return docs.join(F.broadcast(kept) if kept.count() <= limit else kept.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def trim() -> None:
+    """Gives freed memory back: workers stay alive between tasks, and each executor has several."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 # --- packed arrays ---------------------------------------------------------------------------------------------------
 
 
@@ -173,8 +195,11 @@ def answer(requests: DataFrame, buckets: int) -> DataFrame:
         sums = np.bincount(inverse, weights=np.concatenate(counts).astype(np.float64), minlength=len(distinct)).astype(np.uint64)
         cuts = np.cumsum([0, *map(len, keys)])
         answers = [pack(sums[inverse[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        rest = [None] * (len(keys) - 1)
-        return pa.table({"kind": table["kind"], "bucket": table["bucket"], "block": table["block"], "totals": pa.array(answers, pa.binary()), "n_keys": pa.array([int((sums > 0).sum()), *rest], pa.int64()), "n_tokens": pa.array([int(sums.sum()), *rest], pa.int64())})
+        n_keys, n_tokens, n = int((sums > 0).sum()), int(sums.sum()), len(keys)
+        del keys, counts, distinct, inverse, sums
+        rest = [None] * (n - 1)
+        trim()
+        return pa.table({"kind": table["kind"], "bucket": table["bucket"], "block": table["block"], "totals": pa.array(answers, pa.binary()), "n_keys": pa.array([n_keys, *rest], pa.int64()), "n_tokens": pa.array([n_tokens, *rest], pa.int64())})
 
     n = min(2 * buckets, 1 << 14)
     return requests.repartition(n, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(total, "kind int, bucket int, block long, totals binary, n_keys long, n_tokens long")
@@ -188,7 +213,10 @@ def told(blocks: DataFrame, answers: DataFrame, work, schema: str, partitions: i
         for kind, bucket, totals in zip(right["kind"].to_pylist(), right["bucket"].to_pylist(), right["totals"].to_pylist(), strict=True):
             parts.setdefault(kind, []).append((bucket, totals))
         got = {kind: np.concatenate([unpack(t) for _, t in sorted(x)]) for kind, x in parts.items()}
-        return work(open_block(left["payload"][0].as_py()), got)
+        out = work(open_block(left["payload"][0].as_py()), got)
+        del got
+        trim()
+        return out
 
     left = blocks.select("block", "payload").repartition(partitions, "block").groupBy("block")
     right = answers.select("block", "kind", "bucket", "totals").repartition(partitions, "block").groupBy("block")
