@@ -2,12 +2,52 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftwell.llm.shared import Scratch
+from siftwell.llm import bpe, decontaminate, language, ngram_join, quality
+from siftwell.llm.shared import Scratch, without_ids
 
-STAGES = []
+TOKENIZER = "byte_bpe_50k.json"
+#: a document stays if the probability of quality 1 is at least this
+QUALITY = 0.5
+#: a document stays if its largest language has at least this share of it
+LANGUAGE = 0.4
 
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learnt from all labels, does not reject."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), modulus=0)
+    return quality.predict(docs, model).where(F.col("score") >= QUALITY).select(*docs.columns)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: those without a letter, or of no language in particular, go."""
+    found = language.predict(docs, language.fit(docs, modulus=0))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE)).select(*docs.columns)
+
+
+def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each component of near duplicates."""
+    found = ngram_join.near_duplicates(docs)
+    return without_ids(docs, found.where("doc_id <> component_id").select("doc_id"))
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without_ids(docs, found.where("contaminated").select("doc_id"))
+
+
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what is left."""
+    return bpe.round_trip(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [("quality", quality_stage), ("language", language_stage), ("near duplicates", duplicates_stage), ("decontamination", benchmark_stage), ("tokens", tokens_stage)]
+
+#: The models and joins of these stages are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
