@@ -10,6 +10,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwell.errors import EnrichmentError
 from siftwell.functions.text import lstrip
@@ -30,7 +31,7 @@ def enrich(chunks: DataFrame, documents: DataFrame, chain: list[Enricher]) -> Da
     return reduce(lambda df, e: e.enrich(df, documents), chain, chunks)
 
 
-@F.arrow_udf("array<struct<off:int,heading:string>>")
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("off", T.IntegerType()), T.StructField("heading", T.StringType())])))
 def headings(markdown: pa.Array) -> pa.Array:
     out = [[{"off": m.start(), "heading": m[0]} for m in _HEADING.finditer(t.as_py() or "")] for t in markdown]
     return pa.array(out, pa.list_(pa.struct([("off", pa.int32()), ("heading", pa.string())])))

@@ -1,4 +1,651 @@
-"""Registered queries and, where SQL can express them, their oracle."""
+"""Registered queries of the operators and, where SQL can express them, their oracle.
+
+Every query runs over its whole tables.  The oracle builds its inputs from the
+same tables: pages and windows by recursion, searches by aggregation.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from siftwell.functions import text as tx
+from siftwell.operators import chunking, encode, enrich, generate, index, metrics, refine, retrieve, search
+from siftwell.operators.filters import matching
+from siftwell.plans import pipeline, trials
+from siftwell.plans.space import SearchSpace, choice
+from siftwell.sources import blobs, detect, html, ocr, pages
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
+
+
+def tok(column: str) -> str:
+    return TOK.format(column)
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with its oracle."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; a file of one row group is dealt out, since its scan is one task."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    return df if files >= cores else df.repartition(cores)
+
+
+# --- derived inputs, as DataFrames ------------------------------------------------------------------------------------
+
+
+def _documents(spark, sf_dir) -> DataFrame:
+    """Assembled plain texts with their language and source as metadata."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.create_map(F.lit("lang"), "lang", F.lit("source"), "source").alias("metadata"))
+    return pages.assembled(docs)
+
+
+def _chunks(spark, sf_dir, size=1600, overlap=200) -> DataFrame:
+    return chunking.FixedChunker(chunk_chars=size, overlap_chars=overlap).chunk(_documents(spark, sf_dir))
+
+
+def _markdown(spark, sf_dir) -> DataFrame:
+    """Texts of which every fifth line is a heading after an empty line."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("\n## "), x)).otherwise(x))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n").alias("markdown"))
+
+
+def _questions(spark, sf_dir, first=True) -> DataFrame:
+    words = tx.tokens(F.col("text"))
+    part = F.slice(words, 1, 5) if first else F.slice(F.reverse(words), 1, 5)
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("item_id < 10").select(F.col("item_id").alias("qid"), F.array_join(part, " ").alias("text"))
+
+
+def _bm25(spark, sf_dir, k=10, b=0.75, first=True, filters=None, chunks=None) -> DataFrame:
+    return search.bm25_search(_questions(spark, sf_dir, first), chunks if chunks is not None else _chunks(spark, sf_dir), k, b=b, filters=filters)
+
+
+def _shown(rankings: DataFrame) -> DataFrame:
+    return rankings.select("qid", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+# --- derived inputs, as SQL -----------------------------------------------------------------------------------------------
+
+_NL = "chr(10)"
+PAGES_SQL = f"""
+  pg(doc_id, number, md, rest) AS (
+    SELECT doc_id, 0, '', text FROM documents
+    UNION ALL
+    SELECT doc_id, number + 1, left(rest, cut), substr(rest, cut + 1) FROM (
+      SELECT *, CASE WHEN length(rest) < 8000 THEN length(rest) WHEN strpos(reverse(left(rest, 8000)), {_NL}) > 0 THEN 8001 - strpos(reverse(left(rest, 8000)), {_NL}) ELSE 8000 END AS cut
+      FROM pg WHERE length(rest) >= 8000 OR regexp_matches(rest, '\\S'))),
+  page AS (SELECT doc_id, number, md, coalesce(sum(length(md) + 2) OVER (PARTITION BY doc_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS p_start FROM pg WHERE number > 0),
+  doc AS (SELECT d.doc_id, coalesce(m.markdown, '') AS markdown, d.lang FROM documents d LEFT JOIN (SELECT doc_id, string_agg(md, {_NL} || {_NL} ORDER BY number) AS markdown FROM page GROUP BY doc_id) m USING (doc_id))"""
+MD_SQL = f"""
+  doc AS (SELECT doc_id, array_to_string(list_transform(string_split(text, {_NL}), lambda x, i: CASE WHEN (i - 1) % 5 = 0 THEN {_NL} || '## ' || x ELSE x END), {_NL}) AS markdown FROM documents)"""
+
+
+def spans_sql(name: str, source: str, size: int, overlap: int) -> str:
+    """Windows of source(doc_id, part, lo, hi, markdown): name(doc_id, part, pos, s, e)."""
+    half, rest = size // 2, size - size // 2
+    window = f"substr(markdown, s1 + {half} + 1, {rest})"
+    return f"""
+  {name}_w(doc_id, part, lo, hi, markdown, pos, s, e) AS (
+    SELECT doc_id, part, lo, hi, markdown, -1, lo, lo FROM {source} WHERE hi > lo
+    UNION ALL
+    SELECT doc_id, part, lo, hi, markdown, pos + 1, s1, CASE
+      WHEN s1 + {size} >= hi THEN hi
+      WHEN strpos(reverse({window}), {_NL} || {_NL}) > 0 THEN s1 + {size} + 1 - strpos(reverse({window}), {_NL} || {_NL})
+      WHEN strpos(reverse({window}), {_NL}) > 0 THEN s1 + {size} + 1 - strpos(reverse({window}), {_NL})
+      ELSE s1 + {size} END
+    FROM (SELECT *, CASE WHEN pos = -1 THEN lo WHEN e - {overlap} > s THEN e - {overlap} ELSE e END AS s1 FROM {name}_w WHERE pos = -1 OR e < hi)),
+  {name} AS (SELECT doc_id, part, pos, s, e, substr(markdown, s + 1, e - s) AS text FROM {name}_w WHERE pos >= 0)"""
+
+
+def chunks_sql(size: int = 1600, overlap: int = 200, base: str = PAGES_SQL) -> str:
+    """CTEs up to chunk(id, doc_id, idx, s, e, text)."""
+    return f"""WITH RECURSIVE {base},
+  whole AS (SELECT doc_id, 0 AS part, 0 AS lo, length(markdown) AS hi, markdown FROM doc),
+  {spans_sql('span', 'whole', size, overlap)},
+  chunk AS (SELECT doc_id || ':' || idx AS id, doc_id, idx, s, e, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY part, pos) - 1 AS idx FROM span WHERE regexp_matches(text, '\\S')))"""
+
+
+def questions_sql(first: bool = True) -> str:
+    words = tok("text")
+    part = f"list_slice({words}, 1, 5)" if first else f"list_slice(list_reverse({words}), 1, 5)"
+    return f"(SELECT item_id AS qid, array_to_string({part}, ' ') AS text FROM benchmark WHERE item_id < 10)"
+
+
+def bm25_sql(name: str, b: float = 0.75, first: bool = True, where: str = "", k: int = 10) -> str:
+    """CTEs up to name(qid, chunk_id, score, rank) over chunk."""
+    return f"""
+  {name}_q AS {questions_sql(first)},
+  {name}_w AS (SELECT id, doc_id, {tok('text')} AS t FROM chunk),
+  {name}_s AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS a FROM {name}_w),
+  {name}_t AS (SELECT DISTINCT qid, unnest({tok('text')}) AS term FROM {name}_q),
+  {name}_f AS (SELECT id, doc_id, term, l, count(*) AS c FROM (SELECT id, doc_id, len(t) AS l, unnest(t) AS term FROM {name}_w) WHERE term IN (SELECT term FROM {name}_t) GROUP BY ALL),
+  {name}_d AS (SELECT term, count(*) AS d FROM {name}_f GROUP BY term),
+  {name}_p AS (
+    SELECT qid, id AS chunk_id, sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * c * 2.5 / (c + 1.5 * ({1 - b} + {b} * l / a))) AS score
+    FROM {name}_f JOIN {name}_d USING (term) JOIN {name}_t USING (term), {name}_s {where} GROUP BY qid, id),
+  {name} AS (SELECT * FROM (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id DESC) AS rank FROM {name}_p) WHERE rank <= {k})"""
+
+
+SHOWN = "SELECT qid, chunk_id, round(score, 6) AS score, rank FROM {}"
+
+
+def rrf_sql(name: str, parts: list[tuple[str, float]], k: int = 10) -> str:
+    union = " UNION ALL ".join(f"SELECT qid, chunk_id, {w} / (60.0 + rank) AS part FROM {r}" for r, w in parts)
+    return f"""
+  {name}_u AS ({union}),
+  {name}_p AS (SELECT qid, chunk_id, sum(part) AS score FROM {name}_u GROUP BY ALL),
+  {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id DESC) AS rank FROM {name}_p) WHERE rank <= {k})"""
+
+
+# --- sources ------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, sha256(html) AS doc_hash, length(url)::BIGINT AS uri_chars FROM pages")
+def content_hash(spark, sf_dir):
+    df = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("uri"), F.col("html").cast("binary").alias("content"))
+    return blobs.with_doc_id(df).select("page_id", F.col("doc_id").alias("doc_hash"), F.length("uri").cast("long").alias("uri_chars"))
+
+
+@query("SELECT page_id, hex(encode(left(html, 16))) AS head FROM pages")
+def head_bytes(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.hex(detect.head(F.col("html").cast("binary"), 16)).alias("head"))
+
+
+@query("""
+WITH kinds(kind, ext, head) AS (VALUES (0, '.html', ''), (1, '.bin', '%PDF-1.7'), (2, '.txt', 'GIF89a'), (3, '.md', 'plain'), (4, '', 'plain'), (5, '.PNG', 'plain'), (6, '.xyz', '  <HTML>'))
+SELECT page_id, kind::BIGINT AS kind, CASE
+    WHEN head LIKE '\\%PDF%' ESCAPE '\\' THEN 'pdf' WHEN head LIKE 'GIF8%' THEN 'image' WHEN kind = 0 OR lower(ltrim(head)) LIKE '<html%' THEN 'html'
+    WHEN lower(ext) = '.md' THEN 'md' WHEN lower(ext) = '.png' THEN 'image' ELSE 'txt' END AS format,
+  CASE WHEN kind = 1 THEN '.pdf' WHEN kind = 2 THEN '.txt' WHEN kind IN (0, 6) THEN '.html' WHEN kind = 3 THEN '.md' WHEN kind = 4 THEN '.txt' ELSE '.png' END AS extension
+FROM pages, kinds""")
+def detect_format(spark, sf_dir):
+    kinds = spark.createDataFrame([(0, ".html", ""), (1, ".bin", "%PDF-1.7"), (2, ".txt", "GIF89a"), (3, ".md", "plain"), (4, "", "plain"), (5, ".PNG", "plain"), (6, ".xyz", "  <HTML>")], "kind long, ext string, head string")
+    rows = table(spark, sf_dir, "pages").crossJoin(F.broadcast(kinds))
+    rows = rows.select("page_id", "kind", F.concat(F.lit("file"), "ext").alias("uri"), F.when(F.col("kind") == 0, F.col("html")).otherwise(F.concat("head", F.lit("\n"), "page_id")).cast("binary").alias("content"))
+    return detect.detect_format(rows).select("page_id", "kind", "format", detect.canonical_extension(F.col("format"), F.col("uri")).alias("extension"))
+
+
+@query(f"WITH RECURSIVE {PAGES_SQL} SELECT doc_id, number::BIGINT AS number, length(md)::BIGINT AS n_chars, sha256(md) AS page_hash FROM page")
+def plain_text_pages(spark, sf_dir):
+    p = pages.plain_text_pages(table(spark, sf_dir, "documents"))
+    return p.select("doc_id", F.col("number").cast("long").alias("number"), F.length("markdown").cast("long").alias("n_chars"), F.sha2("markdown", 256).alias("page_hash"))
+
+
+_ASSEMBLED = f"""WITH RECURSIVE {PAGES_SQL}
+SELECT doc_id, count(*)::BIGINT AS page_count, sha256(any_value(markdown)) AS markdown_hash, string_agg(p_start || '-' || (p_start + length(md)), ',' ORDER BY number) AS spans
+FROM page JOIN doc USING (doc_id) GROUP BY doc_id"""
+
+
+def _spans_text(df: DataFrame) -> DataFrame:
+    spans = F.array_join(F.transform("page_spans", lambda p: F.concat(p["start"].cast("string"), F.lit("-"), p["end"].cast("string"))), ",")
+    return df.where("page_count > 0").select("doc_id", F.col("page_count").cast("long").alias("page_count"), F.sha2("markdown", 256).alias("markdown_hash"), spans.alias("spans"))
+
+
+@query(_ASSEMBLED)
+def page_assembly(spark, sf_dir):
+    return _spans_text(pages.assembled(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query(_ASSEMBLED)
+def page_assembly_from_rows(spark, sf_dir):
+    return _spans_text(pages.assemble(pages.plain_text_pages(table(spark, sf_dir, "documents"))))
+
+
+@query(f"""
+WITH lines AS (SELECT doc_id, unnest(string_split(text, {_NL})) AS line, generate_subscripts(string_split(text, {_NL}), 1) AS page FROM documents),
+kinds AS (SELECT doc_id, page, CASE WHEN length(line) < 32 THEN 'ocr' ELSE 'text' END AS kind FROM lines),
+islands AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) - row_number() OVER (PARTITION BY doc_id, kind ORDER BY page) AS island FROM kinds)
+SELECT doc_id, kind, min(page)::BIGINT AS first_page, max(page)::BIGINT AS last_page FROM islands GROUP BY doc_id, kind, island""")
+def ocr_segment_plan(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    plan = ocr.segment_plan(lines.select("doc_id", (F.col("p") + 1).alias("page"), F.length("line").alias("chars")))
+    return plan.select("doc_id", "kind", F.col("start").cast("long").alias("first_page"), F.col("end").cast("long").alias("last_page"))
+
+
+@query(f"""
+WITH n AS (SELECT doc_id, len(string_split(text, {_NL})) AS pages FROM documents)
+SELECT doc_id, unnest(range(1, pages + 1, 8))::BIGINT AS first_page, least(unnest(range(1, pages + 1, 8)) + 7, pages)::BIGINT AS last_page FROM n""")
+def page_windows(spark, sf_dir):
+    n = table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("pages"))
+    return n.select("doc_id", F.explode(ocr.page_windows(F.col("pages"))).alias("w")).select("doc_id", F.col("w.start").cast("long").alias("first_page"), F.col("w.end").cast("long").alias("last_page"))
+
+
+@query()
+def html_to_markdown(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", html.html_markdown(F.col("html")).alias("markdown"))
+
+
+@query("SELECT page_id, 'data:text/html;base64,' || base64(encode(html)) AS url FROM pages")
+def data_url(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(tx.data_url(F.lit("text/html"), F.col("html").cast("binary")), r"\s", "").alias("url"))
+
+
+@query("SELECT sha256(text) AS doc_id, 'doc-' || min(doc_id) || '.txt' AS source_uri FROM documents GROUP BY 1")
+def catalog_first_wins(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("doc_id"), F.concat(F.lit("doc-"), "doc_id", F.lit(".txt")).alias("source_uri"), F.col("doc_id").alias("seq"))
+    return blobs.first_wins(rows, "doc_id").select("doc_id", "source_uri")
+
+
+@query("SELECT DISTINCT sha256(text) AS doc_hash FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)")
+def raw_capture_missing(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("doc_hash"), "doc_id")
+    return blobs.missing(rows.select("doc_hash").distinct(), rows.where("doc_id % 3 = 0"), ["doc_hash"])
+
+
+@query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def upsert_latest(spark, sf_dir):
+    return index.latest(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
+
+
+@query("""
+WITH now AS (SELECT DISTINCT sha256(text) AS text_hash FROM documents), old AS (SELECT DISTINCT sha256(text) AS text_hash FROM documents WHERE lang = 'en')
+SELECT text_hash, text_hash IN (SELECT text_hash FROM old) AS hit FROM now""")
+def embedding_cache_hits(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("text_hash"), "lang")
+    old = docs.where("lang = 'en'").select("text_hash").distinct().withColumn("hit", F.lit(True))
+    return docs.select("text_hash").distinct().join(old, "text_hash", "left").select("text_hash", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
+@query("SELECT conv_id, turn, sha256('judge' || chr(1) || role || chr(1) || text) AS key FROM conversations")
+def judge_cache_key(spark, sf_dir):
+    sep = F.lit("\x01")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.concat(F.lit("judge"), sep, "role", sep, "text"), 256).alias("key"))
+
+
+# --- text and chunks ------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct FROM (SELECT doc_id, {tok('text')} AS t FROM documents)")
+def tokenize_counts(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
+
+
+@query(f"SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest({tok('text')}) AS term FROM documents) GROUP BY ALL")
+def term_postings(spark, sf_dir):
+    return search.postings(table(spark, sf_dir, "documents"), key="doc_id").select("doc_id", "term", F.col("tf").cast("long").alias("tf"))
+
+
+@query(f"""
+WITH f AS (SELECT DISTINCT doc_id, unnest({tok('text')}) AS term FROM documents), n AS (SELECT count(*)::DOUBLE AS n FROM documents)
+SELECT term, count(*)::BIGINT AS df, round(ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 9) AS idf FROM f, n GROUP BY term""")
+def bm25_df_idf(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    n = docs.agg(F.count("*").cast("double").alias("n"))
+    df = docs.select(F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(search.idf(F.col("n"), F.col("df")), 9).alias("idf"))
+
+
+@query(f"SELECT count(*)::BIGINT AS n, round(avg(len({tok('text')})), 6) AS avg_len, max(len({tok('text')}))::BIGINT AS max_len FROM documents")
+def doc_length_stats(spark, sf_dir):
+    size = F.size(tx.tokens(F.col("text")))
+    return table(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.round(F.avg(size), 6).alias("avg_len"), F.max(size).cast("long").alias("max_len"))
+
+
+_CHUNK_ROWS = "SELECT id, idx::BIGINT AS idx, s::BIGINT AS char_start, e::BIGINT AS char_end, text FROM chunk"
+
+
+def _chunk_rows(chunks: DataFrame) -> DataFrame:
+    return chunks.select("id", F.col("index").cast("long").alias("idx"), F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"), "text")
+
+
+@query(f"{chunks_sql()} {_CHUNK_ROWS}")
+def chunk_fixed(spark, sf_dir):
+    return _chunk_rows(_chunks(spark, sf_dir))
+
+
+@query(f"{chunks_sql(700, 0)} {_CHUNK_ROWS}")
+def chunk_fixed_overlap0(spark, sf_dir):
+    return _chunk_rows(_chunks(spark, sf_dir, 700, 0))
+
+
+@query(f"""{chunks_sql()}
+SELECT id, min(number)::BIGINT AS page_start, max(number)::BIGINT AS page_end FROM chunk c LEFT JOIN page p ON p.doc_id = c.doc_id AND p.p_start < c.e AND p.p_start + length(p.md) > c.s GROUP BY id""")
+def chunk_page_provenance(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("id", F.col("page_start").cast("long").alias("page_start"), F.col("page_end").cast("long").alias("page_end"))
+
+
+_SECTIONS = f"""
+  line AS (SELECT doc_id, markdown, unnest(string_split(markdown, {_NL})) AS line, generate_subscripts(string_split(markdown, {_NL}), 1) AS n FROM doc),
+  placed AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM line),
+  cuts AS (SELECT doc_id, 0::BIGINT AS off FROM doc UNION SELECT doc_id, off FROM placed WHERE off > 0 AND regexp_matches(line, '^ {{0,3}}#{{1,6}}\\s')),
+  sect AS (SELECT doc_id, (row_number() OVER w)::INT AS part, off AS lo, coalesce(lead(off) OVER w, length(markdown)) AS hi, markdown FROM cuts JOIN doc USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY off))"""
+
+
+@query(f"""WITH RECURSIVE {MD_SQL}, {_SECTIONS}
+SELECT doc_id || ':' || (row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1) AS id, lo::BIGINT AS char_start, hi::BIGINT AS char_end FROM sect WHERE regexp_matches(substr(markdown, lo + 1, hi - lo), '\\S')""")
+def chunk_markdown_sections(spark, sf_dir):
+    c = chunking.MarkdownChunker().chunk(_markdown(spark, sf_dir))
+    return c.select("id", F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"))
+
+
+@query(f"""WITH RECURSIVE {MD_SQL}, {_SECTIONS}, {spans_sql('long', '(SELECT * FROM sect WHERE hi - lo > 400)', 400, 50)},
+  every AS (SELECT doc_id, part, pos, s, e FROM long UNION ALL SELECT doc_id, part, 0, lo, hi FROM sect WHERE hi - lo BETWEEN 1 AND 400),
+  kept AS (SELECT every.*, substr(markdown, s + 1, e - s) AS text FROM every JOIN doc USING (doc_id))
+SELECT doc_id || ':' || (row_number() OVER (PARTITION BY doc_id ORDER BY part, pos) - 1) AS id, s::BIGINT AS char_start, e::BIGINT AS char_end, text FROM kept WHERE regexp_matches(text, '\\S')""")
+def chunk_markdown_fixed(spark, sf_dir):
+    c = chunking.MarkdownFixedChunker(max_chars=400, overlap_chars=50).chunk(_markdown(spark, sf_dir))
+    return c.select("id", F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"), "text")
+
+
+@query(f"""{chunks_sql(400, 0, MD_SQL)},
+  line AS (SELECT doc_id, unnest(string_split(markdown, {_NL})) AS line, generate_subscripts(string_split(markdown, {_NL}), 1) AS n FROM doc),
+  head AS (SELECT * FROM (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM line) WHERE regexp_matches(line, '^ {{0,3}}#{{1,6}}\\s'))
+SELECT id, CASE WHEN line IS NULL OR starts_with(ltrim(text, ' ' || {_NL}), line) THEN text ELSE line || {_NL} || {_NL} || text END AS text
+FROM chunk c ASOF LEFT JOIN head h ON c.doc_id = h.doc_id AND h.off <= c.s""")
+def enrich_heading(spark, sf_dir):
+    docs = _markdown(spark, sf_dir)
+    return enrich.HeadingEnricher().enrich(chunking.FixedChunker(chunk_chars=400, overlap_chars=0).chunk(docs), docs).select("id", "text")
+
+
+@query(f"{chunks_sql()} SELECT id, lang FROM chunk JOIN doc USING (doc_id) WHERE lang IN ('de', 'fr') AND idx = 0")
+def filter_metadata(spark, sf_dir):
+    return matching(_chunks(spark, sf_dir), {"lang": ["de", "fr"], "index": 0}).select("id", F.col("metadata")["lang"].alias("lang"))
+
+
+@query(f"""{chunks_sql()} SELECT id, text FROM chunk UNION ALL SELECT id || '#aug0', 'About ' || text FROM chunk WHERE idx = 0""")
+def enrich_synthetic(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir)
+    return enrich.synthetic(chunks, chunks.where("index = 0").select("id", F.concat(F.lit("About "), "text").alias("text"))).select("id", "text")
+
+
+# --- encoders and search ----------------------------------------------------------------------------------------------------
+
+
+@query()
+def embed_hashing(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", encode.HashingEmbedder().passage(F.col("text")).alias("vector"))
+
+
+@query("""
+WITH q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id < 20),
+s AS (SELECT qid, vec_id::VARCHAR AS chunk_id, list_cosine_similarity(qv::DOUBLE[], embedding::DOUBLE[]) AS score FROM q, embeddings)
+SELECT qid, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id DESC) AS rank FROM s) WHERE rank <= 10""")
+def search_dense_topk(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), "vec_id")
+    return _shown(search.dense_search(v.where("vec_id < 20").select(F.col("vec_id").alias("qid"), "vector"), v.select("id", "vector"), 10))
+
+
+@query("""
+WITH q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id < 20),
+s AS (SELECT qid, vec_id::VARCHAR AS chunk_id, list_cosine_similarity(qv::DOUBLE[], embedding::DOUBLE[]) AS score FROM q, embeddings WHERE label IN (1, 3))
+SELECT qid, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id DESC) AS rank FROM s) WHERE rank <= 10""")
+def search_dense_filtered(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), "vec_id", "label")
+    return _shown(search.dense_search(v.where("vec_id < 20").select(F.col("vec_id").alias("qid"), "vector"), v, 10, filters={"label": [1, 3]}))
+
+
+@query("""
+WITH c AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+q AS (SELECT vec_id AS qid, i, v AS qv FROM c WHERE vec_id < 5 AND v > 0.15), d AS (SELECT vec_id, i, v FROM c WHERE v > 0.15),
+hit AS (SELECT qid, vec_id, sum(v * qv) AS score FROM q JOIN d USING (i) GROUP BY ALL),
+s AS (SELECT qid, e.vec_id::VARCHAR AS chunk_id, coalesce(score, 0) AS score FROM (SELECT vec_id AS qid FROM embeddings WHERE vec_id < 5) JOIN embeddings e ON true LEFT JOIN hit USING (qid, vec_id))
+SELECT qid, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id DESC) AS rank FROM s) WHERE rank <= 10""")
+def search_sparse_dot(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
+    kept = F.filter(F.transform("v", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda t: t["x"] > 0.15)
+    sparse = F.struct(F.transform(kept, lambda t: t["i"]).alias("indices"), F.transform(kept, lambda t: t["x"]).alias("values"))
+    rows = e.select(F.col("vec_id").cast("string").alias("id"), "vec_id", sparse.alias("sparse"))
+    return _shown(search.sparse_search(rows.where("vec_id < 5").select(F.col("vec_id").alias("qid"), "sparse"), rows, 10))
+
+
+@query(f"{chunks_sql()}, {bm25_sql('r')} {SHOWN.format('r')}")
+def search_bm25_topk(spark, sf_dir):
+    return _shown(_bm25(spark, sf_dir))
+
+
+@query(f"{chunks_sql()}, {bm25_sql('r', where='WHERE doc_id IN (SELECT doc_id FROM doc WHERE lang = $$en$$)')} {SHOWN.format('r')}")
+def search_bm25_filtered(spark, sf_dir):
+    return _shown(_bm25(spark, sf_dir, filters={"lang": "en"}))
+
+
+_TWO = f"{chunks_sql()}, {bm25_sql('a', k=60)}, {bm25_sql('z', b=0.0, k=60)}"
+
+
+def _two(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir)
+    return [("a", _bm25(spark, sf_dir, 60, chunks=chunks)), ("z", _bm25(spark, sf_dir, 60, b=0.0, chunks=chunks))]
+
+
+@query(f"{_TWO}, {rrf_sql('f', [('a', 1.0), ('z', 1.0)])} {SHOWN.format('f')}")
+def fuse_rrf(spark, sf_dir):
+    return _shown(search.fuse(_two(spark, sf_dir), 10))
+
+
+@query(f"{_TWO}, {rrf_sql('f', [('a', 2.0), ('z', 0.5)])} {SHOWN.format('f')}")
+def fuse_rrf_weighted(spark, sf_dir):
+    return _shown(search.fuse(_two(spark, sf_dir), 10, weights=[2.0, 0.5]))
+
+
+@query(f"{_TWO}, {rrf_sql('f', [('a', 1.0), ('z', 1.0)])} SELECT f.qid, f.chunk_id, a.rank AS a_rank, z.rank AS z_rank FROM f LEFT JOIN a USING (qid, chunk_id) LEFT JOIN z USING (qid, chunk_id)")
+def fuse_rrf_sources(spark, sf_dir):
+    f = search.fuse(_two(spark, sf_dir), 10)
+    return f.select("qid", "chunk_id", *[F.try_element_at("sources", F.lit(x)).cast("long").alias(f"{x}_rank") for x in ("a", "z")])
+
+
+@query(f"{chunks_sql()}, {bm25_sql('a', k=20)}, {bm25_sql('z', first=False, k=20)}, {rrf_sql('f', [('a', 1.0), ('z', 1.0)])} {SHOWN.format('f')}")
+def multi_query_fusion(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir)
+    return _shown(search.fuse([("q0", _bm25(spark, sf_dir, 20, chunks=chunks)), ("q1", _bm25(spark, sf_dir, 20, first=False, chunks=chunks))], 10))
+
+
+# --- refinement and generation --------------------------------------------------------------------------------------------------
+
+
+def _candidates(spark, sf_dir, k=10):
+    chunks = _chunks(spark, sf_dir).persist()
+    return refine.candidates(_bm25(spark, sf_dir, k, chunks=chunks), chunks), chunks
+
+
+_WORDS = f"list_distinct({tok('{}')})"
+_JACCARD = "CASE WHEN len(qw) = 0 OR len(cw) = 0 THEN 0.0 ELSE len(list_intersect(qw, cw)) / len(list_distinct(list_concat(qw, cw))) END"
+
+
+@query(f"""{chunks_sql()}, {bm25_sql('r')},
+  w AS (SELECT r.qid, chunk_id, list_distinct({tok('q.text')}) AS qw, list_distinct({tok('c.text')}) AS cw FROM r JOIN chunk c ON c.id = chunk_id JOIN r_q q ON q.qid = r.qid),
+  j AS (SELECT qid, chunk_id, {_JACCARD} AS score FROM w)
+SELECT qid, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id DESC) AS rank FROM j""")
+def refine_keyword_jaccard(spark, sf_dir):
+    rows, chunks = _candidates(spark, sf_dir)
+    return _shown(refine.KeywordRefiner().refine(rows, _questions(spark, sf_dir), chunks).withColumn("rank", F.col("pos")))
+
+
+@query(f"""{chunks_sql()}, {bm25_sql('r')} SELECT qid, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM r WHERE score >= 12.0""")
+def refine_threshold(spark, sf_dir):
+    rows, chunks = _candidates(spark, sf_dir)
+    return _shown(refine.ScoreThreshold(min_score=12.0).refine(rows, _questions(spark, sf_dir), chunks).withColumn("rank", F.col("pos")))
+
+
+@query(f"""{chunks_sql()}, {bm25_sql('r', k=5)},
+  g AS (SELECT r.qid, r.chunk_id, r.rank, a.doc_id, min(n.s) AS s, max(n.e) AS e FROM r JOIN chunk a ON a.id = r.chunk_id JOIN chunk n ON n.doc_id = a.doc_id AND n.idx BETWEEN a.idx - 1 AND a.idx + 1 GROUP BY ALL)
+SELECT qid, chunk_id, rank, s::BIGINT AS char_start, e::BIGINT AS char_end, substr(markdown, s + 1, e - s) AS text FROM g JOIN doc USING (doc_id)""")
+def refine_neighbor_merge(spark, sf_dir):
+    rows, chunks = _candidates(spark, sf_dir, 5)
+    out = refine.NeighborExpander().refine(rows, _questions(spark, sf_dir), chunks)
+    return out.select("qid", "chunk_id", F.col("pos").cast("long").alias("rank"), F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"), "text")
+
+
+_PACKED = f"""{chunks_sql()}, {bm25_sql('r', k=8)},
+  b AS (SELECT qid, chunk_id, rank, text, '[' || rank || '] ' || text AS block FROM r JOIN chunk ON id = chunk_id),
+  u AS (SELECT *, sum(length(block) + CASE WHEN rank > 1 THEN 2 ELSE 0 END) OVER (PARTITION BY qid ORDER BY rank) AS used FROM b),
+  packed AS (SELECT * FROM u WHERE rank = 1 OR used <= 4000)"""
+
+
+@query(f"{_PACKED} SELECT qid, string_agg(block, {_NL} || {_NL} ORDER BY rank) AS prompt_block, string_agg(chunk_id, ',' ORDER BY rank) AS cited FROM packed GROUP BY qid")
+def pack_context(spark, sf_dir):
+    rows, _ = _candidates(spark, sf_dir, 8)
+    c = generate.contexts(generate.pack(rows, 4000))
+    return c.select("qid", "prompt_block", F.array_join(F.transform("citations", lambda x: x["chunk_id"]), ",").alias("cited"))
+
+
+@query(f"""{_PACKED},
+  a AS (SELECT qid, count(*) AS n, qid % 4 AS m FROM packed GROUP BY qid)
+SELECT a.qid, string_agg(rank::VARCHAR, ',' ORDER BY rank) AS markers FROM a JOIN packed p ON p.qid = a.qid AND (m < 1 OR m > n OR rank = m) GROUP BY a.qid""")
+def resolve_citations(spark, sf_dir):
+    rows, _ = _candidates(spark, sf_dir, 8)
+    answers = generate.contexts(generate.pack(rows, 4000)).withColumn("text", F.concat(F.lit("as said in ["), (F.col("qid") % 4).cast("string"), F.lit("], and so on")))
+    return generate.resolve_citations(answers).select("qid", F.array_join(F.transform("citations", lambda c: c["marker"].cast("string")), ",").alias("markers"))
+
+
+@query(f"""{_PACKED}
+SELECT q.qid, coalesce(p.text || ' [1]', 'I don''t have enough context to answer that.') AS answer, p.chunk_id AS cited FROM r_q q LEFT JOIN packed p ON p.qid = q.qid AND p.rank = 1""")
+def extractive_answer(spark, sf_dir):
+    rows, _ = _candidates(spark, sf_dir, 8)
+    out = generate.ExtractiveGenerator().generate(_questions(spark, sf_dir), rows)
+    return out.select("qid", F.col("text").alias("answer"), F.try_element_at("citations", F.lit(1))["chunk_id"].alias("cited"))
+
+
+@query()
+def rag_answers(spark, sf_dir):
+    """Fixed chunks in a dense and a lexical space, fused, reranked by keywords, packed and answered."""
+    corpus = index.Corpus(index.TableStore(spark), [index.DenseRepresentation(encode.HashingEmbedder()), index.LexicalRepresentation()])
+    rag = pipeline.RagPipeline(corpus, chunker=chunking.FixedChunker(), refiners=[refine.KeywordRefiner()])
+    rag.index_documents(_documents(spark, sf_dir))
+    out = rag.ask(_questions(spark, sf_dir))
+    return out.select("qid", F.col("text").alias("answer"), F.transform("citations", lambda c: c["chunk_id"]).alias("cited"))
+
+
+@query()
+def search_hybrid(spark, sf_dir):
+    corpus = index.Corpus(index.TableStore(spark), [index.DenseRepresentation(encode.HashingEmbedder(dimensions=64)), index.SparseRepresentation(encode.HashedTermFrequency()), index.LexicalRepresentation()])
+    corpus.add(_chunks(spark, sf_dir).persist())
+    return _shown(retrieve.HybridRetriever(corpus).retrieve(_questions(spark, sf_dir), 10))
+
+
+@query()
+def search_hyde(spark, sf_dir):
+    corpus = index.Corpus(index.TableStore(spark), [index.LexicalRepresentation()])
+    corpus.add(_chunks(spark, sf_dir).persist())
+    said = retrieve.HydeRetriever(retrieve.IndexRetriever(corpus), lambda prompt: prompt.rsplit(": ", 1)[-1].upper())
+    return _shown(said.retrieve(_questions(spark, sf_dir), 10))
+
+
+# --- evaluation -----------------------------------------------------------------------------------------------------------------
+
+_IR = """
+  n AS (SELECT qid, count(*) AS n FROM truth GROUP BY qid),
+  h AS (SELECT t.qid, min(rank) AS first, sum((rank <= 5)::INT) AS h5, sum((rank <= 10)::INT) AS h10, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM truth t JOIN found f ON f.qid = t.qid AND f.item = t.item GROUP BY t.qid)
+SELECT qid, round(coalesce(h5, 0) / n, 9) AS recall5, round(coalesce(h10, 0) / n, 9) AS recall10, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 9) AS ndcg10, round(coalesce(1 / first, 0), 9) AS mrr
+FROM n LEFT JOIN h USING (qid)"""
+
+
+def _ir(rows: DataFrame) -> DataFrame:
+    return rows.select("qid", *[F.round(F.col(f"`{m}`"), 9).alias(n) for m, n in (("recall@5", "recall5"), ("recall@10", "recall10"), ("ndcg@10", "ndcg10"), ("mrr", "mrr"))])
+
+
+def _relevant(spark, sf_dir):
+    return table(spark, sf_dir, "labels").where("quality = 1").select((F.col("doc_id") % 10).alias("qid"), F.col("doc_id").cast("string").alias("doc_id"))
+
+
+@query(f"""{chunks_sql()}, {bm25_sql('r', k=50)},
+  found AS (SELECT qid, chunk_id AS item, rank FROM r),
+  truth AS (SELECT DISTINCT doc_id % 10 AS qid, doc_id || ':0' AS item FROM labels WHERE quality = 1),{_IR}""")
+def ir_chunk_level(spark, sf_dir):
+    truth = _relevant(spark, sf_dir).select("qid", F.concat("doc_id", F.lit(":0")).alias("chunk_id"))
+    return _ir(metrics.ir_metrics(_bm25(spark, sf_dir, 50), truth, item="chunk_id"))
+
+
+@query(f"""{chunks_sql()}, {bm25_sql('r', k=50)},
+  found AS (SELECT qid, doc_id::VARCHAR AS item, row_number() OVER (PARTITION BY qid ORDER BY min(rank)) AS rank FROM r JOIN chunk ON id = chunk_id GROUP BY qid, doc_id),
+  truth AS (SELECT DISTINCT doc_id % 10 AS qid, doc_id::VARCHAR AS item FROM labels WHERE quality = 1),{_IR}""")
+def ir_doc_level(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir)
+    return _ir(metrics.ir_metrics(metrics.by_document(_bm25(spark, sf_dir, 50, chunks=chunks), chunks), _relevant(spark, sf_dir)))
+
+
+_PAIRS = "pairs AS (SELECT a.conv_id, a.turn, a.text AS answer, b.text AS reference FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
+
+
+def _pairs(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.col("text").alias("answer")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reference")), ["conv_id", "turn"])
+
+
+@query(f"""WITH {_PAIRS},
+  k AS (SELECT conv_id, turn, {tok('answer')} AS a, {tok('reference')} AS r FROM pairs),
+  ca AS (SELECT conv_id, turn, t, count(*) AS x FROM (SELECT conv_id, turn, unnest(a) AS t FROM k) GROUP BY ALL), cr AS (SELECT conv_id, turn, t, count(*) AS y FROM (SELECT conv_id, turn, unnest(r) AS t FROM k) GROUP BY ALL),
+  o AS (SELECT conv_id, turn, sum(least(x, y)) AS c FROM ca JOIN cr USING (conv_id, turn, t) GROUP BY ALL)
+SELECT conv_id, turn, round(CASE WHEN len(a) = 0 AND len(r) = 0 THEN 1.0 WHEN len(a) = 0 OR len(r) = 0 THEN 0.0 ELSE 2.0 * coalesce(c, 0) / (len(a) + len(r)) END, 9) AS token_f1,
+  (array_to_string(a, ' ') = array_to_string(r, ' '))::INT::DOUBLE AS exact_match FROM k LEFT JOIN o USING (conv_id, turn)""")
+def answer_match(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    keyed = pairs.withColumn("k", F.struct("conv_id", "turn"))
+    f1 = metrics.token_f1_by_count(keyed, "k").select(F.col("k.conv_id").alias("conv_id"), F.col("k.turn").alias("turn"), F.round("token_f1", 9).alias("token_f1"))
+    return pairs.select("conv_id", "turn", metrics.exact_match(F.col("answer"), F.col("reference")).alias("exact_match")).join(f1, ["conv_id", "turn"])
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean_value, count(value)::BIGINT AS n FROM events GROUP BY event_type")
+def metric_means(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean_value"), F.count("value").alias("n"))
+
+
+# --- trials ---------------------------------------------------------------------------------------------------------------------------
+
+
+def _trace(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").cast("string").alias("trial_id"), F.element_at(F.array(*map(F.lit, ("parse", "chunk", "enrich", "retrieve", "generate"))), (F.col("event_id") % 5 + 1).cast("int")).alias("stage"), F.col("value").alias("duration_ms"), (F.col("event_id") % 2 == 0).alias("cache_hit"), F.create_map("event_type", F.col("event_id").cast("double")).alias("usage"))
+
+
+_TRACE = "t AS (SELECT user_id::VARCHAR AS trial_id, (['parse', 'chunk', 'enrich', 'retrieve', 'generate'])[event_id % 5 + 1] AS stage, value AS duration_ms, event_id % 2 = 0 AS cache_hit, event_type, event_id FROM events)"
+
+
+@query(f"""WITH {_TRACE} SELECT trial_id, round(sum(duration_ms), 6) AS latency_ms, round(sum(CASE WHEN stage IN ('parse', 'chunk', 'enrich') THEN duration_ms ELSE 0 END), 6) AS index_ms,
+  round(sum(CASE WHEN stage IN ('retrieve', 'generate') THEN duration_ms ELSE 0 END), 6) AS query_ms, count(*) AS events FROM t GROUP BY trial_id""")
+def cost_rollup(spark, sf_dir):
+    return trials.cost_rollup(_trace(spark, sf_dir)).select("trial_id", *[F.round(c, 6).alias(c) for c in ("latency_ms", "index_ms", "query_ms")], "events")
+
+
+@query(f"WITH {_TRACE} SELECT trial_id, stage, round(sum(duration_ms), 6) AS duration_ms, bool_and(cache_hit) AS cache_hit, count(*) AS events FROM t GROUP BY ALL")
+def stage_cost(spark, sf_dir):
+    return trials.stage_cost(_trace(spark, sf_dir)).withColumn("duration_ms", F.round("duration_ms", 6))
+
+
+@query(f"WITH {_TRACE} SELECT trial_id, round(sum(CASE event_type WHEN 'click' THEN event_id * 0.5 WHEN 'purchase' THEN event_id * 2.0 END)::DOUBLE, 6) AS api_usd FROM t GROUP BY trial_id")
+def usage_cost(spark, sf_dir):
+    return trials.usage_cost(_trace(spark, sf_dir), {"click": 0.5, "purchase": 2.0}).select("trial_id", F.round("api_usd", 6).alias("api_usd"))
+
+
+@query("SELECT trial_id, round(value, 6) AS value FROM (SELECT user_id::VARCHAR AS trial_id, avg(value) AS value FROM events GROUP BY 1 HAVING count(value) > 0 ORDER BY value DESC, trial_id LIMIT 10)")
+def trial_leaderboard(spark, sf_dir):
+    t = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("trial_id")).agg(F.avg("value").alias("v")).withColumn("metrics", F.create_map(F.lit("quality"), "v"))
+    return trials.top(t, "quality", 10).select("trial_id", F.round("value", 6).alias("value"))
+
+
+@query("""
+WITH t AS (SELECT user_id, event_type, avg(value) AS metric, count(*)::DOUBLE AS cost, user_id % 3 AS third FROM events GROUP BY ALL), a AS (SELECT avg(metric) AS q, avg(cost) AS c FROM t WHERE metric IS NOT NULL),
+o AS (SELECT 'event_type' AS stage, event_type AS option, metric, cost FROM t WHERE metric IS NOT NULL UNION ALL SELECT 'third', third::VARCHAR, metric, cost FROM t WHERE metric IS NOT NULL)
+SELECT stage, option, count(*) AS trials, round(avg(metric) - any_value(q), 6) AS quality, round(avg(cost) - any_value(c), 6) AS cost FROM o, a GROUP BY stage, option""")
+def trial_marginal(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("metric"), F.count("*").cast("double").alias("cost")).withColumn("third", F.col("user_id") % 3)
+    return trials.marginals(rows, ["event_type", "third"]).select("stage", "option", "trials", F.round("quality", 6).alias("quality"), F.round("cost", 6).alias("cost"))
+
+
+@query("""
+SELECT (row_number() OVER (ORDER BY c, o, k))::BIGINT - 1 AS position, c::BIGINT AS chunk_chars, o::BIGINT AS overlap_chars, k AS refiner
+FROM (VALUES (200), (400)) a(c), (VALUES (0), (50)) b(o), (VALUES ('keyword'), ('none')) d(k)""")
+def search_space_grid(spark, sf_dir):
+    space = SearchSpace(refine=[[choice("keyword")], []], chunker=[choice("fixed", chunk_chars=[200, 400], overlap_chars=[0, 50])])
+    rows = [(i, s["chunker"]["params"]["chunk_chars"], s["chunker"]["params"]["overlap_chars"], s["refine"][0]["name"] if s["refine"] else "none") for i, s in enumerate(space.expand())]
+    return spark.createDataFrame(rows, "position long, chunk_chars long, overlap_chars long, refiner string")
+
+
+@query("SELECT event_type, count(*) AS n, rank() OVER (ORDER BY count(*) DESC, event_type) AS place FROM events GROUP BY event_type")
+def trial_sql(spark, sf_dir):
+    counts = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.col("n").desc(), "event_type")).cast("long"))

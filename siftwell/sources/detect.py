@@ -8,6 +8,7 @@ import zipfile
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HEAD = 8192
 
@@ -61,7 +62,7 @@ def _valid(h: Column) -> Column:
     return whole | shorter
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _office(content: pa.Array) -> pa.Array:
     out = []
     for value in content:
