@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import bytewords as bw
-from siftwell.llm.shared import KEY_BITS, Scratch, answer, ask, n_buckets, pack_blocks, told
+from siftwell.llm.shared import KEY_BITS, Scratch, answer, ask, sizes, pack_blocks, told
 
 MUS = (1.0, 8.0, 64.0, 512.0, 4096.0, 32768.0)
 END = np.uint64(0x656E64206F662074)
@@ -92,13 +92,13 @@ def score(docs: DataFrame, order: int = 2, modulus: int = 5, held: int = 1, mus:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mu) of each row of docs."""
     scratch = Scratch(docs.sparkSession)
     blocks = scratch.keep(pack_blocks(docs), "blocks")
-    buckets = n_buckets(blocks)
+    buckets, tasks = sizes(blocks)
 
     def extract(table):
         return [(u, c) for u, _, c in Stream(table, order, learns(table["doc_id"].to_pylist(), modulus, held)).distinct()]
 
     bits = [64] + [KEY_BITS] * (order - 1)
-    answers = scratch.keep(answer(ask(blocks, extract, bits, buckets), buckets), "answers")
+    answers = scratch.keep(answer(ask(blocks, extract, bits, buckets), tasks), "answers")
     row = answers.where("kind = 0").agg(F.sum("n_keys"), F.sum("n_tokens")).first()
     v, n = row[0] or 0, row[1] or 0
 
@@ -121,7 +121,7 @@ def score(docs: DataFrame, order: int = 2, modulus: int = 5, held: int = 1, mus:
         })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, scores array<double>, alone array<double>"
-    rows = scratch.keep(told(blocks, answers, work, schema, 2 * buckets), "rows")
+    rows = scratch.keep(told(blocks, answers, work, schema, tasks), "rows")
     scratch.drop("blocks")
     scratch.drop("answers")
     fit = rows.agg(*[F.sum(F.col("alone")[i]) for i in range(len(mus))]).first()

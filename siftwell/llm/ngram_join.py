@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import bytewords as bw
-from siftwell.llm.shared import KEY_BITS, Forest, Scratch, answer, ask, connected_components, contract, n_buckets, pack_blocks, told
+from siftwell.llm.shared import KEY_BITS, Forest, Scratch, answer, ask, connected_components, contract, pack_blocks, sizes, told
 
 BLOCK_NODES = 2048
 BLOCK_SETS = 12 << 20
@@ -216,8 +216,8 @@ def _grouped(rows: DataFrame, partitions: int, work, schema: str) -> DataFrame:
 
     def run(batches):
         at, held = None, []
-        for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("grp", "blk", "node", "shingles", "label")), strict=True):
+        for part in (batch.slice(k, 256) for batch in batches for k in range(0, batch.num_rows, 256)):
+            for row in zip(*(part[c].to_pylist() for c in ("grp", "blk", "node", "shingles", "label")), strict=True):
                 if row[:2] != at:
                     if len(held) > 1:
                         yield from emit(held)
@@ -240,17 +240,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_nodes:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     blocks = scratch.keep(pack_blocks(docs), "blocks")
-    buckets = n_buckets(blocks)
+    buckets, tasks = sizes(blocks)
 
     def keys(table):
         sets, _, first = _block_sets(table, k)
         return [_block_keys(sets, first)]
 
-    answers = scratch.keep(answer(ask(blocks, keys, [KEY_BITS], buckets), buckets), "answers")
-    rows = scratch.keep(_describe(blocks, answers, k, percent, 2 * buckets), "rows")
+    answers = scratch.keep(answer(ask(blocks, keys, [KEY_BITS], buckets), tasks), "answers")
+    rows = scratch.keep(_describe(blocks, answers, k, percent, tasks), "rows")
     scratch.drop("blocks")
     scratch.drop("answers")
-    groups = scratch.keep(connected_components(_node_edges(rows, scratch, 2 * buckets), scratch, "groups"), "grouped").select(F.col("id").alias("node"), F.col("component").alias("grp"))
+    groups = scratch.keep(connected_components(_node_edges(rows, scratch, tasks), scratch, "groups"), "grouped").select(F.col("id").alias("node"), F.col("component").alias("grp"))
     scratch.drop("links")
     sized = rows.where("shingles is not null").groupBy("node").agg(F.min("n_shingles").alias("n"))
     plan = groups.join(sized, "node").groupBy("grp").agg(F.count("*").alias("members"), F.sum(8 * F.col("n")).alias("bytes"))
@@ -260,11 +260,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_nodes:
     spots = F.when(pivot, F.sequence(F.lit(0), F.col("blks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blks")).cast("int")))
     held = rows.where("shingles is not null").select("node", "shingles").dropDuplicates(["node"])
     placed = held.join(member, "node").select("node", "shingles", "grp", "blks", F.explode(spots).alias("blk"), F.lit(None).cast("long").alias("label"))
-    first = scratch.keep(_grouped(placed, 2 * buckets, lambda ids, sets, labels: link_block(ids, sets, percent), "u long, v long"), "first")
+    first = scratch.keep(_grouped(placed, tasks, lambda ids, sets, labels: link_block(ids, sets, percent), "u long, v long"), "first")
     joined = scratch.keep(connected_components(first, scratch, "first"), "joined").select(F.col("id").alias("node"), "component")
     wide = member.where("blks > 1").select("node", "grp", "blks")
     if wide.limit(1).count():
-        joined = scratch.keep(connected_components(first.unionByName(_residual(rows, wide, joined, scratch, percent, 2 * buckets, block_sets)), scratch, "second"), "rejoined").select(F.col("id").alias("node"), "component")
+        joined = scratch.keep(connected_components(first.unionByName(_residual(rows, wide, joined, scratch, percent, tasks, block_sets)), scratch, "second"), "rejoined").select(F.col("id").alias("node"), "component")
     low = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
     component = low.join(joined, "node").groupBy("component").agg(F.min("low").alias("component_id"))
     of_node = low.join(joined, "node", "left").join(component, "component", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))

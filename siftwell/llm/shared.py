@@ -21,6 +21,7 @@ except OSError:
 
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 10 << 20
+TASK_BYTES = 64 << 20
 KEY_BITS = 48
 
 
@@ -147,10 +148,15 @@ def open_block(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().stream_reader(payload).read()).read_all().combine_chunks()
 
 
-def n_buckets(blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
-    """Buckets of statistics: in proportion to the text, so that each stays within a task's memory."""
+def sizes(blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES, task_bytes: int = TASK_BYTES) -> tuple[int, int]:
+    """Buckets of statistics and tasks, in proportion to the text.
+
+    A bucket and a block are what a task holds at a time; it handles several,
+    one after the other, so that tables are not cut into many small files.
+    """
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    return max(8, -(-total // bucket_bytes))
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    return max(8, -(-total // bucket_bytes)), max(2 * cores, -(-total // task_bytes))
 
 
 def _bucket_edges(n: int, bits: int) -> np.ndarray:
@@ -181,7 +187,7 @@ def ask(blocks: DataFrame, extract, bits: list[int], buckets: int) -> DataFrame:
     return blocks.mapInArrow(requests, "kind int, bucket int, block long, keys binary, counts binary")
 
 
-def answer(requests: DataFrame, buckets: int) -> DataFrame:
+def answer(requests: DataFrame, tasks: int) -> DataFrame:
     """(kind, bucket, block, totals, n_keys, n_tokens): for each request, the corpus-wide totals of its keys in its order.
 
     n_keys and n_tokens, the bucket's distinct keys with a count and the sum of
@@ -201,11 +207,10 @@ def answer(requests: DataFrame, buckets: int) -> DataFrame:
         trim()
         return pa.table({"kind": table["kind"], "bucket": table["bucket"], "block": table["block"], "totals": pa.array(answers, pa.binary()), "n_keys": pa.array([n_keys, *rest], pa.int64()), "n_tokens": pa.array([n_tokens, *rest], pa.int64())})
 
-    n = min(2 * buckets, 1 << 14)
-    return requests.repartition(n, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(total, "kind int, bucket int, block long, totals binary, n_keys long, n_tokens long")
+    return requests.repartition(tasks, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(total, "kind int, bucket int, block long, totals binary, n_keys long, n_tokens long")
 
 
-def told(blocks: DataFrame, answers: DataFrame, work, schema: str, partitions: int) -> DataFrame:
+def told(blocks: DataFrame, answers: DataFrame, work, schema: str, tasks: int) -> DataFrame:
     """work(table of texts, [totals of each kind]) for every block, beside the answers to what it asked."""
 
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -218,8 +223,8 @@ def told(blocks: DataFrame, answers: DataFrame, work, schema: str, partitions: i
         trim()
         return out
 
-    left = blocks.select("block", "payload").repartition(partitions, "block").groupBy("block")
-    right = answers.select("block", "kind", "bucket", "totals").repartition(partitions, "block").groupBy("block")
+    left = blocks.select("block", "payload").repartition(tasks, "block").groupBy("block")
+    right = answers.select("block", "kind", "bucket", "totals").repartition(tasks, "block").groupBy("block")
     return left.cogroup(right).applyInArrow(each, schema)
 
 
