@@ -31,12 +31,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.shared import spread
+from siftwell.llm.shared import spread, trim
 
 #: fixed value: the pattern that cuts byte-level vocabularies' words
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MEMO = 300_000
 MEMO_BYTES = 64
+PREFIX, SHORT = 4, (3, 2, 1)
+SHORT_WORD = 48
+NEVER = 1 << 60
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -59,11 +62,16 @@ class Codec:
             self.bytes_of[i] = text.encode()
         merges = [m if isinstance(m, list) else m.split(" ") for m in file["model"]["merges"]]
         vocab = file["model"]["vocab"]
-        self.rank = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in enumerate(merges)}
         self.id_of = {b: i for i, b in self.bytes_of.items() if i not in set(self.special.values())}
-        self.longest = max(map(len, self.id_of))
+        lengths: dict[bytes, set[int]] = {}
+        for token in self.id_of:
+            if len(token) >= PREFIX:
+                lengths.setdefault(token[:PREFIX], set()).add(len(token))
+        self.lengths = {p: (*sorted(x, reverse=True), *SHORT) for p, x in lengths.items()}
         self.single = [self.id_of[bytes([b])] for b in range(256)]
         self.size = max(self.bytes_of) + 1
+        self.rank = {vocab[a] * self.size + vocab[b]: r for r, (a, b) in enumerate(merges)}
+        self.merged = [vocab[a + b] for a, b in merges]
         self.words = regex.compile(PATTERN)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known = np.zeros(0, np.int64)
@@ -76,34 +84,54 @@ class Codec:
     # --- words -----------------------------------------------------------------------------------------------------
 
     def greedy(self, word: bytes) -> list[int]:
-        out, i, n, ids = [], 0, len(word), self.id_of
+        """Longest match from the left; only lengths that some token with these first bytes has are tried."""
+        out, i, n, ids, lengths = [], 0, len(word), self.id_of, self.lengths
         while i < n:
-            for j in range(min(n, i + self.longest), i, -1):
-                if (t := ids.get(word[i:j])) is not None:
+            for size in lengths.get(word[i : i + PREFIX], SHORT):
+                if (t := ids.get(word[i : i + size])) is not None and i + size <= n:
                     out.append(t)
-                    i = j
+                    i += size
                     break
         return out
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Exact: the lowest-ranked, then leftmost, pair is merged until none is left."""
-        tokens = [self.single[b] for b in word]
+        return self._merge_short(word) if len(word) <= SHORT_WORD else self._merge_long(word)
+
+    def _merge_short(self, word: bytes) -> tuple[int, ...]:
+        tokens, size, rank = [self.single[b] for b in word], self.size, self.rank
+        ranks = [rank.get(a * size + b, NEVER) for a, b in zip(tokens, tokens[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == NEVER:
+                break
+            i = ranks.index(best)
+            tokens[i : i + 2] = [self.merged[best]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank.get(tokens[i - 1] * size + tokens[i], NEVER)
+            if i < len(ranks):
+                ranks[i] = rank.get(tokens[i] * size + tokens[i + 1], NEVER)
+        return tuple(tokens)
+
+    def _merge_long(self, word: bytes) -> tuple[int, ...]:
+        tokens, size, rank = [self.single[b] for b in word], self.size, self.rank
         n = len(tokens)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(self.rank[p][0], i, p) for i in range(n - 1) if (p := (tokens[i], tokens[i + 1])) in self.rank]
+        heap = [(r, i, tokens[i], tokens[i + 1]) for i in range(n - 1) if (r := rank.get(tokens[i] * size + tokens[i + 1], NEVER)) != NEVER]
         heapq.heapify(heap)
         while heap:
-            _, i, pair = heapq.heappop(heap)
+            best, i, left, right = heapq.heappop(heap)
             j = after[i]
-            if j >= n or (tokens[i], tokens[j]) != pair:
+            if j >= n or tokens[i] != left or tokens[j] != right:
                 continue
-            tokens[i], tokens[j] = self.rank[pair][1], -1
+            tokens[i], tokens[j] = self.merged[best], -1
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (p := (tokens[a], tokens[b])) in self.rank:
-                    heapq.heappush(heap, (self.rank[p][0], a, p))
+                if a >= 0 and b < n and (r := rank.get(tokens[a] * size + tokens[b], NEVER)) != NEVER:
+                    heapq.heappush(heap, (r, a, tokens[a], tokens[b]))
         return tuple(t for t in tokens if t >= 0)
 
     def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -231,6 +259,9 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                     n.append(len(ids))
                     ids_hash.append(hashlib.sha256(",".join(map(c.text.__getitem__, ids)).encode()).hexdigest())
                     text_hash.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
+            trim()
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.memo.clear()  # an idle worker keeps the vocabulary alone
+        trim()
 
     return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

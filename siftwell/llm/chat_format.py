@@ -32,7 +32,8 @@ from siftwell.llm.shared import spread
 CHUNK = 1024
 KEEP, MERGE, RELABEL, MERGE_RELABELLED, INSERT, INSERT_RELABELLED = range(6)
 ACTIONS = ("keep", "merge", "relabel", "merge relabelled", "insert before", "insert before and relabel")
-MERGE_COST, RELABEL_COST, NAME_COST, INSERT_COST = 1.0, 2.0, 0.5, 3.0
+#: a turn that was or becomes a system turn is costly to relabel: instructions are not speech
+MERGE_COST, RELABEL_COST, SYSTEM_COST, NAME_COST, INSERT_COST = 1.0, 2.0, 4.0, 0.5, 2.5
 START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = (None, "system", "user", "assistant")
 _STEPS = {(START, SYSTEM), (START, USER), (SYSTEM, USER), (USER, ASSISTANT), (ASSISTANT, USER)}
@@ -50,7 +51,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     for seen in range(4):
         for before in range(4):
             for role in (SYSTEM, USER, ASSISTANT):
-                other = 0.0 if seen == role else NAME_COST if seen == 0 else RELABEL_COST
+                other = 0.0 if seen == role else NAME_COST if seen == 0 else SYSTEM_COST if SYSTEM in (seen, role) else RELABEL_COST
                 ways = []
                 if (before, role) in _STEPS:
                     ways.append((other, KEEP if seen == role else RELABEL))

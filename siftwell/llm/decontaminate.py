@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import bytewords as bw
-from siftwell.llm.shared import spread
+from siftwell.llm.shared import spread, trim
 
 WINDOW = 10
 BLOCK_WORDS = 1 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 
 class Phrases:
@@ -138,31 +138,6 @@ def _shards(column: pa.Array, terms: np.ndarray, gap: int):
         yield Shard(tokens, first, terms, gap), np.diff(first)
 
 
-def _pass(docs: DataFrame, phrases: Phrases, window: int) -> DataFrame:
-    block = docs.sparkSession.sparkContext.broadcast(phrases)
-
-    def search(batches):
-        q = block.value
-        for batch in batches:
-            n_words, spans, items = [], [], []
-            for shard, counts in _shards(batch["text"], q.terms, window + 1):
-                rows = [[] for _ in counts]
-                names = [set() for _ in counts]
-                for length, windows, owners in q.groups:
-                    which, begin = shard.phrases(windows)
-                    row = shard.row_of(begin)
-                    for r, w, b in zip(row.tolist(), which.tolist(), (begin - shard.row_start[row]).tolist(), strict=True):
-                        rows[r].append((b, b + length))
-                        names[r].update(owners[w])
-                for r, n in enumerate(counts.tolist()):
-                    n_words.append(n)
-                    spans.append([x for s in _merged(rows[r]) for x in s])
-                    items.append(sorted(q.items[x] for x in names[r]))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text_hash", "n_words", "spans", "items"])
-
-    return docs.mapInArrow(search, "doc_id long, text_hash long, n_words long, spans array<long>, items array<string>")
-
-
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -173,32 +148,81 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _sum_up(rows: DataFrame) -> DataFrame:
-    def each(batches):
+def _hits(batch: pa.RecordBatch, q: Phrases, window: int):
+    """(number of words, merged spans, item ids) of each row."""
+    for shard, counts in _shards(batch["text"], q.terms, window + 1):
+        rows, names = [[] for _ in counts], [set() for _ in counts]
+        for length, windows, owners in q.groups:
+            which, begin = shard.phrases(windows)
+            row = shard.row_of(begin)
+            for r, w, b in zip(row.tolist(), which.tolist(), (begin - shard.row_start[row]).tolist(), strict=True):
+                rows[r].append((b, b + length))
+                names[r].update(owners[w])
+        for n, spans, found in zip(counts.tolist(), rows, names, strict=True):
+            yield n, _merged(spans), [q.items[x] for x in found]
+
+
+_SUMMED = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string"
+
+
+def _summed(doc_ids: pa.Array, found) -> pa.RecordBatch:
+    words, hits, n_items, digests = [], [], [], []
+    for n, spans, items in found:
+        names = sorted(set(items))
+        words.append(n)
+        hits.append(sum(b - a for a, b in spans))
+        n_items.append(len(names))
+        digests.append(hashlib.sha256(",".join(names).encode()).hexdigest())
+    return pa.RecordBatch.from_arrays([doc_ids, pa.array(words, pa.int64()), pa.array(hits, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
+
+
+def _one_pass(docs: DataFrame, phrases: Phrases, window: int) -> DataFrame:
+    block = docs.sparkSession.sparkContext.broadcast(phrases)
+
+    def search(batches):
         for batch in batches:
-            hits, n_items, digests = [], [], []
-            for spans, items in zip(batch["spans"].to_pylist(), batch["items"].to_pylist(), strict=True):
-                hits.append(sum(b - a for a, b in _merged(list(zip(spans[::2], spans[1::2], strict=True)))))
-                names = sorted(set(items))
-                n_items.append(len(names))
-                digests.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_words"], pa.array(hits, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
+            out = _summed(batch["doc_id"], _hits(batch, block.value, window))
+            trim()
+            yield out
 
-    out = rows.select("doc_id", "n_words", "spans", "items").mapInArrow(each, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
-    return out.withColumn("contaminated", F.col("n_hit") > 0)
+    return docs.select("doc_id", "text").mapInArrow(search, _SUMMED)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each row of docs (doc_id, text)."""
-    base = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash")))
-    passes = [_pass(base, phrases, window) for phrases in _query_blocks(benchmark, window, block_words)]
-    if len(passes) == 1:
-        return _sum_up(passes[0])
+def _pass(docs: DataFrame, phrases: Phrases, window: int) -> DataFrame:
+    """What one of several query blocks finds: (doc_id, text_hash, n_words, spans, items)."""
+    block = docs.sparkSession.sparkContext.broadcast(phrases)
+
+    def search(batches):
+        for batch in batches:
+            found = list(_hits(batch, block.value, window))
+            spans, items = [[x for s in f[1] for x in s] for f in found], [sorted(f[2]) for f in found]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array([f[0] for f in found], pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text_hash", "n_words", "spans", "items"])
+
+    return docs.mapInArrow(search, "doc_id long, text_hash long, n_words long, spans array<long>, items array<string>")
+
+
+def _joined_passes(passes: list[DataFrame]) -> DataFrame:
+    """One row for each document again, from its rows of all passes."""
     rows = passes[0].withColumn("copies", F.lit(1))
     for other in passes[1:]:
         rows = rows.unionByName(other.withColumn("copies", F.lit(0)))
     merged = rows.groupBy("doc_id", "text_hash", "n_words").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.sum("copies").alias("copies"))
-    return _sum_up(merged.select("doc_id", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
+    merged = merged.select("doc_id", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("col")
+
+    def each(batches):
+        for batch in batches:
+            rows = zip(*(batch[c].to_pylist() for c in ("n_words", "spans", "items")), strict=True)
+            yield _summed(batch["doc_id"], ((n, _merged(list(zip(s[::2], s[1::2], strict=True))), items) for n, s, items in rows))
+
+    return merged.mapInArrow(each, _SUMMED)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each row of docs (doc_id, text)."""
+    base = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash")))
+    blocks = list(_query_blocks(benchmark, window, block_words))
+    found = _one_pass(base, blocks[0], window) if len(blocks) == 1 else _joined_passes([_pass(base, b, window) for b in blocks])
+    return found.withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, span: int = 20, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from siftwell.llm import bytewords as bw
 from siftwell.llm.quality import held_out
-from siftwell.llm.shared import spread
+from siftwell.llm.shared import spread, trim
 
 BITS = 14
 UNIT_WORDS = 6
@@ -101,6 +101,7 @@ def fit(docs: DataFrame, modulus: int = 3, held: int = 1, bits: int = BITS) -> M
                 cell = np.bincount(which[i:j][rows].astype(np.int64) << bits | bucket, minlength=len(names) << bits)
                 for k, name in enumerate(names):
                     totals[name] = totals.get(name, 0) + cell[k << bits : (k + 1) << bits]
+            trim()
         for name, cells in totals.items():
             some = np.flatnonzero(cells)
             yield pa.RecordBatch.from_pydict({"lang": [name] * len(some), "bucket": pa.array(some, pa.int32()), "n": pa.array(cells[some], pa.int64())})
@@ -178,6 +179,7 @@ def predict(docs: DataFrame, model: Model | None, bits: int = BITS) -> DataFrame
                     pred[i + r] = model.languages[top]
                     score[i + r] = min(1.0, c if s[top] >= 1.0 else float(s[top]))
                     mixture[i + r] = [(model.languages[k], float(s[k])) for k in np.flatnonzero(s > 0)]
+            trim()
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mixture, pa.map_(pa.string(), pa.float64()))], names=[*names, "lang_pred", "score", "mixture"])
 
     return docs.select(*names).mapInArrow(run, schema)

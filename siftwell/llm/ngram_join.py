@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import bytewords as bw
-from siftwell.llm.shared import KEY_BITS, Forest, Scratch, answer, ask, connected_components, contract, pack_blocks, sizes, told
+from siftwell.llm.shared import KEY_BITS, Forest, Scratch, answer, ask, connected_components, pack_blocks, sizes, told
 
 BLOCK_NODES = 2048
 BLOCK_SETS = 12 << 20
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_nodes:
     rows = scratch.keep(_describe(blocks, answers, k, percent, tasks), "rows")
     scratch.drop("blocks")
     scratch.drop("answers")
-    groups = scratch.keep(connected_components(_node_edges(rows, scratch, tasks), scratch, "groups"), "grouped").select(F.col("id").alias("node"), F.col("component").alias("grp"))
+    groups = scratch.keep(connected_components(_node_edges(rows, scratch, tasks), scratch, "groups", contracted=True), "grouped").select(F.col("id").alias("node"), F.col("component").alias("grp"))
     scratch.drop("links")
     sized = rows.where("shingles is not null").groupBy("node").agg(F.min("n_shingles").alias("n"))
     plan = groups.join(sized, "node").groupBy("grp").agg(F.count("*").alias("members"), F.sum(8 * F.col("n")).alias("bytes"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import bytewords as bw
-from siftwell.llm.shared import spread
+from siftwell.llm.shared import spread, trim
 
 BITS = 18
 SAMPLE = 12_000
@@ -161,6 +161,7 @@ def predict(docs: DataFrame, model: np.ndarray | float, bits: int = BITS) -> Dat
                     idx, row, x = features(data, off[i : j + 1], bits)
                     score[i:j] += np.bincount(row, weights=weights[idx] * x, minlength=j - i)
                 score = 1.0 / (1.0 + np.exp(-np.clip(score, -35, 35)))
+            trim()
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
     return docs.select(*names).mapInArrow(run, schema)

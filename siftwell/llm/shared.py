@@ -286,15 +286,16 @@ def contract(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).mapInArrow(stars, "u long, v long")
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, name: str = "components", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, name: str = "components", rounds: int = 60, contracted: bool = False) -> DataFrame:
     """(id, component) of every node with an edge (u, v); component is its smallest reachable id.
 
     Large-star and small-star steps until nothing moves (logarithmically many
-    in the number of nodes).  Each task first contracts what it holds, so a hub
-    sends one edge a task and not one for each neighbour.  The least neighbour
+    in the number of nodes).  Each task first contracts what it holds (unless the
+    edges are contracted already), so a hub sends one edge a task and not one
+    for each neighbour.  The least neighbour
     is found by a pre-aggregated minimum; nothing is collected.
     """
-    now = scratch.keep(contract(edges).where("u <> v").distinct(), f"{name}-0")
+    now = scratch.keep((edges if contracted else contract(edges)).where("u <> v").distinct(), f"{name}-0")
     state = None
     for step in range(1, rounds + 1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
