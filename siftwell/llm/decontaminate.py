@@ -1,15 +1,16 @@
 """Benchmark decontamination: exact phrase and proximity matches through a positional inverted index.
 
-The index is split by document: each shard of training text holds, for every
-term that a query block knows, its sorted postings (position in the shard, with
+The index is distributed by document and stored: each shard of training text is
+a row with its distinct terms and, term after term, their sorted positions (with
 a gap between documents).  A phrase starts from the postings of its rarest term
 in the shard and intersects the offset-adjusted postings of its other terms,
-rarest first.  No posting leaves its shard, so a frequent term or passage is
-spread as its documents are, and no shuffle is needed.
+rarest first.  Only postings of test terms are looked at.  No posting leaves its
+shard, so a frequent term or passage is spread as its documents are, and no
+shuffle is needed.
 
 Benchmark windows go to the shards in query blocks of at most BLOCK_WORDS
-words, the proven bound of what is broadcast; a larger benchmark takes several
-passes over the text, whose hits are merged.
+words, the proven bound of what is broadcast; a larger benchmark searches the
+index several times, and what is found is merged.
 
 Defined results: null text, of a document or an item, has no words; items
 without words or without an id are never found; an item id that stands on
@@ -27,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import bytewords as bw
-from siftwell.llm.shared import spread, trim
+from siftwell.llm.shared import Scratch, pack, pack_sorted, spread, trim, unpack, unpack_sorted
 
 WINDOW = 10
 BLOCK_WORDS = 1 << 20
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 2 << 20
+GAP = 64
 
 
 class Phrases:
@@ -53,20 +55,57 @@ class Phrases:
         self.groups = [(length, np.array(list(found), np.int64).reshape(-1, length), [sorted(x) for x in found.values()]) for length, found in sorted(by_length.items())]
 
 
+INDEX = "shard long, doc_ids array<long>, n_words array<int>, terms binary, counts binary, positions binary"
+
+
+def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The postings of all words of docs (doc_id, text), a row for each shard; to be written before it is used."""
+
+    def shards(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 24
+        for batch in batches:
+            data, off = bw.text_buffer(batch["text"])
+            for i, j in bw.row_slices(off, shard_bytes):
+                tokens, first = bw.words(data, off[i : j + 1], bw.ALNUM)
+                position = np.arange(len(tokens)) + GAP * np.repeat(np.arange(j - i), np.diff(first))
+                order = np.argsort(tokens, kind="stable")
+                terms, start, counts = np.unique(tokens[order], return_index=True, return_counts=True)
+                placed = position[order]
+                steps = np.diff(placed, prepend=0)
+                steps[start] = placed[start]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number], pa.int64()), pa.array([batch["doc_id"].slice(i, j - i).to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(first).tolist()], pa.list_(pa.int32())), *(pa.array([x], pa.binary()) for x in (pack_sorted(terms), pack(counts), pack(steps)))],
+                    names=["shard", "doc_ids", "n_words", "terms", "counts", "positions"],
+                )
+                number += 1
+            trim()
+
+    rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    return rows.mapInArrow(shards, INDEX)
+
+
 class Shard:
-    """The positional inverted index of some documents over the terms of a query block."""
-
-    def __init__(self, tokens: np.ndarray, first: np.ndarray, terms: np.ndarray, gap: int):
-        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        at = np.minimum(np.searchsorted(terms, tokens), max(0, len(terms) - 1))
-        known = np.flatnonzero(terms[at] == tokens) if len(terms) else np.zeros(0, np.int64)
-        term, position = at[known], known + gap * row[known]
-        order = np.argsort(term, kind="stable")
-        self.term, self.position = term[order], position[order]
-        self.width = int(len(tokens) + gap * max(1, len(first))) + 2 * gap + 2
+    """The stored postings of some documents, as far as a query block has their terms."""
+
+    def __init__(self, n_words: list[int], terms: bytes, counts: bytes, positions: bytes, wanted: np.ndarray):
+        stored, sizes, steps = unpack_sorted(terms), unpack(counts).astype(np.int64), unpack(positions).astype(np.int64)
+        self.gap, n = GAP, np.array(n_words, np.int64)
+        ends = np.cumsum(sizes)
+        at = np.minimum(np.searchsorted(stored, wanted), max(0, len(stored) - 1))
+        there = stored[at] == wanted if len(stored) else np.zeros(len(wanted), bool)
+        lengths = np.where(there, sizes[at] if len(stored) else 0, 0)
+        begin = np.where(there, (ends - sizes)[at] if len(stored) else 0, 0)
+        self.start = np.concatenate([[0], np.cumsum(lengths)])
+        self.term = np.repeat(np.arange(len(wanted)), lengths)
+        pick = np.arange(self.start[-1]) + np.repeat(begin - self.start[:-1], lengths)
+        # positions are stored as steps within a term
+        total = np.cumsum(steps)
+        self.position = total[pick] - np.repeat(total[begin] - steps[begin], lengths) if len(pick) else np.zeros(0, np.int64)
+        self.row_start = np.cumsum(n) - n + GAP * np.arange(len(n))
+        self.width = int(n.sum() + GAP * (len(n) + 2)) + 2
         self.codes = self.term * self.width + self.position
-        self.start = np.searchsorted(self.term, np.arange(len(terms) + 1))
-        self.row_start, self.gap = first[:-1] + gap * np.arange(len(first) - 1), gap
 
     def has(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
         code = term * self.width + position
@@ -131,13 +170,6 @@ def _query_blocks(benchmark: DataFrame, window: int, block_words: int):
     yield Phrases(held, window)
 
 
-def _shards(column: pa.Array, terms: np.ndarray, gap: int):
-    data, off = bw.text_buffer(column)
-    for i, j in bw.row_slices(off, SHARD_BYTES):
-        tokens, first = bw.words(data, off[i : j + 1], bw.ALNUM)
-        yield Shard(tokens, first, terms, gap), np.diff(first)
-
-
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -148,24 +180,30 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _hits(batch: pa.RecordBatch, q: Phrases, window: int):
-    """(number of words, merged spans, item ids) of each row."""
-    for shard, counts in _shards(batch["text"], q.terms, window + 1):
-        rows, names = [[] for _ in counts], [set() for _ in counts]
-        for length, windows, owners in q.groups:
-            which, begin = shard.phrases(windows)
-            row = shard.row_of(begin)
-            for r, w, b in zip(row.tolist(), which.tolist(), (begin - shard.row_start[row]).tolist(), strict=True):
-                rows[r].append((b, b + length))
-                names[r].update(owners[w])
-        for n, spans, found in zip(counts.tolist(), rows, names, strict=True):
-            yield n, _merged(spans), [q.items[x] for x in found]
+def _open(batches, q: Phrases):
+    """(shard, doc_ids, n_words, postings) of each stored row."""
+    for batch in batches:
+        for shard, ids, n, terms, counts, positions in zip(*(batch[c].to_pylist() for c in ("shard", "doc_ids", "n_words", "terms", "counts", "positions")), strict=True):
+            yield shard, ids, n, Shard(n, terms, counts, positions, q.terms)
+
+
+def _hits(n_words: list[int], shard: Shard, q: Phrases):
+    """(number of words, merged spans, item ids) of each document of a shard."""
+    rows, names = [[] for _ in n_words], [set() for _ in n_words]
+    for length, windows, owners in q.groups:
+        which, begin = shard.phrases(windows)
+        row = shard.row_of(begin)
+        for r, w, b in zip(row.tolist(), which.tolist(), (begin - shard.row_start[row]).tolist(), strict=True):
+            rows[r].append((b, b + length))
+            names[r].update(owners[w])
+    for n, spans, found in zip(n_words, rows, names, strict=True):
+        yield n, _merged(spans), [q.items[x] for x in found]
 
 
 _SUMMED = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string"
 
 
-def _summed(doc_ids: pa.Array, found) -> pa.RecordBatch:
+def _summed(doc_ids: list, found) -> pa.RecordBatch:
     words, hits, n_items, digests = [], [], [], []
     for n, spans, items in found:
         names = sorted(set(items))
@@ -173,80 +211,77 @@ def _summed(doc_ids: pa.Array, found) -> pa.RecordBatch:
         hits.append(sum(b - a for a, b in spans))
         n_items.append(len(names))
         digests.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-    return pa.RecordBatch.from_arrays([doc_ids, pa.array(words, pa.int64()), pa.array(hits, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
+    return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(words, pa.int64()), pa.array(hits, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
 
 
-def _one_pass(docs: DataFrame, phrases: Phrases, window: int) -> DataFrame:
-    block = docs.sparkSession.sparkContext.broadcast(phrases)
+def _one_block(index: DataFrame, phrases: Phrases) -> DataFrame:
+    block = index.sparkSession.sparkContext.broadcast(phrases)
 
     def search(batches):
-        for batch in batches:
-            out = _summed(batch["doc_id"], _hits(batch, block.value, window))
-            trim()
-            yield out
+        for _, ids, n, shard in _open(batches, block.value):
+            yield _summed(ids, _hits(n, shard, block.value))
 
-    return docs.select("doc_id", "text").mapInArrow(search, _SUMMED)
+    return index.mapInArrow(search, _SUMMED)
 
 
-def _pass(docs: DataFrame, phrases: Phrases, window: int) -> DataFrame:
-    """What one of several query blocks finds: (doc_id, text_hash, n_words, spans, items)."""
-    block = docs.sparkSession.sparkContext.broadcast(phrases)
-
-    def search(batches):
-        for batch in batches:
-            found = list(_hits(batch, block.value, window))
-            spans, items = [[x for s in f[1] for x in s] for f in found], [sorted(f[2]) for f in found]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array([f[0] for f in found], pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text_hash", "n_words", "spans", "items"])
-
-    return docs.mapInArrow(search, "doc_id long, text_hash long, n_words long, spans array<long>, items array<string>")
+def _several_blocks(index: DataFrame, blocks: list[Phrases]) -> DataFrame:
+    """What each query block finds in each document, merged."""
+    found = None
+    for phrases in blocks:
+        block = index.sparkSession.sparkContext.broadcast(phrases)
 
+        def search(batches, block=block):
+            for number, ids, n, shard in _open(batches, block.value):
+                hits = list(_hits(n, shard, block.value))
+                spans, items = [[x for s in h[1] for x in s] for h in hits], [sorted(h[2]) for h in hits]
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(ids), pa.int64()), pa.array(range(len(ids)), pa.int32()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["shard", "row", "doc_id", "n_words", "spans", "items"])
 
-def _joined_passes(passes: list[DataFrame]) -> DataFrame:
-    """One row for each document again, from its rows of all passes."""
-    rows = passes[0].withColumn("copies", F.lit(1))
-    for other in passes[1:]:
-        rows = rows.unionByName(other.withColumn("copies", F.lit(0)))
-    merged = rows.groupBy("doc_id", "text_hash", "n_words").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.sum("copies").alias("copies"))
-    merged = merged.select("doc_id", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("col")
+        part = index.mapInArrow(search, "shard long, row int, doc_id long, n_words long, spans array<long>, items array<string>")
+        found = part if found is None else found.unionByName(part)
+    merged = found.groupBy("shard", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
     def each(batches):
         for batch in batches:
             rows = zip(*(batch[c].to_pylist() for c in ("n_words", "spans", "items")), strict=True)
-            yield _summed(batch["doc_id"], ((n, _merged(list(zip(s[::2], s[1::2], strict=True))), items) for n, s, items in rows))
+            yield _summed(batch["doc_id"].to_pylist(), ((n, _merged(list(zip(s[::2], s[1::2], strict=True))), items) for n, s, items in rows))
 
     return merged.mapInArrow(each, _SUMMED)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each row of docs (doc_id, text)."""
-    base = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash")))
+def search_index(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each document of a stored index."""
+    if window >= GAP:
+        raise ValueError(f"window must be below {GAP}")
     blocks = list(_query_blocks(benchmark, window, block_words))
-    found = _one_pass(base, blocks[0], window) if len(blocks) == 1 else _joined_passes([_pass(base, b, window) for b in blocks])
+    found = _one_block(index, blocks[0]) if len(blocks) == 1 else _several_blocks(index, blocks)
     return found.withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def proximity(docs: DataFrame, benchmark: DataFrame, span: int = 20, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, item_id, position): words whose item window lies, in any order, within span words of them."""
-    base = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The same of each row of docs (doc_id, text): the index is built, stored and searched."""
+    return search_index(Scratch(docs.sparkSession).keep(build_index(docs), "postings"), benchmark, window, block_words)
+
+
+def proximity(index: DataFrame, benchmark: DataFrame, span: int = 20, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_id, item_id, position): words whose item window lies, in any order, within span (below the gap) words of them."""
+    if span >= GAP:
+        raise ValueError(f"span must be below {GAP}")
     out = None
     for phrases in _query_blocks(benchmark, window, block_words):
-        block = docs.sparkSession.sparkContext.broadcast(phrases)
+        block = index.sparkSession.sparkContext.broadcast(phrases)
 
         def search(batches, block=block):
             q = block.value
-            for batch in batches:
-                ids, done = batch["doc_id"].to_pylist(), 0
-                for shard, counts in _shards(batch["text"], q.terms, max(window, span) + 1):
-                    found = []
-                    for _, windows, owners in q.groups:
-                        which, centre = shard.near(windows, span)
-                        row = shard.row_of(centre)
-                        for r, w, c in zip(row.tolist(), which.tolist(), (centre - shard.row_start[row]).tolist(), strict=True):
-                            found.extend((ids[done + r], q.items[o], c) for o in owners[w])
-                    done += len(counts)
-                    cols = list(zip(*sorted(set(found), key=str), strict=True)) or [(), (), ()]
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["doc_id", "item_id", "position"])
-
-        part = base.mapInArrow(search, "doc_id long, item_id string, position long")
+            for _, ids, _, shard in _open(batches, q):
+                found = set()
+                for _, windows, owners in q.groups:
+                    which, centre = shard.near(windows, span)
+                    row = shard.row_of(centre)
+                    for r, w, c in zip(row.tolist(), which.tolist(), (centre - shard.row_start[row]).tolist(), strict=True):
+                        found.update((ids[r], q.items[o], c) for o in owners[w])
+                cols = list(zip(*sorted(found, key=str), strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["doc_id", "item_id", "position"])
+
+        part = index.mapInArrow(search, "doc_id long, item_id string, position long")
         out = part if out is None else out.unionByName(part)
     return out.distinct()

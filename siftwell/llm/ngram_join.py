@@ -38,6 +38,7 @@ from siftwell.llm.shared import KEY_BITS, Forest, Scratch, answer, ask, connecte
 BLOCK_NODES = 2048
 BLOCK_SETS = 12 << 20
 PIVOTS = 24
+SALTS = 16
 LEAF = 16
 FAN = 8
 _SHIFT = np.uint64(64 - KEY_BITS)
@@ -265,10 +266,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_nodes:
     wide = member.where("blks > 1").select("node", "grp", "blks")
     if wide.limit(1).count():
         joined = scratch.keep(connected_components(first.unionByName(_residual(rows, wide, joined, scratch, percent, tasks, block_sets)), scratch, "second"), "rejoined").select(F.col("id").alias("node"), "component")
-    low = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
+    low = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
     component = low.join(joined, "node").groupBy("component").agg(F.min("low").alias("component_id"))
-    of_node = low.join(joined, "node", "left").join(component, "component", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
-    return rows.select("doc_id", "n_shingles", "node").join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_node = low.join(joined, "node", "left").join(component, "component", "left").where("copies > 1 or component is not null")
+    # a group of copies may hold a third of all rows: its node is dealt to SALTS places, and so are its rows
+    salted = of_node.select("node", F.coalesce("component_id", "low").alias("component_id"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    out = rows.select("doc_id", "n_shingles", "node").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return out.join(salted, ["node", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _residual(rows: DataFrame, wide: DataFrame, joined: DataFrame, scratch: Scratch, percent: int, partitions: int, block_sets: int) -> DataFrame:

@@ -21,7 +21,7 @@ except OSError:
 
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 10 << 20
-TASK_BYTES = 64 << 20
+TASK_BYTES = 24 << 20
 KEY_BITS = 48
 
 

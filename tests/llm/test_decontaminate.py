@@ -2,9 +2,12 @@ import hashlib
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
+from siftwell.llm import bytewords as bw
 from siftwell.llm import decontaminate as dc
+from siftwell.llm.shared import Scratch
 
 from .conftest import fold, ids
 
@@ -61,5 +64,20 @@ def test_phrases_do_not_cross_documents(spark):
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "x fox some brown quick"), (2, "quick " + "y " * 30 + "brown fox"), (3, None)], "doc_id long, text string")
     items = spark.createDataFrame([(7, "quick brown fox")], "item_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in dc.proximity(docs, items, span=5).collect()} == {(1, "7")}
-    assert {r.doc_id for r in dc.proximity(docs, items, span=40).collect()} == {1, 2}
+    index = Scratch(spark).keep(dc.build_index(docs), "index")
+    assert {(r.doc_id, r.item_id) for r in dc.proximity(index, items, span=5).collect()} == {(1, "7")}
+    assert {r.doc_id for r in dc.proximity(index, items, span=40).collect()} == {1, 2}
+    assert [r.doc_id for r in dc.search_index(index, items.selectExpr("item_id", "'brown quick' as text")).collect() if r.contaminated] == [1]
+
+
+def test_index_holds_every_position(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, "b c")], "doc_id long, text string").coalesce(1)
+    data, off = bw.text_buffer(pa.array(["a b c"]))
+    wanted = bw.words(data, off, bw.ALNUM)[0]
+    found, words = set(), {}
+    for row in dc.build_index(docs).collect():
+        shard = dc.Shard(row.n_words, bytes(row.terms), bytes(row.counts), bytes(row.positions), wanted)
+        at = shard.row_of(shard.position)
+        found |= {(row.doc_ids[r], "abc"[t], int(p - shard.row_start[r])) for r, t, p in zip(at.tolist(), shard.term.tolist(), shard.position.tolist(), strict=True)}
+        words |= dict(zip(row.doc_ids, row.n_words, strict=True))
+    assert words == {1: 3, 2: 0, 3: 2} and found == {(1, "a", 0), (1, "b", 1), (1, "a", 2), (3, "b", 0), (3, "c", 1)}

@@ -28,12 +28,16 @@ def brute(rows, mu, order=2):
                 seen = len(learnt) if set(before) == {"\0begin"} else counts[o - 2][before]
                 p = (counts[o - 1][gram] + mu * p) / (seen + mu)
             score += math.log10(p)
-        out.append((i, len(w), sum(counts[0][t,] > 0 for t in w), n, round(base, 6), round(score, 6)))
+        out.append((i, len(w), sum(counts[0][t,] > 0 for t in w), n, digits(base), digits(score)))
     return sorted(map(repr, out))
 
 
+def digits(x):
+    return f"{x:.9e}"
+
+
 def shown(rows):
-    return sorted(repr((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6))) for r in rows)
+    return sorted(repr((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, digits(r.base_score), digits(r.score))) for r in rows)
 
 
 def test_equals_brute_force_and_beats_the_base(sf001):
