@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.errors import ConfigError
+from siftwell.errors import ConfigError, EvaluationError
 from siftwell.functions.text import normalised, tokens
 from siftwell.plans.component import Component, registry
 
@@ -132,3 +133,74 @@ class AnswerMatchEvaluator(Evaluator):
         both = samples.select("qid", "reference_answer").join(answers.select("qid", text.alias("__a")), "qid", "left")
         known = F.col("__a").isNotNull() & (F.coalesce("reference_answer", F.lit("")) != "")
         return both.select("qid", F.when(known, token_f1(F.col("__a"), F.col("reference_answer"))).alias("token_f1"), F.when(known, exact_match(F.col("__a"), F.col("reference_answer"))).alias("exact_match"))
+
+
+#: what a judge may report of an answer
+JUDGED = ("faithfulness", "answer_relevancy", "context_precision", "context_recall")
+
+
+def judge_key(model: str) -> Column:
+    """Key of a verdict: the model, the question and the answer."""
+    sep = F.lit("\x00")
+    return F.sha2(F.concat(F.lit(model), sep, F.col("question"), sep, F.col("answer")), 256)
+
+
+@registry.register
+class JudgeEvaluator(Evaluator):
+    """Verdicts of an injected judge on answers and their passages.
+
+    judge takes a list of {question, answer, contexts, reference} and gives a
+    mapping of metrics for each; a metric that it leaves out or puts to None is
+    an abstention and joins no mean.  With cache, a Parquet folder, a pair of
+    question and answer is judged once.
+    """
+
+    name, stage = "judge", "generation"
+
+    @dataclass
+    class Config:
+        model: str = ""
+        batch_size: int = 16
+
+    def __init__(self, judge: Callable[[list[dict]], list[dict]] | None = None, cache: str | None = None, config=None, **fields):
+        super().__init__(config, **fields)
+        if judge is None:
+            raise ConfigError("the judge evaluator needs judge=")
+        self.judge, self.cache = judge, cache
+
+    def metrics(self) -> list[str]:
+        return list(JUDGED)
+
+    def _verdicts(self, rows: DataFrame) -> DataFrame:
+        judge, size = self.judge, self.config.batch_size
+        fields = ("question", "answer", "contexts", "reference")
+
+        def run(batches):
+            for batch in batches:
+                asked = [dict(zip(fields, row, strict=True)) for row in zip(*(batch[f].to_pylist() for f in fields), strict=True)]
+                said = []
+                for i in range(0, len(asked), size):
+                    part = asked[i : i + size]
+                    found = list(judge(part))
+                    if len(found) != len(part):
+                        raise EvaluationError(f"the judge gave {len(found)} verdicts for {len(part)} answers")
+                    said.extend(found)
+                values = [pa.array([None if v.get(m) is None else float(v[m]) for v in said], pa.float64()) for m in JUDGED]
+                yield pa.RecordBatch.from_arrays([batch["key"], *values], names=["key", *JUDGED])
+
+        return rows.select("key", *fields).mapInArrow(run, "key string, " + ", ".join(f"{m} double" for m in JUDGED))
+
+    def evaluate(self, samples, rankings, chunks, answers=None):
+        if answers is None:
+            return samples.select("qid", *[F.lit(None).cast("double").alias(m) for m in JUDGED])
+        passages = rankings.join(chunks.select(F.col("id").alias("chunk_id"), F.col("text").alias("passage")), "chunk_id").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "passage"))).alias("p"))
+        rows = samples.select("qid", F.col("text").alias("question"), F.col("reference_answer").alias("reference")).join(answers.select("qid", F.col("text").alias("answer")), "qid").join(passages, "qid", "left")
+        rows = rows.withColumn("contexts", F.coalesce(F.transform("p", lambda x: x["passage"]), F.array().cast("array<string>"))).drop("p").withColumn("key", judge_key(self.config.model))
+        once = rows.dropDuplicates(["key"])
+        if self.cache:
+            from siftwell.sources.blobs import through_cache
+
+            verdicts = through_cache(once, rows.sparkSession, self.cache, ["key"], self._verdicts)
+        else:
+            verdicts = self._verdicts(once)
+        return samples.select("qid").join(rows.select("qid", "key").join(verdicts, "key").drop("key"), "qid", "left")

@@ -13,6 +13,7 @@ from siftwell.errors import ConfigError, ParseError, UnsupportedFormat
 from siftwell.plans.component import Component, registry
 from siftwell.sources.detect import detect_format
 from siftwell.sources.html import html_markdown
+from siftwell.sources.ocr import BATCH, MIN_CHARS, OcrEngine, OcrPolicy, page_windows, segment_plan
 from siftwell.sources.pages import PAGE_CHARS, assemble, assembled, decode_text, drop_blank
 
 _COLUMNS = ("doc_id", "markdown", "page_spans", "page_count", "ocr_pages", "source_uri", "metadata")
@@ -97,6 +98,69 @@ class ConverterParser(Parser):
         return self._documents(sources.drop("content").join(assemble(drop_blank(rows)), "doc_id"))
 
 
+@registry.register
+class PagedParser(Parser):
+    """Paged documents, whose pages go by their text layer or by OCR.
+
+    probe gives the characters of each page's text layer, convert the markdown
+    of the pages from one number to another, render one page's image and mime
+    type.  Runs of pages that go the same way are cut into windows, which are
+    converted in parallel; blank pages go.
+    """
+
+    name, formats = "paged", ("pdf",)
+
+    @dataclass
+    class Config:
+        policy: OcrPolicy = OcrPolicy.AUTO
+        page_batch_size: int = BATCH
+        min_chars_digital: int = MIN_CHARS
+
+    def __init__(self, probe=None, convert=None, render=None, engine: OcrEngine | None = None, config=None, **fields):
+        super().__init__(config, **fields)
+        if probe is None or convert is None:
+            raise ConfigError("the paged parser needs probe= and convert=")
+        if engine is not None and render is None:
+            raise ConfigError("OCR needs render=")
+        if self.config.policy is OcrPolicy.FORCE and engine is None:
+            raise ConfigError("forced OCR needs an engine")
+        self.probe, self.convert, self.render, self.engine = probe, convert, render, engine
+
+    def describe(self):
+        return super().describe() | {"engine": self.engine.describe() if self.engine else None}
+
+    def parse(self, sources):
+        probe, convert, render, c = self.probe, self.convert, self.render, self.config
+
+        @F.arrow_udf("array<int>")
+        def counts(content: pa.Array) -> pa.Array:
+            return pa.array([probe(x) for x in content.to_pylist()], pa.list_(pa.int32()))
+
+        pages = sources.select("doc_id", F.posexplode(counts(F.col("content"))).alias("p", "chars")).select("doc_id", (F.col("p") + 1).alias("page"), "chars")
+        plan = segment_plan(pages, c.min_chars_digital, c.policy, self.engine is not None)
+        size = F.col("end") - F.col("start") + 1
+        spans = plan.select("doc_id", "kind", "start", F.explode(page_windows(size, c.page_batch_size)).alias("w")).select("doc_id", "kind", (F.col("start") + F.col("w.start") - 1).alias("first"), (F.col("start") + F.col("w.end") - 1).alias("last"))
+        work = spans.join(sources.select("doc_id", "content"), "doc_id")
+
+        @F.arrow_udf("array<string>")
+        def digital(content: pa.Array, first: pa.Array, last: pa.Array) -> pa.Array:
+            return pa.array([list(convert(*row)) for row in zip(content.to_pylist(), first.to_pylist(), last.to_pylist(), strict=True)], pa.list_(pa.string()))
+
+        text = work.where("kind = 'text'").select("doc_id", "first", F.posexplode(digital(F.col("content"), F.col("first"), F.col("last"))).alias("k", "markdown"))
+        rows = text.select("doc_id", (F.col("first") + F.col("k")).cast("int").alias("number"), "markdown", F.lit(False).alias("ocr_applied"))
+        if self.engine is not None:
+
+            @F.arrow_udf("struct<image:binary,mime:string>")
+            def image(content: pa.Array, page: pa.Array) -> pa.Array:
+                made = [render(*row) for row in zip(content.to_pylist(), page.to_pylist(), strict=True)]
+                return pa.array([{"image": i, "mime": m} for i, m in made], pa.struct([("image", pa.binary()), ("mime", pa.string())]))
+
+            each = work.where("kind = 'ocr'").withColumn("number", F.explode(F.sequence("first", "last")))
+            images = each.select("doc_id", F.col("number").cast("int").alias("number"), image(F.col("content"), F.col("number")).alias("i")).select("doc_id", "number", "i.*")
+            rows = rows.unionByName(self.engine.apply(images).select("doc_id", "number", "markdown", "ocr_applied"))
+        return self._documents(sources.drop("content").join(assemble(drop_blank(rows)), "doc_id"))
+
+
 #: the parser of each format
 ROUTES = {"txt": "plaintext", "md": "plaintext", "html": "html", "pdf": "converter", "docx": "converter", "pptx": "converter", "xlsx": "converter", "image": "converter"}
 

@@ -267,3 +267,23 @@ def test_retrievers(spark):
     for broken in (lambda: retrieve.IndexRetriever(c), lambda: retrieve.IndexRetriever(), lambda: retrieve.IndexRetriever(c, representation="x"), lambda: retrieve.FusionRetriever([]), lambda: retrieve.FusionRetriever([lexical], method="max"), lambda: retrieve.FusionRetriever([lexical], weights=[1, 2])):
         with pytest.raises(ConfigError):
             broken()
+
+
+def test_judge(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def judge(rows):
+        calls.add(len(rows))
+        return [{"faithfulness": 1.0 if "the" in r["answer"] else None, "context_recall": float(len(r["contexts"]))} for r in rows]
+
+    c = chunks(spark, "a", "b")
+    samples = spark.createDataFrame([(1, "q", "r"), (2, "q", "r"), (3, "p", None)], "qid long, text string, reference_answer string")
+    answers = spark.createDataFrame([(1, "the x"), (2, "the x"), (3, "y")], "qid long, text string")
+    r = spark.createDataFrame([(1, "d:1", 1), (1, "d:0", 2), (2, "d:0", 1), (2, "d:1", 2)], "qid long, chunk_id string, rank int")
+    e = metrics.JudgeEvaluator(judge, cache=str(tmp_path / "judged"))
+    got = {s.qid: s for s in e.evaluate(samples, r, c, answers).collect()}
+    assert got[1].faithfulness == got[2].faithfulness == 1.0 and got[3].faithfulness is None and got[1].context_recall == 2.0 and got[3].context_recall == 0.0 and calls.value == 2
+    e.evaluate(samples, r, c, answers).collect()
+    assert calls.value == 2 and metrics.aggregate(e.evaluate(samples, r, c, answers), ["faithfulness"]).first()[0] == 1.0
+    with pytest.raises(Exception, match="0 verdicts"):
+        metrics.JudgeEvaluator(lambda rows: []).evaluate(samples, r, c, answers).collect()

@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.errors import OcrError, StorageError, UnsupportedFormat
+from siftwell.errors import ConfigError, OcrError, StorageError, UnsupportedFormat
 from siftwell.sources import blobs, detect, html, ocr, pages, parsers
 
 
@@ -63,6 +63,22 @@ def test_parsers(spark):
     assert (made.markdown, made.page_count) == ("pdf 4", 1)
 
 
+def test_paged_documents_by_text_layer_and_ocr(spark):
+    content = b"a" * 50 + b"|" + b"b" * 3 + b"|" + b"c" * 40 + b"| |" + b"d" * 60
+    pages_of = lambda data: data.decode().split("|")
+    parts = {"probe": lambda data: [len(p) for p in pages_of(data)], "convert": lambda data, a, b: pages_of(data)[a - 1 : b], "render": lambda data, page: (pages_of(data)[page - 1].encode(), "image/png")}
+    source = blobs.with_doc_id(blobs.bytes_source(spark, [("x.pdf", content)]))
+    engine = ocr.CallableOcr(lambda image, mime: f"[{image.decode()}]")
+    doc = parsers.PagedParser(**parts, engine=engine, page_batch_size=2).parse(source).first()
+    assert doc.markdown == "\n\n".join(["a" * 50, "[bbb]", "c" * 40, "[ ]", "d" * 60]) and (doc.page_count, doc.ocr_pages) == (5, 2)
+    plain = parsers.PagedParser(**parts).parse(source).first()
+    assert (plain.page_count, plain.ocr_pages) == (4, 0)
+    forced = parsers.PagedParser(**parts, engine=engine, policy=ocr.OcrPolicy.FORCE).parse(source).first()
+    assert forced.ocr_pages == 5
+    with pytest.raises(ConfigError):
+        parsers.PagedParser(**parts, policy=ocr.OcrPolicy.FORCE)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("hi there")
     row = blobs.with_doc_id(blobs.read_sources(spark, str(tmp_path), team="x")).first()
