@@ -59,13 +59,10 @@ def trigrams(data: np.ndarray, off: np.ndarray, bits: int = BITS):
     out = np.full(len(at) + (int(n_before[-1]) if len(at) else 0) + 2, 0x20, np.uint8)
     place = np.arange(len(at)) + n_before
     out[place] = raw[at]
-    word = np.zeros(len(out), np.int64)
-    word[place] = n_before
     code = (out[:-2].astype(np.uint32) << 16 | out[1:-1].astype(np.uint32) << 8 | out[2:]) * np.uint32(0x9E3779B1)
     keep = place - 1  # the trigram whose middle byte is a letter
     bucket = (code[keep] >> np.uint32(32 - bits)).astype(np.int32)
     rows = row[at]
-    first_word = np.zeros(len(off), np.int64)
     word_row = rows[np.flatnonzero(np.diff(n_before, prepend=0))] if len(at) else np.zeros(0, np.int64)
     first_word = np.searchsorted(word_row, np.arange(len(off)))
     of_word = n_before - 1

@@ -59,4 +59,29 @@ QUERIES = {
     f.__name__: f
     for f in (op1_ngram_join, op2_language_id, op3_quality, op4_chat_format, op5_decontaminate, op6_simhash, op7_bpe, op8_url_filter, op9_lm_score, op10_html_extract)
 }
-ORACLE_SQL: dict[str, str] = {"op8_url_filter": url_filter.oracle_sql()}
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": f"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\x20\x09-\x0D]+') AS t FROM documents),
+    k AS (SELECT doc_id, t, unnest(range(1, CASE WHEN len(t) >= 5 THEN len(t) - 3 WHEN len(t) > 0 THEN 2 ELSE 1 END)) AS k FROM w),
+    s AS (SELECT DISTINCT doc_id, array_to_string(t[k:k + 4], ' ') AS g FROM k),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+    links AS (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * o >= 80 * (nx.n + ny.n - o)),
+    ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+    reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, y FROM reach r JOIN ways ON r.other = x)
+    SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other)::BIGINT AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+    "op5_decontaminate": f"""
+    WITH d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS t FROM documents),
+    i AS (SELECT item_id, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS t FROM benchmark WHERE item_id IS NOT NULL),
+    k AS (SELECT item_id, t, least(len(t), 10) AS size, unnest(range(1, len(t) - least(len(t), 10) + 2)) AS k FROM i WHERE len(t) > 0),
+    win AS (SELECT DISTINCT item_id, size, array_to_string(t[k:k + size - 1], ' ') AS g FROM k),
+    places AS (SELECT doc_id, t, size, unnest(range(1, len(t) - size + 2)) AS p FROM d, (SELECT DISTINCT size FROM win) WHERE len(t) >= size),
+    hits AS (SELECT doc_id, p, places.size AS size, item_id FROM places JOIN win ON win.size = places.size AND win.g = array_to_string(t[p:p + places.size - 1], ' ')),
+    covered AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + size)) AS q FROM hits) GROUP BY doc_id),
+    named AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+    SELECT doc_id, len(t)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(m.n, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+    FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN named m USING (doc_id)""",
+    "op8_url_filter": url_filter.oracle_sql(),
+}
