@@ -20,24 +20,29 @@ def watch_files(spark: SparkSession, path: str, pattern: str = "*", per_trigger:
 
 
 def ingest_stream(stream: DataFrame, pipeline: IndexingPipeline, known: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None):
-    """A query that indexes each content once: known, a Parquet folder, holds the ids that were indexed.
+    """A query that indexes each content once: known, a Parquet folder, holds the documents that were parsed.
 
-    A batch that is run again after a failure finds its documents known, or
-    upserts the same rows: the sinks' last write wins.
+    Documents are written before they are indexed, so chunks do not depend on
+    files that may go.  A batch that is run again after a failure finds its
+    documents there and upserts the same chunks: the sinks' last write wins.
     """
 
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = blobs.with_doc_id(detect_format(batch)).dropDuplicates(["doc_id"])
         folder = spark._jvm.org.apache.hadoop.fs.Path(known)
-        if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        exists = lambda: folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+        rows = blobs.with_doc_id(detect_format(batch)).dropDuplicates(["doc_id"])
+        if exists():
             rows = blobs.missing(rows, spark.read.parquet(known), ["doc_id"])
         rows = rows.persist()
         if rows.limit(1).count():
-            chunks = pipeline.index_documents(pipeline.parser.parse(rows))
-            if on_batch:
-                on_batch(chunks, number)
-            rows.select("doc_id").write.mode("append").parquet(known)
+            pipeline.parser.parse(rows).withColumn("batch", F.lit(number).cast("long")).write.mode("append").parquet(known)
         rows.unpersist()
+        if exists():
+            documents = spark.read.parquet(known).where(F.col("batch") == number).drop("batch")
+            if documents.limit(1).count():
+                chunks = pipeline.index_documents(documents)
+                if on_batch:
+                    on_batch(chunks, number)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

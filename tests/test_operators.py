@@ -33,11 +33,11 @@ def test_fixed_chunks(spark):
     text = "A sentence of words. " * 1000
     rows = chunking.FixedChunker(chunk_chars=400, overlap_chars=50).chunk(docs(spark, text)).orderBy("index").collect()
     assert rows[0].char_start == 0 and rows[-1].char_end == len(text) and all(b.char_start == a.char_end - 50 for a, b in zip(rows, rows[1:], strict=False))
-    assert [r.index for r in rows] == list(range(len(rows))) and all(r.text == text[r.char_start : r.char_end] and r.id == f"d0:{r.index}" for r in rows)
+    assert [r["index"] for r in rows] == list(range(len(rows))) and all(r.text == text[r.char_start : r.char_end] and r.id == f"d0:{r['index']}" for r in rows)
     paragraphs = "\n\n".join("p" * 100 for _ in range(10))
     assert any(r.text.endswith("\n\n") for r in chunking.FixedChunker(chunk_chars=250, overlap_chars=0).chunk(docs(spark, paragraphs)).collect())
     blank = chunking.FixedChunker(chunk_chars=10, overlap_chars=0).chunk(docs(spark, "x" * 10 + " " * 10 + "y" * 5, "", None)).collect()
-    assert [(r.index, r.char_start) for r in blank] == [(0, 0), (1, 20)]
+    assert [(r["index"], r.char_start) for r in blank] == [(0, 0), (1, 20)]
     assert [tuple(s) for s in chunking.Breaks("abcdef").windows(0, 6, 2, 9)] == [(0, 2), (2, 4), (4, 6)]
     with pytest.raises(ConfigError):
         chunking.FixedChunker(chunk_chars=0)
@@ -63,7 +63,7 @@ def test_enrichers(spark):
     with pytest.raises(Exception, match="completion failed"):
         enrich.ContextualEnricher(lambda p: 1 / 0).enrich(c, d).collect()
     more = enrich.synthetic(c, c.where("index = 0").select("id", F.lit("q?").alias("text"))).where("id like '%#aug%'").first()
-    assert more.id == "d0:0#aug0" and more.metadata["synthetic"] == "true" and more.index == 0
+    assert more.id == "d0:0#aug0" and more.metadata["synthetic"] == "true" and more["index"] == 0
 
 
 def test_filters(spark):

@@ -19,7 +19,7 @@ CASES = [
     ("a.txt", b"%PDF-1.7", "pdf"), ("a.txt", b"\x89PNG\r\n\x1a\n", "image"), ("a", b"\xff\xd8\xff\xe0", "image"), ("a", b"GIF89a", "image"), ("a", b"II*\x00", "image"), ("a", b"MM\x00*", "image"),
     ("a", b"RIFF\x00\x00\x00\x00WEBP", "image"), ("a", office("word/document.xml"), "docx"), ("a", office("ppt/x"), "pptx"), ("a", office("xl/x"), "xlsx"), ("a.docx", office("other"), "docx"), ("a.zip", office("other"), "unknown"),
     ("a.pptx", b"PK\x03\x04broken", "pptx"), ("a.bin", b"\n <!DOCTYPE HTML><p>", "html"), ("a", b"<html>", "html"), ("A.MD", b"text", "md"), ("a.htm", b"text", "html"), ("a", b"plain", "txt"), ("a", b"nul\x00", "unknown"),
-    ("a", b"\xfe\xfe", "unknown"), ("a", b"cut " + "é".encode()[:1], "txt"), ("a", b"", "txt"), ("a.png", b"x", "image"), (None, b"x", "txt"),
+    ("a", b"\xfe\xfe abcdef", "unknown"), ("a", b"cut " + "é".encode()[:1], "txt"), ("a", b"", "txt"), ("a.png", b"x", "image"), (None, b"x", "txt"),
 ]
 
 
