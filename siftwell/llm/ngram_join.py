@@ -33,12 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import bytewords as bw
-from siftwell.llm.shared import KEY_BITS, Forest, Scratch, answer, ask, connected_components, pack_blocks, sizes, told
+from siftwell.llm.shared import KEY_BITS, Forest, Scratch, answer, ask, connected_components, pack_blocks, salted_join, sizes, told
 
 BLOCK_NODES = 2048
 BLOCK_SETS = 12 << 20
 PIVOTS = 24
-SALTS = 16
 LEAF = 16
 FAN = 8
 _SHIFT = np.uint64(64 - KEY_BITS)
@@ -256,7 +255,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_nodes:
     sized = rows.where("shingles is not null").groupBy("node").agg(F.min("n_shingles").alias("n"))
     plan = groups.join(sized, "node").groupBy("grp").agg(F.count("*").alias("members"), F.sum(8 * F.col("n")).alias("bytes"))
     plan = plan.select("grp", "members", F.greatest(F.ceil(F.col("members") / block_nodes), F.ceil(F.col("bytes") / block_sets)).cast("int").alias("blks"))
-    member = groups.join(plan, "grp").select("node", "grp", "blks", "members", F.pmod(F.xxhash64("node", F.lit(7)), F.col("members")).alias("draw"))
+    member = salted_join(groups, plan, ["grp"], "node").select("node", "grp", "blks", "members", F.pmod(F.xxhash64("node", F.lit(7)), F.col("members")).alias("draw"))
     pivot = (F.col("draw") < PIVOTS) & (F.col("blks") > 1)
     spots = F.when(pivot, F.sequence(F.lit(0), F.col("blks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blks")).cast("int")))
     held = rows.where("shingles is not null").select("node", "shingles").dropDuplicates(["node"])
@@ -267,12 +266,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_nodes:
     if wide.limit(1).count():
         joined = scratch.keep(connected_components(first.unionByName(_residual(rows, wide, joined, scratch, percent, tasks, block_sets)), scratch, "second"), "rejoined").select(F.col("id").alias("node"), "component")
     low = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
-    component = low.join(joined, "node").groupBy("component").agg(F.min("low").alias("component_id"))
-    of_node = low.join(joined, "node", "left").join(component, "component", "left").where("copies > 1 or component is not null")
-    # a group of copies may hold a third of all rows: its node is dealt to SALTS places, and so are its rows
-    salted = of_node.select("node", F.coalesce("component_id", "low").alias("component_id"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-    out = rows.select("doc_id", "n_shingles", "node").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return out.join(salted, ["node", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked_low = joined.join(low, "node")
+    component = linked_low.groupBy("component").agg(F.min("low").alias("component_id"))
+    merged = salted_join(linked_low, component, ["component"], "node").select("node", "component_id")
+    alone = low.where("copies > 1").join(joined, "node", "left_anti").select("node", F.col("low").alias("component_id"))
+    of_node = merged.unionByName(alone)
+    # a group of copies may hold a third of all rows; rows of other nodes stand for themselves
+    out = salted_join(rows.select("doc_id", "n_shingles", "node"), of_node, ["node"], "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _residual(rows: DataFrame, wide: DataFrame, joined: DataFrame, scratch: Scratch, percent: int, partitions: int, block_sets: int) -> DataFrame:
@@ -285,12 +286,12 @@ def _residual(rows: DataFrame, wide: DataFrame, joined: DataFrame, scratch: Scra
     of = scratch.keep(wide.join(joined, "node", "left").select("node", "grp", "blks", F.coalesce("component", "node").alias("label")), "labels")
     counts = of.groupBy("grp", "label").agg(F.count("*").alias("n"))
     main = counts.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    out = of.join(main, "grp").where("label <> main")
+    out = salted_join(of, main, ["grp"], "node").where("label <> main")
     n_out = out.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("chunks"))
     sets = rows.where("shingles is not null").select("node", "shingles").dropDuplicates(["node"])
     chunk = F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int")
-    outside = out.join(n_out, "grp").select("node", "grp", "label", F.explode(F.sequence(F.lit(0), F.col("blks") - 1)).alias("b"), chunk.alias("c"))
-    inside = of.join(n_out, "grp").select("node", "grp", "label", F.pmod(F.xxhash64("node"), F.col("blks")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"))
+    outside = salted_join(out, n_out, ["grp"], "node").select("node", "grp", "label", F.explode(F.sequence(F.lit(0), F.col("blks") - 1)).alias("b"), chunk.alias("c"))
+    inside = salted_join(of, n_out, ["grp"], "node").select("node", "grp", "label", F.pmod(F.xxhash64("node"), F.col("blks")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"))
     both = inside.unionByName(outside).distinct()
     placed = both.join(sets, "node").select("grp", (F.col("b").cast("long") * (1 << 31) + F.col("c")).alias("blk"), "node", "shingles", "label")
     return scratch.keep(_grouped(placed, partitions, lambda ids, sets, labels: link_block(ids, sets, percent, labels), "u long, v long"), "residual")

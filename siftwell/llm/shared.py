@@ -72,6 +72,19 @@ def without_ids(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_IDS) ->
     return docs.join(F.broadcast(kept) if kept.count() <= limit else kept.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 
 
+SALTS = 16
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """left joined with right, one row a key, where one key may hold a third of left's rows.
+
+    Each row of right goes to salts places, and left's rows of a key are dealt
+    to them by their column by.
+    """
+    dealt = left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    return dealt.join(right.withColumn("__salt", F.explode(F.array(*map(F.lit, range(salts))))), [*keys, "__salt"], how).drop("__salt")
+
+
 def trim() -> None:
     """Gives freed memory back: workers stay alive between tasks, and each executor has several."""
     pa.default_memory_pool().release_unused()
