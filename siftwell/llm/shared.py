@@ -33,8 +33,10 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        set_dir = sc._jsc.sc().getCheckpointDir()
-        folder = set_dir.get() if set_dir.isDefined() else "file://" + tempfile.mkdtemp(prefix="siftwell-")
+        given = sc._jsc.sc().getCheckpointDir()
+        if not given.isDefined() and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("on a cluster, set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = given.get() if given.isDefined() else "file://" + tempfile.mkdtemp(prefix="siftwell-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
