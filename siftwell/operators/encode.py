@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.errors import ConfigError, EmbeddingError
-from siftwell.functions.text import tokens
+from siftwell.functions.text import let, tokens
 from siftwell.plans.component import Component, registry
 
 _WORD = re.compile(r"\w+")
@@ -145,9 +145,15 @@ class HashedTermFrequency(SparseEncoder):
         buckets: int = 1 << 20
 
     def passage(self, text):
-        at = F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(self.config.buckets)).cast("int"))
-        indices = F.array_sort(F.array_distinct(at))
-        return F.struct(indices.alias("indices"), F.transform(indices, lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double")).alias("values"))
+        at = F.array_sort(F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(self.config.buckets)).cast("int")))
+
+        def runs(s: Column) -> Column:
+            # runs of equal sorted indices: linear in the words
+            first = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+            return let(first, lambda p: F.struct(F.transform(p, lambda i: F.element_at(s, i)).alias("indices"), F.transform(p, lambda i, k: (F.coalesce(F.get(p, k + 1), F.size(s) + 1) - i).cast("double")).alias("values")))
+
+        none = F.struct(F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("values"))
+        return let(at, lambda s: F.when(F.size(s) == 0, none).otherwise(runs(s)))
 
 
 NAMESPACES = ("passages", "queries")

@@ -40,6 +40,7 @@ def latest(rows: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
 class TableStore(Component):
     """Chunks and their vectors by id: rows are appended with a sequence number and the last one wins.
 
+    With a path they are Parquet; without, they are cached, for small corpora.
     Each space has a table of its own, so that refreshing one leaves the others
     and the payload alone.
     """
@@ -67,7 +68,7 @@ class TableStore(Component):
             rows.write.mode("append").parquet(folder)
             self._tables[table] = self.spark.read.schema(rows.schema).parquet(folder)
         else:
-            old = self._tables.get(table)
+            rows, old = rows.persist(), self._tables.get(table)
             self._tables[table] = rows if old is None else old.unionByName(rows)
 
     def upsert(self, chunks: DataFrame, vectors: Mapping[str, str]) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.errors import ConfigError, EvaluationError
-from siftwell.functions.text import normalised, tokens
+from siftwell.functions.text import let, normalised, tokens
 from siftwell.plans.component import Component, registry
 
 
@@ -49,10 +49,13 @@ def ir_metrics(rankings: DataFrame, qrels: DataFrame, ks: Sequence[int] = (1, 5,
 
 def token_f1(answer: Column, reference: Column) -> Column:
     """Harmonic mean of precision and recall of words as multisets; 1 if both are empty, 0 if one is."""
-    a, r = tokens(answer), tokens(reference)
-    common = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(F.size(F.filter(a, lambda x: x == t)), F.size(F.filter(r, lambda x: x == t))))
-    f1 = 2.0 * common / (F.size(a) + F.size(r))
-    return F.when((F.size(a) == 0) & (F.size(r) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(r) == 0), F.lit(0.0)).otherwise(f1)
+
+    def f1(x: Column) -> Column:
+        a, r = x["a"], x["r"]
+        common = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(F.size(F.filter(a, lambda y: y == t)), F.size(F.filter(r, lambda y: y == t))))
+        return F.when((F.size(a) == 0) & (F.size(r) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(r) == 0), F.lit(0.0)).otherwise(2.0 * common / (F.size(a) + F.size(r)))
+
+    return let(F.struct(tokens(answer).alias("a"), tokens(reference).alias("r")), f1)
 
 
 def token_f1_by_count(pairs: DataFrame, key: str = "qid", answer: str = "answer", reference: str = "reference") -> DataFrame:

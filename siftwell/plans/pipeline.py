@@ -24,14 +24,23 @@ class IndexingPipeline:
     """sources -> documents -> chunks -> enriched chunks -> sinks, as one plan.
 
     With cache, a Parquet folder, documents are parsed once for each content and
-    parser fingerprint.
+    parser fingerprint, and raw contents are kept beside them; with a catalogue,
+    the documents' names are recorded.
     """
 
-    def __init__(self, parser: parsers.Parser, chunker: chunking.Chunker, sinks: Sequence[Any] = (), enrichers: Sequence[enrich.Enricher] = (), cache: str | None = None, trace: Trace | None = None):
-        self.parser, self.chunker, self.sinks, self.enrichers, self.cache, self.trace = parser, chunker, list(sinks), list(enrichers), cache, trace
+    def __init__(
+        self, parser: parsers.Parser, chunker: chunking.Chunker, sinks: Sequence[Any] = (), enrichers: Sequence[enrich.Enricher] = (), cache: str | None = None, trace: Trace | None = None, catalogue: blobs.Catalogue | None = None
+    ):
+        self.parser, self.chunker, self.sinks, self.enrichers = parser, chunker, list(sinks), list(enrichers)
+        self.cache, self.trace, self.catalogue = cache, trace, catalogue
 
     def documents(self, sources: DataFrame) -> DataFrame:
-        rows = blobs.with_doc_id(detect_format(sources)).dropDuplicates(["doc_id"])
+        named = blobs.with_doc_id(detect_format(sources))
+        if self.catalogue:
+            self.catalogue.record(named)
+        rows = named.dropDuplicates(["doc_id"])
+        if self.cache:
+            blobs.through_cache(rows, rows.sparkSession, f"{self.cache}/raw", ["doc_id"], blobs.raw_blobs)
         if not self.cache:
             return self.parser.parse(rows)
         return blobs.through_cache(rows, rows.sparkSession, f"{self.cache}/parsed/{self.parser.fingerprint()}", ["doc_id"], self.parser.parse)

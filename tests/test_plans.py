@@ -122,7 +122,10 @@ def test_index_and_ask(spark, tmp_path):
     events = []
     p = rag(spark, refiners=[refine.KeywordRefiner(), refine.NeighborExpander()], cache=str(tmp_path / "cache"), trace=lambda *a, **k: events.append(a[0]))
     source = blobs.bytes_source(spark, [("facts.md", FACTS)])
+    p.indexing.catalogue = blobs.Catalogue(spark)
     assert p.index(source).count() == 3 and p.index(source).count() == 3 and events == ["chunk", "chunk"]
+    raw = spark.read.parquet(str(tmp_path / "cache" / "raw")).collect()
+    assert len(raw) == 1 and raw[0].key.endswith("/original.md") and bytes(raw[0].content) == FACTS and p.indexing.catalogue.documents().first().source_uri == "facts.md"
     q = spark.createDataFrame([(1, "What is the capital of France?"), (2, "zzz qqq")], "qid long, text string")
     answers = {r.qid: r for r in p.ask(q, 2).collect()}
     assert "Paris" in answers[1].text and answers[1].citations[0].marker == 1 and len(answers[1].citations[0].doc_id) == 64
