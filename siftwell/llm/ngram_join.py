@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import bytewords as bw
-from siftwell.llm.shared import KEY_BITS, Forest, Scratch, answer, ask, connected_components, pack_blocks, salted_join, sizes, told
+from siftwell.llm.shared import KEY_BITS, Forest, Scratch, answer, ask, connected_components, fewer, pack_blocks, salted_join, sizes, told
 
 BLOCK_NODES = 2048
 BLOCK_SETS = 12 << 20
@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_nodes:
     """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    blocks = scratch.keep(pack_blocks(docs), "blocks")
+    blocks = scratch.keep(fewer(pack_blocks(docs)), "blocks")
     buckets, tasks = sizes(blocks)
 
     def keys(table):
