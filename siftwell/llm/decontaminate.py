@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import bytewords as bw
-from siftwell.llm.shared import Scratch, fewer, pack, pack_sorted, spread, trim, unpack, unpack_sorted
+from siftwell.llm.shared import Scratch, fewer, new_number, pack, pack_sorted, spread, trim, unpack, unpack_sorted
 
 WINDOW = 10
 BLOCK_WORDS = 1 << 20
@@ -62,9 +62,6 @@ def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The postings of all words of docs (doc_id, text), a row for each shard; to be written before it is used."""
 
     def shards(batches):
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 24
         for batch in batches:
             data, off = bw.text_buffer(batch["text"])
             for i, j in bw.row_slices(off, shard_bytes):
@@ -76,10 +73,9 @@ def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
                 steps = np.diff(placed, prepend=0)
                 steps[start] = placed[start]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int64()), pa.array([batch["doc_id"].slice(i, j - i).to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(first).tolist()], pa.list_(pa.int32())), *(pa.array([x], pa.binary()) for x in (pack_sorted(terms), pack(counts), pack(steps)))],
+                    [pa.array([new_number()], pa.int64()), pa.array([batch["doc_id"].slice(i, j - i).to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(first).tolist()], pa.list_(pa.int32())), *(pa.array([x], pa.binary()) for x in (pack_sorted(terms), pack(counts), pack(steps)))],
                     names=["shard", "doc_ids", "n_words", "terms", "counts", "positions"],
                 )
-                number += 1
             trim()
 
     rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))

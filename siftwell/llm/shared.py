@@ -124,6 +124,12 @@ def unpack_sorted(payload: bytes) -> np.ndarray:
 
 # --- blocks of documents ---------------------------------------------------------------------------------------------
 
+
+def new_number() -> int:
+    """A number that no other task draws, whatever partitions it computes."""
+    return uuid.uuid4().int >> 65
+
+
 _TEXTS = pa.schema([("doc_id", pa.int64()), ("text", pa.large_string())])
 
 
@@ -131,24 +137,21 @@ def pack_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(block, n_bytes, payload): documents in compressed blocks of about block_bytes of text.
 
     A block is the unit in which statistics of the corpus are asked for and
-    answered.  The result must be written before use: block numbers follow the
-    scan's partitions.
+    answered.  The result must be written before use: block numbers are drawn.
     """
 
     def blocks(batches):
-        from pyspark import TaskContext
-
-        part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+        held, size = [], 0
 
         def flush():
-            nonlocal seq, held, size
+            nonlocal held, size
             table = pa.Table.from_batches(held, _TEXTS)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, _TEXTS) as writer:
                 writer.write_table(table)
             payload = zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
-            out = pa.RecordBatch.from_pydict({"block": [(part << 24) | seq], "n_bytes": [size], "payload": [payload]}, pa.schema([("block", pa.int64()), ("n_bytes", pa.int64()), ("payload", pa.binary())]))
-            seq, held, size = seq + 1, [], 0
+            out = pa.RecordBatch.from_pydict({"block": [new_number()], "n_bytes": [size], "payload": [payload]}, pa.schema([("block", pa.int64()), ("n_bytes", pa.int64()), ("payload", pa.binary())]))
+            held, size = [], 0
             return out
 
         for batch in batches:

@@ -50,3 +50,12 @@ def test_blocks_hold_every_row(odd_docs, odd_rows, spark):
     blocks = shared.Scratch(spark).keep(shared.pack_blocks(odd_docs, 1000), "b").collect()
     rows = [r for b in blocks for r in shared.open_block(bytes(b.payload)).to_pylist()]
     assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in rows))) == sorted(map(repr, odd_rows))
+
+
+def test_blocks_of_coalesced_partitions_have_numbers_of_their_own(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "repeat(cast(id as string), 20) as text").repartition(64)
+    packed = shared.fewer(shared.pack_blocks(docs, 1000))
+    assert packed.rdd.getNumPartitions() < 64
+    rows = shared.Scratch(spark).keep(packed, "b").collect()
+    assert len({r.block for r in rows}) == len(rows) >= 64
+    assert sorted(x for r in rows for x in shared.open_block(bytes(r.payload))["doc_id"].to_pylist()) == list(range(4000))
