@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import bytewords as bw
-from siftwell.llm.shared import Scratch, fewer, new_number, pack, pack_sorted, spread, trim, unpack, unpack_sorted
+from siftwell.llm.shared import Scratch, new_number, pack, pack_sorted, spread, trim, unpack, unpack_sorted
 
 WINDOW = 10
 BLOCK_WORDS = 1 << 20
@@ -255,7 +255,7 @@ def search_index(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The same of each row of docs (doc_id, text): the index is built, stored and searched."""
-    return search_index(Scratch(docs.sparkSession).keep(fewer(build_index(docs)), "postings"), benchmark, window, block_words)
+    return search_index(Scratch(docs.sparkSession).keep(build_index(docs), "postings"), benchmark, window, block_words)
 
 
 def proximity(index: DataFrame, benchmark: DataFrame, span: int = 20, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import bytewords as bw
-from siftwell.llm.shared import KEY_BITS, Scratch, answer, ask, fewer, pack_blocks, sizes, told
+from siftwell.llm.shared import KEY_BITS, Scratch, answer, ask, pack_blocks, sizes, told
 
 MUS = (1.0, 8.0, 64.0, 512.0, 4096.0, 32768.0)
 END = np.uint64(0x656E64206F662074)
@@ -91,7 +91,7 @@ def walk(stream: Stream, counts: list[np.ndarray], n: float, v: float, mu: float
 def score(docs: DataFrame, order: int = 2, modulus: int = 5, held: int = 1, mus: tuple = MUS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mu) of each row of docs."""
     scratch = Scratch(docs.sparkSession)
-    blocks = scratch.keep(fewer(pack_blocks(docs)), "blocks")
+    blocks = scratch.keep(pack_blocks(docs), "blocks")
     buckets, tasks = sizes(blocks)
 
     def extract(table):

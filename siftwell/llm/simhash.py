@@ -98,13 +98,17 @@ def with_next(docs: DataFrame) -> DataFrame:
     n = max(2, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000)).first()[0] or []
     bounds = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]) if cuts else F.array().cast("array<long>")
-    placed = docs.withColumn("rb", F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))), F.lit(0)))
-    heads = sorted(placed.groupBy("rb").agg(F.min(F.struct("doc_id", "th")).alias("h")).collect(), key=lambda r: r["rb"])
+    rb = F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))), F.lit(0))
+    placed = docs.withColumn("rb", rb)
+    # the ids alone are read for this; there is a row for each range
+    heads = sorted(docs.select("doc_id", rb.alias("rb")).groupBy("rb").agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("none")).collect(), key=lambda r: r["rb"])
     if not heads:
         return docs.select("doc_id", "text", "th", F.col("doc_id").alias("next_id"), F.col("th").alias("next_th"), F.col("text").alias("next_text"))
-    follow = [(heads[k - 1]["rb"], h["h"]["doc_id"], h["h"]["th"]) for k, h in enumerate(heads)]
-    head = F.broadcast(spark.createDataFrame(follow, "target int, head_id long, head_th long"))  # a row for each range
-    copies = docs.join(head, F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("th") == F.col("head_th"))).dropDuplicates(["target"])
+    firsts = [None if h["none"] else h["low"] for h in heads]
+    follow = [(heads[k - 1]["rb"], first) for k, first in enumerate(firsts)]
+    head = F.broadcast(spark.createDataFrame(follow, "target int, head_id long"))
+    wanted = F.col("doc_id").isin([f for f in firsts if f is not None]) | (F.col("doc_id").isNull() if None in firsts else F.lit(False))
+    copies = docs.where(wanted).join(head, F.col("doc_id").eqNullSafe(F.col("head_id"))).groupBy("target").agg(F.min_by(F.struct("doc_id", "text", "th"), "th").alias("d")).select("target", "d.*")
     both = placed.withColumn("copy", F.lit(0)).unionByName(copies.select("doc_id", "text", "th", F.col("target").alias("rb"), F.lit(1).alias("copy")))
     w = Window.partitionBy("rb").orderBy("copy", F.col("doc_id").asc_nulls_first(), "th")
     lead = both.select("*", *[F.lead(c).over(w).alias(f"next_{n}") for c, n in (("doc_id", "id"), ("th", "th"), ("text", "text"))])
