@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.errors import StorageError
+from siftwell.errors import ConfigError, StorageError
 from siftwell.plans.component import Component, registry
 from siftwell.sources.detect import canonical_extension
 
@@ -174,6 +174,21 @@ class Catalogue:
     def documents(self) -> DataFrame:
         return self.rows.drop("seq")
 
+    def get(self, doc_id: str):
+        """The document's row, or None."""
+        return self.documents().where(F.col("doc_id") == doc_id).first()
+
+    def source_uri(self, doc_id: str) -> str | None:
+        row = self.get(doc_id)
+        return row.source_uri if row else None
+
+    def download_url(self, doc_id: str, store: BlobStore | None) -> str | None:
+        """Where the raw bytes of a document lie in store."""
+        if store is None:
+            raise ConfigError("a download url needs a blob store")
+        row = self.get(doc_id)
+        return store.url(f"raw/{doc_id}/original{row.ext}") if row else None
+
 
 def first_wins(rows: DataFrame, key: str, seq: str = "seq") -> DataFrame:
     """The row of the least seq for each key."""

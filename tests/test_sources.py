@@ -127,6 +127,11 @@ def test_catalogue(spark):
     assert [(r.source_uri, r.ext) for r in entries.documents().collect()] == [("first.txt", ".txt")]
     entries.record(source("third.txt"), overwrite=True)
     assert [r.source_uri for r in entries.documents().collect()] == ["third.txt"]
+    doc_id = entries.documents().first().doc_id
+    assert entries.source_uri(doc_id) == "third.txt" and entries.source_uri("none") is None
+    assert entries.download_url(doc_id, blobs.LocalBlobStore("/tmp/x")).endswith(f"raw/{doc_id}/original.txt")
+    with pytest.raises(ConfigError):
+        entries.download_url(doc_id, None)
 
 
 def test_parse_cache_computes_what_it_lacks(spark, tmp_path):
