@@ -23,6 +23,17 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+def counted(words: Column) -> Column:
+    """Array of (term, tf) of an array of words, counted inside the row: runs of the sorted words."""
+
+    def runs(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+        return let(first, lambda p: F.transform(p, lambda i, k: F.struct(F.element_at(s, i).alias("term"), (F.coalesce(F.get(p, k + 1), F.size(s) + 1) - i).alias("tf"))))
+
+    none = F.array().cast("array<struct<term:string,tf:int>>")
+    return let(F.sort_array(words), lambda s: F.when(F.size(s) == 0, none).otherwise(runs(s)))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
 
