@@ -246,10 +246,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_nodes:
         sets, _, first = _block_sets(table, k)
         return [_block_keys(sets, first)]
 
-    answers = scratch.keep(answer(ask(blocks, keys, [KEY_BITS], buckets), tasks), "answers")
+    answers = answer(ask(blocks, keys, [KEY_BITS], buckets), tasks)
     rows = scratch.keep(_describe(blocks, answers, k, percent, tasks), "rows")
     scratch.drop("blocks")
-    scratch.drop("answers")
     groups = scratch.keep(connected_components(_node_edges(rows, scratch, tasks), scratch, "groups", contracted=True), "grouped").select(F.col("id").alias("node"), F.col("component").alias("grp"))
     scratch.drop("links")
     sized = rows.where("shingles is not null").groupBy("node").agg(F.min("n_shingles").alias("n"))
@@ -260,10 +259,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_nodes:
     spots = F.when(pivot, F.sequence(F.lit(0), F.col("blks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blks")).cast("int")))
     held = rows.where("shingles is not null").select("node", "shingles").dropDuplicates(["node"])
     placed = held.join(member, "node").select("node", "shingles", "grp", "blks", F.explode(spots).alias("blk"), F.lit(None).cast("long").alias("label"))
-    first = scratch.keep(_grouped(placed, tasks, lambda ids, sets, labels: link_block(ids, sets, percent), "u long, v long"), "first")
-    joined = scratch.keep(connected_components(first, scratch, "first"), "joined").select(F.col("id").alias("node"), "component")
     wide = member.where("blks > 1").select("node", "grp", "blks")
-    if wide.limit(1).count():
+    several = wide.limit(1).count() > 0
+    first = _grouped(placed, tasks, lambda ids, sets, labels: link_block(ids, sets, percent), "u long, v long")
+    first = scratch.keep(first, "first") if several else first
+    joined = scratch.keep(connected_components(first, scratch, "first"), "joined").select(F.col("id").alias("node"), "component")
+    if several:
         joined = scratch.keep(connected_components(first.unionByName(_residual(rows, wide, joined, scratch, percent, tasks, block_sets)), scratch, "second"), "rejoined").select(F.col("id").alias("node"), "component")
     low = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
     linked_low = joined.join(low, "node")
