@@ -29,7 +29,7 @@ from siftwell.llm import bytewords as bw
 from siftwell.llm.shared import spread, trim
 
 BITS = 18
-SAMPLE = 12_000
+SAMPLE = 8_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.02
 SCALE = 6.0
@@ -95,11 +95,10 @@ class Ftrl:
 
 def _train(rows: list[tuple[int, int, bytes, bytes]], bits: int) -> np.ndarray:
     model = Ftrl(1 << bits)
-    rows = sorted(rows)
-    parsed = [(y, np.append(np.frombuffer(i, np.int32), 1 << bits), np.append(np.frombuffer(x, np.float32), np.float32(1))) for _, y, i, x in rows]
+    rows.sort()
     for _ in range(EPOCHS):
-        for y, idx, x in parsed:
-            model.update(idx, x, y)
+        for _, y, idx, x in rows:
+            model.update(np.frombuffer(idx, np.int32), np.frombuffer(x, np.float32), y)
     return model.weights().astype(np.float32)
 
 
@@ -110,6 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, sam
         known = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) != held)
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
+    bias, one = np.int32(1 << bits).tobytes(), np.float32(1).tobytes()
+
     def extract(batches):
         for batch in batches:
             data, off = bw.text_buffer(batch["text"])
@@ -121,8 +122,9 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, sam
                 new = np.flatnonzero(np.concatenate([[True], (idx[1:] != idx[:-1]) | (row[1:] != row[:-1])])) if len(idx) else np.zeros(0, np.int64)
                 idx, row, x = idx[new], row[new], np.add.reduceat(x, new) if len(new) else x
                 cuts = np.searchsorted(row, np.arange(j - i + 1))
-                at.extend(idx[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True))
-                values.extend(x[a:b].astype(np.float32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+                # the last feature of each row is the bias
+                at.extend(idx[a:b].tobytes() + bias for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+                values.extend(x[a:b].astype(np.float32).tobytes() + one for a, b in zip(cuts[:-1], cuts[1:], strict=True))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["y"], pa.array(at, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "y", "idx", "x"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -130,10 +132,12 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, sam
 
     def learn(batches):
         held_rows = []
-        for batch in batches:
-            held_rows.extend(zip(*(batch[c].to_pylist() for c in ("doc_id", "y", "idx", "x")), strict=True))
+        for part in (batch.slice(k, 256) for batch in batches for k in range(0, batch.num_rows, 256)):
+            held_rows.extend(zip(*(part[c].to_pylist() for c in ("doc_id", "y", "idx", "x")), strict=True))
         kinds = [y for _, y, _, _ in held_rows]
         weights = _train(held_rows, bits).tobytes() if len(set(kinds)) == 2 else None
+        held_rows.clear()
+        trim()
         yield pa.RecordBatch.from_pydict({"n": [len(kinds)], "ones": [sum(kinds)], "weights": pa.array([weights], pa.binary())})
 
     found = rows.repartition(1).mapInArrow(learn, "n long, ones long, weights binary").first()

@@ -84,7 +84,8 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, how
     to them by their column by.
     """
     dealt = left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-    return dealt.join(right.withColumn("__salt", F.explode(F.array(*map(F.lit, range(salts))))), [*keys, "__salt"], how).drop("__salt")
+    spots = right.withColumn("__salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    return dealt.join(spots.hint("merge"), [*keys, "__salt"], how).drop("__salt")
 
 
 def trim() -> None:
