@@ -1,7 +1,9 @@
 """Registered queries of the operators and, where SQL can express them, their oracle.
 
-Every query runs over its whole tables.  The oracle builds its inputs from the
-same tables: pages and windows by recursion, searches by aggregation.
+Every query runs over its whole tables, except that searches with an oracle ask
+the few queries that their SQL names; their twins NAME_all ask all of them and
+have no oracle.  The oracle builds its inputs from the same tables: pages and
+windows by recursion, searches by aggregation.
 """
 
 from __future__ import annotations
@@ -38,6 +40,21 @@ def query(sql: str | None = None):
     return add
 
 
+def whole(**asked):
+    """Also registers NAME_all, which has no oracle: f with the whole inputs in place of the subsets of its SQL."""
+
+    def add(f):
+        def run(spark, sf_dir):
+            return f(spark, sf_dir, **asked)
+
+        run.__name__ = f"{f.__name__}_all"
+        run.__doc__ = f.__doc__
+        QUERIES[run.__name__] = run
+        return f
+
+    return add
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; a file of one row group is dealt out, since its scan is one task."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -66,13 +83,22 @@ def _markdown(spark, sf_dir) -> DataFrame:
 
 
 def _questions(spark, sf_dir, first=True) -> DataFrame:
+    """The questions of the SQL: five words of ten benchmark items."""
     words = tx.tokens(F.col("text"))
     part = F.slice(words, 1, 5) if first else F.slice(F.reverse(words), 1, 5)
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("item_id < 10").select(F.col("item_id").alias("qid"), F.array_join(part, " ").alias("text"))
 
 
-def _bm25(spark, sf_dir, k=10, b=0.75, first=True, filters=None, chunks=None) -> DataFrame:
-    return search.bm25_search(_questions(spark, sf_dir, first), chunks if chunks is not None else _chunks(spark, sf_dir), k, b=b, filters=filters)
+def _every_question(spark, sf_dir, first=True) -> DataFrame:
+    """Every benchmark item with its whole text; the other wording is the second half of its words."""
+    words = tx.tokens(F.col("text"))
+    half = F.floor(F.size(words) / 2).cast("int")
+    text = F.col("text") if first else F.array_join(F.slice(words, half + 1, F.size(words)), " ")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), text.alias("text"))
+
+
+def _bm25(spark, sf_dir, k=10, b=0.75, first=True, filters=None, chunks=None, asked=_questions) -> DataFrame:
+    return search.bm25_search(asked(spark, sf_dir, first), chunks if chunks is not None else _chunks(spark, sf_dir), k, b=b, filters=filters)
 
 
 def _shown(rankings: DataFrame) -> DataFrame:
@@ -404,79 +430,88 @@ def search_sparse_dot(spark, sf_dir):
     return _shown(search.sparse_search(rows.where("vec_id < 5").select(F.col("vec_id").alias("qid"), "sparse"), rows, 10))
 
 
+@whole(asked=_every_question)
 @query(f"{chunks_sql()}, {bm25_sql('r')} {SHOWN.format('r')}")
-def search_bm25_topk(spark, sf_dir):
-    return _shown(_bm25(spark, sf_dir))
+def search_bm25_topk(spark, sf_dir, asked=_questions):
+    return _shown(_bm25(spark, sf_dir, asked=asked))
 
 
+@whole(asked=_every_question)
 @query(f"{chunks_sql()}, {bm25_sql('r', where='WHERE doc_id IN (SELECT doc_id FROM doc WHERE lang = $$en$$)')} {SHOWN.format('r')}")
-def search_bm25_filtered(spark, sf_dir):
-    return _shown(_bm25(spark, sf_dir, filters={"lang": "en"}))
+def search_bm25_filtered(spark, sf_dir, asked=_questions):
+    return _shown(_bm25(spark, sf_dir, filters={"lang": "en"}, asked=asked))
 
 
 _TWO = f"{chunks_sql()}, {bm25_sql('a', k=60)}, {bm25_sql('z', b=0.0, k=60)}"
 
 
-def _two(spark, sf_dir):
+def _two(spark, sf_dir, asked):
     chunks = _chunks(spark, sf_dir)
-    return [("a", _bm25(spark, sf_dir, 60, chunks=chunks)), ("z", _bm25(spark, sf_dir, 60, b=0.0, chunks=chunks))]
+    return [("a", _bm25(spark, sf_dir, 60, chunks=chunks, asked=asked)), ("z", _bm25(spark, sf_dir, 60, b=0.0, chunks=chunks, asked=asked))]
 
 
+@whole(asked=_every_question)
 @query(f"{_TWO}, {rrf_sql('f', [('a', 1.0), ('z', 1.0)])} {SHOWN.format('f')}")
-def fuse_rrf(spark, sf_dir):
-    return _shown(search.fuse(_two(spark, sf_dir), 10))
+def fuse_rrf(spark, sf_dir, asked=_questions):
+    return _shown(search.fuse(_two(spark, sf_dir, asked), 10))
 
 
+@whole(asked=_every_question)
 @query(f"{_TWO}, {rrf_sql('f', [('a', 2.0), ('z', 0.5)])} {SHOWN.format('f')}")
-def fuse_rrf_weighted(spark, sf_dir):
-    return _shown(search.fuse(_two(spark, sf_dir), 10, weights=[2.0, 0.5]))
+def fuse_rrf_weighted(spark, sf_dir, asked=_questions):
+    return _shown(search.fuse(_two(spark, sf_dir, asked), 10, weights=[2.0, 0.5]))
 
 
+@whole(asked=_every_question)
 @query(f"{_TWO}, {rrf_sql('f', [('a', 1.0), ('z', 1.0)])} SELECT f.qid, f.chunk_id, a.rank AS a_rank, z.rank AS z_rank FROM f LEFT JOIN a USING (qid, chunk_id) LEFT JOIN z USING (qid, chunk_id)")
-def fuse_rrf_sources(spark, sf_dir):
-    f = search.fuse(_two(spark, sf_dir), 10)
+def fuse_rrf_sources(spark, sf_dir, asked=_questions):
+    f = search.fuse(_two(spark, sf_dir, asked), 10)
     return f.select("qid", "chunk_id", *[F.try_element_at("sources", F.lit(x)).cast("long").alias(f"{x}_rank") for x in ("a", "z")])
 
 
+@whole(asked=_every_question)
 @query(f"{chunks_sql()}, {bm25_sql('a', k=20)}, {bm25_sql('z', first=False, k=20)}, {rrf_sql('f', [('a', 1.0), ('z', 1.0)])} {SHOWN.format('f')}")
-def multi_query_fusion(spark, sf_dir):
+def multi_query_fusion(spark, sf_dir, asked=_questions):
     chunks = _chunks(spark, sf_dir)
-    return _shown(search.fuse([("q0", _bm25(spark, sf_dir, 20, chunks=chunks)), ("q1", _bm25(spark, sf_dir, 20, first=False, chunks=chunks))], 10))
+    return _shown(search.fuse([("q0", _bm25(spark, sf_dir, 20, chunks=chunks, asked=asked)), ("q1", _bm25(spark, sf_dir, 20, first=False, chunks=chunks, asked=asked))], 10))
 
 
 # --- refinement and generation --------------------------------------------------------------------------------------------------
 
 
-def _candidates(spark, sf_dir, k=10):
+def _candidates(spark, sf_dir, k=10, asked=_questions):
     chunks = _chunks(spark, sf_dir).persist()
-    return refine.candidates(_bm25(spark, sf_dir, k, chunks=chunks), chunks), chunks
+    return refine.candidates(_bm25(spark, sf_dir, k, chunks=chunks, asked=asked), chunks), chunks
 
 
 _WORDS = f"list_distinct({tok('{}')})"
 _JACCARD = "CASE WHEN len(qw) = 0 OR len(cw) = 0 THEN 0.0 ELSE len(list_intersect(qw, cw)) / len(list_distinct(list_concat(qw, cw))) END"
 
 
+@whole(asked=_every_question)
 @query(f"""{chunks_sql()}, {bm25_sql('r')},
   w AS (SELECT r.qid, chunk_id, list_distinct({tok('q.text')}) AS qw, list_distinct({tok('c.text')}) AS cw FROM r JOIN chunk c ON c.id = chunk_id JOIN r_q q ON q.qid = r.qid),
   j AS (SELECT qid, chunk_id, {_JACCARD} AS score FROM w)
 SELECT qid, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id DESC) AS rank FROM j""")
-def refine_keyword_jaccard(spark, sf_dir):
-    rows, chunks = _candidates(spark, sf_dir)
-    return _shown(refine.KeywordRefiner().refine(rows, _questions(spark, sf_dir), chunks).withColumn("rank", F.col("pos")))
+def refine_keyword_jaccard(spark, sf_dir, asked=_questions):
+    rows, chunks = _candidates(spark, sf_dir, asked=asked)
+    return _shown(refine.KeywordRefiner().refine(rows, asked(spark, sf_dir), chunks).withColumn("rank", F.col("pos")))
 
 
+@whole(asked=_every_question)
 @query(f"""{chunks_sql()}, {bm25_sql('r')} SELECT qid, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM r WHERE score >= 12.0""")
-def refine_threshold(spark, sf_dir):
-    rows, chunks = _candidates(spark, sf_dir)
-    return _shown(refine.ScoreThreshold(min_score=12.0).refine(rows, _questions(spark, sf_dir), chunks).withColumn("rank", F.col("pos")))
+def refine_threshold(spark, sf_dir, asked=_questions):
+    rows, chunks = _candidates(spark, sf_dir, asked=asked)
+    return _shown(refine.ScoreThreshold(min_score=12.0).refine(rows, asked(spark, sf_dir), chunks).withColumn("rank", F.col("pos")))
 
 
+@whole(asked=_every_question)
 @query(f"""{chunks_sql()}, {bm25_sql('r', k=5)},
   g AS (SELECT r.qid, r.chunk_id, r.rank, a.doc_id, min(n.s) AS s, max(n.e) AS e FROM r JOIN chunk a ON a.id = r.chunk_id JOIN chunk n ON n.doc_id = a.doc_id AND n.idx BETWEEN a.idx - 1 AND a.idx + 1 GROUP BY ALL)
 SELECT qid, chunk_id, rank, s::BIGINT AS char_start, e::BIGINT AS char_end, substr(markdown, s + 1, e - s) AS text FROM g JOIN doc USING (doc_id)""")
-def refine_neighbor_merge(spark, sf_dir):
-    rows, chunks = _candidates(spark, sf_dir, 5)
-    out = refine.NeighborExpander().refine(rows, _questions(spark, sf_dir), chunks)
+def refine_neighbor_merge(spark, sf_dir, asked=_questions):
+    rows, chunks = _candidates(spark, sf_dir, 5, asked=asked)
+    out = refine.NeighborExpander().refine(rows, asked(spark, sf_dir), chunks)
     return out.select("qid", "chunk_id", F.col("pos").cast("long").alias("rank"), F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"), "text")
 
 
@@ -486,27 +521,30 @@ _PACKED = f"""{chunks_sql()}, {bm25_sql('r', k=8)},
   packed AS (SELECT * FROM u WHERE rank = 1 OR used <= 4000)"""
 
 
+@whole(asked=_every_question)
 @query(f"{_PACKED} SELECT qid, string_agg(block, {_NL} || {_NL} ORDER BY rank) AS prompt_block, string_agg(chunk_id, ',' ORDER BY rank) AS cited FROM packed GROUP BY qid")
-def pack_context(spark, sf_dir):
-    rows, _ = _candidates(spark, sf_dir, 8)
+def pack_context(spark, sf_dir, asked=_questions):
+    rows, _ = _candidates(spark, sf_dir, 8, asked=asked)
     c = generate.contexts(generate.pack(rows, 4000))
     return c.select("qid", "prompt_block", F.array_join(F.transform("citations", lambda x: x["chunk_id"]), ",").alias("cited"))
 
 
+@whole(asked=_every_question)
 @query(f"""{_PACKED},
   a AS (SELECT qid, count(*) AS n, qid % 4 AS m FROM packed GROUP BY qid)
 SELECT a.qid, string_agg(rank::VARCHAR, ',' ORDER BY rank) AS markers FROM a JOIN packed p ON p.qid = a.qid AND (m < 1 OR m > n OR rank = m) GROUP BY a.qid""")
-def resolve_citations(spark, sf_dir):
-    rows, _ = _candidates(spark, sf_dir, 8)
+def resolve_citations(spark, sf_dir, asked=_questions):
+    rows, _ = _candidates(spark, sf_dir, 8, asked=asked)
     answers = generate.contexts(generate.pack(rows, 4000)).withColumn("text", F.concat(F.lit("as said in ["), (F.col("qid") % 4).cast("string"), F.lit("], and so on")))
     return generate.resolve_citations(answers).select("qid", F.array_join(F.transform("citations", lambda c: c["marker"].cast("string")), ",").alias("markers"))
 
 
+@whole(asked=_every_question)
 @query(f"""{_PACKED}
 SELECT q.qid, coalesce(p.text || ' [1]', 'I don''t have enough context to answer that.') AS answer, p.chunk_id AS cited FROM r_q q LEFT JOIN packed p ON p.qid = q.qid AND p.rank = 1""")
-def extractive_answer(spark, sf_dir):
-    rows, _ = _candidates(spark, sf_dir, 8)
-    out = generate.ExtractiveGenerator().generate(_questions(spark, sf_dir), rows)
+def extractive_answer(spark, sf_dir, asked=_questions):
+    rows, _ = _candidates(spark, sf_dir, 8, asked=asked)
+    out = generate.ExtractiveGenerator().generate(asked(spark, sf_dir), rows)
     return out.select("qid", F.col("text").alias("answer"), F.try_element_at("citations", F.lit(1))["chunk_id"].alias("cited"))
 
 
@@ -516,7 +554,7 @@ def rag_answers(spark, sf_dir):
     corpus = index.Corpus(index.TableStore(spark), [index.DenseRepresentation(encode.HashingEmbedder()), index.LexicalRepresentation()])
     rag = pipeline.RagPipeline(corpus, chunker=chunking.FixedChunker(), refiners=[refine.KeywordRefiner()])
     rag.index_documents(_documents(spark, sf_dir))
-    out = rag.ask(_questions(spark, sf_dir))
+    out = rag.ask(_every_question(spark, sf_dir))
     return out.select("qid", F.col("text").alias("answer"), F.transform("citations", lambda c: c["chunk_id"]).alias("cited"))
 
 
@@ -524,7 +562,7 @@ def rag_answers(spark, sf_dir):
 def search_hybrid(spark, sf_dir):
     corpus = index.Corpus(index.TableStore(spark), [index.DenseRepresentation(encode.HashingEmbedder(dimensions=64)), index.SparseRepresentation(encode.HashedTermFrequency()), index.LexicalRepresentation()])
     corpus.add(_chunks(spark, sf_dir).persist())
-    return _shown(retrieve.HybridRetriever(corpus).retrieve(_questions(spark, sf_dir), 10))
+    return _shown(retrieve.HybridRetriever(corpus).retrieve(_every_question(spark, sf_dir), 10))
 
 
 @query()
@@ -532,7 +570,7 @@ def search_hyde(spark, sf_dir):
     corpus = index.Corpus(index.TableStore(spark), [index.LexicalRepresentation()])
     corpus.add(_chunks(spark, sf_dir).persist())
     said = retrieve.HydeRetriever(retrieve.IndexRetriever(corpus), lambda prompt: prompt.rsplit(": ", 1)[-1].upper())
-    return _shown(said.retrieve(_questions(spark, sf_dir), 10))
+    return _shown(said.retrieve(_every_question(spark, sf_dir), 10))
 
 
 # --- evaluation -----------------------------------------------------------------------------------------------------------------
@@ -552,20 +590,49 @@ def _relevant(spark, sf_dir):
     return table(spark, sf_dir, "labels").where("quality = 1").select((F.col("doc_id") % 10).alias("qid"), F.col("doc_id").cast("string").alias("doc_id"))
 
 
+def _first_chunks(spark, sf_dir):
+    return _relevant(spark, sf_dir).select("qid", F.concat("doc_id", F.lit(":0")).alias("chunk_id"))
+
+
+#: words of an item that a relevant text has in a row; a shorter item counts as a whole
+PASSAGE_WORDS = 10
+
+
+def _passages(spark, sf_dir, texts, key):
+    """(qid, key) of each row of texts (key, text) with PASSAGE_WORDS consecutive words of an item."""
+    items = _every_question(spark, sf_dir).select("qid", tx.tokens(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("n", F.least(F.size("w"), F.lit(PASSAGE_WORDS)))
+    runs = lambda w, n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda at: F.array_join(F.slice(w, at, n), " "))
+    wanted = items.select("qid", F.explode(F.array_distinct(runs(F.col("w"), F.col("n")))).alias("run"))
+    small = wanted.limit(search.QUERY_BLOCK + 1).count() <= search.QUERY_BLOCK
+    lengths = F.array(*[F.lit(r["n"]) for r in items.select("n").distinct().collect()]).cast("array<int>")
+    words = texts.select(key, F.explode(lengths).alias("n"), tx.tokens(F.col("text")).alias("w")).where(F.size("w") >= F.col("n"))
+    found = words.select(key, F.explode(runs(F.col("w"), F.col("n"))).alias("run")).join(F.broadcast(wanted) if small else wanted, "run")
+    return found.select("qid", key).distinct()
+
+
+def _passage_chunks(spark, sf_dir):
+    return _passages(spark, sf_dir, _chunks(spark, sf_dir), "id").withColumnRenamed("id", "chunk_id")
+
+
+def _passage_documents(spark, sf_dir):
+    return _passages(spark, sf_dir, table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text"), "doc_id")
+
+
+@whole(asked=_every_question, relevant=_passage_chunks)
 @query(f"""{chunks_sql()}, {bm25_sql('r', k=50)},
   found AS (SELECT qid, chunk_id AS item, rank FROM r),
   truth AS (SELECT DISTINCT doc_id % 10 AS qid, doc_id || ':0' AS item FROM labels WHERE quality = 1),{_IR}""")
-def ir_chunk_level(spark, sf_dir):
-    truth = _relevant(spark, sf_dir).select("qid", F.concat("doc_id", F.lit(":0")).alias("chunk_id"))
-    return _ir(metrics.ir_metrics(_bm25(spark, sf_dir, 50), truth, item="chunk_id"))
+def ir_chunk_level(spark, sf_dir, asked=_questions, relevant=_first_chunks):
+    return _ir(metrics.ir_metrics(_bm25(spark, sf_dir, 50, asked=asked), relevant(spark, sf_dir), item="chunk_id"))
 
 
+@whole(asked=_every_question, relevant=_passage_documents)
 @query(f"""{chunks_sql()}, {bm25_sql('r', k=50)},
   found AS (SELECT qid, doc_id::VARCHAR AS item, row_number() OVER (PARTITION BY qid ORDER BY min(rank)) AS rank FROM r JOIN chunk ON id = chunk_id GROUP BY qid, doc_id),
   truth AS (SELECT DISTINCT doc_id % 10 AS qid, doc_id::VARCHAR AS item FROM labels WHERE quality = 1),{_IR}""")
-def ir_doc_level(spark, sf_dir):
+def ir_doc_level(spark, sf_dir, asked=_questions, relevant=_relevant):
     chunks = _chunks(spark, sf_dir)
-    return _ir(metrics.ir_metrics(metrics.by_document(_bm25(spark, sf_dir, 50, chunks=chunks), chunks), _relevant(spark, sf_dir)))
+    return _ir(metrics.ir_metrics(metrics.by_document(_bm25(spark, sf_dir, 50, chunks=chunks, asked=asked), chunks), relevant(spark, sf_dir)))
 
 
 _PAIRS = "pairs AS (SELECT a.conv_id, a.turn, a.text AS answer, b.text AS reference FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
