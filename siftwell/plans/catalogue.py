@@ -398,36 +398,39 @@ def embed_hashing(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", encode.HashingEmbedder().passage(F.col("text")).alias("vector"))
 
 
+@whole(asked="true")
 @query("""
 WITH q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id < 20),
 s AS (SELECT qid, vec_id::VARCHAR AS chunk_id, list_cosine_similarity(qv::DOUBLE[], embedding::DOUBLE[]) AS score FROM q, embeddings)
 SELECT qid, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id DESC) AS rank FROM s) WHERE rank <= 10""")
-def search_dense_topk(spark, sf_dir):
+def search_dense_topk(spark, sf_dir, asked="vec_id < 20"):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), "vec_id")
-    return _shown(search.dense_search(v.where("vec_id < 20").select(F.col("vec_id").alias("qid"), "vector"), v.select("id", "vector"), 10))
+    return _shown(search.dense_search(v.where(asked).select(F.col("vec_id").alias("qid"), "vector"), v.select("id", "vector"), 10))
 
 
+@whole(asked="true")
 @query("""
 WITH q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id < 20),
 s AS (SELECT qid, vec_id::VARCHAR AS chunk_id, list_cosine_similarity(qv::DOUBLE[], embedding::DOUBLE[]) AS score FROM q, embeddings WHERE label IN (1, 3))
 SELECT qid, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id DESC) AS rank FROM s) WHERE rank <= 10""")
-def search_dense_filtered(spark, sf_dir):
+def search_dense_filtered(spark, sf_dir, asked="vec_id < 20"):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), "vec_id", "label")
-    return _shown(search.dense_search(v.where("vec_id < 20").select(F.col("vec_id").alias("qid"), "vector"), v, 10, filters={"label": [1, 3]}))
+    return _shown(search.dense_search(v.where(asked).select(F.col("vec_id").alias("qid"), "vector"), v, 10, filters={"label": [1, 3]}))
 
 
+@whole(asked="true")
 @query("""
 WITH c AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
 q AS (SELECT vec_id AS qid, i, v AS qv FROM c WHERE vec_id < 5 AND v > 0.15), d AS (SELECT vec_id, i, v FROM c WHERE v > 0.15),
 hit AS (SELECT qid, vec_id, sum(v * qv) AS score FROM q JOIN d USING (i) GROUP BY ALL),
 s AS (SELECT qid, e.vec_id::VARCHAR AS chunk_id, coalesce(score, 0) AS score FROM (SELECT vec_id AS qid FROM embeddings WHERE vec_id < 5) JOIN embeddings e ON true LEFT JOIN hit USING (qid, vec_id))
 SELECT qid, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id DESC) AS rank FROM s) WHERE rank <= 10""")
-def search_sparse_dot(spark, sf_dir):
+def search_sparse_dot(spark, sf_dir, asked="vec_id < 5"):
     e = table(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
     kept = F.filter(F.transform("v", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda t: t["x"] > 0.15)
     sparse = F.struct(F.transform(kept, lambda t: t["i"]).alias("indices"), F.transform(kept, lambda t: t["x"]).alias("values"))
     rows = e.select(F.col("vec_id").cast("string").alias("id"), "vec_id", sparse.alias("sparse"))
-    return _shown(search.sparse_search(rows.where("vec_id < 5").select(F.col("vec_id").alias("qid"), "sparse"), rows, 10))
+    return _shown(search.sparse_search(rows.where(asked).select(F.col("vec_id").alias("qid"), "sparse"), rows, 10))
 
 
 @whole(asked=_every_question)

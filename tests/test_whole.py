@@ -60,3 +60,21 @@ def test_relevant_documents_have_a_passage_of_the_item(spark, sf_dir):
         want |= {(q, str(r.doc_id)) for n in sizes for k in range(len(w) - n + 1) for q in runs.get(" ".join(w[k : k + n]), ())}
     assert {(r.qid, r.doc_id) for r in catalogue._passage_documents(spark, sf_dir).collect()} == want and want
     assert {r.qid for r in catalogue.QUERIES["ir_doc_level_all"](spark, sf_dir).collect()} == {q for q, _ in want}
+
+
+def test_every_vector_is_searched(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+    unit = {r.vec_id: [x / math.hypot(*r.embedding) for x in r.embedding] for r in rows}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    kept = {r.vec_id: [x if x > 0.15 else 0.0 for x in r.embedding] for r in rows}
+    some = sorted(unit)[::25]
+    for name, vectors, among in (
+        ("search_dense_topk_all", unit, set(unit)), ("search_dense_filtered_all", unit, {r.vec_id for r in rows if r.label in (1, 3)}), ("search_sparse_dot_all", kept, set(kept))
+    ):
+        got = {}
+        for r in catalogue.QUERIES[name](spark, sf_dir).collect():
+            got.setdefault(r.qid, []).append((r["rank"], int(r.chunk_id)))
+        assert sorted(got) == sorted(unit), name
+        for qid in some:
+            best = sorted(((round(dot(vectors[qid], vectors[i]), 9), str(i)) for i in among), reverse=True)[:10]
+            assert [i for _, i in sorted(got[qid])] == [int(i) for _, i in best], (name, qid)
