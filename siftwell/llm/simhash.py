@@ -12,8 +12,9 @@ of two blocks is the key of one table.
 
 Defined results: null text is empty; a text without words has the fingerprint
 zero; the next document follows in ascending doc_id (null first), then by a hash
-of the text; repeated rows each return a row; an empty table gives an empty
-result; other columns are ignored.
+of the text; repeated rows each return a row, of which the last alone has another
+document after it; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -125,10 +126,12 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "th", "next_id", "next_th", F.length("text").alias("n"), "text", edited.alias("edited"))
     sha = F.sha2(F.col("edited"), 256)
     digest = {f"s{k}": F.conv(F.substring(sha, 16 * k + 1, 16), 16, -10).cast("long") for k in range(4)}
-    # the base text is kind 0; the edited one, kind 1, carries all that is known of the row
+    # the base text is kind 0; the edited one, kind 1, carries all that is known of the row.  Repeated rows fold where the row
+    # after them is the same too, so that all texts of a group are equal
     both = rows.select("doc_id", "th", "next_id", "next_th", "n", *[c.alias(k) for k, c in digest.items()], F.posexplode(F.array("text", "edited")).alias("kind", "text"))
-    carried = {c: F.when(F.col("kind") == 1, F.col(c)) for c in ("next_id", "next_th", "n", *digest)}
-    prints = scratch.keep(fingerprints(both, ["doc_id", "th", "kind"], carried), "prints")
+    both = both.select("doc_id", "th", *[F.when(F.col("kind") == 1, F.col(c)).alias(c) for c in ("next_id", "next_th")], "kind", "n", *digest, "text")
+    carried = {c: F.when(F.col("kind") == 1, F.col(c)) for c in ("n", *digest)}
+    prints = scratch.keep(fingerprints(both, ["doc_id", "th", "kind", "next_id", "next_th"], carried), "prints")
     own = [F.col(f"f{i}").alias(f"b{i}") for i in range(BITS // 64)]
     base = prints.where("kind = 0").select("doc_id", "th", *own)
     after = prints.where("kind = 0").select(F.col("doc_id").alias("next_id"), F.col("th").alias("next_th"), *[F.col(f"f{i}").alias(f"n{i}") for i in range(BITS // 64)])

@@ -59,3 +59,15 @@ def test_within_finds_all_in_the_radius(spark):
 def test_main_path_is_native(sf001):
     plan = simhash.edited_fingerprints(sf001("documents"))._jdf.queryExecution().toString()
     assert "Arrow" not in plan and "Python" not in plan
+
+
+def test_repeated_rows_are_edited_one_by_one(spark):
+    a, b = "some words of a first text, told at length", "and quite another text here"
+    for x, y in ((a, b), (b, a)):  # the hashes of the two are in one order here and in the other there
+        rows = [(None, y), (None, y), (1, x), (1, x), (1, x), (2, y), (3, x), (3, x)]
+        edits = [t[: len(t) - len(t) // 2] + rows[(k + 1) % len(rows)][1][: len(t) // 2] for k, (_, t) in enumerate(rows)]
+        got = simhash.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        alone = simhash.fingerprints(spark.createDataFrame(list(enumerate(edits)), "doc_id long, text string"), ["doc_id"])
+        prints = {r.doc_id: r.f for r in alone.select("doc_id", simhash.as_text().alias("f")).collect()}
+        want = [(str(i), len(t), hashlib.sha256(e.encode()).hexdigest(), prints[k]) for k, ((i, t), e) in enumerate(zip(rows, edits, strict=True))]
+        assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256, r.edited_fingerprint) for r in got) == sorted(want)
