@@ -12,7 +12,8 @@ tokens in every state.
 
 Nothing of the model is pruned and none of it is broadcast: blocks of documents
 ask for the corpus-wide counts of the n-grams that they hold, buckets of
-n-grams answer, and each block walks its own part of the automaton.  mu is the
+n-grams answer.  The automaton is implied: no arcs are stored and no state is
+carried, each block evaluates its path weights in closed form.  mu is the
 one of MUS that serves the training text best when each token is left out of
 its own counts.
 
