@@ -263,9 +263,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_nodes:
     several = wide.limit(1).count() > 0
     first = _grouped(placed, tasks, lambda ids, sets, labels: link_block(ids, sets, percent), "u long, v long")
     first = scratch.keep(first, "first") if several else first
-    joined = scratch.keep(connected_components(first, scratch, "first"), "joined").select(F.col("id").alias("node"), "component")
+    # the links of a block span it and no more, as contracted edges do
+    joined = scratch.keep(connected_components(first, scratch, "first", contracted=True), "joined").select(F.col("id").alias("node"), "component")
     if several:
-        joined = scratch.keep(connected_components(first.unionByName(_residual(rows, wide, joined, scratch, percent, tasks, block_sets)), scratch, "second"), "rejoined").select(F.col("id").alias("node"), "component")
+        joined = scratch.keep(connected_components(first.unionByName(_residual(rows, wide, joined, scratch, percent, tasks, block_sets)), scratch, "second", contracted=True), "rejoined").select(F.col("id").alias("node"), "component")
     low = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
     linked_low = joined.join(low, "node")
     component = linked_low.groupBy("component").agg(F.min("low").alias("component_id"))

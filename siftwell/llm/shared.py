@@ -16,6 +16,10 @@ from siftwell.llm import bytewords as bw
 
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
+    # arrays from a megabyte up are mapped, so that they go back to the system when they are freed; set, this bound no longer grows
+    _LIBC.mallopt(-3, 1 << 20)
+    _LIBC.mallopt(-8, 2)
+    pa.set_memory_pool(pa.system_memory_pool())
 except OSError:
     _LIBC = None
 
@@ -42,10 +46,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: rows are whole texts: batches that Spark sizes for short rows would hold a hundred megabytes in each task
+LEAN = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(8 << 20)), "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512")}
+
+
+def lean(spark: SparkSession) -> None:
+    """Batches for long rows, where the session still has Spark's own sizes."""
+    for key, (given, small) in LEAN.items():
+        if spark.conf.get(key, None) == given:
+            spark.conf.set(key, small)
+
+
 class Scratch:
     """Tables written once and read again, so that a lost executor costs no recomputation of what is before them."""
 
     def __init__(self, spark: SparkSession):
+        lean(spark)
         self.spark, self.root = spark, f"{shared_folder(spark)}/siftwell-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -53,14 +69,16 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
+    def drop(self, *names: str) -> None:
         jvm, hadoop = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(hadoop).delete(path, True)
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(hadoop).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
     """At least two tasks for each core: a file of one row group is scanned as one."""
+    lean(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
 
