@@ -12,14 +12,19 @@ tokens in every state.
 
 Nothing of the model is pruned and none of it is broadcast: blocks of documents
 ask for the corpus-wide counts of the n-grams that they hold, buckets of
-n-grams answer.  The automaton is implied: no arcs are stored and no state is
-carried, each block evaluates its path weights in closed form.  mu is the
-one of MUS that serves the training text best when each token is left out of
-its own counts.
+n-grams answer, order after order, so that the requests of one order are gone
+before those of the next are made.  From the answers each slice of a block
+builds the states, arcs and failure arcs that its texts can reach, and walks
+them once from left to right: every text (a long one in lanes, which first read
+the few tokens that fix their state) carries its state and adds up its
+weights.  mu is the one of MUS that serves the training text best when each
+token is left out of its own counts.
 
 Defined results: null text is empty and is one token, the end; a null doc_id
-counts as one to learn from; repeated rows are learnt and scored each; an empty
-table gives an empty result; other columns are ignored.
+counts as one to learn from; repeated rows are learnt and scored each; a text of
+any length is scored whole, in memory proportional to it; equal sums of two mus
+go to the smaller; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -32,9 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import bytewords as bw
-from siftwell.llm.shared import KEY_BITS, Scratch, answer, ask, pack_blocks, sizes, told
+from siftwell.llm.shared import Scratch, answer, ask, pack_blocks, sizes, told
 
-MUS = (1.0, 8.0, 64.0, 512.0, 4096.0, 32768.0)
+ORDER = 3
+MUS = (0.5, 4.0, 32.0, 256.0, 4096.0)
+#: tokens that one text carries its state over before the next lane of it begins, and bytes of text whose arcs are built at a time
+LANE, SLICE = 512, 1 << 20
 END = np.uint64(0x656E64206F662074)
 BEGIN = np.uint64(0x626567696E6E6E67)
 _A, _B = np.uint64(0x9E6C63D0876A9A47), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -62,7 +70,7 @@ class Stream:
         for o in range(2, order + 1):
             with np.errstate(over="ignore"):
                 key = bw.mix(self.before(key, BEGIN) * _A + token * _B + np.uint64(o))
-            self.keys.append(key >> np.uint64(64 - KEY_BITS))
+            self.keys.append(key)
 
     def before(self, values: np.ndarray, at_start) -> np.ndarray:
         """The value one token earlier; at_start for a document's first token."""
@@ -71,60 +79,190 @@ class Stream:
         out[self.first] = at_start
         return out
 
-    def distinct(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each order: sorted keys, where each token's key is among them, training counts."""
-        out = []
-        for keys in self.keys:
-            u, at = np.unique(keys, return_inverse=True)
-            out.append((u, at, np.bincount(at, weights=self.trains, minlength=len(u)).astype(np.uint64)))
-        return out
+    def distinct(self, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct keys of an order, where each token's key is among them, training counts."""
+        u, at = np.unique(self.keys[kind], return_inverse=True)
+        return u, at, np.bincount(at, weights=self.trains, minlength=len(u)).astype(np.uint64)
 
+    def parts(self, size: int):
+        """The same of consecutive documents of about size bytes of text, taken as six bytes a token."""
+        cuts = np.flatnonzero(np.diff(self.first // max(1, size // 6), prepend=-1)) if len(self.first) else []
+        for a, b in zip(cuts, [*cuts[1:], len(self.first)], strict=True):
+            part = Stream.__new__(Stream)
+            part.begin, part.end = int(self.first[a]), int(self.first[b]) if b < len(self.first) else len(self.trains)
+            part.counts, part.first = self.counts[a:b], self.first[a:b] - part.begin
+            part.trains, part.keys = self.trains[part.begin : part.end], [k[part.begin : part.end] for k in self.keys]
+            yield part
 
-def walk(stream: Stream, counts: list[np.ndarray], n: float, v: float, mu: float, n_docs: float, less: float = 0.0) -> np.ndarray:
-    """The weight of each token's path from its state; less is taken off each count (1 leaves the token out)."""
+
+def left_out(stream: Stream, counts: list[np.ndarray], n: float, v: float, mu: float, n_docs: float) -> np.ndarray:
+    """log10 probability of each token by a model whose counts lack that one occurrence of it: what mu is chosen by."""
     p = (counts[0] + 0.5) / (n + 0.5 * (v + 1))
     for lower, own in zip(counts[:-1], counts[1:], strict=True):
         state = stream.before(lower, n_docs)
-        p = (np.maximum(own - less, 0) + mu * p) / (np.maximum(state - less, 0) + mu)
+        p = (np.maximum(own - 1, 0) + mu * p) / (np.maximum(state - 1, 0) + mu)
     return np.log10(p)
 
 
-def score(docs: DataFrame, order: int = 2, modulus: int = 5, held: int = 1, mus: tuple = MUS) -> DataFrame:
+class Automaton:
+    """States, arcs and failure arcs of a backoff model, as far as some texts can reach them.
+
+    State 0 is the empty context.  Every n-gram of these texts that training has
+    seen is an arc, from its context by its last token, to the longest context
+    that it ends in; every context that training has seen is a state, and fails
+    to its suffix.  Weights have a column for each mu.
+    """
+
+    def __init__(self, stream: Stream, grams: list[tuple[np.ndarray, np.ndarray]], n: float, v: float, mus: tuple, n_docs: float):
+        """grams: for each order, where each token's n-gram is among the distinct ones, and their counts in training."""
+        order, mu = len(grams), np.array(mus)
+        sizes = [len(total) for _, total in grams]
+        # contexts of a document's start come last, one for each length
+        offset = np.cumsum([1, *sizes[: order - 1]])
+        self.begin = int(offset[-1])
+        self.start = self.begin + order - 2 if order > 1 and n_docs > 0 else 0
+        held = np.concatenate([[0.0], *[total for _, total in grams[: order - 1]], np.full(max(0, order - 1), n_docs)])
+        self.fail_to = np.zeros(len(held), np.int64)
+        with np.errstate(divide="ignore"):
+            self.fail = np.log10(mu / (held[:, None] + mu))
+        self.tokens = sizes[0]
+        seen, opens = grams[0][1][grams[0][0]] > 0, np.zeros(len(grams[0][0]), bool)
+        opens[stream.first] = True
+
+        def state(length: int, at: np.ndarray) -> np.ndarray:
+            """The state of the last so many tokens up to each place."""
+            return offset[length - 1] + grams[length - 1][0][at] if length else np.zeros(len(at), np.int64)
+
+        def context(length: int, at: np.ndarray) -> np.ndarray:
+            """The state of the tokens before each place."""
+            return np.where(opens[at], self.begin + length - 1, state(length, np.maximum(at - 1, 0)))
+
+        for length in range(2, order):
+            places = _places(grams[length - 1][0], sizes[length - 1])
+            self.fail_to[offset[length - 1] + np.arange(sizes[length - 1])] = state(length - 1, places)
+            self.fail_to[self.begin + length - 1] = self.begin + length - 2
+        # the empty context has an arc for every token
+        places = _places(grams[0][0], sizes[0])
+        p = ((grams[0][1] + 0.5) / (n + 0.5 * (v + 1)))[:, None] * np.ones(len(mus))
+        self.root = np.log10(p)
+        self.root_to = np.where(seen[places], state(min(1, order - 1), places), 0)
+        weight, codes, to = [], [], []
+        for length in range(1, order):
+            at, total = grams[length]
+            places = _places(at, sizes[length])
+            source = context(length, places)
+            c = held[source][:, None]
+            p = (total[:, None] + mu * p[grams[length - 1][0][places]]) / (c + mu)
+            kept = total > 0
+            codes.append((source * self.tokens + grams[0][0][places])[kept])
+            weight.append(np.log10(p[kept]))
+            to.append(state(min(length + 1, order - 1), places)[kept])
+        code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+        by = np.argsort(code)
+        self.code, self.weight, self.to = code[by], (np.concatenate(weight) if weight else np.zeros((0, len(mus))))[by], (np.concatenate(to) if to else np.zeros(0, np.int64))[by]
+
+    def read(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after one token of each text, and the weights of the arcs taken."""
+        weight, after, todo = np.zeros((len(state), self.root.shape[1])), np.empty_like(state), np.arange(len(state))
+        while len(todo):
+            now, by = state[todo], token[todo]
+            code = now * self.tokens + by
+            at = np.minimum(np.searchsorted(self.code, code), max(0, len(self.code) - 1))
+            found = (self.code[at] == code) & (now > 0) if len(self.code) else np.zeros(len(todo), bool)
+            weight[todo[found]] += self.weight[at[found]]
+            after[todo[found]] = self.to[at[found]]
+            empty = now == 0
+            weight[todo[empty]] += self.root[by[empty]]
+            after[todo[empty]] = self.root_to[by[empty]]
+            failing = ~found & ~empty
+            todo = todo[failing]
+            weight[todo] += self.fail[now[failing]]
+            state = state.copy()
+            state[todo] = self.fail_to[now[failing]]
+        return after, weight
+
+    def walk(self, tokens: np.ndarray, first: np.ndarray, counts: np.ndarray, order: int, lane: int = LANE) -> np.ndarray:
+        """Weight of the path of each text (first token, number of tokens), from left to right, all texts side by side."""
+        lanes = -(-counts // lane)
+        of = np.repeat(np.arange(len(first)), lanes)
+        begin = (np.arange(len(of)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * lane
+        length = np.minimum(lane, counts[of] - begin)
+        # a lane inside a text reads the tokens before it, which fix its state, without their weights
+        warm = np.minimum(begin, order - 1)
+        state = np.where(begin == 0, self.start, 0)
+        at, steps = first[of] + begin - warm, length + warm
+        by = np.argsort(-steps, kind="stable")
+        of, state, at, steps, warm = of[by], state[by], at[by], steps[by], warm[by]
+        total = np.zeros((len(of), self.root.shape[1]))
+        alive = np.searchsorted(-steps, -np.arange(1, int(steps[0]) + 1 if len(steps) else 1), "right")
+        for step, n in enumerate(alive.tolist()):
+            state[:n], weight = self.read(state[:n], tokens[at[:n] + step])
+            if step < order:
+                weight[warm[:n] > step] = 0.0
+            total[:n] += weight
+        out = np.zeros((len(first), total.shape[1]))
+        np.add.at(out, of, total)
+        return out
+
+
+def _places(at: np.ndarray, size: int) -> np.ndarray:
+    """A place of each distinct n-gram."""
+    out = np.zeros(size, np.int64)
+    out[at] = np.arange(len(at))
+    return out
+
+
+def score(docs: DataFrame, order: int = ORDER, modulus: int = 5, held: int = 1, mus: tuple = MUS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mu) of each row of docs."""
     scratch = Scratch(docs.sparkSession)
     blocks = scratch.keep(pack_blocks(docs), "blocks")
     buckets, tasks = sizes(blocks)
+    answers = None
+    for kind in range(order):
 
-    def extract(table):
-        return [(u, c) for u, _, c in Stream(table, order, learns(table["doc_id"].to_pylist(), modulus, held)).distinct()]
+        def extract(table, kind=kind):
+            stream = Stream(table, kind + 1, learns(table["doc_id"].to_pylist(), modulus, held))
+            u, _, c = stream.distinct(kind)
+            return [(u, c)]
 
-    bits = [64] + [KEY_BITS] * (order - 1)
-    answers = scratch.keep(answer(ask(blocks, extract, bits, buckets), tasks), "answers")
-    row = answers.where("kind = 0").agg(F.sum("n_keys"), F.sum("n_tokens")).first()
+        found = answer(ask(blocks, extract, [64], buckets * (2 if kind else 1)), tasks)
+        part = scratch.keep(found.select(F.lit(kind).alias("kind"), *[c for c in found.columns if c != "kind"]), f"answers-{kind}")
+        row = part.agg(F.sum("n_keys"), F.sum("n_tokens")).first() if kind == 0 else row
+        answers = part if answers is None else answers.unionByName(part)
     v, n = row[0] or 0, row[1] or 0
 
     def work(table: pa.Table, totals: dict) -> pa.Table:
-        train = learns(table["doc_id"].to_pylist(), modulus, held)
-        stream = Stream(table, order, train)
+        doc_ids = table["doc_id"].to_pylist()
+        whole = Stream(table, order, learns(doc_ids, modulus, held))
         found, n_docs = [], 0.0
-        for kind, (u, at, _) in enumerate(stream.distinct()):
-            total = totals[kind].astype(np.float64)
+        for kind in range(order):
+            u, at, _ = whole.distinct(kind)
+            total = totals.pop(kind).astype(np.float64)
             if kind == 0:
                 n_docs = float(total[np.searchsorted(u, END)])
             found.append(total[at])
-        by_doc = lambda x: np.add.reduceat(x, stream.first)
-        scores = np.stack([by_doc(walk(stream, found, n, v, mu, n_docs)) for mu in mus], axis=1)
-        alone = np.stack([by_doc(walk(stream, found, n, v, mu, n_docs, 1.0) * stream.trains) for mu in mus], axis=1)
+        out = []
+        for part in whole.parts(SLICE):
+            counts = [x[part.begin : part.end] for x in found]
+            by_doc = lambda x, part=part: np.add.reduceat(x, part.first)
+            grams = []
+            for keys, total in zip(part.keys, counts, strict=True):
+                at, inside = np.unique(keys, return_index=True, return_inverse=True)[1:]
+                grams.append((inside, total[at]))
+            machine = Automaton(part, grams, n, v, mus, n_docs)
+            base = np.log10((counts[0] + 0.5) / (n + 0.5 * (v + 1)))
+            alone = np.stack([by_doc(left_out(part, counts, n, v, mu, n_docs) * part.trains) for mu in mus], axis=1)
+            out.append((by_doc((counts[0] > 0).astype(np.int64)), by_doc(base), machine.walk(grams[0][0], part.first, part.counts, order), alone))
+        known, base, scores, alone = (np.concatenate(x) for x in zip(*out, strict=True))
         lists = pa.list_(pa.float64())
         return pa.table({
-            "doc_id": table["doc_id"], "held_out": pa.array(~train), "n_tokens": pa.array(stream.counts.astype(np.int64)), "n_known": pa.array(by_doc((found[0] > 0).astype(np.int64))),
-            "base_score": pa.array(by_doc(walk(stream, found[:1], n, v, 1.0, n_docs))), "scores": pa.array(list(scores), lists), "alone": pa.array(list(alone), lists),
+            "doc_id": table["doc_id"], "held_out": pa.array(~learns(doc_ids, modulus, held)), "n_tokens": pa.array(whole.counts.astype(np.int64)), "n_known": pa.array(known),
+            "base_score": pa.array(base), "scores": pa.array(list(scores), lists), "alone": pa.array(list(alone), lists),
         })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, scores array<double>, alone array<double>"
     rows = scratch.keep(told(blocks, answers, work, schema, tasks), "rows")
-    scratch.drop("blocks")
-    scratch.drop("answers")
+    scratch.drop("blocks", *(f"answers-{kind}" for kind in range(order)))
     fit = rows.agg(*[F.sum(F.col("alone")[i]) for i in range(len(mus))]).first()
     best = max(range(len(mus)), key=lambda i: (fit[i] if fit[i] is not None else 0.0, -i))
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", F.col("scores")[best].alias("score"), F.lit(mus[best]).alias("mu"))

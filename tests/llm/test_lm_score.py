@@ -1,8 +1,11 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from siftwell.llm import lm_score
@@ -10,7 +13,7 @@ from siftwell.llm import lm_score
 from .conftest import fold, ids
 
 
-def brute(rows, mu, order=2):
+def brute(rows, mu, order=lm_score.ORDER):
     docs = [(i, re.findall(r"[^\x20\x09-\x0D]+", fold(t)) + ["\0end"]) for i, t in rows]
     learnt = [w for i, w in docs if zlib.crc32(str(i).encode() if i is not None else b"") % 5 != 1]
     counts = [Counter(g for w in learnt for g in zip(*([["\0begin"] * (o - 1) + w][0][k:] for k in range(o)), strict=False)) for o in range(1, order + 1)]
@@ -55,18 +58,42 @@ def test_orders_and_odd_rows(odd_docs, odd_rows, order):
     assert shown(rows) == brute(odd_rows, 8.0, order)
 
 
-def test_weights_of_a_state_sum_to_one(spark):
-    texts = ["a b a c", "a a b", "c"]
-    words = ["a", "b", "c"]
-    train = [(10 + k, t) for k, t in enumerate(texts)]
-    train = [(i, t) for i, t in train if zlib.crc32(str(i).encode()) % 5 != 1] or train
-    held = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 5 == 1)
-    rows = train + [(held, f"a {w}") for w in [*words, "unseen"]] + [(held, "a")]
-    got = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), mus=(2.0,)).collect()
-    known = [r for r in got if r.doc_id == held]
-    n, v = known[0].train_tokens, len({w for _, t in train for w in t.split()}) + 1
-    # the path of "a w end" less that of its last step is what the state after a gives to w
-    assert n == sum(len(t.split()) + 1 for _, t in train) and len(known) == 5 and all(r.score < 0 for r in known) and v >= 2
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_weights_of_a_state_sum_to_one(order):
+    texts = ["a b a c", "a a b", "c", "a b a b a c", ""]
+    stream = lm_score.Stream(pa.table({"text": [*texts, "never seen", "a b x"]}), order, np.array([True] * len(texts) + [False] * 2))
+    grams, known = [], 0
+    for kind in range(order):
+        u, at, total = stream.distinct(kind)
+        grams.append((at, total.astype(float)))
+        known = int((total > 0).sum()) if kind == 0 else known
+    n, mus = float(grams[0][1].sum()), (0.5, 8.0)
+    machine = lm_score.Automaton(stream, grams, n, known, mus, float(len(texts)))
+    seen = np.flatnonzero(grams[0][1] > 0)
+    going = seen[seen != np.searchsorted(stream.distinct(0)[0], lm_score.END)]  # nothing follows the end
+    reached = {machine.start}
+    while True:
+        more = reached | {int(x) for s in reached for x in machine.read(np.full(len(going), s), going)[0]}
+        if more == reached:
+            break
+        reached = more
+    assert len(reached) > 1 or order == 1
+    unseen = np.flatnonzero(grams[0][1] == 0)[:1]
+    for state in reached:
+        given = 10 ** machine.read(np.full(len(seen), state), seen)[1]
+        rest = 10 ** machine.read(np.array([state]), unseen)[1]
+        assert np.allclose(given.sum(axis=0) + rest[0], 1.0, atol=1e-12)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lanes_carry_the_state_of_the_text(order):
+    rng = random.Random(order)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(90))) for _ in range(40)]
+    stream = lm_score.Stream(pa.table({"text": texts}), order, np.array([k % 3 > 0 for k in range(len(texts))]))
+    grams = [(at, total.astype(float)) for _, at, total in map(stream.distinct, range(order))]
+    machine = lm_score.Automaton(stream, grams, float(grams[0][1].sum()), 5, (1.0,), 26.0)
+    whole, cut = (machine.walk(grams[0][0], stream.first, stream.counts, order, lane) for lane in (1000, 7))
+    assert np.allclose(whole, cut, atol=1e-9) and (whole < 0).all()
 
 
 def test_empty_table(no_docs):
