@@ -12,8 +12,6 @@ from siftwell.llm.shared import Scratch, without_ids
 TOKENIZER = "byte_bpe_50k.json"
 #: a document stays if the probability of quality 1 is at least this
 QUALITY = 0.5
-#: a document stays if its largest language has at least this share of it
-LANGUAGE = 0.4
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +21,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without a letter, or of no language in particular, go."""
-    found = language.predict(docs, language.fit(docs, modulus=0))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE)).select(*docs.columns)
+    """Documents with a language or several: those without a letter, or that no set of learnt languages explains better than chance, go."""
+    return language.predict(docs, language.fit(docs, modulus=0)).where("known").select(*docs.columns)
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

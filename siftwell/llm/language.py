@@ -3,17 +3,22 @@
 Training counts hashed byte trigrams of letters for each language over all
 labelled documents.  A document is cut into units of a few words; expectation
 maximisation estimates which share of the units each language wrote, and the
-language set is the one whose likelihood, less a penalty for each further
-language and the size of the document, is highest.  The prediction is the
-largest share of that set.
+language set grows, by the next largest share, as long as its likelihood, less a
+penalty for each further language and the size of the document, does.  The
+prediction is the largest share of that set.  The score is the expected share of
+the predicted language: its share in each set that was tried, weighted by the
+penalised likelihood of the set.
 
 Counts are pre-aggregated before their shuffle (a row for each language and
-bucket and task); the model that is broadcast has 2**BITS floats a language.
+bucket and task); the model that is broadcast has 2**BITS floats a language, and
+a lang column of more than MOST_LANGUAGES values is refused.
 
 Defined results: null text or text without a letter is `und` with score 0; a
 null doc_id is not held out; rows whose lang is null are predicted and not
-learnt from; with no labelled row at all every prediction is `und`; repeated
-rows repeat their result; other columns are ignored.
+learnt from; with no labelled row at all every prediction is `und`; equal shares
+go to the language whose name sorts first; a text of any length is read whole,
+in memory proportional to it; repeated rows repeat their result; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +32,13 @@ from pyspark.sql import types as T
 
 from siftwell.llm import bytewords as bw
 from siftwell.llm.quality import held_out
-from siftwell.llm.shared import spread, trim
+from siftwell.llm.shared import Scratch, spread, trim
 
 BITS = 14
 UNIT_WORDS = 6
 PENALTY = 4.0
-MOST_LANGUAGES = 4
+#: the bound of what is broadcast, 128 MB
+MOST_LANGUAGES = 2048
 ROUNDS = 8
 _LETTER = bw.byte_class(lambda b: b >= 0x80 or chr(b).isalpha())
 _HAS_LETTER = regex.compile(r"\p{L}")
@@ -104,15 +110,18 @@ def fit(docs: DataFrame, modulus: int = 3, held: int = 1, bits: int = BITS) -> M
             yield pa.RecordBatch.from_pydict({"lang": [name] * len(some), "bucket": pa.array(some, pa.int32()), "n": pa.array(cells[some], pa.int64())})
 
     cells = known.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    rows = cells.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("cells")).collect()
-    if not rows:
+    cells = Scratch(docs.sparkSession).keep(cells, "cells")
+    languages = sorted(r["lang"] for r in cells.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"the column lang has more than {MOST_LANGUAGES} values")
+    if not languages:
         return None
-    rows.sort(key=lambda r: r["lang"])
-    counts = np.zeros((len(rows), 1 << bits))
-    for k, r in enumerate(rows):
-        for bucket, n in r["cells"]:
-            counts[k, bucket] = n
-    return Model([r["lang"] for r in rows], counts)
+    counts, number = np.zeros((len(languages), 1 << bits)), {x: k for k, x in enumerate(languages)}
+    found = cells.toArrow()
+    lang = found["lang"].combine_chunks().dictionary_encode()
+    row = np.array([number[x] for x in lang.dictionary.to_pylist()])[lang.indices.to_numpy()]
+    counts[row, found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return Model(languages, counts)
 
 
 def _em(shares: np.ndarray, likely: np.ndarray, first: np.ndarray, rows: np.ndarray, units: np.ndarray, rounds: int) -> np.ndarray:
@@ -124,60 +133,75 @@ def _em(shares: np.ndarray, likely: np.ndarray, first: np.ndarray, rows: np.ndar
 
 
 def mixtures(model: Model, data: np.ndarray, off: np.ndarray, bits: int = BITS):
-    """For each row with a letter byte: row number, shares of the languages in its chosen set, posterior of the best single one."""
+    """For each row with a letter byte: row number, shares of the languages in its chosen set, expected share of the largest, whether the set explains it better than evenly drawn trigrams."""
     bucket, _, starts, unit_row = trigrams(data, off, bits)
     if not len(starts):
-        return np.zeros(0, np.int64), np.zeros((0, len(model.languages))), np.zeros(0)
+        return np.zeros(0, np.int64), np.zeros((0, len(model.languages))), np.zeros(0), np.zeros(0, bool)
     score = np.add.reduceat(model.log[bucket], starts, axis=0).astype(np.float64)
     first = np.flatnonzero(np.concatenate([[True], unit_row[1:] != unit_row[:-1]]))
     present = unit_row[first]
     rows, units = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(unit_row)))), np.diff(np.append(first, len(unit_row))).astype(float)
     peak = score.max(axis=1, keepdims=True)
     likely = np.exp(score - peak) + 1e-30
-    n = len(model.languages)
+    n, units_of = len(model.languages), len(first)
     alone = np.add.reduceat(score, first, axis=0)
-    posterior = np.exp(alone - alone.max(axis=1, keepdims=True))
-    posterior /= posterior.sum(axis=1, keepdims=True)
     base = np.add.reduceat(peak[:, 0], first)
-    order = np.argsort(-_em(np.full((len(first), n), 1.0 / n), likely, first, rows, units, ROUNDS), axis=1, kind="stable")
-    best = np.zeros((len(first), n))
-    best[np.arange(len(first)), alone.argmax(axis=1)] = 1.0
+    order = np.argsort(-_em(np.full((units_of, n), 1.0 / n), likely, first, rows, units, ROUNDS), axis=1, kind="stable")
+    best = np.zeros((units_of, n))
+    best[np.arange(units_of), alone.argmax(axis=1)] = 1.0
     best_value = alone.max(axis=1)
-    for k in range(2, min(n, MOST_LANGUAGES) + 1):
-        allowed = np.zeros((len(first), n))
-        np.put_along_axis(allowed, order[:, :k], 1.0 / k, axis=1)
-        shares = _em(allowed, likely, first, rows, units, ROUNDS // 2)
-        value = base + np.add.reduceat(np.log((likely * shares[rows]).sum(axis=1) + 1e-300), first) - (k - 1) * (PENALTY + 0.5 * np.log(units))
-        better = value > best_value
-        best[better], best_value[better] = shares[better], value[better]
-    return present, best, posterior.max(axis=1)
+    # of every set tried: its penalised likelihood and, for sets of several, its shares
+    tried = [(np.arange(units_of), alone, None)]
+    growing = np.arange(units_of)
+    for k in range(2, n + 1):
+        inside = np.zeros(units_of, bool)
+        inside[growing] = True
+        part, of = likely[inside[rows]], np.repeat(np.arange(len(growing)), units[growing].astype(np.int64))
+        begin = np.cumsum(units[growing].astype(np.int64)) - units[growing].astype(np.int64)
+        allowed = np.zeros((len(growing), n))
+        np.put_along_axis(allowed, order[growing, :k], 1.0 / k, axis=1)
+        shares = _em(allowed, part, begin, of, units[growing], ROUNDS // 2)
+        value = base[growing] + np.add.reduceat(np.log((part * shares[of]).sum(axis=1) + 1e-300), begin) - (k - 1) * (PENALTY + 0.5 * np.log(units[growing]))
+        tried.append((growing, value[:, None], shares))
+        better = value > best_value[growing]
+        best[growing[better]], best_value[growing[better]] = shares[better], value[better]
+        growing = growing[better]
+        if not len(growing):
+            break
+    top, above, total = best.argmax(axis=1), np.zeros(units_of), np.zeros(units_of)
+    for of, value, shares in tried:
+        weight = np.exp(np.minimum(value - best_value[of, None], 0.0))
+        total[of] += weight.sum(axis=1)
+        above[of] += weight[np.arange(len(of)), top[of]] if shares is None else weight[:, 0] * shares[np.arange(len(of)), top[of]]
+    letters = np.add.reduceat(np.diff(np.append(starts, len(bucket))), first)
+    return present, best, above / total, best_value > -letters * np.log(1 << bits)
 
 
 def predict(docs: DataFrame, model: Model | None, bits: int = BITS) -> DataFrame:
-    """docs with lang_pred, score and the shares of the chosen languages."""
+    """docs with lang_pred, score, the shares of the chosen languages and whether the text is of a learnt language at all."""
     share = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "mixture")]
-    schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double").add("mixture", T.MapType(T.StringType(), T.DoubleType()))
+    names = [c for c in docs.columns if c not in ("lang_pred", "score", "mixture", "known")]
+    schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double").add("mixture", T.MapType(T.StringType(), T.DoubleType())).add("known", "boolean")
 
     def run(batches):
         model = share.value
         for batch in batches:
             data, off = bw.text_buffer(batch["text"])
             texts = batch["text"]
-            pred, score, mixture = ["und"] * len(batch), np.zeros(len(batch)), [[] for _ in range(len(batch))]
+            pred, score, mixture, known = ["und"] * len(batch), np.zeros(len(batch)), [[] for _ in range(len(batch))], np.zeros(len(batch), bool)
             limit = bw.SLICE_BYTES if model is None else max(1 << 16, bw.SLICE_BYTES * 4 // len(model.languages))
             for i, j in bw.row_slices(off, limit) if model else ():
                 ascii_letter = np.add.reduceat(np.append(_LETTER[data[off[i] : off[j]]] & (data[off[i] : off[j]] < 0x80), False), off[i:j] - off[i]) * (np.diff(off[i : j + 1]) > 0)
-                rows, shares, certain = mixtures(model, data, off[i : j + 1], bits)
-                for r, s, c in zip(rows.tolist(), shares, certain.tolist(), strict=True):
+                rows, shares, expected, fits = mixtures(model, data, off[i : j + 1], bits)
+                for r, s, c, fit in zip(rows.tolist(), shares, expected.tolist(), fits.tolist(), strict=True):
                     if not ascii_letter[r] and not _HAS_LETTER.search(texts[i + r].as_py()):
                         continue
                     top = int(s.argmax())
                     pred[i + r] = model.languages[top]
-                    score[i + r] = min(1.0, c if s[top] >= 1.0 else float(s[top]))
+                    score[i + r], known[i + r] = min(1.0, c), fit
                     mixture[i + r] = [(model.languages[k], float(s[k])) for k in np.flatnonzero(s > 0)]
             trim()
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mixture, pa.map_(pa.string(), pa.float64()))], names=[*names, "lang_pred", "score", "mixture"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mixture, pa.map_(pa.string(), pa.float64())), pa.array(known)], names=[*names, "lang_pred", "score", "mixture", "known"])
 
     return docs.select(*names).mapInArrow(run, schema)
 
