@@ -8,13 +8,17 @@ gives these two tokens back).  A proposal whose pairs are all compatible is the
 exact encoding; only words with an incompatible pair undergo exact merging, by
 a heap, in n log n for a word of n bytes.
 
-The vocabulary is read from a tokenizer file whose path is a parameter.  Special
-tokens of the file are matched in texts before all else.  Each worker keeps a
-bounded memo of words; nothing is shuffled or broadcast.
+The vocabulary is read from a tokenizer file whose path is a parameter; a file
+that asks for more than byte-level BPE (a normaliser, another pattern, an
+unknown token, added tokens with flags) is refused.  Special tokens of the file
+are matched in texts before all else.  Each worker keeps a bounded memo of
+words; nothing is shuffled or broadcast.
 
 Defined results: null text is empty and has no tokens; decoding ids that are not
-valid UTF-8 puts U+FFFD for them; unknown ids are an error; repeated rows repeat
-their result; empty tables give empty results; other columns are ignored.
+valid UTF-8 puts U+FFFD for them; unknown ids are an error; of merges of equal
+rank the leftmost goes first; a text of any length is encoded whole, a word of n
+bytes in n log n; repeated rows repeat their result; empty tables give empty
+results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,12 +53,28 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def unmet(file: dict) -> list[str]:
+    """What a tokenizer file asks for and Codec does not do."""
+    model, before = file["model"], file.get("pre_tokenizer") or {}
+    out = [k for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges", "dropout") if model.get(k)]
+    out += [k for k in ("normalizer", "post_processor") if file.get(k)]
+    out += ["model type"] if model.get("type") != "BPE" else []
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        out.append("pre_tokenizer")
+    if (file.get("decoder") or {}).get("type") != "ByteLevel":
+        out.append("decoder")
+    out += [f"added token {x['content']!r}" for x in file.get("added_tokens", []) if x.get("single_word") or x.get("lstrip") or x.get("rstrip")]
+    return out
+
+
 class Codec:
     """A byte-level BPE vocabulary: encode words, decode ids."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
+        if lacking := unmet(file):
+            raise ValueError(f"{path} needs {', '.join(lacking)}")
         letters = byte_alphabet()
         self.bytes_of = {i: bytes(letters[c] for c in s) for s, i in file["model"]["vocab"].items()}
         self.special = {x["content"]: x["id"] for x in file.get("added_tokens", [])}

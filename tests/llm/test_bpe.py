@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import public_tokenizers
@@ -55,6 +56,17 @@ def test_merge_is_exact_for_every_greedy_failure(both):
     assert [list(codec.merge(w.encode())) for w in words] == [e.ids for e in library.encode_batch(words, add_special_tokens=False)]
 
 
+def test_files_that_need_more_are_refused(tmp_path):
+    with open(PATH, encoding="utf-8") as f:
+        file = json.load(f)
+    changes = {"normalizer": {"type": "NFC"}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}, "decoder": None, "model": file["model"] | {"unk_token": "?"}, "added_tokens": [file["added_tokens"][0] | {"lstrip": True}]}
+    assert bpe.unmet(file) == []
+    for k, v in changes.items():
+        (tmp_path / "t.json").write_text(json.dumps(file | {k: v}))
+        with pytest.raises(ValueError):
+            bpe.Codec(str(tmp_path / "t.json"))
+
+
 def test_query(odd_docs, odd_rows, no_docs, both):
     got = bpe.round_trip(odd_docs, PATH).collect()
     assert ids(got) == sorted((i for i, _ in odd_rows), key=lambda x: (x is None, x))
