@@ -145,11 +145,12 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def within(prints: DataFrame, queries: DataFrame, radius: int) -> DataFrame:
-    """(query_id, doc_id, distance) of fingerprints (doc_id, f0, f1 ...) at most radius bits from a query's.
+    """(query_id, doc_id, n_docs, distance): classes of equal fingerprints (doc_id, f0, f1 ...) at most radius bits from a query's.
 
     radius + 2 blocks of bits; a pair within the radius agrees on two of them.
-    Equal fingerprints are joined once and get their documents back at the end,
-    so copies do not multiply the candidates.
+    A class stands for its n_docs documents by its smallest doc_id, and queries
+    of equal fingerprints for one another, so copies multiply nothing; a query's
+    own class is not named.
     """
     parts = radius + 2
     edges = [round(k * BITS / parts) for k in range(parts + 1)]
@@ -167,8 +168,9 @@ def within(prints: DataFrame, queries: DataFrame, radius: int) -> DataFrame:
         return F.explode(F.array(*keys)).alias("key")
 
     names = lambda name: [f"{name}{i}" for i in range(BITS // 64)]
-    as_query = queries.select(F.col("doc_id").alias("query_id"), *[F.col(f).alias(q) for f, q in zip(names("f"), names("q"), strict=True)])
-    index = prints.select(*names("f")).distinct().select(*names("f"), tables("f"))
-    asked = as_query.select(*names("q")).distinct().select(*names("q"), tables("q"))
+    as_query = queries.groupBy(*[F.col(f).alias(q) for f, q in zip(names("f"), names("q"), strict=True)]).agg(F.min("doc_id").alias("query_id"))
+    classes = prints.groupBy(*names("f")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_docs"))
+    index = classes.select(*names("f"), tables("f"))
+    asked = as_query.select(*names("q"), tables("q"))
     near = index.join(asked, "key").where(distance("f", "q") <= radius).select(*names("f"), *names("q"), distance("f", "q").alias("distance")).distinct()
-    return near.join(as_query, names("q")).join(prints.select("doc_id", *names("f")), names("f")).where("query_id <> doc_id").select("query_id", "doc_id", "distance")
+    return near.where("distance > 0").join(as_query, names("q")).join(classes, names("f")).select("query_id", "doc_id", "n_docs", "distance")

@@ -51,8 +51,15 @@ def test_within_finds_all_in_the_radius(spark):
     prints = base + [b ^ sum(1 << k for k in rng.sample(range(128), n)) for b in base for n in (0, 1, 2, 3, 4)]
     rows = [(i, signed(p >> 64), signed(p & (1 << 64) - 1)) for i, p in enumerate(prints)]
     df = spark.createDataFrame(rows, "doc_id long, f0 long, f1 long")
-    got = {(r.query_id, r.doc_id, r.distance) for r in simhash.within(df, df.where("doc_id % 3 = 0"), 3).collect()}
-    want = {(i, j, (a ^ b).bit_count()) for i, a in enumerate(prints) if i % 3 == 0 for j, b in enumerate(prints) if i != j and (a ^ b).bit_count() <= 3}
+    got = {tuple(r) for r in simhash.within(df, df.where("doc_id % 3 = 0"), 3).collect()}
+    first, of = {}, lambda p: prints.count(p)
+    for i, p in enumerate(prints):
+        first.setdefault(p, i)
+    asked = {}
+    for i, p in enumerate(prints):
+        if i % 3 == 0:
+            asked.setdefault(p, i)
+    want = {(i, j, of(b), (a ^ b).bit_count()) for a, i in asked.items() for b, j in first.items() if 0 < (a ^ b).bit_count() <= 3}
     assert got == want and want
 
 
