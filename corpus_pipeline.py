@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import bpe, decontaminate, language, ngram_join, quality
-from siftwell.llm.shared import Scratch, without_ids
+from siftwell.llm.shared import Scratch, discarding, without_ids
 
 TOKENIZER = "byte_bpe_50k.json"
 #: a document stays if the probability of quality 1 is at least this
@@ -49,8 +49,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the last stage returns for the documents of sf_dir."""
+    """What the last stage returns for the documents of sf_dir.
+
+    Null and repeated ids, null and empty texts and empty tables are handled as
+    each operator defines: rows without an id are no duplicates and never
+    contaminated, repeated rows go or stay together.  A stage's intermediate
+    tables and its input are deleted when its result has been written.
+    """
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
     for number, (_, stage) in enumerate(STAGES):
-        docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{number}")
+        with discarding():
+            docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{number}")
+        scratch.drop(f"stage-{number - 1}")
     return docs

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siftwell.llm import bpe, chat_format, decontaminate, html_extract, language, lm_score, ngram_join, quality, simhash, url_filter
 
@@ -55,9 +56,30 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def url_redirect_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8 over all pages, of which every second and third gets a canonical or a refresh link to the page before it."""
+    pages = _table(spark, sf_dir, "pages")
+    before = pages.select((F.col("page_id") + 1).alias("page_id"), F.col("url").alias("target"))
+    link = F.when(F.col("page_id") % 3 == 1, F.concat(F.lit('<link rel="canonical" href="'), "target", F.lit('">'))).when(F.col("page_id") % 3 == 2, F.concat(F.lit('<meta http-equiv="refresh" content="0; url='), "target", F.lit('">')))
+    return url_filter.judge(pages.join(before, "page_id", "left").withColumn("html", F.concat(F.coalesce(link, F.lit("")), "html")))
+
+
+def page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10 over all pages without their article marks, so that differencing decides on every line."""
+    pages = _table(spark, sf_dir, "pages")
+    return html_extract.extract(pages.withColumn("html", F.regexp_replace("html", r"(?i)<(/?)(?:article|main)\b", "<$1div")))
+
+
+def fingerprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of equal fingerprints within three bits of a document whose id is divisible by 100."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    prints = simhash.fingerprints(docs, ["doc_id"])
+    return simhash.within(prints, prints.where("doc_id % 100 = 0"), 3)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_join, op2_language_id, op3_quality, op4_chat_format, op5_decontaminate, op6_simhash, op7_bpe, op8_url_filter, op9_lm_score, op10_html_extract)
+    for f in (op1_ngram_join, op2_language_id, op3_quality, op4_chat_format, op5_decontaminate, op6_simhash, op7_bpe, op8_url_filter, op9_lm_score, op10_html_extract, url_redirect_classes, page_differencing, fingerprint_classes)
 }
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -84,4 +106,10 @@ ORACLE_SQL: dict[str, str] = {
     SELECT doc_id, len(t)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(m.n, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
     FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN named m USING (doc_id)""",
     "op8_url_filter": url_filter.oracle_sql(),
+    "url_redirect_classes": url_filter.oracle_sql(
+        pages="linked",
+        before="""linked AS (
+      SELECT p.page_id, p.url, CASE p.page_id % 3 WHEN 1 THEN '<link rel="canonical" href="' || t.url || '">' WHEN 2 THEN '<meta http-equiv="refresh" content="0; url=' || t.url || '">' ELSE '' END || p.html AS html
+      FROM pages p LEFT JOIN pages t ON t.page_id = p.page_id - 1),""",
+    ),
 }

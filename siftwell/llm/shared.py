@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -57,12 +58,28 @@ def lean(spark: SparkSession) -> None:
             spark.conf.set(key, small)
 
 
+_MADE: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def discarding():
+    """Deletes, at its end, every Scratch made inside: for callers that have written their result by then."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for scratch in _MADE.pop():
+            scratch.drop("")
+
+
 class Scratch:
     """Tables written once and read again, so that a lost executor costs no recomputation of what is before them."""
 
     def __init__(self, spark: SparkSession):
         lean(spark)
         self.spark, self.root = spark, f"{shared_folder(spark)}/siftwell-{uuid.uuid4().hex}"
+        if _MADE:
+            _MADE[-1].append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -72,7 +89,7 @@ class Scratch:
     def drop(self, *names: str) -> None:
         jvm, hadoop = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
             path.getFileSystem(hadoop).delete(path, True)
 
 
@@ -301,15 +318,16 @@ class Forest:
 _FOREST_NODES = 1 << 18
 
 
-def contract(edges: DataFrame) -> DataFrame:
-    """Each task's edges (u, v) as stars of their own components; flushed when its forest is large."""
+def contract(edges: DataFrame, kind: str = "long") -> DataFrame:
+    """Each task's edges (u, v) as stars of their own components; flushed when its forest is large.  kind: of the ids, long or string."""
+    ids = pa.int64() if kind == "long" else pa.string()
 
     def stars(batches):
         forest = Forest()
 
         def out():
             u, v = forest.edges()
-            return pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+            return pa.RecordBatch.from_pydict({"u": pa.array(u, ids), "v": pa.array(v, ids)})
 
         for batch in batches:
             for u, v in zip(batch["u"].to_pylist(), batch["v"].to_pylist(), strict=True):
@@ -320,10 +338,10 @@ def contract(edges: DataFrame) -> DataFrame:
                 forest = Forest()
         yield out()
 
-    return edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).mapInArrow(stars, "u long, v long")
+    return edges.select(F.col("u").cast(kind).alias("u"), F.col("v").cast(kind).alias("v")).mapInArrow(stars, f"u {kind}, v {kind}")
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, name: str = "components", rounds: int = 60, contracted: bool = False) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, name: str = "components", rounds: int = 60, contracted: bool = False, kind: str = "long") -> DataFrame:
     """(id, component) of every node with an edge (u, v); component is its smallest reachable id.
 
     Large-star and small-star steps until nothing moves (logarithmically many
@@ -332,7 +350,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "compon
     for each neighbour.  The least neighbour
     is found by a pre-aggregated minimum; nothing is collected.
     """
-    now = scratch.keep((edges if contracted else contract(edges)).where("u <> v").distinct(), f"{name}-0")
+    now = scratch.keep((edges if contracted else contract(edges, kind)).where("u <> v").distinct(), f"{name}-0")
     state = None
     for step in range(1, rounds + 1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

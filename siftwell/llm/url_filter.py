@@ -12,8 +12,9 @@ part of the plan, more are joined on the suffixes of the host.  Components are
 found by distributed star contraction and never collected.
 
 Defined results: a null url, or one without ://, has an empty host and path, no
-rule, no class and is allowed; null html has no edges; repeated rows repeat
-their result; an empty table gives an empty result; other columns are ignored.
+rule, no class and is allowed; null html has no edges; html of any length is
+searched whole; repeated rows repeat their result; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -91,25 +92,26 @@ def judge(pages: DataFrame, rules=RULES, inline: int = INLINE) -> DataFrame:
     edges = scratch.keep(links(base, scratch), "edges")
     if edges.limit(1).count() == 0:
         return rated.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"))
-    node = lambda c: F.xxhash64(F.col(c))
-    classes = scratch.keep(connected_components(edges.select(node("a").alias("u"), node("b").alias("v")), scratch, "classes"), "classed").select(F.col("id").alias("node"), "component")
+    # 128 bits: no two of a web of urls are taken for one
+    node = lambda c: F.md5(F.encode(F.col(c), "UTF-8"))
+    classes = scratch.keep(connected_components(edges.select(node("a").alias("u"), node("b").alias("v")), scratch, "classes", kind="string"), "classed").select(F.col("id").alias("node"), "component")
     # targets that are not pages count too: a rule may block them
     names = edges.select(F.col("a").alias("name")).unionByName(edges.select(F.col("b").alias("name"))).distinct()
     places = names.select(node("name").alias("node"), F.regexp_extract("name", r"\A([^/]*)", 1).alias("host"), F.regexp_extract("name", r"\A[^/]*(.*)", 1).alias("path"))
     places = places.withColumn("best", _best_inline(F.col("host"), F.col("path"), rules)) if rules and len(rules) <= inline else _best_joined(places, rules) if rules else places.withColumn("best", F.lit(None).cast("struct<verdict:string>"))
     blocked = places.where("best.verdict = 'block'").select("node").join(classes, "node").select("component").distinct()
     aliases = classes.join(blocked, "component").select("node", F.lit("block").alias("told")).distinct()
-    out = rated.withColumn("node", F.xxhash64(F.concat("host", "path"))).join(aliases, "node", "left")
+    out = rated.withColumn("node", F.md5(F.encode(F.concat("host", "path"), "UTF-8"))).join(aliases, "node", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", "told", F.lit("allow")).alias("verdict"))
 
 
-def oracle_sql(rules=RULES) -> str:
-    """The same in DuckDB, for pages whose edges are absolute links; blocks spread by reachability."""
+def oracle_sql(rules=RULES, pages: str = "pages", before: str = "") -> str:
+    """The same in DuckDB, for pages whose edges are absolute links; blocks spread by reachability.  before: CTEs that pages may need."""
     rule_rows = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in rules)
     return f"""
-    WITH RECURSIVE rules(v, h, p) AS (VALUES {rule_rows}),
+    WITH RECURSIVE {before} rules(v, h, p) AS (VALUES {rule_rows}),
     base AS (
-      SELECT page_id, coalesce(html, '') AS html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+      SELECT page_id, coalesce(html, '') AS html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM {pages}),
     placed AS (
       SELECT page_id, html, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host,
         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM base),

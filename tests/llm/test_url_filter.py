@@ -3,6 +3,7 @@ import re
 import duckdb
 import pytest
 
+from siftwell.llm import queries
 from siftwell.llm import url_filter as uf
 
 
@@ -55,6 +56,22 @@ def test_oracle(spark, tmp_path):
     assert got == sorted(con.sql(uf.oracle_sql()).fetchall())
 
 
+def test_classes_of_invented_redirects(spark, sf01):
+    con = duckdb.connect()
+    con.execute("create view pages as select * from '/root/testdata/sf0.01/pages.parquet'")
+    got = sorted(map(repr, map(tuple, queries.url_redirect_classes(spark, "/root/testdata/sf0.01").collect())))
+    assert got == sorted(map(repr, con.sql(queries.ORACLE_SQL["url_redirect_classes"]).fetchall()))
+    plain = {r.page_id: r.verdict for r in uf.judge(sf01("pages")).collect()}
+    changed = sum(f"'{v}')" not in x for x, v in zip(sorted(got), [plain[int(re.match(r"\((\d+)", x)[1])] for x in sorted(got)], strict=True))
+    assert changed > 0
+
+
+def test_very_long_html(spark):
+    page = "<p>x</p>" * 200_000 + '<link rel="canonical" href="http://spam.com/de/1">' + "<p>y</p>" * 200_000
+    df = spark.createDataFrame([(1, "http://a.de/x", page), (2, "http://a.de/y", "z" * 10**6)], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in uf.judge(df).collect()} == {1: "block", 2: "allow"}
+
+
 def test_longest_rule_wins_and_allow_wins_ties(spark):
     rules = [("block", "a.com", "/x"), ("allow", "a.com", "/x"), ("block", "a.com", "/x/y"), ("allow", "s.a.com", "/x/y")]
     df = spark.createDataFrame([(1, "http://a.com/x"), (2, "http://a.com/x/y"), (3, "http://s.a.com/x/y"), (4, "http://ba.com/x")], "page_id long, url string")
