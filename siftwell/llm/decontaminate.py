@@ -10,17 +10,20 @@ shuffle is needed.
 
 Benchmark windows go to the shards in query blocks of at most BLOCK_WORDS
 words, the proven bound of what is broadcast; a larger benchmark searches the
-index several times, and what is found is merged.
+index several times, block after block, and what is found in the documents that
+are hit is merged.
 
 Defined results: null text, of a document or an item, has no words; items
 without words or without an id are never found; an item id that stands on
-several rows is one item; repeated documents repeat their result; empty tables
-are empty results, or documents without hits; other columns are ignored.
+several rows is one item; a text of any length is indexed whole, in memory
+proportional to it; repeated documents repeat their result; empty tables are
+empty results, or documents without hits; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -220,36 +223,40 @@ def _one_block(index: DataFrame, phrases: Phrases) -> DataFrame:
     return index.mapInArrow(search, _SUMMED)
 
 
-def _several_blocks(index: DataFrame, blocks: list[Phrases]) -> DataFrame:
-    """What each query block finds in each document, merged."""
+def _several_blocks(index: DataFrame, blocks, scratch: Scratch) -> DataFrame:
+    """What each query block finds in each document, merged; a block is gone when what it found is written."""
     found = None
-    for phrases in blocks:
+    for number, phrases in enumerate(blocks):
         block = index.sparkSession.sparkContext.broadcast(phrases)
 
         def search(batches, block=block):
-            for number, ids, n, shard in _open(batches, block.value):
-                hits = list(_hits(n, shard, block.value))
-                spans, items = [[x for s in h[1] for x in s] for h in hits], [sorted(h[2]) for h in hits]
-                yield pa.RecordBatch.from_arrays([pa.array([number] * len(ids), pa.int64()), pa.array(range(len(ids)), pa.int32()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["shard", "row", "doc_id", "n_words", "spans", "items"])
+            schema = pa.schema([("shard", pa.int64()), ("row", pa.int32()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+            for shard, _, n, postings in _open(batches, block.value):
+                hits = [(shard, row, [x for s in spans for x in s], sorted(items)) for row, (_, spans, items) in enumerate(_hits(n, postings, block.value)) if items]
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, h, strict=True)) for h in hits], schema)
 
-        part = index.mapInArrow(search, "shard long, row int, doc_id long, n_words long, spans array<long>, items array<string>")
+        part = scratch.keep(index.mapInArrow(search, "shard long, row int, spans array<long>, items array<string>"), f"hits-{number}")
+        block.destroy()
         found = part if found is None else found.unionByName(part)
-    merged = found.groupBy("shard", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    merged = found.groupBy("shard", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    rows = index.select("shard", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("row", "doc")).select("shard", "row", "doc.doc_ids", "doc.n_words").toDF("shard", "row", "doc_id", "n_words")
+    both = rows.join(merged, ["shard", "row"], "left").select("doc_id", "n_words", F.coalesce("spans", F.array().cast("array<long>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
     def each(batches):
         for batch in batches:
             rows = zip(*(batch[c].to_pylist() for c in ("n_words", "spans", "items")), strict=True)
             yield _summed(batch["doc_id"].to_pylist(), ((n, _merged(list(zip(s[::2], s[1::2], strict=True))), items) for n, s, items in rows))
 
-    return merged.mapInArrow(each, _SUMMED)
+    return both.mapInArrow(each, _SUMMED)
 
 
 def search_index(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each document of a stored index."""
     if window >= GAP:
         raise ValueError(f"window must be below {GAP}")
-    blocks = list(_query_blocks(benchmark, window, block_words))
-    found = _one_block(index, blocks[0]) if len(blocks) == 1 else _several_blocks(index, blocks)
+    blocks = _query_blocks(benchmark, window, block_words)
+    one, two = next(blocks), next(blocks, None)
+    found = _one_block(index, one) if two is None else _several_blocks(index, chain((one, two), blocks), Scratch(index.sparkSession))
     return found.withColumn("contaminated", F.col("n_hit") > 0)
 
 
@@ -262,8 +269,8 @@ def proximity(index: DataFrame, benchmark: DataFrame, span: int = 20, window: in
     """(doc_id, item_id, position): words whose item window lies, in any order, within span (below the gap) words of them."""
     if span >= GAP:
         raise ValueError(f"span must be below {GAP}")
-    out = None
-    for phrases in _query_blocks(benchmark, window, block_words):
+    out, scratch = None, Scratch(index.sparkSession)
+    for number, phrases in enumerate(_query_blocks(benchmark, window, block_words)):
         block = index.sparkSession.sparkContext.broadcast(phrases)
 
         def search(batches, block=block):
@@ -278,6 +285,7 @@ def proximity(index: DataFrame, benchmark: DataFrame, span: int = 20, window: in
                 cols = list(zip(*sorted(found, key=str), strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["doc_id", "item_id", "position"])
 
-        part = index.mapInArrow(search, "doc_id long, item_id string, position long")
+        part = scratch.keep(index.mapInArrow(search, "doc_id long, item_id string, position long"), f"near-{number}")
+        block.destroy()
         out = part if out is None else out.unionByName(part)
     return out.distinct()
