@@ -4,7 +4,8 @@ Documents link when the Jaccard similarity of their word-shingle sets reaches
 the threshold.  The plan, with no step whose task or driver state grows with a
 group of copies:
 
-1. Equal sets collapse to one node (a 64-bit hash of the sorted set).
+1. Equal sets collapse to one node (a 64-bit hash of the sorted set; where a
+   second hash shows that sets of one node differ, it becomes several).
 2. Each shingle's document frequency is counted over the whole corpus (blocks
    ask, buckets of keys answer).  Sorted by it, rarest first, two sets of
    similarity t share a shingle among the first n - ceil(t n) + 1 of each.
@@ -17,11 +18,14 @@ group of copies:
    exactly.  Pairs already connected are skipped, so a group of copies costs
    about one intersection a member.
 5. A group of several blocks shares a few pivots with all its blocks; members
-   outside its largest component are then compared with every other block.
-
-Defined results: null or wordless text has no shingles and links with nothing;
-a repeated row repeats its result; rows with a null doc_id get a null component
-unless linked; an empty table gives an empty result; other columns are ignored.
+   outside its largest component then meet those blocks in which a set has a
+   prefix shingle of theirs, since every link has one.
+
+Defined results: null or wordless text has no shingles and links with nothing; a
+similarity of exactly the threshold links; a text of any length is read whole,
+in memory proportional to it; a repeated row repeats its result; rows with a
+null doc_id get a null component unless linked; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -141,14 +145,19 @@ def link_block(ids: list[int], sets: list[np.ndarray], percent: int, label: np.n
 def _block_sets(table: pa.Table, k: int):
     data, off = bw.text_buffer(table["text"])
     sets = [s for i, j in bw.row_slices(off) for s in bw.shingle_sets(data, off[i : j + 1], k)]
-    nodes = [int(np.array(xxhash.xxh3_64_intdigest(s.tobytes()), np.uint64).view(np.int64)) if len(s) else None for s in sets]
+    nodes = [_signed(xxhash.xxh3_128_intdigest(s.tobytes())) if len(s) else (None, None) for s in sets]
     first = {}
     for row, node in enumerate(nodes):
         first.setdefault(node, row)
-    first.pop(None, None)
+    first.pop((None, None), None)
     return sets, nodes, first
 
 
+def _signed(digest: int) -> tuple[int, int]:
+    """128 bits as two signed longs: a node, and what tells nodes of one number apart."""
+    return tuple((x ^ 1 << 63) - (1 << 63) for x in (digest & (1 << 64) - 1, digest >> 64))
+
+
 def _block_keys(sets, first) -> tuple[np.ndarray, np.ndarray]:
     held = [sets[row] >> _SHIFT for row in first.values()]
     return np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -170,11 +179,21 @@ def _describe(blocks: DataFrame, answers: DataFrame, k: int, percent: int, parti
                 prefixes[row] = prefix[prefixes[row]].view(np.int64)
                 kept[row] = s.tobytes()
         return pa.table({
-            "doc_id": table["doc_id"], "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array(nodes, pa.int64()),
+            "doc_id": table["doc_id"], "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([n for n, _ in nodes], pa.int64()), "twin": pa.array([t for _, t in nodes], pa.int64()),
             "prefix": pa.array(prefixes, pa.list_(pa.int64())), "shingles": pa.array(kept, pa.large_binary()).cast(pa.binary()),
         })
 
-    return told(blocks, answers, work, "doc_id long, n_shingles long, node long, prefix array<long>, shingles binary", partitions)
+    return told(blocks, answers, work, "doc_id long, n_shingles long, node long, twin long, prefix array<long>, shingles binary", partitions)
+
+
+def _told_apart(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows whose nodes are of one set each: numbers that two sets share, a handful in 10**10, are drawn anew from both hashes."""
+    shared = rows.where("node is not null").groupBy("node").agg(F.min("twin").alias("a"), F.max("twin").alias("b")).where("a <> b").select("node")
+    shared = scratch.keep(shared, "shared")
+    if shared.limit(1).count() == 0:
+        return rows.drop("twin")
+    marked = rows.join(F.broadcast(shared.withColumn("several", F.lit(True))), "node", "left")
+    return marked.withColumn("node", F.when(F.col("several"), F.xxhash64("node", "twin")).otherwise(F.col("node"))).select([c for c in rows.columns if c != "twin"])
 
 
 def _node_edges(rows: DataFrame, scratch: Scratch, partitions: int) -> DataFrame:
@@ -247,7 +266,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_nodes:
         return [_block_keys(sets, first)]
 
     answers = answer(ask(blocks, keys, [KEY_BITS], buckets), tasks)
-    rows = scratch.keep(_describe(blocks, answers, k, percent, tasks), "rows")
+    rows = _told_apart(scratch.keep(_describe(blocks, answers, k, percent, tasks), "rows"), scratch)
     scratch.drop("blocks")
     groups = scratch.keep(connected_components(_node_edges(rows, scratch, tasks), scratch, "groups", contracted=True), "grouped").select(F.col("id").alias("node"), F.col("component").alias("grp"))
     scratch.drop("links")
@@ -266,7 +285,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_nodes:
     # the links of a block span it and no more, as contracted edges do
     joined = scratch.keep(connected_components(first, scratch, "first", contracted=True), "joined").select(F.col("id").alias("node"), "component")
     if several:
-        joined = scratch.keep(connected_components(first.unionByName(_residual(rows, wide, joined, scratch, percent, tasks, block_sets)), scratch, "second", contracted=True), "rejoined").select(F.col("id").alias("node"), "component")
+        joined = scratch.keep(connected_components(first.unionByName(_residual(rows, wide, joined, scratch, percent, tasks, block_nodes)), scratch, "second", contracted=True), "rejoined").select(F.col("id").alias("node"), "component")
     low = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
     linked_low = joined.join(low, "node")
     component = linked_low.groupBy("component").agg(F.min("low").alias("component_id"))
@@ -278,22 +297,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_nodes:
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _residual(rows: DataFrame, wide: DataFrame, joined: DataFrame, scratch: Scratch, percent: int, partitions: int, block_sets: int) -> DataFrame:
+def _residual(rows: DataFrame, wide: DataFrame, joined: DataFrame, scratch: Scratch, percent: int, partitions: int, block_nodes: int) -> DataFrame:
     """Links between blocks of one group that its pivots did not show.
 
-    Every member outside a group's largest component meets every block of the
-    group; the members of the largest component need no comparison among
-    themselves.  Where many members stay outside, they go in chunks.
+    The members of a group's largest component need no comparison among
+    themselves.  Every other member meets the blocks in which some set has a
+    prefix shingle of its own; where many come to one block, they come in
+    chunks, to each of which the block's own members go.
     """
-    of = scratch.keep(wide.join(joined, "node", "left").select("node", "grp", "blks", F.coalesce("component", "node").alias("label")), "labels")
+    home = F.pmod(F.xxhash64("node"), F.col("blks")).cast("int")
+    of = scratch.keep(wide.join(joined, "node", "left").select("node", "grp", home.alias("blk"), F.coalesce("component", "node").alias("label")), "labels")
     counts = of.groupBy("grp", "label").agg(F.count("*").alias("n"))
     main = counts.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    out = salted_join(of, main, ["grp"], "node").where("label <> main")
-    n_out = out.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("chunks"))
-    sets = rows.where("shingles is not null").select("node", "shingles").dropDuplicates(["node"])
+    outside = scratch.keep(salted_join(of, main, ["grp"], "node").where("label <> main").select("node", "grp", "blk", "label"), "outside")
+    sets = rows.where("shingles is not null").select("node", "prefix", "shingles").dropDuplicates(["node"])
+    shared = sets.select("node", F.explode("prefix").alias("key"))
+    spots = shared.join(of.select("node", "grp", "blk"), "node").select("grp", "key", "blk").distinct()
+    keys = shared.join(outside.select("node", "grp"), "node").select("grp", "key", "node")
+    meets = scratch.keep(keys.join(spots, ["grp", "key"]).select("grp", "blk", "node").distinct(), "meets")
+    chunks = meets.groupBy("grp", "blk").agg(F.ceil(F.count("*") / block_nodes).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int")
-    outside = salted_join(out, n_out, ["grp"], "node").select("node", "grp", "label", F.explode(F.sequence(F.lit(0), F.col("blks") - 1)).alias("b"), chunk.alias("c"))
-    inside = salted_join(of, n_out, ["grp"], "node").select("node", "grp", "label", F.pmod(F.xxhash64("node"), F.col("blks")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"))
-    both = inside.unionByName(outside).distinct()
-    placed = both.join(sets, "node").select("grp", (F.col("b").cast("long") * (1 << 31) + F.col("c")).alias("blk"), "node", "shingles", "label")
+    guests = salted_join(meets, chunks, ["grp", "blk"], "node").select("node", "grp", "blk", chunk.alias("c")).join(outside.select("node", "label"), "node")
+    hosts = salted_join(of, chunks, ["grp", "blk"], "node").select("node", "grp", "blk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"), "label")
+    both = guests.select("node", "grp", "blk", "c", "label").unionByName(hosts.select("node", "grp", "blk", "c", "label")).distinct()
+    placed = both.join(sets.select("node", "shingles"), "node").select("grp", (F.col("blk").cast("long") * (1 << 31) + F.col("c")).alias("blk"), "node", "shingles", "label")
     return scratch.keep(_grouped(placed, partitions, lambda ids, sets, labels: link_block(ids, sets, percent, labels), "u long, v long"), "residual")

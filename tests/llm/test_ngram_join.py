@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from siftwell.llm import ngram_join
-from siftwell.llm.shared import Forest
+from siftwell.llm.shared import Forest, Scratch
 
 from .conftest import fold
 
@@ -71,3 +71,11 @@ def test_tree_bounds_never_lose_a_link():
             if len(np.intersect1d(sets[a], sets[b])) * 100 >= 80 * len(np.union1d(sets[a], sets[b])):
                 expected.join(a, b)
         assert [forest.find(i) for i in range(40)] == [expected.find(i) for i in range(40)]
+
+
+def test_sets_that_share_a_number_are_told_apart(spark):
+    rows = spark.createDataFrame([(1, 5, 70), (2, 5, 71), (3, 5, 70), (4, 6, 70), (5, None, None)], "doc_id long, node long, twin long")
+    node = {r.doc_id: r.node for r in ngram_join._told_apart(rows, Scratch(spark)).collect()}
+    assert node[1] == node[3] != node[2] and node[2] != 5 and node[4] == 6 and node[5] is None
+    alone = ngram_join._told_apart(rows.where("doc_id <> 2"), Scratch(spark))
+    assert {r.doc_id: r.node for r in alone.collect()} == {1: 5, 3: 5, 4: 6, 5: None} and alone.columns == ["doc_id", "node"]
