@@ -9,27 +9,33 @@ repaired sequence is rendered turn by turn: the pieces of a conversation, in
 order, join to its text.
 
 Steps of the program compose as (min, +) products of 4 x 4 matrices, so a
-conversation of any length is cut into chunks of turn numbers: each chunk gives
-its matrix, one short row per chunk is combined for each conversation into the
-states at the chunks' borders, and the chunks are then repaired apart from each
-other.  No task holds more than a chunk of a conversation's turns.
+conversation of any length is cut into chunks of consecutive turns: turns are
+dealt by ranges of their order, whatever their numbers are, and a chunk is one
+row of at most CHUNK turns or CHUNK_BYTES of text (a longer turn is alone).
+Each chunk gives its matrix, one short row per chunk is combined for each
+conversation into the states at the chunks' borders, and the chunks are then
+repaired apart from each other.  No task holds more than a chunk of texts.
 
 Defined results: turns are taken in order of turn (null first), then role, then
-text; repeated rows are turns of their own; a null or unknown role is relabelled
-at a lower cost; null text is empty; rows of null conv_id make one conversation;
-an empty table gives an empty result; other columns are ignored.
+the first PREFIX characters of the text, then a hash of the text; repeated rows
+are turns of their own; a null or unknown role is relabelled at a lower cost;
+null text is empty, and text of any length is rendered whole; ways of equal cost
+go to the action named first, then to the state before that is named first; rows
+of null conv_id make one conversation; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.shared import spread
+from siftwell.llm.shared import Scratch, new_number, spread
 
-CHUNK = 1024
+CHUNK, CHUNK_BYTES, PREFIX = 1024, 1 << 20, 64
 KEEP, MERGE, RELABEL, MERGE_RELABELLED, INSERT, INSERT_RELABELLED = range(6)
 ACTIONS = ("keep", "merge", "relabel", "merge relabelled", "insert before", "insert before and relabel")
 #: a turn that was or becomes a system turn is costly to relabel: instructions are not speech
@@ -106,43 +112,70 @@ def _runs(batches, keys: list[str], columns: list[str]):
         yield at, held
 
 
-def _flat(rows: list[dict], schema: pa.Schema):
-    return pa.RecordBatch.from_pylist(rows, schema)
+_CHUNK = pa.schema([
+    ("conv_id", pa.int64()), ("part", pa.int32()), ("number", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("matrix", pa.list_(pa.float64())),
+    ("turn", pa.list_(pa.int64())), ("role_seen", pa.list_(pa.string())), ("code", pa.list_(pa.int32())), ("text", pa.list_(pa.string())),
+])
 
 
 def repaired(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(conv_id, position, turn, role_seen, role, action, cost, rendered) of each turn of conversations (conv_id, turn, role, text)."""
+    spark = conversations.sparkSession
+    scratch = Scratch(spark)
     role = F.lower(F.trim(F.col("role").cast("string")))
     code = F.coalesce(F.when(role == "system", SYSTEM).when(role == "user", USER).when(role == "assistant", ASSISTANT), F.lit(0)).cast("int")
-    turns = spread(conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role_seen"), code.alias("code"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
-    turns = turns.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-(1 << 62))).cast("long"))
-    n = max(2, int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = [F.col("turn").asc_nulls_first(), F.col("role_seen").asc_nulls_first()]
-
-    def matrices(batches):
-        schema = pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("matrix", pa.list_(pa.float64()))])
-        rows = []
-        for (conv, part), held in _runs(batches, ["conv_id", "chunk"], ["code"]):
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    turns = spread(conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role_seen"), code.alias("code"), text.alias("text")))
+    # what tells repeated rows apart is written, so that a range that is made again is the same
+    turns = scratch.keep(turns.withColumn("begin", F.substring("text", 1, PREFIX)).withColumn("hash", F.xxhash64("text")).withColumn("own", F.monotonically_increasing_id()), "turns")
+    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = ["conv_id", "turn", "role_seen", "begin", "hash", "own"]
+
+    def chunks(batches):
+        """Chunks of a range of turns; part is the range's number, number the chunk's in it."""
+        part = TaskContext.get().partitionId()
+        held, size, number, conv, done, bulk = [], 0, 0, None, [], 0
+
+        def close():
+            nonlocal held, size, number, bulk
             m = UNIT
-            for (c,) in held:
+            for _, _, c, _ in held:
                 m = product(m, COST[c])
-            rows.append({"conv_id": conv, "chunk": part, "n": len(held), "matrix": m.ravel().tolist()})
-            if len(rows) >= 4096:
-                yield _flat(rows, schema)
-                rows = []
-        yield _flat(rows, schema)
-
-    thin = turns.select("conv_id", "chunk", "turn", "role_seen", "code").repartition(n, "conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", *order)
-    chunks = thin.select("conv_id", "chunk", "code").mapInArrow(matrices, "conv_id long, chunk long, n long, matrix array<double>")
+            done.append((conv, part, number, new_number(), len(held), m.ravel().tolist(), *map(list, zip(*held, strict=True))))
+            bulk += size
+            held, size, number = [], 0, number + 1
+
+        def ready():
+            nonlocal done, bulk
+            out = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*done, strict=True), _CHUNK, strict=True)], schema=_CHUNK)
+            done, bulk = [], 0
+            return out
+
+        for batch in batches:
+            for to, *row in zip(*(batch[c].to_pylist() for c in ("conv_id", "turn", "role_seen", "code", "text")), strict=True):
+                if held and (to != conv or len(held) >= chunk or size + len(row[3]) > CHUNK_BYTES):
+                    close()
+                    if bulk > CHUNK_BYTES or len(done) >= 1024:
+                        yield ready()
+                conv = to
+                held.append(row)
+                size += len(row[3])
+        if held:
+            close()
+        if done:
+            yield ready()
+
+    ranged = turns.repartitionByRange(n, *order).sortWithinPartitions(*order).select("conv_id", "turn", "role_seen", "code", "text")
+    made = scratch.keep(ranged.mapInArrow(chunks, "conv_id long, part int, number long, chunk long, n long, matrix array<double>, turn array<long>, role_seen array<string>, code array<int>, text array<string>"), "chunks")
+    scratch.drop("turns")
 
     def borders(batches):
-        schema = pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("entry", pa.int32()), ("leave", pa.int32()), ("before", pa.int64()), ("last", pa.bool_())])
+        schema = pa.schema([("chunk", pa.int64()), ("entry", pa.int32()), ("leave", pa.int32()), ("before", pa.int64()), ("last", pa.bool_())])
         rows = []
-        for (conv,), held in _runs(batches, ["conv_id"], ["chunk", "n", "matrix"]):
-            maps = [np.array(m).reshape(4, 4) for _, _, m in held]
+        for (_,), held in _runs(batches, ["conv_id"], ["chunk", "n", "matrix"]):
             best, back = np.array([0.0, np.inf, np.inf, np.inf]), []
-            for m in maps:
-                ways = best[:, None] + m
+            for _, _, m in held:
+                ways = best[:, None] + np.array(m).reshape(4, 4)
                 back.append(ways.argmin(axis=0))
                 best = ways.min(axis=0)
             states = [int((best + END_COST).argmin())]
@@ -150,42 +183,41 @@ def repaired(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
                 states.append(int(b[states[-1]]))
             states, done = states[::-1], 0
             for k, (part, size, _) in enumerate(held):
-                rows.append({"conv_id": conv, "chunk": part, "entry": states[k], "leave": states[k + 1], "before": done, "last": k == len(held) - 1})
+                rows.append({"chunk": part, "entry": states[k], "leave": states[k + 1], "before": done, "last": k == len(held) - 1})
                 done += size
             if len(rows) >= 4096:
-                yield _flat(rows, schema)
+                yield pa.RecordBatch.from_pylist(rows, schema)
                 rows = []
-        yield _flat(rows, schema)
+        yield pa.RecordBatch.from_pylist(rows, schema)
 
-    ends = chunks.repartition(n, "conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(borders, "conv_id long, chunk long, entry int, leave int, before long, last boolean")
-    ends = ends.select(F.col("conv_id").alias("c"), F.col("chunk").alias("k"), "entry", "leave", "before", "last")
-    placed = turns.join(ends, turns["conv_id"].eqNullSafe(ends["c"]) & (turns["chunk"] == ends["k"])).drop("c", "k")
+    thin = made.select("conv_id", "part", "number", "chunk", "n", "matrix")
+    ends = thin.repartition(n, "conv_id").sortWithinPartitions("conv_id", "part", "number").select("conv_id", "chunk", "n", "matrix").mapInArrow(borders, "chunk long, entry int, leave int, before long, last boolean")
+    placed = made.select("conv_id", "chunk", "turn", "role_seen", "code", "text").join(ends, "chunk")
 
     def render(batches):
         schema = pa.schema([("conv_id", pa.int64()), ("position", pa.int64()), ("turn", pa.int64()), ("role_seen", pa.string()), ("role", pa.string()), ("action", pa.string()), ("cost", pa.float64()), ("rendered", pa.string())])
         rows, size = [], 0
-        for (conv, _), held in _runs(batches, ["conv_id", "chunk"], ["turn", "role_seen", "code", "text", "entry", "leave", "before", "last"]):
-            entry, leave, before, last = held[0][4:]
-            state = entry
-            for k, ((turn, seen, _, text, *_), (after, action, cost)) in enumerate(zip(held, repair([r[2] for r in held], entry, leave), strict=True)):
-                if action in (MERGE, MERGE_RELABELLED):
-                    piece = "\n" + text
-                else:
-                    added = _BRIDGE[state, after] if action in (INSERT, INSERT_RELABELLED) else None
-                    piece = ("" if state == START else CLOSE) + ("" if added is None else OPEN.format(ROLES[added]) + CLOSE) + OPEN.format(ROLES[after]) + text
-                if last and k == len(held) - 1:
-                    piece += CLOSE + "".join(OPEN.format(ROLES[x]) + CLOSE for x in END_TURNS[after])
-                    cost += float(END_COST[after])
-                state = after
-                rows.append({"conv_id": conv, "position": before + k, "turn": turn, "role_seen": seen, "role": ROLES[after], "action": ACTIONS[action], "cost": cost, "rendered": piece})
-                size += len(piece)
-            if size > 1 << 20:
-                yield _flat(rows, schema)
-                rows, size = [], 0
-        yield _flat(rows, schema)
-
-    ready = placed.repartition(n, "conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", *order, "text")
-    return ready.mapInArrow(render, "conv_id long, position long, turn long, role_seen string, role string, action string, cost double, rendered string")
+        for batch in batches:
+            for conv, turns, seen, codes, texts, entry, leave, before, last in zip(*(batch[c].to_pylist() for c in ("conv_id", "turn", "role_seen", "code", "text", "entry", "leave", "before", "last")), strict=True):
+                state = entry
+                for k, (text, (after, action, cost)) in enumerate(zip(texts, repair(codes, entry, leave), strict=True)):
+                    if action in (MERGE, MERGE_RELABELLED):
+                        piece = "\n" + text
+                    else:
+                        added = _BRIDGE[state, after] if action in (INSERT, INSERT_RELABELLED) else None
+                        piece = ("" if state == START else CLOSE) + ("" if added is None else OPEN.format(ROLES[added]) + CLOSE) + OPEN.format(ROLES[after]) + text
+                    if last and k == len(texts) - 1:
+                        piece += CLOSE + "".join(OPEN.format(ROLES[x]) + CLOSE for x in END_TURNS[after])
+                        cost += float(END_COST[after])
+                    state = after
+                    rows.append({"conv_id": conv, "position": before + k, "turn": turns[k], "role_seen": seen[k], "role": ROLES[after], "action": ACTIONS[action], "cost": cost, "rendered": piece})
+                    size += len(piece)
+                if size > CHUNK_BYTES or len(rows) >= 4096:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, size = [], 0
+        yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return placed.mapInArrow(render, "conv_id long, position long, turn long, role_seen string, role string, action string, cost double, rendered string")
 
 
 def conversations_text(pieces: DataFrame) -> DataFrame:

@@ -43,6 +43,20 @@ def test_rendered(spark):
     assert out[3] == (cf.INSERT_COST, "<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\nx<|im_end|>\n<|im_start|>user\ny<|im_end|>\n<|im_start|>assistant\nz<|im_end|>\n")
 
 
+def test_turns_without_an_order_of_their_own_are_dealt_out(spark):
+    rng = random.Random(6)
+    rows = [(7, rng.choice([None, 3]), rng.choice(["user", "assistant", "system", None]), f"t{rng.randrange(40)}") for _ in range(300)] + [(7, 3, "user", "same")] * 200 + [(8, 1, "user", "a"), (None, 1, "user", "b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(3)
+    whole, cut = ([tuple(r) for r in cf.repaired(df, chunk=c).orderBy("conv_id", "position").collect()] for c in (10**6, 7))
+    assert [r[:4] for r in whole] == [r[:4] for r in cut] and len(whole) == len(rows)
+    assert sum(r[6] for r in whole) == sum(r[6] for r in cut)
+    seven = [r for r in whole if r[0] == 7]
+    assert [r[1] for r in seven] == list(range(500)) and [r[2] is None for r in seven] == sorted((r[2] is None for r in seven), reverse=True)
+    codes = [{"system": 1, "user": 2, "assistant": 3}.get(r[3], 0) for r in seven]
+    path = cf.repair(codes)
+    assert abs(sum(r[6] for r in seven) - sum(c for _, _, c in path) - cf.END_COST[path[-1][0]]) < 1e-9
+
+
 def test_odd_rows(spark):
     rows = [(None, None, None, None, 1), (None, 1, "user", "", 2), (1, 5, "user", "x" * 100_000, 3), (1, 5, "user", "x" * 100_000, 3), (2, None, "?", "a", 4)]
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, chunk int")
