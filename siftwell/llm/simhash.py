@@ -1,6 +1,7 @@
 """Document fingerprints by SimHash, with DataFrame functions only.
 
-Terms are pairs of consecutive lower-cased words (and the last word alone).
+Terms are pairs of consecutive lower-cased words (and the last word alone; white
+space at an end of the text sets an empty word apart).
 Each occurrence of a term votes with its weight, the length of its first word up
 to MOST_WEIGHT, on each of BITS bits: for the bit where the term's hash has one,
 against it where it has zero.  Two votes travel in each long, so a text needs
@@ -11,14 +12,16 @@ tables: of radius + 2 blocks, two are equal in every such pair, and each choice
 of two blocks is the key of one table.
 
 Defined results: null text is empty; a text without words has the fingerprint
-zero; the next document follows in ascending doc_id (null first), then by a hash
-of the text; repeated rows each return a row, of which the last alone has another
-document after it; an empty table gives an empty result; other columns are
-ignored.
+zero, and a bit with as many votes for as against is zero; the next document
+follows in ascending doc_id (null first), then by a hash of the text; repeated
+rows each return a row, of which the last alone has another document after it; a
+text of any length votes with all its words; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +31,8 @@ from siftwell.llm.shared import Scratch, spread
 
 BITS = 128
 MOST_WEIGHT = 8
+#: text of a range of documents, ranges whose bounds stand in the plan, and ranges whose first ids are broadcast (16 bytes each)
+RANGE_BYTES, FAN, BROADCAST_RANGES = 24 << 20, 512, 1 << 20
 _PAIR = 0x0000000100000001
 
 
@@ -89,28 +94,52 @@ def likeness(a: str, b: str) -> Column:
     return 1.0 - distance(a, b) / float(BITS)
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def _ranges(docs: DataFrame, range_bytes: int):
+    """rb, the number of a row's range of doc_id, for ranges of about range_bytes of text (null ids are in the first).
+
+    Up to FAN ranges are quantiles of all ids; more are quantiles of the ids of
+    each of FAN coarse ranges, in a table of one row for each, eight bytes a
+    range.
+    """
+    total = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    spark = docs.sparkSession
+    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // range_bytes))
+    coarse = n if n <= FAN else math.isqrt(n - 1) + 1
+    quantiles = lambda k: F.percentile_approx("doc_id", [i / k for i in range(1, k)], 10 * k)
+    cuts = sorted(set(docs.agg(quantiles(coarse)).first()[0] or []))
+    if not cuts:
+        return lambda df: df.withColumn("rb", F.lit(0).cast("long"))
+    bounds = F.array(*[F.lit(c).cast("long") for c in cuts])
+    above = lambda of: F.coalesce(F.size(F.filter(of, lambda b: b < F.col("doc_id"))), F.lit(0)).cast("long")
+    if n <= FAN:
+        return lambda df: df.withColumn("rb", above(bounds))
+    fine = docs.where("doc_id is not null").select("doc_id", above(bounds).alias("__c")).groupBy("__c").agg(F.array_distinct(quantiles(coarse)).alias("__f"))
+    fine = Scratch(spark).keep(fine, "ranges")
+    wide = F.lit(coarse + 1).cast("long")
+
+    def place(df):
+        dealt = df.withColumn("__c", above(bounds)).join(F.broadcast(fine), "__c", "left")
+        return dealt.withColumn("rb", F.col("__c") * wide + above(F.coalesce("__f", F.array().cast("array<long>")))).drop("__c", "__f")
+
+    return place
+
+
+def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """docs (doc_id, text, th) with next_id, next_th and next_text of the following row, the first row's after the last.
 
     Rows are dealt by ranges of doc_id, so the text is shuffled once and sorted
     within ranges; each range also gets the first row of the range that follows.
     """
-    spark = docs.sparkSession
-    n = max(2, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000)).first()[0] or []
-    bounds = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]) if cuts else F.array().cast("array<long>")
-    rb = F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))), F.lit(0))
-    placed = docs.withColumn("rb", rb)
+    place = _ranges(docs, range_bytes)
     # the ids alone are read for this; there is a row for each range
-    heads = sorted(docs.select("doc_id", rb.alias("rb")).groupBy("rb").agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("none")).collect(), key=lambda r: r["rb"])
-    if not heads:
-        return docs.select("doc_id", "text", "th", F.col("doc_id").alias("next_id"), F.col("th").alias("next_th"), F.col("text").alias("next_text"))
-    firsts = [None if h["none"] else h["low"] for h in heads]
-    follow = [(heads[k - 1]["rb"], first) for k, first in enumerate(firsts)]
-    head = F.broadcast(spark.createDataFrame(follow, "target int, head_id long"))
-    wanted = F.col("doc_id").isin([f for f in firsts if f is not None]) | (F.col("doc_id").isNull() if None in firsts else F.lit(False))
-    copies = docs.where(wanted).join(head, F.col("doc_id").eqNullSafe(F.col("head_id"))).groupBy("target").agg(F.min_by(F.struct("doc_id", "text", "th"), "th").alias("d")).select("target", "d.*")
-    both = placed.withColumn("copy", F.lit(0)).unionByName(copies.select("doc_id", "text", "th", F.col("target").alias("rb"), F.lit(1).alias("copy")))
+    heads = place(docs.select("doc_id")).groupBy("rb").agg(F.max(F.col("doc_id").isNull()).alias("none"), F.min("doc_id").alias("low"))
+    heads = Scratch(docs.sparkSession).keep(heads.select("rb", F.when(~F.col("none"), F.col("low")).alias("head_id")), "heads")
+    turn = Window.orderBy("rb")
+    target = F.coalesce(F.lag("rb").over(turn), F.max("rb").over(Window.partitionBy(F.lit(0))))
+    follow = heads.select(target.alias("target"), "head_id")
+    follow = F.broadcast(follow) if heads.count() <= BROADCAST_RANGES else follow
+    copies = docs.join(follow, F.col("doc_id").eqNullSafe(F.col("head_id"))).groupBy("target").agg(F.min_by(F.struct("doc_id", "text", "th"), "th").alias("d")).select("target", "d.*")
+    both = place(docs).withColumn("copy", F.lit(0)).unionByName(copies.select("doc_id", "text", "th", F.col("target").alias("rb"), F.lit(1).alias("copy")))
     w = Window.partitionBy("rb").orderBy("copy", F.col("doc_id").asc_nulls_first(), "th")
     lead = both.select("*", *[F.lead(c).over(w).alias(f"next_{n}") for c, n in (("doc_id", "id"), ("th", "th"), ("text", "text"))])
     return lead.where("copy = 0").select("doc_id", "text", "th", "next_id", "next_th", "next_text")

@@ -1,5 +1,8 @@
 import hashlib
 import random
+import re
+
+from pyspark.sql import functions as F
 
 from siftwell.llm import simhash
 
@@ -33,6 +36,55 @@ def test_equal_texts_have_equal_fingerprints(sf01):
     assert len(set(by.values())) > 0.95 * len(by)
 
 
+def plain_print(spark, texts):
+    """Fingerprints by their definition, one term and bit at a time; only the hash is Spark's."""
+    found, pairs = [], []
+    for t in texts:
+        words = re.split(r"[ \t\n\x0B\f\r]+", t.lower())
+        pairs.append([(a, b) for a, b in zip(words, [*words[1:], None], strict=True)])
+    distinct = sorted({p for ps in pairs for p in ps}, key=str)
+    rows = spark.createDataFrame(distinct, "a string, b string").select("a", "b", *[F.xxhash64("a", "b", F.lit(k)).alias(f"h{k}") for k in range(2)]).collect()
+    hashes = {(r.a, r.b): (r.h0 % 2**64) | (r.h1 % 2**64) << 64 for r in rows}
+    for ps in pairs:
+        votes = [0] * 128
+        for a, b in ps:
+            weight = min(len(a), simhash.MOST_WEIGHT)
+            for k in range(128):
+                votes[k] += weight if hashes[a, b] >> k & 1 else -weight
+        bits = sum(1 << k for k, v in enumerate(votes) if v > 0)
+        found.append(f"{bits & 2**64 - 1:016x}{bits >> 64:016x}")
+    return found
+
+
+def check_whole(spark, df, rows):
+    """Every column of every row, with the next row by doc_id (null first) and hash of the text."""
+    th = {r.text: r.th for r in spark.createDataFrame([(t or "",) for _, t in rows], "text string").distinct().select("text", F.xxhash64("text").alias("th")).collect()}
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, th[r[1]]))
+    edits = [t[: len(t) - len(t) // 2] + rows[(k + 1) % len(rows)][1][: len(t) // 2] for k, (_, t) in enumerate(rows)]
+    own, new = plain_print(spark, [t for _, t in rows]), plain_print(spark, edits)
+    like = lambda a, b: 1 - (int(a, 16) ^ int(b, 16)).bit_count() / 128
+    want = [(i, len(t), hashlib.sha256(e.encode()).hexdigest(), own[k], new[k], like(own[k], new[k]), like(own[k], own[(k + 1) % len(rows)])) for k, ((i, t), e) in enumerate(zip(rows, edits, strict=True))]
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+
+
+def test_equals_a_plain_version(spark, sf001, odd_docs, odd_rows):
+    docs = sf001("documents").where("doc_id < 80 or doc_id % 10 = 3")
+    check_whole(spark, simhash.edited_fingerprints(docs), [(r.doc_id, r.text) for r in docs.collect()])
+    short = [(i, t) for i, t in odd_rows if i != 6]
+    check_whole(spark, simhash.edited_fingerprints(odd_docs.where("doc_id is null or doc_id <> 6")), short)
+
+
+def test_any_number_of_ranges(spark, sf001, monkeypatch):
+    docs = sf001("documents").select("doc_id", "text", F.xxhash64("text").alias("th"))
+    ordered = sorted((r.doc_id, r.text) for r in docs.collect())
+    want = sorted((i, ordered[(k + 1) % len(ordered)]) for k, (i, _) in enumerate(ordered))
+    for fan, broadcast in ((4, 1 << 20), (4, 0), (512, 0)):
+        monkeypatch.setattr(simhash, "FAN", fan)
+        monkeypatch.setattr(simhash, "BROADCAST_RANGES", broadcast)
+        got = simhash.with_next(docs, range_bytes=8000).collect()
+        assert sorted((r.doc_id, (r.next_id, r.next_text)) for r in got) == want
+
+
 def test_odd_rows(spark, odd_docs, odd_rows, no_docs):
     got = simhash.edited_fingerprints(odd_docs).collect()
     assert ids(got) == sorted((i for i, _ in odd_rows), key=lambda x: (x is None, x))
