@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.errors import ConfigError, GenerationError
-from siftwell.operators.enrich import completed
 from siftwell.plans.component import Component, registry
 
 NO_CONTEXT = "I don't have enough context to answer that."
@@ -78,7 +78,7 @@ class ExtractiveGenerator(Generator):
 
 @registry.register
 class ModelGenerator(Generator):
-    """An injected language model: a function of a prompt."""
+    """An injected language model: a function of a prompt that gives a text, or a text and what it used ({name: number}, such as tokens)."""
 
     name = "model"
 
@@ -97,6 +97,19 @@ class ModelGenerator(Generator):
 
     def complete(self, rows):
         prompt = F.concat(F.lit(self.config.instruction + "\n\nPassages:\n"), "prompt_block", F.lit("\n\nQuestion: "), "question")
-        out = completed(rows.withColumn("__prompt", prompt), "text", "__prompt", self.call, GenerationError)
-        usage = F.create_map(F.lit("input_chars"), F.length("__prompt").cast("double"), F.lit("output_chars"), F.length("text").cast("double"))
-        return out.withColumn("usage", usage)
+        call = self.call
+
+        @F.arrow_udf("struct<text:string,usage:map<string,double>>")
+        def said(prompts: pa.Array) -> pa.Array:
+            out = []
+            for p in prompts:
+                try:
+                    found = call(p.as_py())
+                except Exception as error:
+                    raise GenerationError(f"completion failed: {error}") from error
+                text, used = found if isinstance(found, tuple) else (found, {})
+                usage = {"input_chars": len(p.as_py()), "output_chars": len(text)} | dict(used)
+                out.append({"text": text, "usage": [(k, float(v)) for k, v in sorted(usage.items())]})
+            return pa.array(out, pa.struct([("text", pa.string()), ("usage", pa.map_(pa.string(), pa.float64()))]))
+
+        return rows.withColumn("__said", said(prompt)).withColumn("text", F.col("__said.text")).withColumn("usage", F.col("__said.usage")).drop("__said")

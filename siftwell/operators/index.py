@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell import schema
@@ -15,7 +15,12 @@ from siftwell.errors import ConfigError, StorageError
 from siftwell.operators import search
 from siftwell.operators.encode import Embedder, SparseEncoder
 from siftwell.operators.filters import matching
+from siftwell.operators.lexical import LexicalIndex
+from siftwell.operators.store import Versions, latest
 from siftwell.plans.component import Component, registry
+from siftwell.sources.folders import Folder
+
+__all__ = ["Corpus", "DenseRepresentation", "LexicalIndex", "LexicalRepresentation", "Representation", "SparseRepresentation", "TableStore", "VectorSpec", "latest"]
 
 
 @dataclass(frozen=True)
@@ -31,18 +36,12 @@ class VectorSpec:
         return self.kind == other.kind and (self.kind != "dense" or (self.dimensions, self.distance) == (other.dimensions, other.distance))
 
 
-def latest(rows: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
-    """The row of the highest seq for each key: an upsert as an append."""
-    w = Window.partitionBy(key).orderBy(F.col(seq).desc())
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-
-
 class TableStore(Component):
-    """Chunks and their vectors by id: rows are appended with a sequence number and the last one wins.
+    """Chunks and their vectors by id: rows are appended in batches and the last one wins.
 
-    With a path they are Parquet; without, they are cached, for small corpora.
-    Each space has a table of its own, so that refreshing one leaves the others
-    and the payload alone.
+    With a path they are Parquet, and opening it again finds what is there;
+    without, they are cached, for small corpora.  Each space has a table of its
+    own, so that refreshing one leaves the others and the payload alone.
     """
 
     kind, name = "vector_store", "table"
@@ -51,41 +50,55 @@ class TableStore(Component):
         super().__init__(config, **fields)
         self.spark, self.path = spark, path
         self.specs: dict[str, VectorSpec] = {}
-        self._tables: dict[str, DataFrame] = {}
-        self._seq = 0
+        self._tables: dict[str, Versions] = {}
+        self._folder = Folder(spark, path) if path else None
+        if self._folder and self._folder.names("specs"):
+            self.specs = {r["name"]: VectorSpec(r["name"], r["kind"], r["dimensions"], r["distance"]) for r in spark.read.schema(_SPEC).json(f"{path}/specs").collect()}
 
     def ensure_schema(self, specs: Sequence[VectorSpec]) -> None:
         for spec in specs:
             known = self.specs.get(spec.name)
             if known is not None and not known.fits(spec):
                 raise ConfigError(f"space {spec.name!r} is {known}, not {spec}")
-        self.specs |= {s.name: s for s in specs if s.name not in self.specs}
+        new = [s for s in specs if s.name not in self.specs]
+        if new and self.path:
+            self.spark.createDataFrame([(s.name, s.kind, s.dimensions, s.distance) for s in new], _SPEC).coalesce(1).write.mode("append").json(f"{self.path}/specs")
+        self.specs |= {s.name: s for s in new}
 
-    def _append(self, table: str, rows: DataFrame) -> None:
-        rows = rows.withColumn("seq", F.lit(self._seq).cast("long"))
-        if self.path:
-            folder = f"{self.path}/{table}"
-            rows.write.mode("append").parquet(folder)
-            self._tables[table] = self.spark.read.schema(rows.schema).parquet(folder)
-        else:
-            rows, old = rows.persist(), self._tables.get(table)
-            self._tables[table] = rows if old is None else old.unionByName(rows)
+    def _table(self, name: str) -> Versions:
+        if name not in self._tables:
+            self._tables[name] = Versions(self.spark, self.path, name)
+        return self._tables[name]
 
     def upsert(self, chunks: DataFrame, vectors: Mapping[str, str]) -> None:
-        """chunks with a vector column for each space in vectors (space: column)."""
+        """chunks with a vector column for each space in vectors (space: column); of rows with one id, the last is taken whole."""
         if unknown := sorted(set(vectors) - set(self.specs)):
             raise StorageError(f"spaces {unknown} are not declared")
         if lacking := [c for c in vectors.values() if c not in chunks.columns]:
             raise StorageError(f"chunks have no {lacking}")
-        for space, column in vectors.items():
-            spec = self.specs[space]
-            if spec.kind == "dense" and chunks.where(F.col(column).isNull() | (F.size(column) != spec.dimensions)).limit(1).count():
-                raise StorageError(f"space {space!r} needs vectors of {spec.dimensions}")
-        self._seq += 1
-        payload = [c for c in chunks.columns if c not in vectors.values()]
-        self._append("chunks", latest(chunks.select(*payload).withColumn("seq", F.monotonically_increasing_id())).drop("seq"))
-        for space, column in vectors.items():
-            self._append(f"space-{space}", chunks.select("id", F.col(column).alias("vector")).dropDuplicates(["id"]))
+        payload, rows = [c for c in chunks.columns if c not in vectors.values()], chunks.withColumn("__at", F.monotonically_increasing_id())
+        staged = f"staging-{uuid.uuid4().hex}"
+        if self.path:
+            rows.write.parquet(f"{self.path}/{staged}")
+            rows = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{staged}")
+        else:
+            rows = rows.persist()
+        try:
+            for space, column in vectors.items():
+                spec = self.specs[space]
+                if spec.kind == "dense" and rows.where(F.col(column).isNull() | (F.size(column) != spec.dimensions)).limit(1).count():
+                    raise StorageError(f"space {space!r} needs vectors of {spec.dimensions}")
+            # ids alone are compared; texts move only if an id stands twice
+            last = rows.groupBy("id").agg(F.max("__at").alias("__at"), F.count("*").alias("n"))
+            kept = rows if last.where("n > 1").limit(1).count() == 0 else rows.join(last.select("id", "__at"), ["id", "__at"], "left_semi")
+            self._table("chunks").append(kept.select(*payload))
+            for space, column in vectors.items():
+                self._table(f"space-{space}").append(kept.select("id", F.col(column).alias("vector")))
+        finally:
+            if self._folder:
+                self._folder.remove(staged)
+            else:
+                rows.unpersist()
 
     def update_vectors(self, space: str, rows: DataFrame) -> None:
         """(id, vector) for chunks that are there; the payload and other spaces stay."""
@@ -94,29 +107,38 @@ class TableStore(Component):
         missing = rows.join(self.chunks().select("id"), "id", "left_anti").select("id").limit(3).collect()
         if missing:
             raise StorageError(f"no chunk {', '.join(str(r.id) for r in missing)}")
-        self._seq += 1
-        self._append(f"space-{space}", rows.select("id", "vector"))
+        self._table(f"space-{space}").append(rows.select("id", "vector").dropDuplicates(["id"]))
+
+    def last(self) -> DataFrame:
+        """The chunks of the last upsert."""
+        held = self._table("chunks")
+        return held.rows(held.batches[-1:]).drop("seq")
 
     def chunks(self) -> DataFrame:
-        if "chunks" not in self._tables:
-            return self.spark.createDataFrame([], schema.CHUNK)
-        return latest(self._tables["chunks"]).drop("seq")
+        live = self._table("chunks").live()
+        return self.spark.createDataFrame([], schema.CHUNK) if live is None else live.drop("seq")
 
     def space(self, name: str) -> DataFrame:
         if name not in self.specs:
             raise StorageError(f"space {name!r} is not declared")
-        if f"space-{name}" not in self._tables:
+        live = self._table(f"space-{name}").live()
+        if live is None:
             kind = schema.SPARSE if self.specs[name].kind == "sparse" else "array<double>"
             return self.spark.createDataFrame([], f"id string, vector {kind}")
-        return latest(self._tables[f"space-{name}"]).drop("seq")
+        return live.drop("seq")
 
     def fetch(self, filters: Mapping[str, Any] | None = None, limit: int = 100) -> DataFrame:
         """Payload of the first limit matching chunks, in order of insertion and then id."""
-        if "chunks" not in self._tables:
-            return self.chunks()
-        return matching(latest(self._tables["chunks"]), filters).orderBy("seq", "doc_id", "index", "id").limit(limit).drop("seq")
+        live = self._table("chunks").live()
+        return self.chunks() if live is None else matching(live, filters).orderBy("seq", "doc_id", "index", "id").limit(limit).drop("seq")
 
+    def compact(self) -> None:
+        """Every table as one batch."""
+        for name in ("chunks", *(f"space-{s}" for s in self.specs)):
+            self._table(name).compact()
 
+
+_SPEC = "name string, kind string, dimensions int, distance string"
 registry.register(TableStore)
 
 
@@ -135,6 +157,12 @@ class Representation(Component):
     def encode(self, chunks: DataFrame) -> DataFrame | None:
         return None
 
+    def attach(self, store: TableStore) -> None:
+        """Called once, with the store of the corpus that this belongs to."""
+
+    def add(self, chunks: DataFrame) -> None:
+        """Called with the chunks that the store has just taken."""
+
     def search(self, corpus: Corpus, queries: DataFrame, k: int, filters=None) -> DataFrame:
         raise NotImplementedError
 
@@ -193,7 +221,7 @@ class SparseRepresentation(Representation):
 
 @registry.register
 class LexicalRepresentation(Representation):
-    """BM25 over the chunks' texts; statistics are of the whole corpus at the time of a search."""
+    """BM25 by a stored lexical index beside the corpus's store, or by one that is given."""
 
     name = "lexical"
 
@@ -202,11 +230,23 @@ class LexicalRepresentation(Representation):
         k1: float = 1.5
         b: float = 0.75
 
+    def __init__(self, space: str | None = None, lexical: LexicalIndex | None = None, config=None, **fields):
+        super().__init__(space, config, **fields)
+        self.index = lexical
+
     def describe(self):
         return super().describe() | {"space": self.space}
 
+    def attach(self, store):
+        if self.index is None:
+            self.index = LexicalIndex(store.spark, f"{store.path}/lexical-{self.space}" if store.path else None, k1=self.config.k1, b=self.config.b)
+
+    def add(self, chunks):
+        self.index.add(chunks)
+
     def search(self, corpus, queries, k, filters=None):
-        return search.bm25_search(queries, corpus.store.chunks(), k, self.config.k1, self.config.b, filters)
+        allowed = matching(corpus.store.chunks(), filters).select(F.col("id").alias("chunk_id")) if filters else None
+        return self.index.search(queries, k, allowed=allowed, k1=self.config.k1, b=self.config.b)
 
 
 class Corpus(Component):
@@ -223,6 +263,8 @@ class Corpus(Component):
             raise ConfigError(f"spaces {twice} stand twice")
         self.store, self.spaces = store, {r.space: r for r in representations}
         store.ensure_schema([s for r in representations if (s := r.spec()) is not None])
+        for r in representations:
+            r.attach(store)
 
     def describe(self):
         return super().describe() | {"representations": [r.describe() for r in self.spaces.values()]}
@@ -232,6 +274,9 @@ class Corpus(Component):
         own = {s: r for s, r in self.spaces.items() if r.spec() is not None}
         columns = {s: f"__vector_{uuid.uuid4().hex[:8]}" for s in own}
         self.store.upsert(chunks.select("*", *[own[s].column(chunks).alias(c) for s, c in columns.items()]), columns)
+        taken = self.store.last()
+        for r in self.spaces.values():
+            r.add(taken)
 
     def update_representation(self, space: str) -> None:
         """Encodes one space anew."""

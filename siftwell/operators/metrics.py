@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.errors import ConfigError, EvaluationError
-from siftwell.functions.text import let, normalised, tokens
+from siftwell.functions.text import counted, let, normalised, tokens
 from siftwell.plans.component import Component, registry
 
 
@@ -48,23 +48,23 @@ def ir_metrics(rankings: DataFrame, qrels: DataFrame, ks: Sequence[int] = (1, 5,
 
 
 def token_f1(answer: Column, reference: Column) -> Column:
-    """Harmonic mean of precision and recall of words as multisets; 1 if both are empty, 0 if one is."""
+    """Harmonic mean of precision and recall of words as multisets; 1 if both are empty, 0 if one is.
 
-    def f1(x: Column) -> Column:
-        a, r = x["a"], x["r"]
-        common = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(F.size(F.filter(a, lambda y: y == t)), F.size(F.filter(r, lambda y: y == t))))
-        return F.when((F.size(a) == 0) & (F.size(r) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(r) == 0), F.lit(0.0)).otherwise(2.0 * common / (F.size(a) + F.size(r)))
+    The counted words of both sides are sorted together: words in common stand
+    side by side, so a long pair costs a sort and no comparison of all with all.
+    """
 
-    return let(F.struct(tokens(answer).alias("a"), tokens(reference).alias("r")), f1)
+    def f1(x: Column) -> Column:
+        side = lambda c, n: F.transform(counted(x[c]), lambda t: F.struct(t["term"].alias("term"), F.lit(n).alias("side"), t["tf"].cast("int").alias("tf")))
+        a, r = F.size(x["a"]), F.size(x["r"])
+        ratio = let(F.array_sort(F.concat(side("a", 0), side("r", 1))), lambda both: 2.0 * F.aggregate(F.sequence(F.lit(1), F.size(both)), F.lit(0), lambda s, i: s + shared(both, i)) / (a + r))
+        return F.when((a == 0) & (r == 0), F.lit(1.0)).when((a == 0) | (r == 0), F.lit(0.0)).otherwise(ratio)
 
+    def shared(both: Column, i: Column) -> Column:
+        one, other = F.element_at(both, i), F.get(both, i)  # get counts from 0: the one that follows
+        return F.when(one["term"] == other["term"], F.least(one["tf"], other["tf"])).otherwise(F.lit(0))
 
-def token_f1_by_count(pairs: DataFrame, key: str = "qid", answer: str = "answer", reference: str = "reference") -> DataFrame:
-    """(key, token_f1) for long texts: words are counted on both sides and joined, linear in their number."""
-    count = lambda c, n: pairs.select(key, F.explode(tokens(F.col(c))).alias("t")).groupBy(key, "t").agg(F.count("*").alias(n))
-    sizes = pairs.select(key, F.size(tokens(F.col(answer))).alias("na"), F.size(tokens(F.col(reference))).alias("nr"))
-    common = count(answer, "x").join(count(reference, "y"), [key, "t"]).groupBy(key).agg(F.sum(F.least("x", "y")).alias("common"))
-    f1 = F.when((F.col("na") == 0) & (F.col("nr") == 0), 1.0).when((F.col("na") == 0) | (F.col("nr") == 0), 0.0).otherwise(2.0 * F.coalesce("common", F.lit(0)) / (F.col("na") + F.col("nr")))
-    return sizes.join(common, key, "left").select(key, f1.alias("token_f1"))
+    return let(F.struct(tokens(answer).alias("a"), tokens(reference).alias("r")), f1)
 
 
 def exact_match(answer: Column, reference: Column) -> Column:

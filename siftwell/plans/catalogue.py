@@ -1,22 +1,27 @@
 """Registered queries of the operators and, where SQL can express them, their oracle.
 
-Every query runs over its whole tables, except that searches with an oracle ask
-the few queries that their SQL names; their twins NAME_all ask all of them and
-have no oracle.  The oracle builds its inputs from the same tables: pages and
-windows by recursion, searches by aggregation.
+Every query runs over its whole tables and whole texts: searches ask every
+benchmark item, and searches by vector every one whose id is divisible by 100.
+The oracle builds its inputs from the same tables: pages and windows by
+recursion, searches by aggregation.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as tx
 from siftwell.operators import chunking, encode, enrich, generate, index, metrics, refine, retrieve, search
 from siftwell.operators.filters import matching
+from siftwell.operators.store import latest
 from siftwell.plans import pipeline, trials
 from siftwell.plans.space import SearchSpace, choice
-from siftwell.sources import blobs, detect, html, ocr, pages
+from siftwell.sources import blobs, detect, html, ocr, pages, parsers
+from siftwell.sources.folders import shared_folder
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -40,21 +45,6 @@ def query(sql: str | None = None):
     return add
 
 
-def whole(**asked):
-    """Also registers NAME_all, which has no oracle: f with the whole inputs in place of the subsets of its SQL."""
-
-    def add(f):
-        def run(spark, sf_dir):
-            return f(spark, sf_dir, **asked)
-
-        run.__name__ = f"{f.__name__}_all"
-        run.__doc__ = f.__doc__
-        QUERIES[run.__name__] = run
-        return f
-
-    return add
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; a file of one row group is dealt out, since its scan is one task."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -82,23 +72,27 @@ def _markdown(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n").alias("markdown"))
 
 
-def _questions(spark, sf_dir, first=True) -> DataFrame:
-    """The questions of the SQL: five words of ten benchmark items."""
-    words = tx.tokens(F.col("text"))
-    part = F.slice(words, 1, 5) if first else F.slice(F.reverse(words), 1, 5)
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("item_id < 10").select(F.col("item_id").alias("qid"), F.array_join(part, " ").alias("text"))
+def _questions(spark, sf_dir) -> DataFrame:
+    """Every benchmark item with its whole text."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
-def _every_question(spark, sf_dir, first=True) -> DataFrame:
-    """Every benchmark item with its whole text; the other wording is the second half of its words."""
-    words = tx.tokens(F.col("text"))
-    half = F.floor(F.size(words) / 2).cast("int")
-    text = F.col("text") if first else F.array_join(F.slice(words, half + 1, F.size(words)), " ")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), text.alias("text"))
+_CORPORA: dict[tuple[str, str], index.Corpus] = {}
 
 
-def _bm25(spark, sf_dir, k=10, b=0.75, first=True, filters=None, chunks=None, asked=_questions) -> DataFrame:
-    return search.bm25_search(asked(spark, sf_dir, first), chunks if chunks is not None else _chunks(spark, sf_dir), k, b=b, filters=filters)
+def corpus(spark, sf_dir) -> index.Corpus:
+    """The chunks of all documents and their lexical index, made once a session and read by every search."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CORPORA:
+        made = index.Corpus(index.TableStore(spark, f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"), [index.LexicalRepresentation()])
+        made.add(_chunks(spark, sf_dir))
+        _CORPORA[key] = made
+    return _CORPORA[key]
+
+
+def _bm25(spark, sf_dir, k=10, b=0.75, filters=None) -> DataFrame:
+    """BM25 of every item from the stored index."""
+    return index.LexicalRepresentation(lexical=corpus(spark, sf_dir).representation("lexical").index, b=b).search(corpus(spark, sf_dir), _questions(spark, sf_dir), k, filters)
 
 
 def _shown(rankings: DataFrame) -> DataFrame:
@@ -146,16 +140,10 @@ def chunks_sql(size: int = 1600, overlap: int = 200, base: str = PAGES_SQL) -> s
   chunk AS (SELECT doc_id || ':' || idx AS id, doc_id, idx, s, e, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY part, pos) - 1 AS idx FROM span WHERE regexp_matches(text, '\\S')))"""
 
 
-def questions_sql(first: bool = True) -> str:
-    words = tok("text")
-    part = f"list_slice({words}, 1, 5)" if first else f"list_slice(list_reverse({words}), 1, 5)"
-    return f"(SELECT item_id AS qid, array_to_string({part}, ' ') AS text FROM benchmark WHERE item_id < 10)"
-
-
-def bm25_sql(name: str, b: float = 0.75, first: bool = True, where: str = "", k: int = 10) -> str:
+def bm25_sql(name: str, b: float = 0.75, where: str = "", k: int = 10, asked: str = "SELECT item_id AS qid, text FROM benchmark") -> str:
     """CTEs up to name(qid, chunk_id, score, rank) over chunk."""
     return f"""
-  {name}_q AS {questions_sql(first)},
+  {name}_q AS ({asked}),
   {name}_w AS (SELECT id, doc_id, {tok('text')} AS t FROM chunk),
   {name}_s AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS a FROM {name}_w),
   {name}_t AS (SELECT DISTINCT qid, unnest({tok('text')}) AS term FROM {name}_q),
@@ -282,15 +270,73 @@ def upsert_latest(spark, sf_dir):
 WITH now AS (SELECT DISTINCT sha256(text) AS text_hash FROM documents), old AS (SELECT DISTINCT sha256(text) AS text_hash FROM documents WHERE lang = 'en')
 SELECT text_hash, text_hash IN (SELECT text_hash FROM old) AS hit FROM now""")
 def embedding_cache_hits(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("text_hash"), "lang")
-    old = docs.where("lang = 'en'").select("text_hash").distinct().withColumn("hit", F.lit(True))
-    return docs.select("text_hash").distinct().join(old, "text_hash", "left").select("text_hash", F.coalesce("hit", F.lit(False)).alias("hit"))
+    cache = encode.EmbeddingCache(encode.HashingEmbedder(dimensions=8), f"{shared_folder(spark)}/embeddings-{uuid.uuid4().hex}")
+    docs = table(spark, sf_dir, "documents").select("text", "lang")
+    cache.embed(docs.where("lang = 'en'"))
+    before = cache.stored(spark, "passages").select("text_hash").withColumn("hit", F.lit(True))
+    found = before.join(docs.select(F.sha2("text", 256).alias("text_hash")).distinct(), "text_hash", "right")
+    return found.select("text_hash", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
-@query("SELECT conv_id, turn, sha256('judge' || chr(1) || role || chr(1) || text) AS key FROM conversations")
+@query("SELECT conv_id, turn, sha256('judge' || chr(0) || role || chr(0) || text) AS key FROM conversations")
 def judge_cache_key(spark, sf_dir):
-    sep = F.lit("\x01")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.concat(F.lit("judge"), sep, "role", sep, "text"), 256).alias("key"))
+    asked = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("question"), F.col("text").alias("answer"))
+    return asked.select("conv_id", "turn", metrics.judge_key("judge").alias("key"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 3 WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS version, text, lang FROM documents)
+SELECT doc_id::VARCHAR AS id, 'v' || version || ' ' || text AS text, (CASE WHEN doc_id % 5 = 0 THEN -1 ELSE version END)::DOUBLE AS first FROM d""")
+def store_upserts(spark, sf_dir):
+    """Chunks written three times, the last time by a store that was opened again, and a refreshed space."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path, spec = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", index.VectorSpec("v", "dense", 2)
+
+    def version(n, rows):
+        chunk = rows.select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit(f"v{n} "), "text").alias("text"), F.lit(0).alias("index"))
+        return chunk.withColumn("vector", F.array(F.lit(float(n)), F.lit(1.0)))
+
+    store = index.TableStore(spark, path)
+    store.ensure_schema([spec])
+    store.upsert(version(1, docs), {"v": "vector"})
+    store.upsert(version(2, docs.where("doc_id % 3 = 0")), {"v": "vector"})
+    store = index.TableStore(spark, path)
+    store.upsert(version(3, docs.where("doc_id % 7 = 0")), {"v": "vector"})
+    store.update_vectors("v", docs.where("doc_id % 5 = 0").select(F.col("doc_id").cast("string").alias("id"), F.array(F.lit(-1.0), F.lit(0.0)).alias("vector")))
+    return store.chunks().join(store.space("v"), "id").select("id", "text", F.col("vector")[0].alias("first"))
+
+
+@query(f"{chunks_sql()} SELECT id, lang FROM chunk JOIN doc USING (doc_id) WHERE lang = 'de' ORDER BY doc_id::VARCHAR, idx, id LIMIT 50")
+def store_fetch(spark, sf_dir):
+    return corpus(spark, sf_dir).fetch({"lang": "de"}, 50).select("id", F.col("metadata")["lang"].alias("lang"))
+
+
+@query("""
+WITH n AS (SELECT doc_id, len(string_split(text, chr(10))) AS pages FROM documents)
+SELECT policy, doc_id, kind, 1::BIGINT AS first_page, pages::BIGINT AS last_page FROM n, (VALUES ('force', 'ocr'), ('never', 'text'), ('no engine', 'text')) p(policy, kind)""")
+def ocr_policies(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).select("doc_id", (F.col("p") + 1).alias("page"), F.length("line").alias("chars"))
+    ways = (("force", ocr.OcrPolicy.FORCE, True), ("never", ocr.OcrPolicy.NEVER, True), ("no engine", ocr.OcrPolicy.AUTO, False))
+    plans = [ocr.segment_plan(lines, policy=policy, engine=engine).withColumn("policy", F.lit(name)) for name, policy, engine in ways]
+    return reduce(DataFrame.unionByName, plans).select("policy", "doc_id", "kind", F.col("start").cast("long").alias("first_page"), F.col("end").cast("long").alias("last_page"))
+
+
+def _files(spark, sf_dir) -> DataFrame:
+    """Documents as files, every second one markdown, and pages as web files."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d-"), "doc_id", F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(".txt")).alias("uri"), F.col("text").cast("binary").alias("content"))
+    return docs.withColumn("doc_id", F.col("uri"))
+
+
+@query(f"""WITH RECURSIVE {PAGES_SQL}
+SELECT 'd-' || d.doc_id || CASE WHEN d.doc_id % 2 = 0 THEN '.md' ELSE '.txt' END AS doc_id, count(p.number)::BIGINT AS page_count, sha256(any_value(d.markdown)) AS markdown_hash FROM doc d LEFT JOIN page p USING (doc_id) GROUP BY d.doc_id""")
+def parse_auto(spark, sf_dir):
+    """Files by the parser of their format, through the parse cache: the second parse reads what the first has written."""
+    step = pipeline.IndexingPipeline(parsers.AutoParser(), chunking.FixedChunker(), cache=f"{shared_folder(spark)}/parsed-{uuid.uuid4().hex}")
+    files = detect.detect_format(_files(spark, sf_dir))
+    path = f"{step.cache}/parsed"
+    for _ in range(2):
+        found = blobs.through_cache(files, spark, path, ["doc_id"], step.parser.parse)
+    return found.select("doc_id", F.col("page_count").cast("long").alias("page_count"), F.sha2("markdown", 256).alias("markdown_hash"))
 
 
 # --- text and chunks ------------------------------------------------------------------------------------------------------
@@ -390,6 +436,16 @@ def enrich_synthetic(spark, sf_dir):
     return enrich.synthetic(chunks, chunks.where("index = 0").select("id", F.concat(F.lit("About "), "text").alias("text"))).select("id", "text")
 
 
+@query(f"""{chunks_sql()}
+SELECT id, (length(text) + least(length(markdown), 100) + 2)::VARCHAR || ' characters' || {_NL} || {_NL} || text AS text FROM chunk JOIN doc USING (doc_id)""")
+def enrich_contextual(spark, sf_dir):
+    """A model that counts the characters of its prompt, less what the prompt always has."""
+    empty = len("<document>\n\n</document>\n<chunk>\n\n</chunk>\nSay in one sentence what this chunk is about within the document.") - 2
+    docs = _documents(spark, sf_dir)
+    chunks = chunking.FixedChunker().chunk(docs)
+    return enrich.ContextualEnricher(lambda prompt: f" {len(prompt) - empty} characters", max_document_chars=100).enrich(chunks, docs).select("id", "text")
+
+
 # --- encoders and search ----------------------------------------------------------------------------------------------------
 
 
@@ -398,156 +454,168 @@ def embed_hashing(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", encode.HashingEmbedder().passage(F.col("text")).alias("vector"))
 
 
-@whole(asked="true")
 @query("""
-WITH q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id < 20),
+WITH q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT qid, vec_id::VARCHAR AS chunk_id, list_cosine_similarity(qv::DOUBLE[], embedding::DOUBLE[]) AS score FROM q, embeddings)
 SELECT qid, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id DESC) AS rank FROM s) WHERE rank <= 10""")
-def search_dense_topk(spark, sf_dir, asked="vec_id < 20"):
+def search_dense_topk(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), "vec_id")
-    return _shown(search.dense_search(v.where(asked).select(F.col("vec_id").alias("qid"), "vector"), v.select("id", "vector"), 10))
+    return _shown(search.dense_search(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "vector"), v.select("id", "vector"), 10))
 
 
-@whole(asked="true")
 @query("""
-WITH q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id < 20),
+WITH q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT qid, vec_id::VARCHAR AS chunk_id, list_cosine_similarity(qv::DOUBLE[], embedding::DOUBLE[]) AS score FROM q, embeddings WHERE label IN (1, 3))
 SELECT qid, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id DESC) AS rank FROM s) WHERE rank <= 10""")
-def search_dense_filtered(spark, sf_dir, asked="vec_id < 20"):
+def search_dense_filtered(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), "vec_id", "label")
-    return _shown(search.dense_search(v.where(asked).select(F.col("vec_id").alias("qid"), "vector"), v, 10, filters={"label": [1, 3]}))
+    return _shown(search.dense_search(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "vector"), v, 10, filters={"label": [1, 3]}))
 
 
-@whole(asked="true")
 @query("""
 WITH c AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
-q AS (SELECT vec_id AS qid, i, v AS qv FROM c WHERE vec_id < 5 AND v > 0.15), d AS (SELECT vec_id, i, v FROM c WHERE v > 0.15),
+q AS (SELECT vec_id AS qid, i, v AS qv FROM c WHERE vec_id % 100 = 0 AND v > 0), d AS (SELECT vec_id, i, v FROM c WHERE v > 0),
 hit AS (SELECT qid, vec_id, sum(v * qv) AS score FROM q JOIN d USING (i) GROUP BY ALL),
-s AS (SELECT qid, e.vec_id::VARCHAR AS chunk_id, coalesce(score, 0) AS score FROM (SELECT vec_id AS qid FROM embeddings WHERE vec_id < 5) JOIN embeddings e ON true LEFT JOIN hit USING (qid, vec_id))
+s AS (SELECT qid, e.vec_id::VARCHAR AS chunk_id, coalesce(score, 0) AS score FROM (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 100 = 0) JOIN embeddings e ON true LEFT JOIN hit USING (qid, vec_id))
 SELECT qid, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id DESC) AS rank FROM s) WHERE rank <= 10""")
-def search_sparse_dot(spark, sf_dir, asked="vec_id < 5"):
+def search_sparse_dot(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
-    kept = F.filter(F.transform("v", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda t: t["x"] > 0.15)
+    kept = F.filter(F.transform("v", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda t: t["x"] > 0)
     sparse = F.struct(F.transform(kept, lambda t: t["i"]).alias("indices"), F.transform(kept, lambda t: t["x"]).alias("values"))
     rows = e.select(F.col("vec_id").cast("string").alias("id"), "vec_id", sparse.alias("sparse"))
-    return _shown(search.sparse_search(rows.where(asked).select(F.col("vec_id").alias("qid"), "sparse"), rows, 10))
+    return _shown(search.sparse_search(rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "sparse"), rows, 10))
 
 
-@whole(asked=_every_question)
 @query(f"{chunks_sql()}, {bm25_sql('r')} {SHOWN.format('r')}")
-def search_bm25_topk(spark, sf_dir, asked=_questions):
-    return _shown(_bm25(spark, sf_dir, asked=asked))
+def search_bm25_topk(spark, sf_dir):
+    return _shown(_bm25(spark, sf_dir))
 
 
-@whole(asked=_every_question)
 @query(f"{chunks_sql()}, {bm25_sql('r', where='WHERE doc_id IN (SELECT doc_id FROM doc WHERE lang = $$en$$)')} {SHOWN.format('r')}")
-def search_bm25_filtered(spark, sf_dir, asked=_questions):
-    return _shown(_bm25(spark, sf_dir, filters={"lang": "en"}, asked=asked))
+def search_bm25_filtered(spark, sf_dir):
+    return _shown(_bm25(spark, sf_dir, filters={"lang": "en"}))
 
 
 _TWO = f"{chunks_sql()}, {bm25_sql('a', k=60)}, {bm25_sql('z', b=0.0, k=60)}"
 
 
-def _two(spark, sf_dir, asked):
-    chunks = _chunks(spark, sf_dir)
-    return [("a", _bm25(spark, sf_dir, 60, chunks=chunks, asked=asked)), ("z", _bm25(spark, sf_dir, 60, b=0.0, chunks=chunks, asked=asked))]
+def _two(spark, sf_dir):
+    return [("a", _bm25(spark, sf_dir, 60)), ("z", _bm25(spark, sf_dir, 60, b=0.0))]
 
 
-@whole(asked=_every_question)
 @query(f"{_TWO}, {rrf_sql('f', [('a', 1.0), ('z', 1.0)])} {SHOWN.format('f')}")
-def fuse_rrf(spark, sf_dir, asked=_questions):
-    return _shown(search.fuse(_two(spark, sf_dir, asked), 10))
+def fuse_rrf(spark, sf_dir):
+    return _shown(search.fuse(_two(spark, sf_dir), 10))
 
 
-@whole(asked=_every_question)
 @query(f"{_TWO}, {rrf_sql('f', [('a', 2.0), ('z', 0.5)])} {SHOWN.format('f')}")
-def fuse_rrf_weighted(spark, sf_dir, asked=_questions):
-    return _shown(search.fuse(_two(spark, sf_dir, asked), 10, weights=[2.0, 0.5]))
+def fuse_rrf_weighted(spark, sf_dir):
+    return _shown(search.fuse(_two(spark, sf_dir), 10, weights=[2.0, 0.5]))
 
 
-@whole(asked=_every_question)
 @query(f"{_TWO}, {rrf_sql('f', [('a', 1.0), ('z', 1.0)])} SELECT f.qid, f.chunk_id, a.rank AS a_rank, z.rank AS z_rank FROM f LEFT JOIN a USING (qid, chunk_id) LEFT JOIN z USING (qid, chunk_id)")
-def fuse_rrf_sources(spark, sf_dir, asked=_questions):
-    f = search.fuse(_two(spark, sf_dir, asked), 10)
+def fuse_rrf_sources(spark, sf_dir):
+    f = search.fuse(_two(spark, sf_dir), 10)
     return f.select("qid", "chunk_id", *[F.try_element_at("sources", F.lit(x)).cast("long").alias(f"{x}_rank") for x in ("a", "z")])
 
 
-@whole(asked=_every_question)
-@query(f"{chunks_sql()}, {bm25_sql('a', k=20)}, {bm25_sql('z', first=False, k=20)}, {rrf_sql('f', [('a', 1.0), ('z', 1.0)])} {SHOWN.format('f')}")
-def multi_query_fusion(spark, sf_dir, asked=_questions):
-    chunks = _chunks(spark, sf_dir)
-    return _shown(search.fuse([("q0", _bm25(spark, sf_dir, 20, chunks=chunks, asked=asked)), ("q1", _bm25(spark, sf_dir, 20, first=False, chunks=chunks, asked=asked))], 10))
+@query(f"{chunks_sql()}, {bm25_sql('a', k=20)}, {bm25_sql('y', k=20, asked='SELECT item_id AS qid, left(text, 40) AS text FROM benchmark')}, {bm25_sql('z', k=20, asked='SELECT item_id AS qid, right(text, 40) AS text FROM benchmark')}, {rrf_sql('f', [('a', 1.0), ('y', 1.0), ('z', 1.0)])} {SHOWN.format('f')}")
+def multi_query_fusion(spark, sf_dir):
+    """Every item and two wordings that a model, here its first and last forty characters, gives."""
+
+    def phrasings(prompt: str) -> str:
+        question = prompt.rsplit("Question: ", 1)[-1]
+        return question[:40] + "\n" + question[-40:]
+
+    inner = retrieve.IndexRetriever(corpus(spark, sf_dir))
+    found = retrieve.MultiQueryRetriever(inner, phrasings, n=2).retrieve(_questions(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"\R", " ")), 10)
+    return _shown(found)
+
+
+@query(f"""{chunks_sql()}, {bm25_sql('a', k=60)}, {rrf_sql('f', [('a', 1.0), ('a', 1.0)])}
+SELECT f.qid, f.chunk_id, round(f.score, 6) AS score, f.rank, a.rank AS first_rank, a.rank AS second_rank FROM f JOIN a USING (qid, chunk_id)""")
+def search_fusion_retriever(spark, sf_dir):
+    """The same space twice: sources with one name are told apart."""
+    both = [retrieve.IndexRetriever(corpus(spark, sf_dir)) for _ in range(2)]
+    found = retrieve.FusionRetriever(both).retrieve(_questions(spark, sf_dir), 10)
+    names = search.source_labels([r.label for r in both])
+    ranks = [F.try_element_at("sources", F.lit(n)).cast("long").alias(c) for n, c in zip(names, ("first_rank", "second_rank"), strict=True)]
+    return found.select("qid", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), *ranks)
 
 
 # --- refinement and generation --------------------------------------------------------------------------------------------------
 
 
-def _candidates(spark, sf_dir, k=10, asked=_questions):
-    chunks = _chunks(spark, sf_dir).persist()
-    return refine.candidates(_bm25(spark, sf_dir, k, chunks=chunks, asked=asked), chunks), chunks
+def _candidates(spark, sf_dir, k=10):
+    chunks = corpus(spark, sf_dir).store.chunks()
+    return refine.candidates(_bm25(spark, sf_dir, k), chunks), chunks
 
 
 _WORDS = f"list_distinct({tok('{}')})"
 _JACCARD = "CASE WHEN len(qw) = 0 OR len(cw) = 0 THEN 0.0 ELSE len(list_intersect(qw, cw)) / len(list_distinct(list_concat(qw, cw))) END"
 
 
-@whole(asked=_every_question)
 @query(f"""{chunks_sql()}, {bm25_sql('r')},
   w AS (SELECT r.qid, chunk_id, list_distinct({tok('q.text')}) AS qw, list_distinct({tok('c.text')}) AS cw FROM r JOIN chunk c ON c.id = chunk_id JOIN r_q q ON q.qid = r.qid),
   j AS (SELECT qid, chunk_id, {_JACCARD} AS score FROM w)
 SELECT qid, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id DESC) AS rank FROM j""")
-def refine_keyword_jaccard(spark, sf_dir, asked=_questions):
-    rows, chunks = _candidates(spark, sf_dir, asked=asked)
-    return _shown(refine.KeywordRefiner().refine(rows, asked(spark, sf_dir), chunks).withColumn("rank", F.col("pos")))
+def refine_keyword_jaccard(spark, sf_dir):
+    rows, chunks = _candidates(spark, sf_dir)
+    return _shown(refine.KeywordRefiner().refine(rows, _questions(spark, sf_dir), chunks).withColumn("rank", F.col("pos")))
 
 
-@whole(asked=_every_question)
 @query(f"""{chunks_sql()}, {bm25_sql('r')} SELECT qid, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM r WHERE score >= 12.0""")
-def refine_threshold(spark, sf_dir, asked=_questions):
-    rows, chunks = _candidates(spark, sf_dir, asked=asked)
-    return _shown(refine.ScoreThreshold(min_score=12.0).refine(rows, asked(spark, sf_dir), chunks).withColumn("rank", F.col("pos")))
+def refine_threshold(spark, sf_dir):
+    rows, chunks = _candidates(spark, sf_dir)
+    return _shown(refine.ScoreThreshold(min_score=12.0).refine(rows, _questions(spark, sf_dir), chunks).withColumn("rank", F.col("pos")))
 
 
-@whole(asked=_every_question)
 @query(f"""{chunks_sql()}, {bm25_sql('r', k=5)},
   g AS (SELECT r.qid, r.chunk_id, r.rank, a.doc_id, min(n.s) AS s, max(n.e) AS e FROM r JOIN chunk a ON a.id = r.chunk_id JOIN chunk n ON n.doc_id = a.doc_id AND n.idx BETWEEN a.idx - 1 AND a.idx + 1 GROUP BY ALL)
 SELECT qid, chunk_id, rank, s::BIGINT AS char_start, e::BIGINT AS char_end, substr(markdown, s + 1, e - s) AS text FROM g JOIN doc USING (doc_id)""")
-def refine_neighbor_merge(spark, sf_dir, asked=_questions):
-    rows, chunks = _candidates(spark, sf_dir, 5, asked=asked)
-    out = refine.NeighborExpander().refine(rows, asked(spark, sf_dir), chunks)
+def refine_neighbor_merge(spark, sf_dir):
+    rows, chunks = _candidates(spark, sf_dir, 5)
+    out = refine.NeighborExpander().refine(rows, _questions(spark, sf_dir), chunks)
     return out.select("qid", "chunk_id", F.col("pos").cast("long").alias("rank"), F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"), "text")
 
 
+@query(f"""{chunks_sql()}, {bm25_sql('r')},
+  l AS (SELECT r.qid, chunk_id, -abs(length(q.text) - length(c.text))::DOUBLE AS score FROM r JOIN chunk c ON c.id = chunk_id JOIN r_q q ON q.qid = r.qid)
+SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id DESC) AS rank FROM l""")
+def refine_cross_encoder(spark, sf_dir):
+    """A model that likes passages as long as the question."""
+    rows, chunks = _candidates(spark, sf_dir)
+    by_length = refine.CrossEncoderReranker(lambda pairs: [-abs(len(q) - len(t)) for q, t in pairs])
+    return _shown(by_length.refine(rows, _questions(spark, sf_dir), chunks).withColumn("rank", F.col("pos")))
+
+
 _PACKED = f"""{chunks_sql()}, {bm25_sql('r', k=8)},
   b AS (SELECT qid, chunk_id, rank, text, '[' || rank || '] ' || text AS block FROM r JOIN chunk ON id = chunk_id),
   u AS (SELECT *, sum(length(block) + CASE WHEN rank > 1 THEN 2 ELSE 0 END) OVER (PARTITION BY qid ORDER BY rank) AS used FROM b),
   packed AS (SELECT * FROM u WHERE rank = 1 OR used <= 4000)"""
 
 
-@whole(asked=_every_question)
 @query(f"{_PACKED} SELECT qid, string_agg(block, {_NL} || {_NL} ORDER BY rank) AS prompt_block, string_agg(chunk_id, ',' ORDER BY rank) AS cited FROM packed GROUP BY qid")
-def pack_context(spark, sf_dir, asked=_questions):
-    rows, _ = _candidates(spark, sf_dir, 8, asked=asked)
+def pack_context(spark, sf_dir):
+    rows, _ = _candidates(spark, sf_dir, 8)
     c = generate.contexts(generate.pack(rows, 4000))
     return c.select("qid", "prompt_block", F.array_join(F.transform("citations", lambda x: x["chunk_id"]), ",").alias("cited"))
 
 
-@whole(asked=_every_question)
 @query(f"""{_PACKED},
   a AS (SELECT qid, count(*) AS n, qid % 4 AS m FROM packed GROUP BY qid)
 SELECT a.qid, string_agg(rank::VARCHAR, ',' ORDER BY rank) AS markers FROM a JOIN packed p ON p.qid = a.qid AND (m < 1 OR m > n OR rank = m) GROUP BY a.qid""")
-def resolve_citations(spark, sf_dir, asked=_questions):
-    rows, _ = _candidates(spark, sf_dir, 8, asked=asked)
+def resolve_citations(spark, sf_dir):
+    rows, _ = _candidates(spark, sf_dir, 8)
     answers = generate.contexts(generate.pack(rows, 4000)).withColumn("text", F.concat(F.lit("as said in ["), (F.col("qid") % 4).cast("string"), F.lit("], and so on")))
     return generate.resolve_citations(answers).select("qid", F.array_join(F.transform("citations", lambda c: c["marker"].cast("string")), ",").alias("markers"))
 
 
-@whole(asked=_every_question)
 @query(f"""{_PACKED}
 SELECT q.qid, coalesce(p.text || ' [1]', 'I don''t have enough context to answer that.') AS answer, p.chunk_id AS cited FROM r_q q LEFT JOIN packed p ON p.qid = q.qid AND p.rank = 1""")
-def extractive_answer(spark, sf_dir, asked=_questions):
-    rows, _ = _candidates(spark, sf_dir, 8, asked=asked)
-    out = generate.ExtractiveGenerator().generate(asked(spark, sf_dir), rows)
+def extractive_answer(spark, sf_dir):
+    rows, _ = _candidates(spark, sf_dir, 8)
+    out = generate.ExtractiveGenerator().generate(_questions(spark, sf_dir), rows)
     return out.select("qid", F.col("text").alias("answer"), F.try_element_at("citations", F.lit(1))["chunk_id"].alias("cited"))
 
 
@@ -557,53 +625,47 @@ def rag_answers(spark, sf_dir):
     corpus = index.Corpus(index.TableStore(spark), [index.DenseRepresentation(encode.HashingEmbedder()), index.LexicalRepresentation()])
     rag = pipeline.RagPipeline(corpus, chunker=chunking.FixedChunker(), refiners=[refine.KeywordRefiner()])
     rag.index_documents(_documents(spark, sf_dir))
-    out = rag.ask(_every_question(spark, sf_dir))
+    out = rag.ask(_questions(spark, sf_dir))
     return out.select("qid", F.col("text").alias("answer"), F.transform("citations", lambda c: c["chunk_id"]).alias("cited"))
 
 
 @query()
 def search_hybrid(spark, sf_dir):
     corpus = index.Corpus(index.TableStore(spark), [index.DenseRepresentation(encode.HashingEmbedder(dimensions=64)), index.SparseRepresentation(encode.HashedTermFrequency()), index.LexicalRepresentation()])
-    corpus.add(_chunks(spark, sf_dir).persist())
-    return _shown(retrieve.HybridRetriever(corpus).retrieve(_every_question(spark, sf_dir), 10))
+    corpus.add(_chunks(spark, sf_dir))
+    return _shown(retrieve.HybridRetriever(corpus).retrieve(_questions(spark, sf_dir), 10))
 
 
 @query()
 def search_hyde(spark, sf_dir):
     corpus = index.Corpus(index.TableStore(spark), [index.LexicalRepresentation()])
-    corpus.add(_chunks(spark, sf_dir).persist())
+    corpus.add(_chunks(spark, sf_dir))
     said = retrieve.HydeRetriever(retrieve.IndexRetriever(corpus), lambda prompt: prompt.rsplit(": ", 1)[-1].upper())
-    return _shown(said.retrieve(_every_question(spark, sf_dir), 10))
+    return _shown(said.retrieve(_questions(spark, sf_dir), 10))
 
 
 # --- evaluation -----------------------------------------------------------------------------------------------------------------
 
-_IR = """
+_IR_PARTS = """
   n AS (SELECT qid, count(*) AS n FROM truth GROUP BY qid),
-  h AS (SELECT t.qid, min(rank) AS first, sum((rank <= 5)::INT) AS h5, sum((rank <= 10)::INT) AS h10, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM truth t JOIN found f ON f.qid = t.qid AND f.item = t.item GROUP BY t.qid)
+  h AS (SELECT t.qid, min(rank) AS first, sum((rank <= 5)::INT) AS h5, sum((rank <= 10)::INT) AS h10, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM truth t JOIN found f ON f.qid = t.qid AND f.item = t.item GROUP BY t.qid)"""
+_IR_SELECT = """
 SELECT qid, round(coalesce(h5, 0) / n, 9) AS recall5, round(coalesce(h10, 0) / n, 9) AS recall10, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 9) AS ndcg10, round(coalesce(1 / first, 0), 9) AS mrr
 FROM n LEFT JOIN h USING (qid)"""
+_IR = _IR_PARTS + _IR_SELECT
 
 
 def _ir(rows: DataFrame) -> DataFrame:
     return rows.select("qid", *[F.round(F.col(f"`{m}`"), 9).alias(n) for m, n in (("recall@5", "recall5"), ("recall@10", "recall10"), ("ndcg@10", "ndcg10"), ("mrr", "mrr"))])
 
 
-def _relevant(spark, sf_dir):
-    return table(spark, sf_dir, "labels").where("quality = 1").select((F.col("doc_id") % 10).alias("qid"), F.col("doc_id").cast("string").alias("doc_id"))
-
-
-def _first_chunks(spark, sf_dir):
-    return _relevant(spark, sf_dir).select("qid", F.concat("doc_id", F.lit(":0")).alias("chunk_id"))
-
-
 #: words of an item that a relevant text has in a row; a shorter item counts as a whole
 PASSAGE_WORDS = 10
 
 
 def _passages(spark, sf_dir, texts, key):
     """(qid, key) of each row of texts (key, text) with PASSAGE_WORDS consecutive words of an item."""
-    items = _every_question(spark, sf_dir).select("qid", tx.tokens(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("n", F.least(F.size("w"), F.lit(PASSAGE_WORDS)))
+    items = _questions(spark, sf_dir).select("qid", tx.tokens(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("n", F.least(F.size("w"), F.lit(PASSAGE_WORDS)))
     runs = lambda w, n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda at: F.array_join(F.slice(w, at, n), " "))
     wanted = items.select("qid", F.explode(F.array_distinct(runs(F.col("w"), F.col("n")))).alias("run"))
     small = wanted.limit(search.QUERY_BLOCK + 1).count() <= search.QUERY_BLOCK
@@ -613,29 +675,49 @@ def _passages(spark, sf_dir, texts, key):
     return found.select("qid", key).distinct()
 
 
+def passages_sql(source: str) -> str:
+    """CTEs up to truth(qid, item) over source(id, text)."""
+    return f"""
+  items AS (SELECT item_id AS qid, {tok('text')} AS w, least(len({tok('text')}), {PASSAGE_WORDS}) AS n FROM benchmark WHERE len({tok('text')}) > 0),
+  runs AS (SELECT DISTINCT qid, n, array_to_string(w[k:k + n - 1], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM items)),
+  held AS (SELECT id, n, array_to_string(w[k:k + n - 1], ' ') AS run FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM (SELECT id, {tok('text')} AS w FROM {source}), (SELECT DISTINCT n FROM runs) WHERE len(w) >= n)),
+  truth AS (SELECT DISTINCT qid, id AS item FROM held JOIN runs USING (n, run))"""
+
+
 def _passage_chunks(spark, sf_dir):
-    return _passages(spark, sf_dir, _chunks(spark, sf_dir), "id").withColumnRenamed("id", "chunk_id")
+    return _passages(spark, sf_dir, corpus(spark, sf_dir).store.chunks(), "id").withColumnRenamed("id", "chunk_id")
 
 
 def _passage_documents(spark, sf_dir):
     return _passages(spark, sf_dir, table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text"), "doc_id")
 
 
-@whole(asked=_every_question, relevant=_passage_chunks)
-@query(f"""{chunks_sql()}, {bm25_sql('r', k=50)},
-  found AS (SELECT qid, chunk_id AS item, rank FROM r),
-  truth AS (SELECT DISTINCT doc_id % 10 AS qid, doc_id || ':0' AS item FROM labels WHERE quality = 1),{_IR}""")
-def ir_chunk_level(spark, sf_dir, asked=_questions, relevant=_first_chunks):
-    return _ir(metrics.ir_metrics(_bm25(spark, sf_dir, 50, asked=asked), relevant(spark, sf_dir), item="chunk_id"))
+_DOC_TRUTH = f"""
+  found AS (SELECT qid, doc_id::VARCHAR AS item, row_number() OVER (PARTITION BY qid ORDER BY min(rank)) AS rank FROM r JOIN chunk ON id = chunk_id GROUP BY qid, doc_id),
+  {passages_sql('(SELECT doc_id::VARCHAR AS id, text FROM documents)')}"""
 
 
-@whole(asked=_every_question, relevant=_passage_documents)
 @query(f"""{chunks_sql()}, {bm25_sql('r', k=50)},
-  found AS (SELECT qid, doc_id::VARCHAR AS item, row_number() OVER (PARTITION BY qid ORDER BY min(rank)) AS rank FROM r JOIN chunk ON id = chunk_id GROUP BY qid, doc_id),
-  truth AS (SELECT DISTINCT doc_id % 10 AS qid, doc_id::VARCHAR AS item FROM labels WHERE quality = 1),{_IR}""")
-def ir_doc_level(spark, sf_dir, asked=_questions, relevant=_relevant):
-    chunks = _chunks(spark, sf_dir)
-    return _ir(metrics.ir_metrics(metrics.by_document(_bm25(spark, sf_dir, 50, chunks=chunks, asked=asked), chunks), relevant(spark, sf_dir)))
+  found AS (SELECT qid, chunk_id AS item, rank FROM r), {passages_sql('chunk')},{_IR}""")
+def ir_chunk_level(spark, sf_dir):
+    return _ir(metrics.ir_metrics(_bm25(spark, sf_dir, 50), _passage_chunks(spark, sf_dir), item="chunk_id"))
+
+
+@query(f"{chunks_sql()}, {bm25_sql('r', k=50)}, {_DOC_TRUTH},{_IR}")
+def ir_doc_level(spark, sf_dir):
+    return _ir(metrics.ir_metrics(metrics.by_document(_bm25(spark, sf_dir, 50), corpus(spark, sf_dir).store.chunks()), _passage_documents(spark, sf_dir)))
+
+
+@query(f"""{chunks_sql()}, {bm25_sql('r', k=50)}, {_DOC_TRUTH}, {_IR_PARTS}
+SELECT round(avg(recall5), 6) AS recall5, round(avg(recall10), 6) AS recall10, round(avg(ndcg10), 6) AS ndcg10, round(avg(mrr), 6) AS mrr FROM ({_IR_SELECT.replace(', 9)', ', 15)')})""")
+def ir_evaluator(spark, sf_dir):
+    """The retrieval evaluator and the mean of its metrics, over items that some document has a passage of."""
+    truth = _passage_documents(spark, sf_dir).groupBy("qid").agg(F.sort_array(F.collect_list("doc_id")).alias("relevant_doc_ids"))
+    samples = _questions(spark, sf_dir).join(truth, "qid", "left").withColumn("relevant_chunk_ids", F.lit(None).cast("array<string>"))
+    judge = metrics.RetrievalEvaluator(k_values=(5, 10))
+    scores = judge.evaluate(samples, _bm25(spark, sf_dir, 50), corpus(spark, sf_dir).store.chunks())
+    means = metrics.aggregate(scores, judge.metrics())
+    return means.select(F.round("`recall@5`", 6).alias("recall5"), F.round("`recall@10`", 6).alias("recall10"), F.round("`ndcg@10`", 6).alias("ndcg10"), F.round("mrr", 6).alias("mrr"))
 
 
 _PAIRS = "pairs AS (SELECT a.conv_id, a.turn, a.text AS answer, b.text AS reference FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
@@ -654,14 +736,43 @@ SELECT conv_id, turn, round(CASE WHEN len(a) = 0 AND len(r) = 0 THEN 1.0 WHEN le
   (array_to_string(a, ' ') = array_to_string(r, ' '))::INT::DOUBLE AS exact_match FROM k LEFT JOIN o USING (conv_id, turn)""")
 def answer_match(spark, sf_dir):
     pairs = _pairs(spark, sf_dir)
-    keyed = pairs.withColumn("k", F.struct("conv_id", "turn"))
-    f1 = metrics.token_f1_by_count(keyed, "k").select(F.col("k.conv_id").alias("conv_id"), F.col("k.turn").alias("turn"), F.round("token_f1", 9).alias("token_f1"))
-    return pairs.select("conv_id", "turn", metrics.exact_match(F.col("answer"), F.col("reference")).alias("exact_match")).join(f1, ["conv_id", "turn"])
+    return pairs.select("conv_id", "turn", F.round(metrics.token_f1(F.col("answer"), F.col("reference")), 9).alias("token_f1"), metrics.exact_match(F.col("answer"), F.col("reference")).alias("exact_match"))
 
 
-@query("SELECT event_type, round(avg(value), 6) AS mean_value, count(value)::BIGINT AS n FROM events GROUP BY event_type")
+@query("SELECT round(avg(CASE WHEN event_type = 'click' THEN value END), 6) AS click, round(avg(CASE WHEN event_type = 'purchase' THEN value END), 6) AS purchase, round(avg(value), 6) AS \"any\" FROM events")
 def metric_means(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean_value"), F.count("value").alias("n"))
+    """Means of metrics that not every sample has."""
+    e = table(spark, sf_dir, "events")
+    scores = e.select(*[F.when(F.col("event_type") == k, F.col("value")).alias(k) for k in ("click", "purchase")], F.col("value").alias("any"))
+    return metrics.aggregate(scores, ["click", "purchase", "any"]).select(*[F.round(k, 6).alias(k) for k in ("click", "purchase", "any")])
+
+
+@query(f"""WITH {_PAIRS},
+  k AS (SELECT conv_id, turn, {tok("regexp_replace(answer, '\\[\\d+\\]', ' ', 'g')")} AS a, {tok('reference')} AS r FROM pairs WHERE reference <> ''),
+  ca AS (SELECT conv_id, turn, t, count(*) AS x FROM (SELECT conv_id, turn, unnest(a) AS t FROM k) GROUP BY ALL), cr AS (SELECT conv_id, turn, t, count(*) AS y FROM (SELECT conv_id, turn, unnest(r) AS t FROM k) GROUP BY ALL),
+  o AS (SELECT conv_id, turn, sum(least(x, y)) AS c FROM ca JOIN cr USING (conv_id, turn, t) GROUP BY ALL)
+SELECT round(avg(CASE WHEN len(a) = 0 AND len(r) = 0 THEN 1.0 WHEN len(a) = 0 OR len(r) = 0 THEN 0.0 ELSE 2.0 * coalesce(c, 0) / (len(a) + len(r)) END), 6) AS token_f1, round(avg((array_to_string(a, ' ') = array_to_string(r, ' '))::INT::DOUBLE), 6) AS exact_match
+FROM k LEFT JOIN o USING (conv_id, turn)""")
+def answer_evaluator(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir).withColumn("qid", F.struct("conv_id", "turn"))
+    samples, answers = pairs.select("qid", F.col("reference").alias("reference_answer")), pairs.select("qid", F.concat("answer", F.lit(" [1]")).alias("text"))
+    judge = metrics.AnswerMatchEvaluator()
+    means = metrics.aggregate(judge.evaluate(samples, answers, answers, answers), judge.metrics())
+    return means.select(*[F.round(m, 6).alias(m) for m in judge.metrics()])
+
+
+@query(f"""WITH {_PAIRS}
+SELECT round(avg(length(answer) % 7 / 6), 6) AS faithfulness, round(avg(CASE WHEN length(answer) % 2 = 0 THEN 1.0 END), 6) AS answer_relevancy, round(avg(1.0), 6) AS context_precision, NULL::DOUBLE AS context_recall FROM pairs""")
+def judge_evaluator(spark, sf_dir):
+    """A judge that looks at lengths; what it leaves out joins no mean."""
+
+    def judge(rows):
+        return [{"faithfulness": len(r["answer"]) % 7 / 6, "answer_relevancy": None if len(r["answer"]) % 2 else 1.0, "context_precision": float(len(r["contexts"]))} for r in rows]
+
+    pairs = _pairs(spark, sf_dir).withColumn("qid", F.struct("conv_id", "turn")).withColumn("cid", F.concat_ws(":", "conv_id", "turn"))
+    samples, answers = pairs.select("qid", F.concat("cid", F.lit("?")).alias("text"), F.col("reference").alias("reference_answer")), pairs.select("qid", F.col("answer").alias("text"))
+    said = metrics.JudgeEvaluator(judge, model="lengths").evaluate(samples, pairs.select("qid", F.col("cid").alias("chunk_id"), F.lit(1).alias("rank")), pairs.select(F.col("cid").alias("id"), F.col("answer").alias("text")), answers)
+    return metrics.aggregate(said, metrics.JUDGED).select(*[F.round(m, 6).alias(m) for m in metrics.JUDGED])
 
 
 # --- trials ---------------------------------------------------------------------------------------------------------------------------
@@ -715,7 +826,34 @@ def search_space_grid(spark, sf_dir):
     return spark.createDataFrame(rows, "position long, chunk_chars long, overlap_chars long, refiner string")
 
 
-@query("SELECT event_type, count(*) AS n, rank() OVER (ORDER BY count(*) DESC, event_type) AS place FROM events GROUP BY event_type")
+_LOGGED = """
+WITH t AS (SELECT user_id, event_id, value FROM events WHERE value IS NOT NULL), u AS (SELECT user_id::VARCHAR AS trial_id, arg_max(value, event_id) AS q FROM t GROUP BY user_id)"""
+
+
+def _log(spark, sf_dir) -> DataFrame:
+    """Every event as a record of its user's trial, in the order of events, as lines of a log."""
+    e = table(spark, sf_dir, "events").where("value is not null").orderBy("event_id")
+    return e.select(F.to_json(F.struct(F.col("user_id").cast("string").alias("trial_id"), F.struct(F.struct(F.lit("fixed").alias("name"), F.struct(F.col("event_type").alias("size")).alias("config")).alias("chunker")).alias("pipeline_spec"), F.create_map(F.lit("q"), "value").alias("metrics"))).alias("value"))
+
+
+@query(f"{_LOGGED} SELECT count(*)::BIGINT AS trials, round(avg(q), 6) AS mean_q, round(max(q), 6) AS best_q FROM u")
 def trial_sql(spark, sf_dir):
-    counts = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.col("n").desc(), "event_type")).cast("long"))
+    """SQL over a log of trials, of whose records the last one counts."""
+    path = f"{shared_folder(spark)}/trials-{uuid.uuid4().hex}"
+    _log(spark, sf_dir).coalesce(1).write.text(path)
+    return trials.TrialLog(path).query(spark, "SELECT count(*) AS trials, round(avg(metrics['q']), 6) AS mean_q, round(max(metrics['q']), 6) AS best_q FROM trials")
+
+
+@query("""
+WITH t AS (SELECT user_id, arg_max(value, event_id) AS q, arg_max(event_type, event_id) AS size FROM events WHERE value IS NOT NULL GROUP BY user_id)
+SELECT 'chunker' AS stage, 'fixed[size:' || size || ']' AS option, count(*) AS trials, round(avg(q) - (SELECT avg(q) FROM t), 6) AS quality FROM t GROUP BY size""")
+def trial_options(spark, sf_dir):
+    board = trials.Leaderboard(latest(trials.parsed(_log(spark, sf_dir).coalesce(1)), "trial_id", "line"))
+    return board.marginals("chunker", by="q").select("stage", "option", "trials", F.round("quality", 6).alias("quality"))
+
+
+@query(f"""WITH {_TRACE}, m AS (SELECT trial_id, stage, sum(duration_ms) AS ms, bool_and(cache_hit) AS hit FROM t GROUP BY ALL)
+SELECT trial_id, round(sum(ms), 6) AS latency_ms, round(sum(CASE WHEN stage = 'parse' THEN ms END), 6) AS parse_ms, bool_or(hit AND stage = 'parse') AS parse_hit FROM m GROUP BY trial_id""")
+def trial_costs(spark, sf_dir):
+    c = trials.trial_costs(_trace(spark, sf_dir))
+    return c.select("trial_id", F.round(F.col("cost")["latency_ms"], 6).alias("latency_ms"), F.round(F.try_element_at("cost", F.lit("latency_ms.parse")), 6).alias("parse_ms"), F.coalesce(F.try_element_at("cache_hits", F.lit("parse")), F.lit(False)).alias("parse_hit"))

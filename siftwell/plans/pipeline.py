@@ -20,7 +20,28 @@ from siftwell.sources.detect import detect_format
 Trace = Callable[..., None]
 
 
-class IndexingPipeline:
+class Traced:
+    """Stages whose time is told to trace: each is computed on its own, and kept for the next one."""
+
+    trace: Trace | None = None
+
+    def timed(self, stage: str, make: Callable[[], DataFrame], **detail: Any) -> DataFrame:
+        if self.trace is None:
+            return make()
+        began = time.perf_counter()
+        rows = make().persist()
+        rows.count()
+        self.trace(stage, 1000 * (time.perf_counter() - began), **detail)
+        self.__dict__.setdefault("_held", []).append(rows)
+        return rows
+
+    def release(self) -> None:
+        """Gives the kept stages back."""
+        for rows in self.__dict__.pop("_held", []):
+            rows.unpersist()
+
+
+class IndexingPipeline(Traced):
     """sources -> documents -> chunks -> enriched chunks -> sinks, as one plan.
 
     With cache, a Parquet folder, documents are parsed once for each content and
@@ -39,39 +60,38 @@ class IndexingPipeline:
         if self.catalogue:
             self.catalogue.record(named)
         rows = named.dropDuplicates(["doc_id"])
-        if self.cache:
-            blobs.through_cache(rows, rows.sparkSession, f"{self.cache}/raw", ["doc_id"], blobs.raw_blobs)
         if not self.cache:
-            return self.parser.parse(rows)
-        return blobs.through_cache(rows, rows.sparkSession, f"{self.cache}/parsed/{self.parser.fingerprint()}", ["doc_id"], self.parser.parse)
+            return self.timed("parse", lambda: self.parser.parse(rows))
+        self.timed("store_raw", lambda: blobs.through_cache(rows, rows.sparkSession, f"{self.cache}/raw", ["doc_id"], blobs.raw_blobs))
+        path = f"{self.cache}/parsed/{self.parser.fingerprint()}"
+        known = self.trace is not None and blobs.all_stored(rows, path, ["doc_id"])
+        return self.timed("parse", lambda: blobs.through_cache(rows, rows.sparkSession, path, ["doc_id"], self.parser.parse), cache_hit=known)
 
     def chunks(self, documents: DataFrame) -> DataFrame:
-        return enrich.enrich(self.chunker.chunk(documents), documents, self.enrichers)
+        cut = self.timed("chunk", lambda: self.chunker.chunk(documents))
+        return self.timed("enrich", lambda: enrich.enrich(cut, documents, self.enrichers)) if self.enrichers else cut
 
     def index(self, sources: DataFrame) -> DataFrame:
         return self.index_documents(self.documents(sources))
 
     def index_documents(self, documents: DataFrame) -> DataFrame:
         """Chunks, written to every sink; they are computed once."""
-        began = time.perf_counter()
         chunks = self.chunks(documents).persist()
         for sink in self.sinks:
             sink.add(chunks)
-        if self.trace:
-            self.trace("chunk", 1000 * (time.perf_counter() - began))
         return chunks
 
 
-class QueryPipeline:
+class QueryPipeline(Traced):
     """queries -> rankings -> refined candidates."""
 
     def __init__(self, retriever: retrieve.Retriever, corpus: index.Corpus, refiners: Sequence[refine.Refiner] = (), fetch_k: int = 50, trace: Trace | None = None):
         self.retriever, self.corpus, self.refiners, self.fetch_k, self.trace = retriever, corpus, list(refiners), fetch_k, trace
 
     def query(self, queries: DataFrame, k: int = 10, filters: Mapping[str, Any] | None = None) -> DataFrame:
-        rankings = self.retriever.retrieve(queries, self.fetch_k, filters)
+        rankings = self.timed("retrieve", lambda: self.retriever.retrieve(queries, self.fetch_k, filters))
         chunks = self.corpus.store.chunks()
-        return refine.refine(refine.candidates(rankings, chunks), queries, chunks, self.refiners, k)
+        return self.timed("refine", lambda: refine.refine(refine.candidates(rankings, chunks), queries, chunks, self.refiners, k))
 
 
 def default_retriever(corpus: index.Corpus) -> retrieve.Retriever:
@@ -79,7 +99,7 @@ def default_retriever(corpus: index.Corpus) -> retrieve.Retriever:
     return retrieve.IndexRetriever(corpus) if len(corpus.spaces) == 1 else retrieve.HybridRetriever(corpus)
 
 
-class RagPipeline:
+class RagPipeline(Traced):
     """Index and ask, over one corpus."""
 
     def __init__(self, corpus: index.Corpus, parser=None, chunker=None, enrichers=(), retriever=None, refiners=(), generator=None, fetch_k: int = 50, cache: str | None = None, trace: Trace | None = None):
@@ -101,7 +121,8 @@ class RagPipeline:
 
     def ask(self, queries: DataFrame, k: int = 8, filters=None) -> DataFrame:
         """(qid, text, citations, usage) of every query."""
-        return self.generator.generate(queries, self.query(queries, k, filters))
+        found = self.query(queries, k, filters)
+        return self.timed("generate", lambda: self.generator.generate(queries, found))
 
     def components(self) -> dict[str, Any]:
         return {
@@ -145,18 +166,20 @@ class PipelineBuilder:
             return [self._make(kind, v, **extra) for v in value]
         return value
 
-    def build(self, spec: Mapping[str, Any]) -> RagPipeline:
+    def build(self, spec: Mapping[str, Any], corpus: index.Corpus | None = None, trace: Trace | None = None) -> RagPipeline:
+        """The pipeline of spec, over corpus if one of its stages is there already."""
         validate_spec(spec)
-        default = [{"name": "dense", "params": {"embedder": {"name": "hashing"}}}, {"name": "lexical"}]
-        representations = [self._make("representation", r) for r in spec.get("representations") or default]
-        store = self._make("vector_store", spec["vector_store"], spark=self.spark) if "vector_store" in spec else index.TableStore(self.spark)
-        corpus = index.Corpus(store, representations)
+        if corpus is None:
+            default = [{"name": "dense", "params": {"embedder": {"name": "hashing"}}}, {"name": "lexical"}]
+            representations = [self._make("representation", r) for r in spec.get("representations") or default]
+            store = self._make("vector_store", spec["vector_store"], spark=self.spark) if "vector_store" in spec else index.TableStore(self.spark)
+            corpus = index.Corpus(store, representations)
         parts: dict[str, Any] = {}
         for stage, kind, name in (("parser", "parser", "parser"), ("chunker", "chunker", "chunker"), ("enrich", "enricher", "enrichers"), ("retriever", "retriever", "retriever"), ("refine", "refiner", "refiners"), ("generator", "generator", "generator")):
             if stage in spec:
                 entry = spec[stage]
                 parts[name] = [self._make(kind, e, corpus=corpus) for e in entry] if stage in CHAINS else self._make(kind, entry, corpus=corpus)
-        return RagPipeline(corpus, cache=self.cache, fetch_k=self.fetch_k, **parts)
+        return RagPipeline(corpus, cache=self.cache, fetch_k=self.fetch_k, trace=trace, **parts)
 
 
 def ingest(spark: SparkSession, path: str, parser: parsers.Parser | None = None, **metadata: str) -> DataFrame:

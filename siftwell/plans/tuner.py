@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import random
-import time
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from datetime import datetime
+from typing import Any
 
 from pyspark.sql import DataFrame
 
 from siftwell.errors import ConfigError, SiftError
 from siftwell.operators.metrics import Evaluator, aggregate
-from siftwell.plans.component import Component, registry
-from siftwell.plans.pipeline import PipelineBuilder
+from siftwell.plans.component import Component, digest16, registry
+from siftwell.plans.pipeline import PipelineBuilder, RagPipeline
 from siftwell.plans.space import SearchSpace
-from siftwell.plans.trials import CostCollector, Leaderboard, Trial, TrialLog, trial_id
+from siftwell.plans.trials import Leaderboard, Trace, Trial, TrialLog, trial_costs, trial_frame, trial_id
 
 
 class Tuner(Component):
@@ -41,49 +41,83 @@ class Tuner(Component):
             raise ConfigError("finalists must be positive")
         if samples.limit(1).count() == 0:
             raise ConfigError("there are no samples")
-        trials = []
-        for spec in self.specs(space):
-            trials.append(self._trial(spec, samples, documents, builder, screen, [], k))
+        shared, trials, specs = Shared(builder, documents), [], {}
+
+        def attempt(spec: dict, judges: Sequence[Evaluator]) -> None:
+            trials.append(self._trial(spec, samples, shared, screen, judges, k))
             if log:
                 log.append(trials[-1])
-        if judges:
-            scored = [t for t in trials if self.config.screen_by in t.metrics]
-            for t in sorted(scored, key=lambda t: (-t.metrics[self.config.screen_by], t.trial_id))[: self.config.finalists]:
-                trials.append(self._trial(t.metadata["spec"], samples, documents, builder, screen, judges, k))
-                if log:
-                    log.append(trials[-1])
-        return Leaderboard(trials)
-
-    def _trial(self, spec, samples, documents, builder, screen, judges, k) -> Trial:
-        started, cost = datetime.now().isoformat(timespec="seconds"), CostCollector()
+
+        for spec in self.specs(space):
+            specs[trial_id(spec)] = spec
+            attempt(spec, [])
+        board = Leaderboard(trial_frame(samples.sparkSession, trials))
+        if judges and self.config.screen_by in board.metrics():
+            for row in board.top(self.config.finalists, by=self.config.screen_by).select("trial_id").collect():
+                attempt(specs[row.trial_id], judges)
+            board = Leaderboard(trial_frame(samples.sparkSession, trials))
+        shared.release()
+        return board
+
+    def _trial(self, spec, samples, shared, screen, judges, k) -> Trial:
+        began, trace = datetime.now().isoformat(timespec="seconds"), Trace(trial_id(spec))
+        described, prints, metrics, note = spec, {}, {}, {}
         try:
-            pipeline = builder.build(spec)
-            began = time.perf_counter()
-            chunks = pipeline.index_documents(documents)
-            chunks.count()
-            cost("chunk", 1000 * (time.perf_counter() - began))
-            queries, metrics = samples.select("qid", "text"), {}
-            began = time.perf_counter()
-            found = pipeline.query(queries, k).persist()
-            found.count()
-            cost("retrieve", 1000 * (time.perf_counter() - began))
-            rankings = found.withColumn("rank", found["pos"])
-            answers = None
-            if judges:
-                began = time.perf_counter()
-                answers = pipeline.generator.generate(queries, found).persist()
-                answers.count()
-                cost("generate", 1000 * (time.perf_counter() - began))
+            pipeline, chunks = shared.indexed(spec, trace)
+            queries = samples.select("qid", "text")
+            found = pipeline.query(queries, k)
+            answers = pipeline.timed("generate", lambda: pipeline.generator.generate(queries, found)) if judges else None
+            rankings = found.select("qid", "chunk_id", found["pos"].alias("rank"))
             for e in [*screen, *judges]:
-                scores = e.evaluate(samples, rankings.select("qid", "chunk_id", "rank"), chunks, answers)
-                means = aggregate(scores, e.metrics()).first().asDict()
+                means = aggregate(e.evaluate(samples, rankings, chunks, answers), e.metrics()).first().asDict()
                 metrics |= {m: float(v) for m, v in means.items() if v is not None}
-            for frame in (found, chunks, *([answers] if answers is not None else [])):
-                frame.unpersist()
-            described, prints, failure = pipeline.describe(), pipeline.fingerprints(), {}
+            described, prints = pipeline.describe(), pipeline.fingerprints()
+            pipeline.release()
+            pipeline.querying.release()
         except SiftError as error:
-            described, prints, metrics, failure = spec, {}, {}, {"error": f"{type(error).__name__}: {error}"}
-        return Trial(trial_id(spec), described, prints, metrics, cost.cost(), cost.cache_hits(), started, datetime.now().isoformat(timespec="seconds"), {"spec": spec, **failure})
+            metrics, note = {}, {"error": f"{type(error).__name__}: {error}"}
+        paid = trial_costs(trace.frame(samples.sparkSession)).first() if trace.events else None
+        cost, hits = (dict(paid.cost), dict(paid.cache_hits)) if paid else ({}, {})
+        return Trial(trial_id(spec), described, prints, metrics, cost, hits, began, datetime.now().isoformat(timespec="seconds"), {"spec": spec, **note})
+
+
+class Shared:
+    """What consecutive specs have in common: documents are cut once for each chunker and enrichers, and indexed once for each set of spaces.
+
+    A space expands with its earliest stage varying slowest, so only the last
+    chunks and the last corpus are kept.
+    """
+
+    CHUNKS, CORPUS = ("parser", "chunker", "enrich"), ("parser", "chunker", "enrich", "representations", "vector_store")
+
+    def __init__(self, builder: PipelineBuilder, documents: DataFrame):
+        self.builder, self.documents = builder, documents
+        self._chunks: tuple[str, DataFrame] | None = None
+        self._corpus: tuple[str, Any] | None = None
+
+    def indexed(self, spec: dict, trace: Trace) -> tuple[RagPipeline, DataFrame]:
+        """The pipeline of spec over its indexed documents, and their chunks."""
+        key = lambda stages: digest16({s: spec.get(s) for s in stages})
+        cut, held = key(self.CHUNKS), key(self.CORPUS)
+        known = self._corpus is not None and self._corpus[0] == held
+        pipeline = self.builder.build(spec, self._corpus[1] if known else None, trace)
+        if self._chunks is None or self._chunks[0] != cut:
+            self.release()
+            made = pipeline.indexing.chunks(self.documents).persist()
+            made.count()
+            pipeline.indexing.release()
+            self._chunks = (cut, made)
+        else:
+            trace("chunk", 0.0, cache_hit=True)
+        if not known:
+            pipeline.corpus.add(self._chunks[1])
+            self._corpus = (held, pipeline.corpus)
+        return pipeline, self._chunks[1]
+
+    def release(self) -> None:
+        if self._chunks is not None:
+            self._chunks[1].unpersist()
+        self._chunks = self._corpus = None
 
 
 @registry.register

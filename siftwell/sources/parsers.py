@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftwell.errors import ConfigError, ParseError, UnsupportedFormat
 from siftwell.plans.component import Component, registry
-from siftwell.sources.detect import detect_format
+from siftwell.sources.detect import detect_format, image_mime
 from siftwell.sources.html import html_markdown
 from siftwell.sources.ocr import BATCH, MIN_CHARS, OcrEngine, OcrPolicy, page_windows, segment_plan
 from siftwell.sources.pages import PAGE_CHARS, assemble, assembled, decode_text, drop_blank
@@ -29,6 +29,14 @@ class Parser(Component):
     def parse(self, sources: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    @classmethod
+    def _assembled(cls, sources: DataFrame, rows: DataFrame) -> DataFrame:
+        """Documents of page rows; one whose pages are all blank, or that has none, is empty and stays."""
+        found = sources.drop("content").join(assemble(drop_blank(rows)), "doc_id", "left")
+        spans = "array<struct<page_number:int,start:int,end:int,ocr_applied:boolean>>"
+        found = found.withColumn("markdown", F.coalesce("markdown", F.lit(""))).withColumn("page_spans", F.coalesce("page_spans", F.array().cast(spans)))
+        return cls._documents(found.withColumn("page_count", F.coalesce("page_count", F.lit(0))).withColumn("ocr_pages", F.coalesce("ocr_pages", F.lit(0))))
+
     @staticmethod
     def _documents(df: DataFrame) -> DataFrame:
         if "metadata" not in df.columns:
@@ -95,7 +103,7 @@ class ConverterParser(Parser):
             return pa.array(out, pa.list_(pa.struct([("number", pa.int32()), ("markdown", pa.string())])))
 
         rows = sources.select("doc_id", F.explode(pages(F.col("content"), F.col("format"))).alias("p")).select("doc_id", "p.*", F.lit(False).alias("ocr_applied"))
-        return self._documents(sources.drop("content").join(assemble(drop_blank(rows)), "doc_id"))
+        return self._assembled(sources, rows)
 
 
 @registry.register
@@ -158,16 +166,41 @@ class PagedParser(Parser):
             each = work.where("kind = 'ocr'").withColumn("number", F.explode(F.sequence("first", "last")))
             images = each.select("doc_id", F.col("number").cast("int").alias("number"), image(F.col("content"), F.col("number")).alias("i")).select("doc_id", "number", "i.*")
             rows = rows.unionByName(self.engine.apply(images).select("doc_id", "number", "markdown", "ocr_applied"))
-        return self._documents(sources.drop("content").join(assemble(drop_blank(rows)), "doc_id"))
+        return self._assembled(sources, rows)
 
 
 #: the parser of each format
 ROUTES = {"txt": "plaintext", "md": "plaintext", "html": "html", "pdf": "converter", "docx": "converter", "pptx": "converter", "xlsx": "converter", "image": "converter"}
 
 
+@registry.register
+class ImageParser(Parser):
+    """Images as documents of one page, read by an OCR engine."""
+
+    name, formats = "image", ("image",)
+
+    def __init__(self, engine: OcrEngine | None = None, config=None, **fields):
+        super().__init__(config, **fields)
+        if engine is None:
+            raise ConfigError("the image parser needs engine=")
+        self.engine = engine
+
+    def describe(self):
+        return super().describe() | {"engine": self.engine.describe()}
+
+    def parse(self, sources):
+        images = sources.select("doc_id", F.lit(1).alias("number"), F.col("content").alias("image"), image_mime(F.col("content")).alias("mime"))
+        return self._assembled(sources, self.engine.apply(images).select("doc_id", "number", "markdown", "ocr_applied"))
+
+
 @registry.register
 class AutoParser(Parser):
-    """Each source by the parser of its detected format; a format without one is an error."""
+    """Each source by the parser of its detected format; a format without one is an error.
+
+    With probe and pages, PDF pages go by their text layer or by OCR (engine,
+    render); with an engine, images are read by it.  Otherwise both go to
+    convert, as office files do.
+    """
 
     name, formats = "auto", tuple(ROUTES)
 
@@ -176,26 +209,27 @@ class AutoParser(Parser):
         routes: Mapping[str, str] = field(default_factory=lambda: dict(ROUTES))
         parsers: Mapping[str, dict] = field(default_factory=dict)
 
-    def __init__(self, convert=None, config=None, **fields):
+    def __init__(self, convert=None, probe=None, pages=None, render=None, engine: OcrEngine | None = None, config=None, **fields):
         super().__init__(config, **fields)
-        self.convert, self._made = convert, {}
+        self.given = {"converter": {"convert": convert}, "paged": {"probe": probe, "convert": pages, "render": render, "engine": engine}, "image": {"engine": engine}}
+        paged = {"pdf": "paged"} if probe is not None and pages is not None else {}
+        self.routes = dict(self.config.routes) | {f: p for f, p in (paged | ({"image": "image"} if engine is not None else {})).items() if self.config.routes.get(f) == "converter"}
+        self._made: dict[str, Parser] = {}
 
     def _parser(self, name: str) -> Parser:
         if name not in self._made:
-            params = dict(self.config.parsers.get(name, {}))
-            if name == "converter":
-                params["convert"] = self.convert
+            params = dict(self.config.parsers.get(name, {})) | self.given.get(name, {})
             self._made[name] = registry.create("parser", name, **params)
         return self._made[name]
 
     def parse(self, sources):
         rows = sources if "format" in sources.columns else detect_format(sources)
         found = [r.format for r in rows.select("format").distinct().collect()]
-        if lost := sorted(set(found) - set(self.config.routes)):
+        if lost := sorted(set(found) - set(self.routes)):
             raise UnsupportedFormat(f"no parser for {', '.join(lost)}")
         out = None
-        for name in sorted({self.config.routes[f] for f in found}):
-            formats = [f for f in found if self.config.routes[f] == name]
+        for name in sorted({self.routes[f] for f in found}):
+            formats = [f for f in found if self.routes[f] == name]
             part = self._parser(name).parse(rows.where(F.col("format").isin(formats)))
             out = part if out is None else out.unionByName(part)
         if out is None:

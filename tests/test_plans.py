@@ -72,15 +72,18 @@ def trial(n, quality=None, cost=None, **spec):
     return trials.Trial(f"t{n}", spec or {"chunker": {"name": "fixed", "config": {"n": n}}}, {}, {} if quality is None else {"q": quality}, {} if cost is None else {"query_ms": cost})
 
 
-def test_leaderboard():
-    board = trials.Leaderboard([trial(1, 0.5, 10.0), trial(2, 0.9), trial(3, 0.5), trial(4), trial(1, 0.7, 20.0)])
-    assert [t.trial_id for t in board.top(5, by="q")] == ["t2", "t1", "t3"] and board.best(by="q").trial_id == "t2" and "-" in board.to_table(by="q") and trials.Leaderboard([]).to_table(by="q") == "(no trials)"
-    for broken in (lambda: board.top(0, by="q"), lambda: board.top(1, by="x"), lambda: board.marginal("parser", by="q")):
+def test_leaderboard(spark):
+    board = trials.Leaderboard(trials.trial_frame(spark, [trial(1, 0.5, 10.0), trial(2, 0.9), trial(3, 0.5), trial(4), trial(1, 0.7, 20.0)]))
+    assert [r.trial_id for r in board.top(5, by="q").collect()] == ["t2", "t1", "t3"] and board.best(by="q").trial_id == "t2" and len(board) == 4 and board.stages() == ["chunker"]
+    assert board.to_table(by="q", n=2).splitlines() == ["| trial | q | query_ms |", "|-|-|-|", "| t2 | 0.9 |  |", "| t1 | 0.7 | 20 |"]
+    assert trials.Leaderboard(board.frame.limit(0)).to_table(by="q").count("\n") == 1
+    for broken in (lambda: board.top(0, by="q"), lambda: board.top(1, by="x"), lambda: board.marginals("parser", by="q")):
         with pytest.raises(ConfigError):
             broken()
-    m = board.marginal("chunker", by="q")
-    assert m[0].option == "fixed(n=2)" and m[0].quality == pytest.approx(0.2) and sum(x.quality for x in m) == pytest.approx(0)
-    assert trials.label([]) == "none" and trials.label([{"name": "a"}, {"name": "b", "config": {"k": 1}}]) == "a+b(k=1)"
+    m = board.marginals("chunker", by="q").collect()
+    assert m[0].option == "fixed[n:2]" and m[0].quality == pytest.approx(0.2) and sum(x.quality for x in m) == pytest.approx(0)
+    shown = spark.createDataFrame([('{"refine": []}',), ('{"refine": [{"name": "a", "config": {}}, {"name": "b", "config": {"k": 1, "j": "x"}}]}',), ('{"chunker": {"name": "c"}}',)], "spec string")
+    assert [r.o for r in shown.select(trials.option(F.col("spec"), "refine").alias("o")).collect()] == ["none", "a > b[j:x k:1]", None]
 
 
 def test_trial_log(tmp_path, spark):
@@ -94,18 +97,21 @@ def test_trial_log(tmp_path, spark):
         f.write("{broken\n")
     with pytest.raises(StorageError, match="line 4"):
         log.read()
+    with pytest.raises(Exception, match="no trial"):
+        log.frame(spark).collect()
     with pytest.raises(ValueError, match="no new"):
         trials.Trial.from_json(json.dumps({"new": 1}))
     assert trials.Trial.from_json(trial(1, 0.5).to_json()) == trial(1, 0.5) and trials.trial_id({"a": 1, "b": 2}) == trials.trial_id({"b": 2, "a": 1})
 
 
 def test_cost(spark):
-    c = trials.CostCollector({"input": 2.0})
+    c = trials.Trace("t")
     c("parse", 10, True)
     c("parse", 5, False, {"input": 3, "flag": True, "note": "x"})
     c("generate", 7, usage={"output": 1})
-    assert c.cost() == {"latency_ms": 22.0, "index_ms": 15.0, "query_ms": 7.0, "latency_ms.generate": 7.0, "latency_ms.parse": 15.0, "input": 3.0, "output": 1.0, "api_usd": 6.0} and c.cache_hits() == {"parse": False}
-    assert "api_usd" not in trials.CostCollector({"other": 1.0}).cost()
+    row = trials.trial_costs(c.frame(spark), {"input": 2.0}).first()
+    assert row.cost == {"latency_ms": 22.0, "index_ms": 15.0, "query_ms": 7.0, "latency_ms.generate": 7.0, "latency_ms.parse": 15.0, "input": 3.0, "output": 1.0, "api_usd": 6.0} and row.cache_hits == {"parse": False}
+    assert "api_usd" not in trials.trial_costs(c.frame(spark), {"other": 1.0}).first().cost
     trace = pipeline.trace_frame(spark, [("t", "parse", 1.0, True, {"input": 1.0}), ("t", "retrieve", 2.0, None, {}), ("u", "x", 3.0, None, {"z": 1.0})])
     assert {r.trial_id: (r.latency_ms, r.index_ms, r.query_ms) for r in trials.cost_rollup(trace).collect()} == {"t": (3.0, 1.0, 2.0), "u": (3.0, 0.0, 0.0)}
     assert {r.trial_id: r.api_usd for r in trials.usage_cost(trace, {"input": 5.0}).collect()} == {"t": 5.0, "u": None}
@@ -123,11 +129,12 @@ def test_index_and_ask(spark, tmp_path):
     p = rag(spark, refiners=[refine.KeywordRefiner(), refine.NeighborExpander()], cache=str(tmp_path / "cache"), trace=lambda *a, **k: events.append(a[0]))
     source = blobs.bytes_source(spark, [("facts.md", FACTS)])
     p.indexing.catalogue = blobs.Catalogue(spark)
-    assert p.index(source).count() == 3 and p.index(source).count() == 3 and events == ["chunk", "chunk"]
+    assert p.index(source).count() == 3 and p.index(source).count() == 3 and events == ["store_raw", "parse", "chunk"] * 2
     raw = spark.read.parquet(str(tmp_path / "cache" / "raw")).collect()
     assert len(raw) == 1 and raw[0].key.endswith("/original.md") and bytes(raw[0].content) == FACTS and p.indexing.catalogue.documents().first().source_uri == "facts.md"
     q = spark.createDataFrame([(1, "What is the capital of France?"), (2, "zzz qqq")], "qid long, text string")
     answers = {r.qid: r for r in p.ask(q, 2).collect()}
+    assert events[6:] == ["retrieve", "refine", "generate"]
     assert "Paris" in answers[1].text and answers[1].citations[0].marker == 1 and len(answers[1].citations[0].doc_id) == 64
     assert set(p.describe()) == set(p.fingerprints()) >= {"parser", "chunker", "refine"}
     other = index.Corpus(index.TableStore(spark), [index.LexicalRepresentation()])
@@ -148,7 +155,12 @@ def test_builder_and_tuners(spark, tmp_path):
     assert picked == list(tuner.RandomTuner(n_trials=1, seed=3).specs(s)) and len(list(tuner.RandomTuner(n_trials=9).specs(s))) == 2
     failing = SearchSpace(chunker=[choice("fixed", chunk_chars=[0])])
     failed = tuner.GridTuner().run(failing, samples, docs, pipeline.PipelineBuilder(spark), [metrics.RetrievalEvaluator()])
-    assert "ConfigError" in failed.trials[0].metadata["error"]
+    assert "ConfigError" in failed.frame.first().metadata["error"]
+    # chunks and corpora are shared by the specs that have them in common
+    several = SearchSpace(chunker=[choice("markdown-aware"), choice("fixed")], representations=[[choice("lexical")]], refine=[[], [choice("keyword")], [choice("score-threshold")]])
+    shared = tuner.GridTuner(screen_by="ndcg@1").run(several, samples, docs, pipeline.PipelineBuilder(spark), [metrics.RetrievalEvaluator(k_values=(1,))])
+    hits = [r.cache_hits.get("chunk") for r in shared.frame.orderBy("line").collect()]
+    assert hits == [None, True, True] * 2
     built = pipeline.PipelineBuilder(spark, given={"complete": lambda p: "x"}).build({"retriever": {"name": "multi-query", "params": {"inner": {"name": "index", "params": {"representation": "lexical"}}}}, "refine": [{"name": "keyword"}]})
     assert built.querying.retriever.inner.space == "lexical" and built.describe()["refine"][0]["name"] == "keyword"
     for broken in (lambda: tuner.GridTuner().run(s, samples, docs, None, []), lambda: tuner.GridTuner(finalists=0).run(s, samples, docs, None, [metrics.RetrievalEvaluator()]), lambda: tuner.GridTuner().run(s, samples.limit(0), docs, None, [metrics.RetrievalEvaluator()]), lambda: tuner.RandomTuner(n_trials=0)):
