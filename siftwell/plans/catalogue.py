@@ -519,7 +519,7 @@ def fuse_rrf_sources(spark, sf_dir):
     return f.select("qid", "chunk_id", *[F.try_element_at("sources", F.lit(x)).cast("long").alias(f"{x}_rank") for x in ("a", "z")])
 
 
-@query(f"{chunks_sql()}, {bm25_sql('a', k=20)}, {bm25_sql('y', k=20, asked='SELECT item_id AS qid, left(text, 40) AS text FROM benchmark')}, {bm25_sql('z', k=20, asked='SELECT item_id AS qid, right(text, 40) AS text FROM benchmark')}, {rrf_sql('f', [('a', 1.0), ('y', 1.0), ('z', 1.0)])} {SHOWN.format('f')}")
+@query(f"{chunks_sql()}, {bm25_sql('a', k=10)}, {bm25_sql('y', k=10, asked='SELECT item_id AS qid, left(text, 40) AS text FROM benchmark')}, {bm25_sql('z', k=10, asked='SELECT item_id AS qid, right(text, 40) AS text FROM benchmark')}, {rrf_sql('f', [('a', 1.0), ('y', 1.0), ('z', 1.0)])} {SHOWN.format('f')}")
 def multi_query_fusion(spark, sf_dir):
     """Every item and two wordings that a model, here its first and last forty characters, gives."""
 
