@@ -12,10 +12,10 @@ tokens in every state.
 
 Nothing of the model is pruned and none of it is broadcast: blocks of documents
 ask for the corpus-wide counts of the n-grams that they hold, buckets of
-n-grams answer, order after order, so that the requests of one order are gone
-before those of the next are made.  From the answers each slice of a block
-builds the states, arcs and failure arcs that its texts can reach, and walks
-them once from left to right: every text (a long one in lanes, which first read
+n-grams answer, the higher orders one after the other, so that the requests of
+one are gone before those of the next are made.  From the answers each block builds the states, arcs
+and failure arcs that its texts can reach, and walks them once from left to
+right: every text (a long one in lanes, which first read
 the few tokens that fix their state) carries its state and adds up its
 weights.  mu is the one of MUS that serves the training text best when each
 token is left out of its own counts.
@@ -40,9 +40,9 @@ from siftwell.llm import bytewords as bw
 from siftwell.llm.shared import Scratch, answer, ask, pack_blocks, sizes, told
 
 ORDER = 3
-MUS = (0.5, 4.0, 32.0, 256.0, 4096.0)
-#: tokens that one text carries its state over before the next lane of it begins, and bytes of text whose arcs are built at a time
-LANE, SLICE = 512, 1 << 20
+MUS = (1.0, 8.0, 64.0, 1024.0)
+#: tokens that one text carries its state over before the next lane of it begins
+LANE = 256
 END = np.uint64(0x656E64206F662074)
 BEGIN = np.uint64(0x626567696E6E6E67)
 _A, _B = np.uint64(0x9E6C63D0876A9A47), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -84,16 +84,6 @@ class Stream:
         u, at = np.unique(self.keys[kind], return_inverse=True)
         return u, at, np.bincount(at, weights=self.trains, minlength=len(u)).astype(np.uint64)
 
-    def parts(self, size: int):
-        """The same of consecutive documents of about size bytes of text, taken as six bytes a token."""
-        cuts = np.flatnonzero(np.diff(self.first // max(1, size // 6), prepend=-1)) if len(self.first) else []
-        for a, b in zip(cuts, [*cuts[1:], len(self.first)], strict=True):
-            part = Stream.__new__(Stream)
-            part.begin, part.end = int(self.first[a]), int(self.first[b]) if b < len(self.first) else len(self.trains)
-            part.counts, part.first = self.counts[a:b], self.first[a:b] - part.begin
-            part.trains, part.keys = self.trains[part.begin : part.end], [k[part.begin : part.end] for k in self.keys]
-            yield part
-
 
 def left_out(stream: Stream, counts: list[np.ndarray], n: float, v: float, mu: float, n_docs: float) -> np.ndarray:
     """log10 probability of each token by a model whose counts lack that one occurrence of it: what mu is chosen by."""
@@ -115,7 +105,7 @@ class Automaton:
 
     def __init__(self, stream: Stream, grams: list[tuple[np.ndarray, np.ndarray]], n: float, v: float, mus: tuple, n_docs: float):
         """grams: for each order, where each token's n-gram is among the distinct ones, and their counts in training."""
-        order, mu = len(grams), np.array(mus)
+        order = len(grams)
         sizes = [len(total) for _, total in grams]
         # contexts of a document's start come last, one for each length
         offset = np.cumsum([1, *sizes[: order - 1]])
@@ -123,8 +113,7 @@ class Automaton:
         self.start = self.begin + order - 2 if order > 1 and n_docs > 0 else 0
         held = np.concatenate([[0.0], *[total for _, total in grams[: order - 1]], np.full(max(0, order - 1), n_docs)])
         self.fail_to = np.zeros(len(held), np.int64)
-        with np.errstate(divide="ignore"):
-            self.fail = np.log10(mu / (held[:, None] + mu))
+        self.fail = np.stack([np.log10(mu / (held + mu)) for mu in mus], axis=1)
         self.tokens = sizes[0]
         seen, opens = grams[0][1][grams[0][0]] > 0, np.zeros(len(grams[0][0]), bool)
         opens[stream.first] = True
@@ -143,23 +132,28 @@ class Automaton:
             self.fail_to[self.begin + length - 1] = self.begin + length - 2
         # the empty context has an arc for every token
         places = _places(grams[0][0], sizes[0])
-        p = ((grams[0][1] + 0.5) / (n + 0.5 * (v + 1)))[:, None] * np.ones(len(mus))
-        self.root = np.log10(p)
+        base = (grams[0][1] + 0.5) / (n + 0.5 * (v + 1))
+        self.root = np.repeat(np.log10(base)[:, None], len(mus), axis=1)
         self.root_to = np.where(seen[places], state(min(1, order - 1), places), 0)
-        weight, codes, to = [], [], []
+        self.code, self.weight, self.to = np.zeros(0, np.int64), np.zeros((0, len(mus))), np.zeros(0, np.int64)
+        given = [base] * len(mus)  # of each n-gram of the order below, for each mu
         for length in range(1, order):
             at, total = grams[length]
             places = _places(at, sizes[length])
-            source = context(length, places)
-            c = held[source][:, None]
-            p = (total[:, None] + mu * p[grams[length - 1][0][places]]) / (c + mu)
-            kept = total > 0
-            codes.append((source * self.tokens + grams[0][0][places])[kept])
-            weight.append(np.log10(p[kept]))
-            to.append(state(min(length + 1, order - 1), places)[kept])
-        code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-        by = np.argsort(code)
-        self.code, self.weight, self.to = code[by], (np.concatenate(weight) if weight else np.zeros((0, len(mus))))[by], (np.concatenate(to) if to else np.zeros(0, np.int64))[by]
+            source, below = context(length, places), grams[length - 1][0][places]
+            c = held[source]
+            given = [(total + mu * p[below]) / (c + mu) for mu, p in zip(mus, given, strict=True)]
+            kept = np.flatnonzero(total > 0)
+            code = source[kept] * self.tokens + grams[0][0][places[kept]]
+            by = np.argsort(code)
+            kept = kept[by]
+            # contexts of one length are numbered one after the other, but for those of a start: arcs stay apart by length
+            self.code = np.concatenate([self.code, code[by]])
+            self.weight = np.concatenate([self.weight, np.stack([np.log10(p[kept]) for p in given], axis=1)])
+            self.to = np.concatenate([self.to, state(min(length + 1, order - 1), places)[kept]])
+        if order > 2:
+            by = np.argsort(self.code, kind="stable")  # runs that are sorted already
+            self.code, self.weight, self.to = self.code[by], self.weight[by], self.to[by]
 
     def read(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The states after one token of each text, and the weights of the arcs taken."""
@@ -217,52 +211,44 @@ def score(docs: DataFrame, order: int = ORDER, modulus: int = 5, held: int = 1,
     scratch = Scratch(docs.sparkSession)
     blocks = scratch.keep(pack_blocks(docs), "blocks")
     buckets, tasks = sizes(blocks)
-    answers = None
-    for kind in range(order):
+    answers, row = None, None
+    for kinds in ((0, 1)[:order], *((kind,) for kind in range(2, order))):
 
-        def extract(table, kind=kind):
-            stream = Stream(table, kind + 1, learns(table["doc_id"].to_pylist(), modulus, held))
-            u, _, c = stream.distinct(kind)
-            return [(u, c)]
+        def extract(table, kinds=kinds):
+            stream = Stream(table, kinds[-1] + 1, learns(table["doc_id"].to_pylist(), modulus, held))
+            return [(u, c) for u, _, c in map(stream.distinct, kinds)]
 
-        found = answer(ask(blocks, extract, [64], buckets * (2 if kind else 1)), tasks)
-        part = scratch.keep(found.select(F.lit(kind).alias("kind"), *[c for c in found.columns if c != "kind"]), f"answers-{kind}")
-        row = part.agg(F.sum("n_keys"), F.sum("n_tokens")).first() if kind == 0 else row
+        found = answer(ask(blocks, extract, [64] * len(kinds), buckets * (1 if kinds[0] == 0 else 2)), tasks)
+        part = scratch.keep(found.withColumn("kind", F.col("kind") + kinds[0]), f"answers-{kinds[0]}")
+        row = part.where("kind = 0").agg(F.sum("n_keys"), F.sum("n_tokens")).first() if row is None else row
         answers = part if answers is None else answers.unionByName(part)
     v, n = row[0] or 0, row[1] or 0
 
     def work(table: pa.Table, totals: dict) -> pa.Table:
         doc_ids = table["doc_id"].to_pylist()
-        whole = Stream(table, order, learns(doc_ids, modulus, held))
-        found, n_docs = [], 0.0
+        stream = Stream(table, order, learns(doc_ids, modulus, held))
+        grams, found, n_docs = [], [], 0.0
         for kind in range(order):
-            u, at, _ = whole.distinct(kind)
+            u, at, _ = stream.distinct(kind)
             total = totals.pop(kind).astype(np.float64)
             if kind == 0:
                 n_docs = float(total[np.searchsorted(u, END)])
+            grams.append((at, total))
             found.append(total[at])
-        out = []
-        for part in whole.parts(SLICE):
-            counts = [x[part.begin : part.end] for x in found]
-            by_doc = lambda x, part=part: np.add.reduceat(x, part.first)
-            grams = []
-            for keys, total in zip(part.keys, counts, strict=True):
-                at, inside = np.unique(keys, return_index=True, return_inverse=True)[1:]
-                grams.append((inside, total[at]))
-            machine = Automaton(part, grams, n, v, mus, n_docs)
-            base = np.log10((counts[0] + 0.5) / (n + 0.5 * (v + 1)))
-            alone = np.stack([by_doc(left_out(part, counts, n, v, mu, n_docs) * part.trains) for mu in mus], axis=1)
-            out.append((by_doc((counts[0] > 0).astype(np.int64)), by_doc(base), machine.walk(grams[0][0], part.first, part.counts, order), alone))
-        known, base, scores, alone = (np.concatenate(x) for x in zip(*out, strict=True))
+        by_doc = lambda x: np.add.reduceat(x, stream.first)
+        alone = np.stack([by_doc(left_out(stream, found, n, v, mu, n_docs) * stream.trains) for mu in mus], axis=1)
+        known, base = by_doc((found[0] > 0).astype(np.int64)), by_doc(np.log10((found[0] + 0.5) / (n + 0.5 * (v + 1))))
+        del found
+        scores = Automaton(stream, grams, n, v, mus, n_docs).walk(grams[0][0], stream.first, stream.counts, order)
         lists = pa.list_(pa.float64())
         return pa.table({
-            "doc_id": table["doc_id"], "held_out": pa.array(~learns(doc_ids, modulus, held)), "n_tokens": pa.array(whole.counts.astype(np.int64)), "n_known": pa.array(known),
+            "doc_id": table["doc_id"], "held_out": pa.array(~learns(doc_ids, modulus, held)), "n_tokens": pa.array(stream.counts.astype(np.int64)), "n_known": pa.array(known),
             "base_score": pa.array(base), "scores": pa.array(list(scores), lists), "alone": pa.array(list(alone), lists),
         })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, scores array<double>, alone array<double>"
     rows = scratch.keep(told(blocks, answers, work, schema, tasks), "rows")
-    scratch.drop("blocks", *(f"answers-{kind}" for kind in range(order)))
+    scratch.drop("blocks", "answers-0", *(f"answers-{kind}" for kind in range(2, order)))
     fit = rows.agg(*[F.sum(F.col("alone")[i]) for i in range(len(mus))]).first()
     best = max(range(len(mus)), key=lambda i: (fit[i] if fit[i] is not None else 0.0, -i))
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", F.col("scores")[best].alias("score"), F.lit(mus[best]).alias("mu"))
