@@ -190,7 +190,7 @@ class DenseRepresentation(Representation):
 
     def search(self, corpus, queries, k, filters=None):
         asked = queries.select("qid", self.embedder.query(F.col("text")).alias("vector"))
-        return search.dense_search(asked, corpus.side(self.space, filters), k)
+        return corpus.asked(self.space, asked, k, filters) or search.dense_search(asked, corpus.side(self.space, filters), k)
 
 
 @registry.register
@@ -216,7 +216,7 @@ class SparseRepresentation(Representation):
 
     def search(self, corpus, queries, k, filters=None):
         asked = queries.select("qid", self.encoder.query(F.col("text")).alias("vector"))
-        return search.sparse_search(asked, corpus.side(self.space, filters), k, vector="vector")
+        return corpus.asked(self.space, asked, k, filters) or search.sparse_search(asked, corpus.side(self.space, filters), k, vector="vector")
 
 
 @registry.register
@@ -291,6 +291,11 @@ class Corpus(Component):
             raise ConfigError(f"no space {space!r}; there are {', '.join(self.spaces)}")
         return self.spaces[space]
 
+    def asked(self, space: str, vectors: DataFrame, k: int, filters=None) -> DataFrame | None:
+        """Rankings by the store itself, where it searches; None where its vectors are tables."""
+        find = getattr(self.store, "search", None)
+        return None if find is None else find(space, vectors, k, filters)
+
     def side(self, space: str, filters=None) -> DataFrame:
         """(id, vector) of a space, of matching chunks."""
         vectors = self.store.space(space)

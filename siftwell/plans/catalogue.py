@@ -8,7 +8,9 @@ recursion, searches by aggregation.
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -180,18 +182,34 @@ def head_bytes(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.hex(detect.head(F.col("html").cast("binary"), 16)).alias("head"))
 
 
-@query("""
-WITH kinds(kind, ext, head) AS (VALUES (0, '.html', ''), (1, '.bin', '%PDF-1.7'), (2, '.txt', 'GIF89a'), (3, '.md', 'plain'), (4, '', 'plain'), (5, '.PNG', 'plain'), (6, '.xyz', '  <HTML>'))
-SELECT page_id, kind::BIGINT AS kind, CASE
-    WHEN head LIKE '\\%PDF%' ESCAPE '\\' THEN 'pdf' WHEN head LIKE 'GIF8%' THEN 'image' WHEN kind = 0 OR lower(ltrim(head)) LIKE '<html%' THEN 'html'
-    WHEN lower(ext) = '.md' THEN 'md' WHEN lower(ext) = '.png' THEN 'image' ELSE 'txt' END AS format,
-  CASE WHEN kind = 1 THEN '.pdf' WHEN kind = 2 THEN '.txt' WHEN kind IN (0, 6) THEN '.html' WHEN kind = 3 THEN '.md' WHEN kind = 4 THEN '.txt' ELSE '.png' END AS extension
-FROM pages, kinds""")
+def _zip(member: str) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr(member, "x")
+    return out.getvalue()
+
+
+#: (file name's end, hint, first bytes, detected format, canonical extension) of made-up files; None takes the page itself
+_KINDS = (
+    (".html", None, None, "html", ".html"), (".bin", None, b"%PDF-1.7", "pdf", ".pdf"), (".txt", None, b"GIF89a", "image", ".txt"), (".md", None, b"plain", "md", ".md"), ("", None, b"plain", "txt", ".txt"),
+    (".PNG", None, b"plain", "image", ".png"), (".xyz", None, b"  <HTML>", "html", ".html"), (".dat", None, bytes.fromhex("89504E470D0A1A0A"), "image", ".dat"), (".dat", None, bytes.fromhex("FFD8FF"), "image", ".dat"),
+    (".tif", None, bytes.fromhex("49492A00"), "image", ".tif"), (".dat", None, b"RIFF0000WEBP", "image", ".dat"), (".dat", "md", b"%PDF-1.7", "md", ".md"), (".dat", None, b"\x00\xff", "unknown", ".dat"),
+)
+#: archives stand alone: nothing may follow their directory
+_ARCHIVES = (("word/document.xml", "docx", ".docx"), ("ppt/x", "pptx", ".pptx"), ("xl/x", "xlsx", ".xlsx"), ("other", "unknown", ".zip"))
+_DETECTED = ", ".join(f"({k}, '{fmt}', '{ext}')" for k, (fmt, ext) in enumerate([*(x[3:] for x in _KINDS), *(x[1:] for x in _ARCHIVES)]))
+
+
+@query(f"SELECT page_id, kind::BIGINT AS kind, format, extension FROM pages, (VALUES {_DETECTED}) k(kind, format, extension)")
 def detect_format(spark, sf_dir):
-    kinds = spark.createDataFrame([(0, ".html", ""), (1, ".bin", "%PDF-1.7"), (2, ".txt", "GIF89a"), (3, ".md", "plain"), (4, "", "plain"), (5, ".PNG", "plain"), (6, ".xyz", "  <HTML>")], "kind long, ext string, head string")
-    rows = table(spark, sf_dir, "pages").crossJoin(F.broadcast(kinds))
-    rows = rows.select("page_id", "kind", F.concat(F.lit("file"), "ext").alias("uri"), F.when(F.col("kind") == 0, F.col("html")).otherwise(F.concat("head", F.lit("\n"), "page_id")).cast("binary").alias("content"))
-    return detect.detect_format(rows).select("page_id", "kind", "format", detect.canonical_extension(F.col("format"), F.col("uri")).alias("extension"))
+    """Every page as files of all kinds: by hint, signature, archive member, markup, name and text."""
+    rows = [(k, ext, hint, None if head is None else bytearray(head), False) for k, (ext, hint, head, *_) in enumerate(_KINDS)]
+    rows += [(len(_KINDS) + k, ".zip", None, bytearray(_zip(member)), True) for k, (member, *_) in enumerate(_ARCHIVES)]
+    kinds = spark.createDataFrame(rows, "kind long, end string, format_hint string, head binary, alone boolean")
+    files = table(spark, sf_dir, "pages").crossJoin(F.broadcast(kinds))
+    tail = F.when(F.col("alone"), F.lit("")).otherwise(F.concat(F.lit("\n"), "page_id")).cast("binary")
+    files = files.select("page_id", "kind", F.concat(F.lit("file"), "end").alias("uri"), "format_hint", F.when(F.col("head").isNull(), F.col("html").cast("binary")).otherwise(F.concat("head", tail)).alias("content"))
+    return detect.detect_format(files).select("page_id", "kind", "format", detect.canonical_extension(F.col("format"), F.col("uri")).alias("extension"))
 
 
 @query(f"WITH RECURSIVE {PAGES_SQL} SELECT doc_id, number::BIGINT AS number, length(md)::BIGINT AS n_chars, sha256(md) AS page_hash FROM page")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.errors import ConfigError
-from siftwell.operators import chunking, encode, enrich, generate, index, refine, retrieve
+from siftwell.operators import chunking, encode, enrich, generate, index, refine, retrieve, service  # noqa: F401 (service registers itself)
 from siftwell.plans.component import Component, registry
 from siftwell.plans.space import CHAINS, validate_spec
 from siftwell.sources import blobs, parsers

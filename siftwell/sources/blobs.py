@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from siftwell.errors import ConfigError, StorageError
 from siftwell.plans.component import Component, registry
 from siftwell.sources.detect import canonical_extension
-from siftwell.sources.folders import Folder
+from siftwell.sources.folders import Folder, shared_folder
 
 
 class BlobStore(Component):
@@ -79,13 +80,18 @@ class LocalBlobStore(BlobStore):
 
 @registry.register
 class HadoopBlobStore(BlobStore):
-    """Blobs in any file system that Spark reaches (s3a://, hdfs://, file:)."""
+    """Blobs in any file system that Spark reaches (s3a://, hdfs://, file:).
+
+    The root is made if it is not there.  A blob is written beside its place and
+    renamed, so that none is seen half written.  sign, a function of (address,
+    seconds), makes addresses that need no credentials.
+    """
 
     name = "hadoop"
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, sign=None, seconds: int = 3600):
         super().__init__()
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root, self.sign, self.seconds = spark, root.rstrip("/"), sign, seconds
 
     def _file(self, key: str):
         if not key or key.startswith("/") or ".." in key.split("/"):
@@ -95,11 +101,19 @@ class HadoopBlobStore(BlobStore):
 
     def put(self, key, data):
         fs, path = self._file(key)
-        out = fs.create(path, True)
+        beside = self.spark._jvm.org.apache.hadoop.fs.Path(path.getParent(), f".{uuid.uuid4().hex}")
         try:
-            out.write(bytearray(data))
+            fs.mkdirs(path.getParent())
+            out = fs.create(beside, True)
+            try:
+                out.write(bytearray(data))
+            finally:
+                out.close()
+            fs.delete(path, False)
+            if not fs.rename(beside, path):
+                raise StorageError(f"{key!r} could not be put in its place")
         finally:
-            out.close()
+            fs.delete(beside, False)
 
     def get(self, key):
         if not self.exists(key):
@@ -115,7 +129,8 @@ class HadoopBlobStore(BlobStore):
             return False
 
     def url(self, key):
-        return f"{self.root}/{key}"
+        address = f"{self.root}/{key}"
+        return address if self.sign is None else self.sign(address, self.seconds)
 
 
 def read_sources(spark: SparkSession, path: str, **metadata: str) -> DataFrame:
@@ -176,7 +191,9 @@ class Catalogue:
         self._seq += 1
         new = sources.select("doc_id", F.col("uri").alias("source_uri"), F.col("doc_id").alias("content_hash"), canonical_extension(F.col("format"), F.col("uri")).alias("ext"))
         new = first_wins(new.withColumn("seq", F.monotonically_increasing_id()), "doc_id").withColumn("seq", F.lit((-self._seq if overwrite else self._seq) * 1.0).cast("long"))
-        self.rows = first_wins(self.rows.unionByName(new.select(*self.rows.columns)), "doc_id")
+        # a checkpoint, so that the plan does not grow with every record
+        shared_folder(self.spark)
+        self.rows = first_wins(self.rows.unionByName(new.select(*self.rows.columns)), "doc_id").checkpoint()
 
     def documents(self) -> DataFrame:
         return self.rows.drop("seq")

@@ -16,6 +16,8 @@ from siftwell.sources.html import html_markdown
 from siftwell.sources.ocr import BATCH, MIN_CHARS, OcrEngine, OcrPolicy, page_windows, segment_plan
 from siftwell.sources.pages import PAGE_CHARS, assemble, assembled, decode_text, drop_blank
 
+#: windows of pages that one copy of a file is sent for
+WINDOWS = 32
 _COLUMNS = ("doc_id", "markdown", "page_spans", "page_count", "ocr_pages", "source_uri", "metadata")
 
 
@@ -148,23 +150,27 @@ class PagedParser(Parser):
         plan = segment_plan(pages, c.min_chars_digital, c.policy, self.engine is not None)
         size = F.col("end") - F.col("start") + 1
         spans = plan.select("doc_id", "kind", "start", F.explode(page_windows(size, c.page_batch_size)).alias("w")).select("doc_id", "kind", (F.col("start") + F.col("w.start") - 1).alias("first"), (F.col("start") + F.col("w.end") - 1).alias("last"))
-        work = spans.join(sources.select("doc_id", "content"), "doc_id")
+        # a file goes once with so many windows: it is not copied for each, and a long one is still several tasks
+        together = spans.groupBy("doc_id", "kind", F.floor(F.col("first") / (c.page_batch_size * WINDOWS)).alias("share")).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("windows"))
+        work = together.join(sources.select("doc_id", "content"), "doc_id")
 
-        @F.arrow_udf("array<string>")
-        def digital(content: pa.Array, first: pa.Array, last: pa.Array) -> pa.Array:
-            return pa.array([list(convert(*row)) for row in zip(content.to_pylist(), first.to_pylist(), last.to_pylist(), strict=True)], pa.list_(pa.string()))
+        @F.arrow_udf("array<struct<number:int,markdown:string>>")
+        def digital(content: pa.Array, windows: pa.Array) -> pa.Array:
+            out = [[{"number": w["first"] + k, "markdown": page} for w in ws for k, page in enumerate(convert(data, w["first"], w["last"]))] for data, ws in zip(content.to_pylist(), windows.to_pylist(), strict=True)]
+            return pa.array(out, pa.list_(pa.struct([("number", pa.int32()), ("markdown", pa.string())])))
 
-        text = work.where("kind = 'text'").select("doc_id", "first", F.posexplode(digital(F.col("content"), F.col("first"), F.col("last"))).alias("k", "markdown"))
-        rows = text.select("doc_id", (F.col("first") + F.col("k")).cast("int").alias("number"), "markdown", F.lit(False).alias("ocr_applied"))
+        text = work.where("kind = 'text'").select("doc_id", F.explode(digital(F.col("content"), F.col("windows"))).alias("p"))
+        rows = text.select("doc_id", "p.number", "p.markdown", F.lit(False).alias("ocr_applied"))
         if self.engine is not None:
 
-            @F.arrow_udf("struct<image:binary,mime:string>")
-            def image(content: pa.Array, page: pa.Array) -> pa.Array:
-                made = [render(*row) for row in zip(content.to_pylist(), page.to_pylist(), strict=True)]
-                return pa.array([{"image": i, "mime": m} for i, m in made], pa.struct([("image", pa.binary()), ("mime", pa.string())]))
+            @F.arrow_udf("array<struct<number:int,image:binary,mime:string>>")
+            def image(content: pa.Array, windows: pa.Array) -> pa.Array:
+                pages = lambda ws: (n for w in ws for n in range(w["first"], w["last"] + 1))
+                out = [[dict(zip(("number", "image", "mime"), (n, *render(data, n)), strict=True)) for n in pages(ws)] for data, ws in zip(content.to_pylist(), windows.to_pylist(), strict=True)]
+                return pa.array(out, pa.list_(pa.struct([("number", pa.int32()), ("image", pa.binary()), ("mime", pa.string())])))
 
-            each = work.where("kind = 'ocr'").withColumn("number", F.explode(F.sequence("first", "last")))
-            images = each.select("doc_id", F.col("number").cast("int").alias("number"), image(F.col("content"), F.col("number")).alias("i")).select("doc_id", "number", "i.*")
+            each = work.where("kind = 'ocr'").select("doc_id", "content", F.explode("windows").alias("w")).select("doc_id", "content", F.array("w").alias("windows"))
+            images = each.select("doc_id", F.explode(image(F.col("content"), F.col("windows"))).alias("i")).select("doc_id", "i.*")
             rows = rows.unionByName(self.engine.apply(images).select("doc_id", "number", "markdown", "ocr_applied"))
         return self._assembled(sources, rows)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwell.errors import ConfigError, EnrichmentError, StorageError
 from siftwell.functions import text as tx
-from siftwell.operators import chunking, encode, enrich, filters, generate, index, metrics, refine, retrieve, search
+from siftwell.operators import chunking, encode, enrich, filters, generate, index, metrics, refine, retrieve, search, service
 
 
 def docs(spark, *texts):
@@ -243,6 +243,83 @@ def test_store_is_found_again_and_takes_rows_whole(spark, tmp_path):
         index.TableStore(spark, path).ensure_schema([index.VectorSpec("v", "dense", 8)])
 
 
+def service_client(path):
+    """A service in a file of lines, as executors and driver reach it."""
+    import json
+    import os
+
+    class Client:
+        def _lines(self):
+            return [json.loads(x) for x in open(path)] if os.path.exists(path) else []
+
+        def _put(self, *rows):
+            with open(path, "a") as f:
+                f.write("".join(json.dumps(r) + "\n" for r in rows))
+
+        def spaces(self):
+            found = [x["spaces"] for x in self._lines() if "spaces" in x]
+            return {k: tuple(v) for k, v in found[-1].items()} if found else None
+
+        def create(self, specs):
+            self._put({"spaces": {s.name: (s.kind, s.dimensions) for s in specs}})
+
+        def drop(self):
+            os.remove(path)
+
+        def write(self, points):
+            self._put(*({"point": p} for p in points))
+
+        def update(self, space, values):
+            self._put(*({"id": i, "space": space, "value": v} for i, v in values))
+
+        def _points(self):
+            out = {}
+            for x in self._lines():
+                if "point" in x:
+                    out[x["point"]["id"]] = x["point"]
+                elif "value" in x:
+                    out[x["id"]]["vectors"][x["space"]] = x["value"]
+            return list(out.values())
+
+        def scroll(self, filters, limit):
+            kept = [p["payload"] for p in self._points() if all(p["payload"].get(k, p["payload"]["metadata"].get(k)) == v for k, v in filters.items())]
+            return kept[:limit]
+
+        def search(self, space, value, k, filters):
+            allowed = {p["id"] for p in self.scroll(filters, None)}
+            scored = [(p["payload"], sum(a * b for a, b in zip(p["vectors"][space], value, strict=True))) for p in self._points() if p["payload"]["id"] in allowed]
+            return sorted(scored, key=lambda x: -x[1])[:k]
+
+    return Client()
+
+
+def test_service_store(spark, tmp_path):
+    path = str(tmp_path / "service.jsonl")
+    connect = lambda: service_client(path)
+    c = index.Corpus(service.ServiceStore(spark, connect, batch=2), [index.DenseRepresentation(encode.HashingEmbedder(dimensions=32)), index.LexicalRepresentation()])
+    c.add(chunks(spark, "quick brown fox", "slow green turtle", "blue whale"))
+    c.add(chunks(spark, "red fox").withColumn("id", F.lit("d:1")))
+    assert {r.id: r.text for r in c.store.chunks().collect()} == {r.id: r.text for r in c.fetch().collect()} == {"d:0": "quick brown fox", "d:1": "red fox", "d:2": "blue whale"}
+    assert c.search("dense", asked(spark, "blue whale"), 1).first().chunk_id == "d:2" and c.search("lexical", asked(spark, "fox"), 5).count() == 2
+    assert [r.id for r in c.fetch({"index": 2}).collect()] == ["d:2"] and c.search("dense", asked(spark, "fox"), 5, {"index": 2}).count() == 1
+    c.store.update_vectors("dense", spark.createDataFrame([("d:0", [9.0] + [0.0] * 31)], "id string, vector array<double>"))
+    assert connect().scroll({}, 1) and service.point_id("d:0") == service.point_id("d:0") != service.point_id("d:1")
+    again = service.ServiceStore(spark, connect)
+    again.ensure_schema([index.VectorSpec("dense", "dense", 32)])
+    with pytest.raises(ConfigError):
+        again.ensure_schema([index.VectorSpec("dense", "dense", 8)])
+    service.ServiceStore(spark, connect, recreate=True).ensure_schema([index.VectorSpec("dense", "dense", 8)])
+    assert connect().spaces() == {"dense": ("dense", 8)} and connect().scroll({}, None) == []
+    with pytest.raises(StorageError):
+        again.upsert(chunks(spark, "x"), {"what": "text"})
+
+    def broken():
+        raise OSError("no route")
+
+    with pytest.raises(StorageError, match="no route"):
+        service.ServiceStore(spark, broken).ensure_schema([])
+
+
 @pytest.mark.parametrize("stored", [False, True])
 def test_lexical_index(spark, tmp_path, stored):
     path = str(tmp_path / "lexical") if stored else None

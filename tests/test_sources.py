@@ -77,6 +77,14 @@ def test_paged_documents_by_text_layer_and_ocr(spark):
     assert forced.ocr_pages == 5
     with pytest.raises(ConfigError):
         parsers.PagedParser(**parts, policy=ocr.OcrPolicy.FORCE)
+    # the automatic parser sends pdf pages and images the same way, where it is given the means
+    auto = parsers.AutoParser(probe=parts["probe"], pages=parts["convert"], render=parts.get("render"), engine=ocr.CallableOcr(lambda image, mime: f"{mime} {len(image)}"))
+    image = blobs.with_doc_id(blobs.bytes_source(spark, [("x.png", bytes.fromhex("89504E470D0A1A0A") + b"pixels"), ("empty.txt", b" \n "), ("d.pdf", b"%PDF-1 a")])).drop("format")
+    docs = {r.source_uri: r for r in auto.parse(image).collect()}
+    assert auto.routes["pdf"] == "paged" and auto.routes["image"] == "image" and docs["x.png"].page_count == docs["x.png"].ocr_pages == 1
+    assert docs["empty.txt"].markdown == "" and docs["empty.txt"].page_count == 0 and set(docs) == {"x.png", "empty.txt", "d.pdf"}
+    blank = parsers.ConverterParser(lambda data, fmt: [" ", ""]).parse(blobs.with_doc_id(blobs.bytes_source(spark, [("b.pdf", b"%PDF b")])).withColumn("format", F.lit("pdf"))).collect()
+    assert [(r.markdown, r.page_count, r.page_spans) for r in blank] == [("", 0, [])]
 
 
 def test_files(spark, tmp_path):
