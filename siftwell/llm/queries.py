@@ -71,10 +71,10 @@ def page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fingerprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes of equal fingerprints within three bits of a document whose id is divisible by 100."""
+    """Classes of equal fingerprints within six bits of a document whose id is divisible by 100."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     prints = simhash.fingerprints(docs, ["doc_id"])
-    return simhash.within(prints, prints.where("doc_id % 100 = 0"), 3)
+    return simhash.within(prints, prints.where("doc_id % 100 = 0"), 6)
 
 
 QUERIES = {

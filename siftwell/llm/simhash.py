@@ -32,7 +32,7 @@ from siftwell.llm.shared import Scratch, spread
 BITS = 128
 MOST_WEIGHT = 8
 #: text of a range of documents, ranges whose bounds stand in the plan, and ranges whose first ids are broadcast (16 bytes each)
-RANGE_BYTES, FAN, BROADCAST_RANGES = 24 << 20, 512, 1 << 20
+RANGE_BYTES, FAN, BROADCAST_RANGES = 8 << 20, 512, 1 << 20
 _PAIR = 0x0000000100000001
 
 
@@ -103,7 +103,8 @@ def _ranges(docs: DataFrame, range_bytes: int):
     """
     total = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     spark = docs.sparkSession
-    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // range_bytes))
+    # several ranges for each partition, so that their hashes fill the partitions evenly
+    n = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // range_bytes))
     coarse = n if n <= FAN else math.isqrt(n - 1) + 1
     quantiles = lambda k: F.percentile_approx("doc_id", [i / k for i in range(1, k)], 10 * k)
     cuts = sorted(set(docs.agg(quantiles(coarse)).first()[0] or []))
