@@ -72,3 +72,11 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
 
 def data_url(mime: Column, content: Column) -> Column:
     return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
+
+
+def uuid5(name: Column, namespace: str) -> Column:
+    """The name-based identifier (version 5) of a text in a namespace, itself an identifier."""
+    digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
+    # the thirteenth digit is the version, the seventeenth has two fixed high bits
+    variant = F.substring(F.lit("89ab"), (F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
+    return F.concat(F.substring(digest, 1, 8), F.lit("-"), F.substring(digest, 9, 4), F.lit("-5"), F.substring(digest, 14, 3), F.lit("-"), variant, F.substring(digest, 18, 3), F.lit("-"), F.substring(digest, 21, 12))

@@ -14,6 +14,7 @@ from siftwell.errors import ConfigError
 from siftwell.operators import search
 from siftwell.operators.index import Corpus
 from siftwell.plans.component import Component, registry
+from siftwell.sources.folders import shared_folder
 
 K = 20
 
@@ -147,7 +148,9 @@ class MultiQueryRetriever(Retriever):
         return said.select("qid", F.posexplode(F.concat(F.array("text"), lines)).alias("variant", "text"))
 
     def retrieve(self, queries, k=K, filters=None):
-        variants = self.phrasings(queries).persist()
+        # written, so that the model is asked once and nothing stays cached
+        shared_folder(queries.sparkSession)
+        variants = self.phrasings(queries).checkpoint()
         rankings = [(f"q{i}", self.inner.retrieve(variants.where(F.col("variant") == i).select("qid", "text"), k, filters)) for i in range(self.config.n + 1)]
         return search.fuse(rankings, k, self.config.rrf_k, None, self.name)
 

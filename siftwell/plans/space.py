@@ -25,16 +25,18 @@ class Choice:
     params: Mapping[str, Any] = field(default_factory=dict)
 
     def expand(self) -> Iterator[dict]:
-        axes = {k: self._values(v) for k, v in self.params.items() if isinstance(v, (list, Choice))}
-        fixed = {k: v for k, v in self.params.items() if k not in axes}
-        names = sorted(axes)
-        for values in itertools.product(*(axes[n] for n in names)):
-            yield {"name": self.name, "params": fixed | dict(zip(names, values, strict=True))}
-
-    @staticmethod
-    def _values(value: Any) -> list:
-        items = value if isinstance(value, list) else [value]
-        return [x for item in items for x in (item.expand() if isinstance(item, Choice) else [item])]
+        return alternatives(self)
+
+
+def alternatives(value: Any) -> Iterator[Any]:
+    """What a parameter may be: each entry of a list, each spec of a choice, or the value itself."""
+    for item in value if isinstance(value, list) else [value]:
+        if not isinstance(item, Choice):
+            yield item
+            continue
+        names = sorted(item.params)
+        for picked in itertools.product(*(list(alternatives(item.params[n])) for n in names)):
+            yield {"name": item.name, "params": dict(zip(names, picked, strict=True))}
 
 
 def choice(name: str, **params: Any) -> Choice:

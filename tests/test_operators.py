@@ -29,6 +29,14 @@ def test_tokens_and_space(spark):
     assert rows[0].w == re.findall(r"\w+", "ünï_x 9² — don't") and rows[1].w == [] and rows[2].s == "a" and rows[0].b and rows[2].l == "a\x1c\x85"
 
 
+def test_uuid5(spark):
+    import uuid
+
+    names = ["", "d:0", "Ümläut 東京", "x" * 500]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r.u for r in df.select(tx.uuid5(F.col("n"), str(uuid.NAMESPACE_URL)).alias("u")).collect()] == [str(uuid.uuid5(uuid.NAMESPACE_URL, n)) for n in names]
+
+
 def test_fixed_chunks(spark):
     text = "A sentence of words. " * 1000
     rows = chunking.FixedChunker(chunk_chars=400, overlap_chars=50).chunk(docs(spark, text)).orderBy("index").collect()
