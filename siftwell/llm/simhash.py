@@ -180,7 +180,7 @@ def within(prints: DataFrame, queries: DataFrame, radius: int) -> DataFrame:
     radius + 2 blocks of bits; a pair within the radius agrees on two of them.
     A class stands for its n_docs documents by its smallest doc_id, and queries
     of equal fingerprints for one another, so copies multiply nothing; a query's
-    own class is not named.
+    own class is named at distance 0.
     """
     parts = radius + 2
     edges = [round(k * BITS / parts) for k in range(parts + 1)]
@@ -203,4 +203,4 @@ def within(prints: DataFrame, queries: DataFrame, radius: int) -> DataFrame:
     index = classes.select(*names("f"), tables("f"))
     asked = as_query.select(*names("q"), tables("q"))
     near = index.join(asked, "key").where(distance("f", "q") <= radius).select(*names("f"), *names("q"), distance("f", "q").alias("distance")).distinct()
-    return near.where("distance > 0").join(as_query, names("q")).join(classes, names("f")).select("query_id", "doc_id", "n_docs", "distance")
+    return near.join(as_query, names("q")).join(classes, names("f")).select("query_id", "doc_id", "n_docs", "distance")
