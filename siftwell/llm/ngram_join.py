@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import bytewords as bw
-from siftwell.llm.shared import KEY_BITS, Forest, Scratch, answer, ask, connected_components, pack_blocks, salted_join, sizes, told
+from siftwell.llm.shared import BROADCAST_IDS, KEY_BITS, Forest, Scratch, answer, ask, connected_components, pack_blocks, salted_join, sizes, told
 
 BLOCK_NODES = 2048
 BLOCK_SETS = 12 << 20
@@ -142,7 +142,8 @@ def link_block(ids: list[int], sets: list[np.ndarray], percent: int, label: np.n
 # --- the distributed steps -------------------------------------------------------------------------------------------
 
 
-def _block_sets(table: pa.Table, k: int):
+def shingle_nodes(table: pa.Table, k: int):
+    """The shingle sets of a block's rows, their nodes, and the first row of each node."""
     data, off = bw.text_buffer(table["text"])
     sets = [s for i, j in bw.row_slices(off) for s in bw.shingle_sets(data, off[i : j + 1], k)]
     nodes = [_signed(xxhash.xxh3_128_intdigest(s.tobytes())) if len(s) else (None, None) for s in sets]
@@ -163,9 +164,20 @@ def _block_keys(sets, first) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+#: prefix holds keys of which every linked pair shares one; shingles what links are found by.  Both are null where no other node has such a key
+DESCRIBED = "doc_id long, n_shingles long, node long, twin long, prefix array<long>, shingles binary"
+
+
+def described(table: pa.Table, sets, nodes, prefixes, kept) -> pa.Table:
+    return pa.table({
+        "doc_id": table["doc_id"], "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([n for n, _ in nodes], pa.int64()), "twin": pa.array([t for _, t in nodes], pa.int64()),
+        "prefix": pa.array(prefixes, pa.list_(pa.int64())), "shingles": pa.array(kept, pa.large_binary()).cast(pa.binary()),
+    })
+
+
 def _describe(blocks: DataFrame, answers: DataFrame, k: int, percent: int, partitions: int) -> DataFrame:
     def work(table: pa.Table, totals: dict) -> pa.Table:
-        sets, nodes, first = _block_sets(table, k)
+        sets, nodes, first = shingle_nodes(table, k)
         keys, _ = _block_keys(sets, first)
         found = totals.get(0, np.zeros(0, np.uint64))
         prefixes, kept = [None] * len(sets), [None] * len(sets)
@@ -178,21 +190,20 @@ def _describe(blocks: DataFrame, answers: DataFrame, k: int, percent: int, parti
                 prefixes[row] = np.sort(df)[:p] >= 2
                 prefixes[row] = prefix[prefixes[row]].view(np.int64)
                 kept[row] = s.tobytes()
-        return pa.table({
-            "doc_id": table["doc_id"], "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([n for n, _ in nodes], pa.int64()), "twin": pa.array([t for _, t in nodes], pa.int64()),
-            "prefix": pa.array(prefixes, pa.list_(pa.int64())), "shingles": pa.array(kept, pa.large_binary()).cast(pa.binary()),
-        })
+        return described(table, sets, nodes, prefixes, kept)
 
-    return told(blocks, answers, work, "doc_id long, n_shingles long, node long, twin long, prefix array<long>, shingles binary", partitions)
+    return told(blocks, answers, work, DESCRIBED, partitions)
 
 
 def _told_apart(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """rows whose nodes are of one set each: numbers that two sets share, a handful in 10**10, are drawn anew from both hashes."""
     shared = rows.where("node is not null").groupBy("node").agg(F.min("twin").alias("a"), F.max("twin").alias("b")).where("a <> b").select("node")
     shared = scratch.keep(shared, "shared")
-    if shared.limit(1).count() == 0:
+    n = shared.count()
+    if n == 0:
         return rows.drop("twin")
-    marked = rows.join(F.broadcast(shared.withColumn("several", F.lit(True))), "node", "left")
+    told_of = shared.withColumn("several", F.lit(True))
+    marked = rows.join(F.broadcast(told_of), "node", "left") if n <= BROADCAST_IDS else salted_join(rows, told_of, ["node"], "doc_id", "left")
     return marked.withColumn("node", F.when(F.col("several"), F.xxhash64("node", "twin")).otherwise(F.col("node"))).select([c for c in rows.columns if c != "twin"])
 
 
@@ -262,17 +273,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_nodes:
     buckets, tasks = sizes(blocks)
 
     def keys(table):
-        sets, _, first = _block_sets(table, k)
+        sets, _, first = shingle_nodes(table, k)
         return [_block_keys(sets, first)]
 
     answers = answer(ask(blocks, keys, [KEY_BITS], buckets), tasks)
-    rows = _told_apart(scratch.keep(_describe(blocks, answers, k, percent, tasks), "rows"), scratch)
+    rows = scratch.keep(_describe(blocks, answers, k, percent, tasks), "rows")
     scratch.drop("blocks")
+    return components(rows, scratch, tasks, lambda ids, sets, labels: link_block(ids, sets, percent, labels), block_nodes, block_sets)
+
+
+def components(rows: DataFrame, scratch: Scratch, tasks: int, link, block_nodes: int, block_bytes: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of rows as DESCRIBED.
+
+    link(ids, what shingles holds, labels) returns the links that span a block.
+    """
+    rows = _told_apart(rows, scratch)
     groups = scratch.keep(connected_components(_node_edges(rows, scratch, tasks), scratch, "groups", contracted=True), "grouped").select(F.col("id").alias("node"), F.col("component").alias("grp"))
     scratch.drop("links")
-    sized = rows.where("shingles is not null").groupBy("node").agg(F.min("n_shingles").alias("n"))
-    plan = groups.join(sized, "node").groupBy("grp").agg(F.count("*").alias("members"), F.sum(8 * F.col("n")).alias("bytes"))
-    plan = plan.select("grp", "members", F.greatest(F.ceil(F.col("members") / block_nodes), F.ceil(F.col("bytes") / block_sets)).cast("int").alias("blks"))
+    sized = rows.where("shingles is not null").groupBy("node").agg(F.max(F.length("shingles")).cast("long").alias("n"))
+    plan = groups.join(sized, "node").groupBy("grp").agg(F.count("*").alias("members"), F.sum("n").alias("bytes"))
+    plan = plan.select("grp", "members", F.greatest(F.ceil(F.col("members") / block_nodes), F.ceil(F.col("bytes") / block_bytes)).cast("int").alias("blks"))
     member = salted_join(groups, plan, ["grp"], "node").select("node", "grp", "blks", "members", F.pmod(F.xxhash64("node", F.lit(7)), F.col("members")).alias("draw"))
     pivot = (F.col("draw") < PIVOTS) & (F.col("blks") > 1)
     spots = F.when(pivot, F.sequence(F.lit(0), F.col("blks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blks")).cast("int")))
@@ -280,12 +300,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_nodes:
     placed = held.join(member, "node").select("node", "shingles", "grp", "blks", F.explode(spots).alias("blk"), F.lit(None).cast("long").alias("label"))
     wide = member.where("blks > 1").select("node", "grp", "blks")
     several = wide.limit(1).count() > 0
-    first = _grouped(placed, tasks, lambda ids, sets, labels: link_block(ids, sets, percent), "u long, v long")
+    first = _grouped(placed, tasks, link, "u long, v long")
     first = scratch.keep(first, "first") if several else first
     # the links of a block span it and no more, as contracted edges do
     joined = scratch.keep(connected_components(first, scratch, "first", contracted=True), "joined").select(F.col("id").alias("node"), "component")
     if several:
-        joined = scratch.keep(connected_components(first.unionByName(_residual(rows, wide, joined, scratch, percent, tasks, block_nodes)), scratch, "second", contracted=True), "rejoined").select(F.col("id").alias("node"), "component")
+        joined = scratch.keep(connected_components(first.unionByName(_residual(rows, wide, joined, scratch, link, tasks, block_nodes)), scratch, "second", contracted=True), "rejoined").select(F.col("id").alias("node"), "component")
     low = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
     linked_low = joined.join(low, "node")
     component = linked_low.groupBy("component").agg(F.min("low").alias("component_id"))
@@ -297,7 +317,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_nodes:
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _residual(rows: DataFrame, wide: DataFrame, joined: DataFrame, scratch: Scratch, percent: int, partitions: int, block_nodes: int) -> DataFrame:
+def _residual(rows: DataFrame, wide: DataFrame, joined: DataFrame, scratch: Scratch, link, partitions: int, block_nodes: int) -> DataFrame:
     """Links between blocks of one group that its pivots did not show.
 
     The members of a group's largest component need no comparison among
@@ -321,4 +341,4 @@ def _residual(rows: DataFrame, wide: DataFrame, joined: DataFrame, scratch: Scra
     hosts = salted_join(of, chunks, ["grp", "blk"], "node").select("node", "grp", "blk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"), "label")
     both = guests.select("node", "grp", "blk", "c", "label").unionByName(hosts.select("node", "grp", "blk", "c", "label")).distinct()
     placed = both.join(sets.select("node", "shingles"), "node").select("grp", (F.col("blk").cast("long") * (1 << 31) + F.col("c")).alias("blk"), "node", "shingles", "label")
-    return scratch.keep(_grouped(placed, partitions, lambda ids, sets, labels: link_block(ids, sets, percent, labels), "u long, v long"), "residual")
+    return scratch.keep(_grouped(placed, partitions, link, "u long, v long"), "residual")

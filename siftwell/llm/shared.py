@@ -341,6 +341,25 @@ def contract(edges: DataFrame, kind: str = "long") -> DataFrame:
     return edges.select(F.col("u").cast(kind).alias("u"), F.col("v").cast(kind).alias("v")).mapInArrow(stars, f"u {kind}, v {kind}")
 
 
+HUB_ROWS, MOST_HUBS = 1 << 16, 1000
+
+
+def _with_least(rows: DataFrame, least: DataFrame, n: int, scratch: Scratch, name: str) -> DataFrame:
+    """rows (u, v), n at most, with the m of least (u, m, degree).
+
+    The hub of a component has all its members: nodes of more than HUB_ROWS rows
+    and more than a thousandth of all are MOST_HUBS at most, and are broadcast.
+    """
+    if n <= HUB_ROWS:
+        return rows.join(least.select("u", "m"), "u")
+    least, bound = scratch.keep(least, name), max(HUB_ROWS, -(-n // MOST_HUBS))
+    hubs = least.where(F.col("degree") > bound).select("u", "m")
+    if hubs.limit(1).count() == 0:
+        return rows.join(least.select("u", "m"), "u")
+    others = rows.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.where(F.col("degree") <= bound).select("u", "m"), "u")
+    return rows.join(F.broadcast(hubs), "u").select("u", "v", "m").unionByName(others.select("u", "v", "m"))
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "components", rounds: int = 60, contracted: bool = False, kind: str = "long") -> DataFrame:
     """(id, component) of every node with an edge (u, v); component is its smallest reachable id.
 
@@ -348,21 +367,22 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "compon
     in the number of nodes).  Each task first contracts what it holds (unless the
     edges are contracted already), so a hub sends one edge a task and not one
     for each neighbour.  The least neighbour
-    is found by a pre-aggregated minimum; nothing is collected.
+    is found by a pre-aggregated minimum, and told to a hub's rows where they
+    are; nothing is collected.
     """
     now = scratch.keep((edges if contracted else contract(edges, kind)).where("u <> v").distinct(), f"{name}-0")
-    state = None
+    state, n = None, 2 * now.count()
     for step in range(1, rounds + 1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("degree"))
+        large = _with_least(both, least, n, scratch, f"{name}-large-{step}").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        low = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        small = _with_least(down, low, n, scratch, f"{name}-small-{step}").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         after = scratch.keep(small.where("u <> v").distinct(), f"{name}-{step}")
         found = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        scratch.drop(f"{name}-{step - 1}")
-        now = after
+        scratch.drop(f"{name}-{step - 1}", f"{name}-large-{step}", f"{name}-small-{step}")
+        now, n = after, 2 * found[0]
         if found == state:
             break
         state = found

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -35,7 +36,9 @@ def test_packed_arrays_come_back():
     assert len(shared.unpack(shared.pack(np.zeros(0, np.uint64)))) == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub_rows", [1 << 16, 20])
+def test_components(spark, monkeypatch, hub_rows):
+    monkeypatch.setattr(shared, "HUB_ROWS", hub_rows)
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(90)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(300)]
     got = {r.id: r.component for r in shared.connected_components(spark.createDataFrame(edges, "u long, v long").repartition(7), shared.Scratch(spark)).collect()}
