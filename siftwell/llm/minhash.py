@@ -74,22 +74,29 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
         return bw.mix((bw.mix(held) * _ODD).reshape(-1, ROWS).sum(axis=1, dtype=np.uint64))
 
 
-def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Expected number of buckets in which sets of n and m shingles that share none have equal registers."""
-    low = 2.0 ** -np.arange(1, 54)
-    within = lambda size: (1 - low / REGISTERS) ** size[..., None] - (1 - 2 * low / REGISTERS) ** size[..., None]
-    return REGISTERS * 2.0**-MANTISSA * (within(np.asarray(n, np.float64)) * within(np.asarray(m, np.float64))).sum(axis=-1)
+_LOW = 2.0 ** -np.arange(1, 54)
 
 
-def matches(a: np.ndarray, b: np.ndarray, n, m) -> tuple[np.ndarray, np.ndarray]:
+def spread_of(n) -> np.ndarray:
+    """For sets of n shingles, the chance that the least hash of a bucket has each number of leading zeros."""
+    n = np.asarray(n, np.float64)[..., None]
+    return (1 - _LOW / REGISTERS) ** n - (1 - 2 * _LOW / REGISTERS) ** n
+
+
+def chance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Expected number of buckets in which two sets that share nothing have equal registers, by their spreads."""
+    return REGISTERS * 2.0**-MANTISSA * (a * b).sum(axis=-1)
+
+
+def matches(a: np.ndarray, b: np.ndarray, spread_a: np.ndarray, spread_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Equal registers of a and each of b, less those of chance, and the buckets that either fills."""
     either = (a != 0) | (b != 0)
-    return ((a == b) & either).sum(axis=-1) - chance(n, m), either.sum(axis=-1)
+    return ((a == b) & either).sum(axis=-1) - chance(spread_a, spread_b), either.sum(axis=-1)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, n: int, m: int) -> float:
     """The estimated Jaccard similarity of sets of n and m shingles."""
-    same, of = matches(a, b, n, m)
+    same, of = matches(a, b, spread_of(n), spread_of(m))
     return float(np.clip(same / of, 0, 1)) if of else 0.0
 
 
@@ -110,7 +117,7 @@ def link_sketches(ids: list[int], words: list[np.ndarray], percent: int, label:
     """Links that span the components of a block of sketches and sets; label marks what is already known to be connected."""
     registers, sets = np.stack([w[:SKETCH_WORDS].view(np.uint16) for w in words]), [w[SKETCH_WORDS:] for w in words]
     keys, count = np.stack([band_keys(r) for r in registers]), np.array([len(s) for s in sets], np.int64)
-    lab = np.arange(len(ids)) if label is None else label.copy()
+    spreads, lab = spread_of(count), np.arange(len(ids)) if label is None else label.copy()
     out = []
     for i in range(len(ids) - 1):
         js = i + 1 + np.flatnonzero(lab[i + 1 :] != lab[i])
@@ -118,7 +125,7 @@ def link_sketches(ids: list[int], words: list[np.ndarray], percent: int, label:
         js = js[(keys[js] == keys[i]).any(axis=1)]
         if not len(js):
             continue
-        same, of = matches(registers[i], registers[js], count[i : i + 1], count[js])
+        same, of = matches(registers[i], registers[js], spreads[i], spreads[js])
         for j in js[same >= least[of] - 1].tolist():
             if lab[j] != lab[i] and nj.linked(sets[i], sets[j], percent):
                 lab[lab == lab[j]] = lab[i]

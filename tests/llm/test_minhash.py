@@ -69,7 +69,7 @@ def test_registers_hold_zeros_and_mantissa():
 def test_collisions_of_unrelated_sets_are_expected():
     rng = np.random.default_rng(2)
     found = [int(((a := mh.sketch(random_set(rng, 20_000))) == (b := mh.sketch(random_set(rng, 20_000)))).sum()) for _ in range(300)]
-    assert abs(np.mean(found) - mh.chance(np.array([20_000]), np.array([20_000]))[0]) < 0.1
+    assert abs(np.mean(found) - mh.chance(mh.spread_of(20_000), mh.spread_of(20_000))) < 0.1
 
 
 @pytest.mark.parametrize("n", [1, 5, 12, 60, 300, 3000])
@@ -83,7 +83,7 @@ def test_linked_pairs_share_bands_and_pass_the_estimate(n):
             x = a
         rx, ry = mh.sketch(x), mh.sketch(y)
         assert (mh.band_keys(rx) == mh.band_keys(ry)).any()
-        same, of = mh.matches(rx, ry, len(x), len(y))
+        same, of = mh.matches(rx, ry, mh.spread_of(len(x)), mh.spread_of(len(y)))
         assert same >= least[of] - 1
 
 
