@@ -330,10 +330,12 @@ def _residual(rows: DataFrame, wide: DataFrame, joined: DataFrame, scratch: Scra
     counts = of.groupBy("grp", "label").agg(F.count("*").alias("n"))
     main = counts.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     outside = scratch.keep(salted_join(of, main, ["grp"], "node").where("label <> main").select("node", "grp", "blk", "label"), "outside")
-    sets = rows.where("shingles is not null").select("node", "prefix", "shingles").dropDuplicates(["node"])
-    shared = sets.select("node", F.explode("prefix").alias("key"))
-    spots = shared.join(of.select("node", "grp", "blk"), "node").select("grp", "key", "blk").distinct()
-    keys = shared.join(outside.select("node", "grp"), "node").select("grp", "key", "node")
+    # what of them is read below is theirs alone, and their keys are exploded after that
+    sets = rows.where("shingles is not null")
+    sets = sets.join(F.broadcast(of.select("node")), "node", "left_semi") if of.count() <= BROADCAST_IDS else sets
+    sets = sets.select("node", "prefix", "shingles").dropDuplicates(["node"])
+    spots = sets.select("node", "prefix").join(of.select("node", "grp", "blk"), "node").select("grp", F.explode("prefix").alias("key"), "blk").distinct()
+    keys = sets.select("node", "prefix").join(outside.select("node", "grp"), "node").select("grp", F.explode("prefix").alias("key"), "node")
     meets = scratch.keep(keys.join(spots, ["grp", "key"]).select("grp", "blk", "node").distinct(), "meets")
     chunks = meets.groupBy("grp", "blk").agg(F.ceil(F.count("*") / block_nodes).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int")
