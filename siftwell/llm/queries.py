@@ -84,6 +84,17 @@ def url_redirect_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages.join(before, "page_id", "left").withColumn("html", F.concat(F.coalesce(link, F.lit("")), "html")))
 
 
+#: relative links of the kinds that a url may be written in
+_RELATIVE = "CASE page_id % 6 WHEN 0 THEN '../de/1' WHEN 1 THEN '?v=2' WHEN 2 THEN '#x' WHEN 3 THEN concat('./x/../', page_id) WHEN 4 THEN '//Example.org/en/1' ELSE 'mailto:a@b.com' END"
+
+
+def url_relative_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8 over all pages, each with a relative link and every seventh with a base of its own."""
+    pages = _table(spark, sf_dir, "pages")
+    base = F.expr("""CASE WHEN page_id % 7 = 0 THEN '<base href="/fr/../de/">' ELSE '' END""")
+    return url_filter.judge(pages.withColumn("html", F.concat(base, F.lit('<link rel="canonical" href="'), F.expr(_RELATIVE), F.lit('">'), "html")))
+
+
 def page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10 over all pages without their article marks, so that differencing decides on every line."""
     pages = _table(spark, sf_dir, "pages")
@@ -99,7 +110,7 @@ def fingerprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_join, op2_language_id, op3_quality, op4_chat_format, op5_decontaminate, op6_simhash, op7_bpe, op8_url_filter, op9_lm_score, op10_html_extract, op11_merkle, op12_minhash, op13_fill_middle, url_redirect_classes, page_differencing, fingerprint_classes)
+    for f in (op1_ngram_join, op2_language_id, op3_quality, op4_chat_format, op5_decontaminate, op6_simhash, op7_bpe, op8_url_filter, op9_lm_score, op10_html_extract, op11_merkle, op12_minhash, op13_fill_middle, url_redirect_classes, url_relative_classes, page_differencing, fingerprint_classes)
 }
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -195,4 +206,9 @@ ORACLE_SQL: dict[str, str] = {
       SELECT p.page_id, p.url, CASE p.page_id % 3 WHEN 1 THEN '<link rel="canonical" href="' || t.url || '">' WHEN 2 THEN '<meta http-equiv="refresh" content="0; url=' || t.url || '">' ELSE '' END || p.html AS html
       FROM pages p LEFT JOIN pages t ON t.page_id = p.page_id - 1),""",
     ),
+    "url_relative_classes": url_filter.oracle_sql(
+        pages="linked",
+        before=f"""linked AS (
+      SELECT page_id, url, CASE WHEN page_id % 7 = 0 THEN '<base href="/fr/../de/">' ELSE '' END || '<link rel="canonical" href="' || {_RELATIVE} || '">' || html AS html FROM pages),""",
+    ),
 }
