@@ -16,7 +16,7 @@ from siftwell.operators import search
 from siftwell.operators.encode import Embedder, SparseEncoder
 from siftwell.operators.filters import matching
 from siftwell.operators.lexical import LexicalIndex
-from siftwell.operators.store import Versions, latest
+from siftwell.operators.store import Versions, latest, passing
 from siftwell.plans.component import Component, registry
 from siftwell.sources.folders import Folder
 
@@ -39,21 +39,21 @@ class VectorSpec:
 class TableStore(Component):
     """Chunks and their vectors by id: rows are appended in batches and the last one wins.
 
-    With a path they are Parquet, and opening it again finds what is there;
-    without, they are cached, for small corpora.  Each space has a table of its
-    own, so that refreshing one leaves the others and the payload alone.
+    They are Parquet, and opening a path again finds what is there; without a
+    path they lie in the shared folder until `drop`.  Each space has a table of
+    its own, so that refreshing one leaves the others and the payload alone.
     """
 
     kind, name = "vector_store", "table"
 
     def __init__(self, spark: SparkSession, path: str | None = None, config=None, **fields):
         super().__init__(config, **fields)
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path or passing(spark)
         self.specs: dict[str, VectorSpec] = {}
         self._tables: dict[str, Versions] = {}
-        self._folder = Folder(spark, path) if path else None
-        if self._folder and self._folder.names("specs"):
-            self.specs = {r["name"]: VectorSpec(r["name"], r["kind"], r["dimensions"], r["distance"]) for r in spark.read.schema(_SPEC).json(f"{path}/specs").collect()}
+        self._folder = Folder(spark, self.path)
+        if self._folder.names("specs"):
+            self.specs = {r["name"]: VectorSpec(r["name"], r["kind"], r["dimensions"], r["distance"]) for r in spark.read.schema(_SPEC).json(f"{self.path}/specs").collect()}
 
     def ensure_schema(self, specs: Sequence[VectorSpec]) -> None:
         for spec in specs:
@@ -61,7 +61,7 @@ class TableStore(Component):
             if known is not None and not known.fits(spec):
                 raise ConfigError(f"space {spec.name!r} is {known}, not {spec}")
         new = [s for s in specs if s.name not in self.specs]
-        if new and self.path:
+        if new:
             self.spark.createDataFrame([(s.name, s.kind, s.dimensions, s.distance) for s in new], _SPEC).coalesce(1).write.mode("append").json(f"{self.path}/specs")
         self.specs |= {s.name: s for s in new}
 
@@ -78,11 +78,8 @@ class TableStore(Component):
             raise StorageError(f"chunks have no {lacking}")
         payload, rows = [c for c in chunks.columns if c not in vectors.values()], chunks.withColumn("__at", F.monotonically_increasing_id())
         staged = f"staging-{uuid.uuid4().hex}"
-        if self.path:
-            rows.write.parquet(f"{self.path}/{staged}")
-            rows = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{staged}")
-        else:
-            rows = rows.persist()
+        rows.write.parquet(f"{self.path}/{staged}")
+        rows = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{staged}")
         try:
             for space, column in vectors.items():
                 spec = self.specs[space]
@@ -95,10 +92,7 @@ class TableStore(Component):
             for space, column in vectors.items():
                 self._table(f"space-{space}").append(kept.select("id", F.col(column).alias("vector")))
         finally:
-            if self._folder:
-                self._folder.remove(staged)
-            else:
-                rows.unpersist()
+            self._folder.remove(staged)
 
     def update_vectors(self, space: str, rows: DataFrame) -> None:
         """(id, vector) for chunks that are there; the payload and other spaces stay."""
@@ -137,6 +131,11 @@ class TableStore(Component):
         for name in ("chunks", *(f"space-{s}" for s in self.specs)):
             self._table(name).compact()
 
+    def drop(self) -> None:
+        """Deletes everything, the indices of representations included."""
+        self._folder.remove()
+        self.specs, self._tables = {}, {}
+
 
 _SPEC = "name string, kind string, dimensions int, distance string"
 registry.register(TableStore)

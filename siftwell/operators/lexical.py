@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.text import counted, let, tokens
 from siftwell.operators import search
-from siftwell.operators.store import Versions
+from siftwell.operators.store import Versions, passing
 from siftwell.plans.component import Component, registry
 
 #: query terms that are named in the scan, so that files without them are not read
@@ -21,9 +21,9 @@ class LexicalIndex(Component):
 
     Adding an id again replaces it.  Postings are dealt by ranges of (term, id)
     and sorted, so a file holds few terms, a frequent term is many files, and a
-    search reads the row groups of its own terms alone; it reads no text.  With
-    a path the index is Parquet and opening it again finds what is there;
-    without, it is cached, for small corpora.
+    search reads the row groups of its own terms alone; it reads no text.
+    Opening a path again finds what is there; without one the index lies in the
+    shared folder.
     """
 
     kind, name = "lexical_index", "bm25"
@@ -36,10 +36,10 @@ class LexicalIndex(Component):
 
     def __init__(self, spark: SparkSession, path: str | None = None, config=None, **fields):
         super().__init__(config, **fields)
-        root = f"{path}/{self.config.namespace}" if path else None
-        self.lengths, self.postings = Versions(spark, root, "lengths"), Versions(spark, root, "postings")
+        root = f"{path or passing(spark)}/{self.config.namespace}"
+        self.lengths, self.postings, self.terms = (Versions(spark, root, name) for name in ("lengths", "postings", "terms"))
         # lengths are written last and say what is live
-        self.postings.batches = list(self.lengths.batches)
+        self.postings.batches, self.terms.batches = list(self.lengths.batches), list(self.lengths.batches)
         self._stats: DataFrame | None = None
 
     def add(self, chunks: DataFrame) -> None:
@@ -51,6 +51,7 @@ class LexicalIndex(Component):
         # chunks without a word have a row without a term: it carries their length of 0
         self.postings.append(flat.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), replace=False)
         new = self.postings.rows(self.postings.batches[-1:])
+        self.terms.append(new.where("term is not null").groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term"), replace=False)
         self.lengths.append(new.groupBy("id").agg(F.first("len").alias("len")))
         self._stats = None
 
@@ -69,20 +70,22 @@ class LexicalIndex(Component):
             return search.ranked(empty, k, "bm25")
         terms = wanted.select("term").distinct()
         few = [r.term for r in terms.limit(search.QUERY_BLOCK + 1).collect()]
-        held = self.postings.live("term", "id", "tf", "len").where("term is not null")
-        if len(few) <= PUSHED_TERMS:
-            held = held.where(F.col("term").isin(few))
-        elif len(few) <= search.QUERY_BLOCK:
-            held = held.join(F.broadcast(terms), "term", "left_semi")
-        else:
-            held = held.join(terms, "term", "left_semi")
+        def of_terms(rows: DataFrame) -> DataFrame:
+            if len(few) <= PUSHED_TERMS:
+                return rows.where(F.col("term").isin(few))
+            return rows.join(F.broadcast(terms) if len(few) <= search.QUERY_BLOCK else terms, "term", "left_semi")
+
+        held = of_terms(self.postings.live("term", "id", "tf", "len").where("term is not null"))
         tf = self.lengths.without_dead(held).select(F.col("id").alias("chunk_id"), "term", "tf", "len")
-        return search.bm25_ranked(wanted, tf, stats, k, self.config.k1 if k1 is None else k1, self.config.b if b is None else b, allowed)
+        # counted when they were added; where chunks were replaced since, the live postings are counted
+        df = of_terms(self.terms.rows(self.terms.batches)).groupBy("term").agg(F.sum("df").alias("df")) if self.lengths.dead() is None else None
+        return search.bm25_ranked(wanted, tf, stats, k, self.config.k1 if k1 is None else k1, self.config.b if b is None else b, allowed, df)
 
     def compact(self) -> None:
         """Postings and lengths as one batch each."""
         if len(self.lengths.batches) > 1:
             self.postings.compact(self.lengths.without_dead(self.postings.live()))
+            self.terms.compact(self.postings.rows(self.postings.batches).where("term is not null").groupBy("term").agg(F.count("*").alias("df")).withColumn("seq", F.lit(0)))
             self.lengths.compact()
 
 

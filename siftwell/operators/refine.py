@@ -17,13 +17,18 @@ from pyspark.sql import functions as F
 from siftwell.errors import ConfigError
 from siftwell.functions.text import jaccard, tokens
 from siftwell.operators.search import TIE
+from siftwell.operators.store import small, stored
 from siftwell.plans.component import Component, registry
 
 
 def candidates(rankings: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Rankings with what their chunks are; text is fetched for ranked chunks alone."""
+    """Rankings with what their chunks are.
+
+    The rankings are written and counted; as long as they are few they go to the
+    chunks, which stay where they are, so no text is shuffled.
+    """
     chunk = chunks.withColumnRenamed("id", "chunk_id")
-    return rankings.withColumn("pos", F.col("rank").cast("int")).join(chunk, "chunk_id")
+    return small(stored(rankings.withColumn("pos", F.col("rank").cast("int")))).join(chunk, "chunk_id")
 
 
 def renumbered(rows: DataFrame, *order) -> DataFrame:
@@ -86,6 +91,9 @@ class NeighborExpander(Refiner):
             return rows
         real = chunks.where(~F.coalesce(F.try_element_at("metadata", F.lit("synthetic")) == "true", F.lit(False))) if "metadata" in chunks.columns else chunks
         near = real.select(F.col("doc_id").alias("n_doc"), F.col("index").alias("n_index"), F.struct("char_start", "char_end", F.col("text").alias("text"), "page_start", "page_end", F.col("id").alias("id")).alias("n"))
+        # the places that are asked for go to the chunks; of those, only what lies there moves on
+        asked = rows.select("doc_id", F.explode(F.sequence(F.col("index") - window, F.col("index") + window)).alias("n_index")).distinct()
+        near = near.join(small(stored(asked)).withColumnRenamed("doc_id", "n_doc"), ["n_doc", "n_index"], "left_semi")
         own = F.struct("char_start", "char_end", "text", "page_start", "page_end", F.col("chunk_id").alias("id"))
         anchors = rows.withColumn("__own", own).withColumn("__at", F.explode(F.sequence(F.col("index") - window, F.col("index") + window)))
         # an equality on document and index in place of a range: each candidate asks for 2 * window + 1 indices

@@ -9,6 +9,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from siftwell import schema
 from siftwell.errors import ConfigError, StorageError
@@ -34,16 +35,22 @@ class ServiceStore(Component):
     * write(points), each {id, vectors: {space: value}, payload},
     * update(space, [(id, value)]),
     * search(space, value, k, filters) -> [(payload, score)],
-    * scroll(filters, limit) -> [payload]; limit None is all.
+    * scroll(filters, limit, low, high) -> payloads of the points whose ids,
+      as text, are from low up to but not high ("" and None: without a bound),
+      in the order of ids; limit None is all.
+
+    What is read from the service is read by ranges of point ids, each a task of
+    its own; ids are hashes, so the ranges are even.
     """
 
     kind, name = "vector_store", "service"
 
-    def __init__(self, spark: SparkSession, connect: Callable[[], Any] | None = None, recreate: bool = False, batch: int = 256):
+    def __init__(self, spark: SparkSession, connect: Callable[[], Any] | None = None, recreate: bool = False, batch: int = 256, ranges: int | None = None):
         super().__init__()
         if connect is None:
             raise ConfigError("the service store needs connect=")
         self.spark, self.connect, self.recreate, self.batch = spark, connect, recreate, batch
+        self.ranges = ranges or 4 * spark.sparkContext.defaultParallelism
         self.path: str | None = None
         self.specs: dict[str, VectorSpec] = {}
         self._last: DataFrame | None = None
@@ -118,27 +125,56 @@ class ServiceStore(Component):
         return search.ranked(queries.select("qid", "vector").mapInArrow(run, f"qid {kind}, chunk_id string, score double"), k, self.specs[space].kind)
 
     def fetch(self, filters: Mapping[str, Any] | None = None, limit: int | None = 100) -> DataFrame:
-        found = self._call("scroll", lambda c: c.scroll(dict(filters or {}), limit))
-        return self.spark.createDataFrame([tuple(p.get(k) for k in PAYLOAD) for p in found], schema.CHUNK)
+        """Payloads that match; of more than limit, those of the first point ids."""
+        rows = _scrolled(self.spark, self.connect, dict(filters or {}), limit, self.ranges)
+        return (rows if limit is None else rows.orderBy("point").limit(limit)).drop("point")
 
     def chunks(self) -> DataFrame:
-        """All payloads, read in one task of an executor and not through the driver."""
-        connect = self.connect
+        return self.fetch(limit=None)
 
-        def run(batches):
-            for _ in batches:
+    def last(self) -> DataFrame:
+        return self._last if self._last is not None else self.chunks().limit(0)
+
+
+_CHUNKS = pa.schema([("point", pa.string()), *((k, pa.map_(pa.string(), pa.string()) if k == "metadata" else pa.int32() if k in ("index", "char_start", "char_end", "page_start", "page_end") else pa.string()) for k in PAYLOAD)])
+
+
+def id_ranges(n: int) -> list[tuple[str, str | None]]:
+    """n even ranges of ids that begin with eight hexadecimal digits."""
+    cuts = [f"{(i << 32) // n:08x}" for i in range(1, n)]
+    return list(zip(["", *cuts], [*cuts, None], strict=True))
+
+
+def _scrolled(spark: SparkSession, connect: Callable[[], Any], filters: dict, limit: int | None, ranges: int) -> DataFrame:
+    """(point, payload ...) of a service's points, a partition for each range of ids."""
+    name, schema_text = f"siftwell_scroll_{uuid.uuid4().hex}", f"point string, {schema.CHUNK}"
+
+    class Reader(DataSourceReader):
+        def partitions(self):
+            return [InputPartition(r) for r in id_ranges(ranges)]
+
+        def read(self, partition):
+            try:
                 held = []
-                for p in connect().scroll({}, None):
-                    held.append({k: list((p.get(k) or {}).items()) if k == "metadata" else p.get(k) for k in PAYLOAD})
+                for p in connect().scroll(filters, limit, *partition.value):
+                    held.append({"point": point_id(p["id"])} | {k: list((p.get(k) or {}).items()) if k == "metadata" else p.get(k) for k in PAYLOAD})
                     if len(held) == 1000:
                         yield pa.RecordBatch.from_pylist(held, _CHUNKS)
                         held = []
                 yield pa.RecordBatch.from_pylist(held, _CHUNKS)
+            except Exception as error:
+                raise StorageError(f"the vector service could not scroll: {error}") from error
 
-        return self.spark.range(1).coalesce(1).mapInArrow(run, schema.CHUNK)
+    class Scroll(DataSource):
+        @classmethod
+        def name(cls):
+            return name
 
-    def last(self) -> DataFrame:
-        return self._last if self._last is not None else self.chunks().limit(0)
+        def schema(self):
+            return schema_text
 
+        def reader(self, schema):
+            return Reader()
 
-_CHUNKS = pa.schema([(k, pa.map_(pa.string(), pa.string()) if k == "metadata" else pa.int32() if k in ("index", "char_start", "char_end", "page_start", "page_end") else pa.string()) for k in PAYLOAD])
+    spark.dataSource.register(Scroll)
+    return spark.read.format(name).load()

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.sources.folders import Folder
+from siftwell.sources.folders import Folder, shared_folder
 
 
 def latest(rows: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
@@ -16,6 +16,27 @@ def latest(rows: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def passing(spark: SparkSession) -> str:
+    """A new folder, in the one that driver and executors share, for tables that no path was given for."""
+    return f"{shared_folder(spark)}/passing-{uuid.uuid4().hex}"
+
+
+#: rows that go with a broadcast, where they are counted
+BROADCAST_ROWS = 1_000_000
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """Thin rows, such as rankings, written once to the shared folder: what comes next counts and rereads them and computes nothing again."""
+    path = passing(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def small(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """rows, to be broadcast if a count finds no more than limit of them."""
+    return F.broadcast(rows) if rows.count() <= (BROADCAST_ROWS if limit is None else limit) else rows
+
+
 class Versions:
     """Rows by id, appended in batches; an id's row in the last batch that has it is its live one.
 
@@ -23,34 +44,23 @@ class Versions:
     that are dead from then on, are found once, when it is written, from ids
     alone; reading is a plain scan as long as nothing was replaced, and an anti
     join with the dead rows otherwise.  A marker is written last: a batch
-    without one was cut off and is not read.  Without a root, batches are
-    cached, for small tables.
+    without one was cut off and is not read.  Every batch is a file scan, so a
+    plan does not grow with what its batches were made from.
     """
 
     def __init__(self, spark: SparkSession, root: str | None, name: str):
-        self.spark, self.name, self.root = spark, name, root
-        self.batches: list[int] = []
-        self._cached: dict[str, dict[int, DataFrame]] = {name: {}, "dead": {}}
-        self.folder = Folder(spark, f"{root}/{name}") if root else None
-        if self.folder:
-            self.batches = sorted(int(x) for x in self.folder.names("done"))
+        self.spark = spark
+        self.folder = Folder(spark, f"{root or passing(spark)}/{name}")
+        self.batches: list[int] = sorted(int(x) for x in self.folder.names("done"))
 
     def _read(self, part: str, batches: list[int]) -> DataFrame | None:
         if not batches:
             return None
-        if not self.folder:
-            held = [self._cached[self.name if part == "rows" else part][n] for n in batches]
-            return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), held)
         base = f"{self.folder.path}/{part}"
         return self.spark.read.option("basePath", base).option("mergeSchema", len(batches) > 1).parquet(*[f"{base}/seq={n}" for n in batches]).withColumn("seq", F.col("seq").cast("long"))
 
     def _write(self, part: str, number: int, rows: DataFrame) -> DataFrame:
-        if self.folder:
-            rows.write.mode("overwrite").parquet(f"{self.folder.path}/{part}/seq={number}")
-        else:
-            held = rows.withColumn("seq", F.lit(number).cast("long")).persist()
-            held.count()
-            self._cached[self.name if part == "rows" else part][number] = held
+        rows.write.mode("overwrite").parquet(f"{self.folder.path}/{part}/seq={number}")
         return self._read(part, [number])
 
     def rows(self, batches: list[int]) -> DataFrame | None:
@@ -59,9 +69,7 @@ class Versions:
 
     def dead(self) -> DataFrame | None:
         """(id, was) of rows that a later batch replaced."""
-        if self.folder:
-            return self._read("dead", sorted(n for n in (int(x.split("=")[1]) for x in self.folder.names("dead")) if n in self.batches))
-        return self._read("dead", sorted(self._cached["dead"]))
+        return self._read("dead", sorted(n for n in (int(x.split("=")[1]) for x in self.folder.names("dead")) if n in self.batches))
 
     def append(self, rows: DataFrame, replace: bool = True) -> int:
         """A batch of rows, one for each id (any number where nothing is to be replaced); its number."""
@@ -70,12 +78,8 @@ class Versions:
         if before is not None:
             replaced = before.select("id", F.col("seq").alias("was")).join(new.select("id"), "id", "left_semi")
             if self._write("dead", number, replaced).limit(1).count() == 0:
-                if self.folder:
-                    self.folder.remove(f"dead/seq={number}")
-                else:
-                    self._cached["dead"].pop(number).unpersist()
-        if self.folder:
-            self.folder.mark(f"done/{number}")
+                self.folder.remove(f"dead/seq={number}")
+        self.folder.mark(f"done/{number}")
         self.batches.append(number)
         return number
 
@@ -98,16 +102,11 @@ class Versions:
             return
         old, number = list(self.batches), self.batches[-1] + 1
         self._write("rows", number, (self.live() if live is None else live).drop("seq"))
-        if self.folder:
-            self.folder.mark(f"done/{number}")
-            # without their markers the old batches are not read, whenever this stops
-            for n in old:
-                self.folder.remove(f"done/{n}")
-            for n in old:
-                self.folder.remove(f"rows/seq={n}")
-                self.folder.remove(f"dead/seq={n}")
-        else:
-            for part in self._cached.values():
-                for n in [n for n in part if n in old]:
-                    part.pop(n).unpersist()
+        self.folder.mark(f"done/{number}")
+        # without their markers the old batches are not read, whenever this stops
+        for n in old:
+            self.folder.remove(f"done/{n}")
+        for n in old:
+            self.folder.remove(f"rows/seq={n}")
+            self.folder.remove(f"dead/seq={n}")
         self.batches = [number]

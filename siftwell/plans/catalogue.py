@@ -20,9 +20,9 @@ from siftwell.functions import text as tx
 from siftwell.operators import chunking, encode, enrich, generate, index, metrics, refine, retrieve, search
 from siftwell.operators.filters import matching
 from siftwell.operators.store import latest
-from siftwell.plans import pipeline, trials
+from siftwell.plans import files, pipeline, trials
 from siftwell.plans.space import SearchSpace, choice
-from siftwell.sources import blobs, detect, html, ocr, pages, parsers
+from siftwell.sources import blobs, detect, html, ocr, pages, parsers, pdf
 from siftwell.sources.folders import shared_folder
 
 QUERIES: dict = {}
@@ -340,11 +340,19 @@ def ocr_policies(spark, sf_dir):
 
 
 def _files(spark, sf_dir) -> DataFrame:
-    """Documents as files, every second one markdown, and pages as web files."""
+    """Documents as files, every second one markdown."""
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d-"), "doc_id", F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(".txt")).alias("uri"), F.col("text").cast("binary").alias("content"))
     return docs.withColumn("doc_id", F.col("uri"))
 
 
+def _web(spark, sf_dir) -> DataFrame:
+    """Documents as web pages of a heading and a paragraph or an item for each line, without a name that tells what they are."""
+    low = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.transform(F.split(low, "\n"), lambda x, i: F.when(i == 0, F.concat(F.lit("<h2>"), x, F.lit("</h2>"))).when(i % 2 == 0, F.concat(F.lit("<p>"), x, F.lit("</p>"))).otherwise(F.concat(F.lit("<li>"), x, F.lit("</li>"))))
+    page = F.concat(F.lit("<!DOCTYPE html><html><head><title>t</title><script>var x = 1;</script></head><body><nav>menu</nav>"), F.array_join(lines, ""), F.lit("</body></html>"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("w-"), "doc_id").alias("uri"), page.cast("binary").alias("content"))
+
+
 @query(f"""WITH RECURSIVE {PAGES_SQL}
 SELECT 'd-' || d.doc_id || CASE WHEN d.doc_id % 2 = 0 THEN '.md' ELSE '.txt' END AS doc_id, count(p.number)::BIGINT AS page_count, sha256(any_value(d.markdown)) AS markdown_hash FROM doc d LEFT JOIN page p USING (doc_id) GROUP BY d.doc_id""")
 def parse_auto(spark, sf_dir):
@@ -357,6 +365,62 @@ def parse_auto(spark, sf_dir):
     return found.select("doc_id", F.col("page_count").cast("long").alias("page_count"), F.sha2("markdown", 256).alias("markdown_hash"))
 
 
+@query(f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, {_NL})) AS line, generate_subscripts(string_split(text, {_NL}), 1) AS i FROM documents),
+  c AS (SELECT doc_id, i, trim(regexp_replace(line, '[\\s\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g'), ' ') AS line FROM l),
+  m AS (SELECT doc_id, string_agg(CASE WHEN i = 1 THEN '## ' WHEN i % 2 = 0 THEN '- ' ELSE '' END || line, {_NL} || {_NL} ORDER BY i) AS markdown FROM c WHERE line <> '' GROUP BY doc_id)
+SELECT doc_id, CASE WHEN markdown IS NULL THEN 0 ELSE 1 END::BIGINT AS page_count, sha256(coalesce(markdown, '')) AS markdown_hash FROM documents LEFT JOIN m USING (doc_id)""")
+def parse_web(spark, sf_dir):
+    """Web pages by their markup, to markdown with headings and items."""
+    found = parsers.AutoParser().parse(detect.detect_format(_web(spark, sf_dir)))
+    return found.select("doc_id", F.col("page_count").cast("long").alias("page_count"), F.sha2("markdown", 256).alias("markdown_hash"))
+
+
+@query(f"WITH RECURSIVE {PAGES_SQL} SELECT doc_id, number::BIGINT AS number, sha256(md) AS markdown_hash FROM page")
+def page_disassembly(spark, sf_dir):
+    """The pages of assembled texts, taken from them by their spans."""
+    back = pages.disassemble(_documents(spark, sf_dir))
+    return back.select("doc_id", F.col("number").cast("long").alias("number"), F.sha2("markdown", 256).alias("markdown_hash"))
+
+
+_LINES = f"l AS (SELECT doc_id, unnest(string_split(text, {_NL})) AS line, generate_subscripts(string_split(text, {_NL}), 1) AS i FROM documents)"
+
+
+@query(f"""WITH {_LINES},
+  c AS (SELECT doc_id, i, trim(line, ' ' || chr(9) || chr(13)) AS line, CASE doc_id % 3 WHEN 0 THEN (i - 1) // 7 ELSE (i - 1) // 5 END AS part, i = 1 OR (doc_id % 3 = 1 AND (i - 1) % 5 = 0) AS head FROM l),
+  prose AS (SELECT doc_id, string_agg(CASE WHEN head THEN '# ' ELSE '' END || line, {_NL} || {_NL} ORDER BY i) AS markdown, count(DISTINCT part) AS pages FROM c WHERE doc_id % 3 < 2 AND line <> '' GROUP BY doc_id),
+  cells AS (SELECT doc_id, i, '| ' || i || ' | ' || replace(trim(regexp_replace(line, '[ \t\r]+', ' ', 'g'), ' '), '|', chr(92) || '|') || ' |' AS row FROM l WHERE doc_id % 3 = 2),
+  sheets AS (SELECT doc_id, '## S' || {_NL} || {_NL} || string_agg(row || CASE WHEN i = 1 THEN {_NL} || '| --- | --- |' ELSE '' END, {_NL} ORDER BY i) AS markdown, 1 AS pages FROM cells GROUP BY doc_id),
+  every AS (SELECT * FROM prose UNION ALL SELECT * FROM sheets)
+SELECT doc_id, (['docx', 'pptx', 'xlsx'])[doc_id % 3 + 1] AS format, coalesce(pages, 0)::BIGINT AS page_count, sha256(coalesce(markdown, '')) AS markdown_hash FROM documents LEFT JOIN every USING (doc_id)""")
+def office_markdown(spark, sf_dir):
+    """Documents as office archives, detected by their members and read without a converter."""
+    found = detect.detect_format(files.office_files(table(spark, sf_dir, "documents")))
+    read = parsers.AutoParser().parse(found).select("doc_id", F.col("page_count").cast("long").alias("page_count"), F.sha2("markdown", 256).alias("markdown_hash"))
+    return read.join(found.select("doc_id", "format"), "doc_id")
+
+
+_PDF_PAGES = f"""{_LINES},
+  g AS (SELECT doc_id, (i - 1) // 12 + 1 AS page, sum(length(line)) AS n, trim(string_agg(line, {_NL} ORDER BY i), {_NL}) AS t FROM l GROUP BY ALL),
+  p AS (SELECT doc_id, page, CASE WHEN (doc_id + page) % 5 = 0 THEN 0 ELSE n END AS chars, CASE WHEN (doc_id + page) % 5 = 0 THEN '' ELSE t END AS text FROM g)"""
+
+
+@query(f"WITH {_PDF_PAGES} SELECT doc_id, page::BIGINT AS page, chars::BIGINT AS chars, sha256(text) AS text_hash FROM p")
+def pdf_text_layer(spark, sf_dir):
+    """Characters and text of each page of PDF files made of the documents, scans among them."""
+    layer = pdf.text_layer(files.pdf_files(table(spark, sf_dir, "documents")))
+    return layer.select("doc_id", F.col("page").cast("long").alias("page"), F.col("chars").cast("long").alias("chars"), F.sha2("text", 256).alias("text_hash"))
+
+
+@query(f"""WITH {_PDF_PAGES}, r AS (SELECT doc_id, page, chars < 32 AS ocr, CASE WHEN chars < 32 THEN 'scan ' || page ELSE text END AS text FROM p)
+SELECT doc_id, count(*)::BIGINT AS page_count, count(*) FILTER (ocr)::BIGINT AS ocr_pages, sha256(string_agg(text, {_NL} || {_NL} ORDER BY page)) AS markdown_hash FROM r GROUP BY doc_id""")
+def pdf_routed(spark, sf_dir):
+    """The same files: pages with a text layer by it, the others by an engine, in windows."""
+    reader = parsers.AutoParser(render=lambda data, number: (str(number).encode(), "image/png"), engine=ocr.CallableOcr(lambda image, mime: f"scan {image.decode()}"))
+    read = reader.parse(detect.detect_format(files.pdf_files(table(spark, sf_dir, "documents"))))
+    return read.select("doc_id", F.col("page_count").cast("long").alias("page_count"), F.col("ocr_pages").cast("long").alias("ocr_pages"), F.sha2("markdown", 256).alias("markdown_hash"))
+
+
 # --- text and chunks ------------------------------------------------------------------------------------------------------
 
 
@@ -849,24 +913,24 @@ WITH t AS (SELECT user_id, event_id, value FROM events WHERE value IS NOT NULL),
 
 
 def _log(spark, sf_dir) -> DataFrame:
-    """Every event as a record of its user's trial, in the order of events, as lines of a log."""
-    e = table(spark, sf_dir, "events").where("value is not null").orderBy("event_id")
-    return e.select(F.to_json(F.struct(F.col("user_id").cast("string").alias("trial_id"), F.struct(F.struct(F.lit("fixed").alias("name"), F.struct(F.col("event_type").alias("size")).alias("config")).alias("chunker")).alias("pipeline_spec"), F.create_map(F.lit("q"), "value").alias("metrics"))).alias("value"))
+    """Every event as a record of its user's trial, with its number as the sequence, as lines of a log of many writers."""
+    e = table(spark, sf_dir, "events").where("value is not null")
+    return e.select(F.to_json(F.struct(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("trial_id"), F.struct(F.struct(F.lit("fixed").alias("name"), F.struct(F.col("event_type").alias("size")).alias("config")).alias("chunker")).alias("pipeline_spec"), F.create_map(F.lit("q"), "value").alias("metrics"))).alias("value"))
 
 
 @query(f"{_LOGGED} SELECT count(*)::BIGINT AS trials, round(avg(q), 6) AS mean_q, round(max(q), 6) AS best_q FROM u")
 def trial_sql(spark, sf_dir):
     """SQL over a log of trials, of whose records the last one counts."""
     path = f"{shared_folder(spark)}/trials-{uuid.uuid4().hex}"
-    _log(spark, sf_dir).coalesce(1).write.text(path)
-    return trials.TrialLog(path).query(spark, "SELECT count(*) AS trials, round(avg(metrics['q']), 6) AS mean_q, round(max(metrics['q']), 6) AS best_q FROM trials")
+    _log(spark, sf_dir).write.text(path)
+    return trials.SharedTrialLog(spark, path).query(spark, "SELECT count(*) AS trials, round(avg(metrics['q']), 6) AS mean_q, round(max(metrics['q']), 6) AS best_q FROM trials")
 
 
 @query("""
 WITH t AS (SELECT user_id, arg_max(value, event_id) AS q, arg_max(event_type, event_id) AS size FROM events WHERE value IS NOT NULL GROUP BY user_id)
-SELECT 'chunker' AS stage, 'fixed[size:' || size || ']' AS option, count(*) AS trials, round(avg(q) - (SELECT avg(q) FROM t), 6) AS quality FROM t GROUP BY size""")
+SELECT 'chunker' AS stage, 'fixed(size=' || size || ')' AS option, count(*) AS trials, round(avg(q) - (SELECT avg(q) FROM t), 6) AS quality FROM t GROUP BY size""")
 def trial_options(spark, sf_dir):
-    board = trials.Leaderboard(latest(trials.parsed(_log(spark, sf_dir).coalesce(1)), "trial_id", "line"))
+    board = trials.Leaderboard(latest(trials.parsed(_log(spark, sf_dir)), "trial_id", "line"))
     return board.marginals("chunker", by="q").select("stage", "option", "trials", F.round("quality", 6).alias("quality"))
 
 

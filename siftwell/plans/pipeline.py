@@ -166,16 +166,25 @@ class PipelineBuilder:
             return [self._make(kind, v, **extra) for v in value]
         return value
 
+    def representations(self, spec: Mapping[str, Any]) -> list[index.Representation]:
+        default = [{"name": "dense", "params": {"embedder": {"name": "hashing"}}}, {"name": "lexical"}]
+        return [self._make("representation", r) for r in spec.get("representations") or default]
+
+    def front(self, spec: Mapping[str, Any]) -> tuple[parsers.Parser, chunking.Chunker, list[enrich.Enricher]]:
+        """What comes before a corpus."""
+        parser = self._make("parser", spec["parser"]) if "parser" in spec else parsers.AutoParser()
+        chunker = self._make("chunker", spec["chunker"]) if "chunker" in spec else chunking.FixedChunker()
+        return parser, chunker, [self._make("enricher", e) for e in spec.get("enrich", ())]
+
     def build(self, spec: Mapping[str, Any], corpus: index.Corpus | None = None, trace: Trace | None = None) -> RagPipeline:
         """The pipeline of spec, over corpus if one of its stages is there already."""
         validate_spec(spec)
         if corpus is None:
-            default = [{"name": "dense", "params": {"embedder": {"name": "hashing"}}}, {"name": "lexical"}]
-            representations = [self._make("representation", r) for r in spec.get("representations") or default]
             store = self._make("vector_store", spec["vector_store"], spark=self.spark) if "vector_store" in spec else index.TableStore(self.spark)
-            corpus = index.Corpus(store, representations)
-        parts: dict[str, Any] = {}
-        for stage, kind, name in (("parser", "parser", "parser"), ("chunker", "chunker", "chunker"), ("enrich", "enricher", "enrichers"), ("retriever", "retriever", "retriever"), ("refine", "refiner", "refiners"), ("generator", "generator", "generator")):
+            corpus = index.Corpus(store, self.representations(spec))
+        parser, chunker, enrichers = self.front(spec)
+        parts: dict[str, Any] = {"parser": parser, "chunker": chunker, "enrichers": enrichers}
+        for stage, kind, name in (("retriever", "retriever", "retriever"), ("refine", "refiner", "refiners"), ("generator", "generator", "generator")):
             if stage in spec:
                 entry = spec[stage]
                 parts[name] = [self._make(kind, e, corpus=corpus) for e in entry] if stage in CHAINS else self._make(kind, entry, corpus=corpus)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import itertools
 import json
-from collections.abc import Iterator, Mapping
+import math
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
@@ -30,13 +30,36 @@ class Choice:
 
 def alternatives(value: Any) -> Iterator[Any]:
     """What a parameter may be: each entry of a list, each spec of a choice, or the value itself."""
+    return (picked(value, i) for i in range(counted(value)))
+
+
+def counted(value: Any) -> int:
+    """How many alternatives there are, without listing them."""
+    return sum(math.prod(map(counted, v.params.values())) if isinstance(v, Choice) else 1 for v in (value if isinstance(value, list) else [value]))
+
+
+def picked(value: Any, i: int) -> Any:
+    """The i-th alternative; of a choice's parameters, in the order of their names, the last varies fastest."""
     for item in value if isinstance(value, list) else [value]:
-        if not isinstance(item, Choice):
-            yield item
-            continue
-        names = sorted(item.params)
-        for picked in itertools.product(*(list(alternatives(item.params[n])) for n in names)):
-            yield {"name": item.name, "params": dict(zip(names, picked, strict=True))}
+        n = counted([item])
+        if i >= n:
+            i -= n
+        elif not isinstance(item, Choice):
+            return item
+        else:
+            names = sorted(item.params)
+            digits = digits_of(i, [counted(item.params[k]) for k in names])
+            return {"name": item.name, "params": {k: picked(item.params[k], d) for k, d in zip(names, digits, strict=True)}}
+    raise IndexError("there are fewer alternatives")
+
+
+def digits_of(i: int, sizes: Sequence[int]) -> list[int]:
+    """i as digits of the bases sizes, the last of them varying fastest."""
+    out = []
+    for n in reversed(sizes):
+        i, digit = divmod(i, n)
+        out.append(digit)
+    return out[::-1]
 
 
 def choice(name: str, **params: Any) -> Choice:
@@ -67,20 +90,36 @@ class SearchSpace:
     def dimensions(self) -> list[str]:
         return list(self.stages)
 
+    def _sizes(self, stage: str) -> list[int]:
+        """Of each option of a stage, how many values it expands to."""
+        return [math.prod(map(counted, option)) if stage in CHAINS else counted(option) for option in self.stages[stage]]
+
+    def option(self, stage: str, i: int) -> Any:
+        """The i-th value of a stage."""
+        for given, n in zip(self.stages[stage], self._sizes(stage), strict=True):
+            if i < n:
+                return [picked(link, d) for link, d in zip(given, digits_of(i, list(map(counted, given))), strict=True)] if stage in CHAINS else picked(given, i)
+            i -= n
+        raise IndexError(f"{stage} has fewer options")
+
     def options(self, stage: str) -> list:
-        if stage not in CHAINS:
-            return [x for option in self.stages[stage] for x in option.expand()]
-        return [list(links) for option in self.stages[stage] for links in itertools.product(*(list(link.expand()) for link in option))]
+        return [self.option(stage, i) for i in range(sum(self._sizes(stage)))]
+
+    def size(self) -> int:
+        return math.prod(sum(self._sizes(s)) for s in self.stages)
+
+    def at(self, i: int) -> dict:
+        """The i-th spec of the expansion, made from its number alone."""
+        if not 0 <= i < self.size():
+            raise IndexError(f"there are {self.size()} specs")
+        digits = digits_of(i, [sum(self._sizes(s)) for s in self.stages])
+        return {s: self.option(s, d) for s, d in zip(self.stages, digits, strict=True)}
 
     def expand(self) -> Iterator[dict]:
-        for values in itertools.product(*(self.options(s) for s in self.stages)):
-            yield dict(zip(self.stages, values, strict=True))
+        return (self.at(i) for i in range(self.size()))
 
     def __len__(self) -> int:
-        n = 1
-        for s in self.stages:
-            n *= len(self.options(s))
-        return n
+        return self.size()
 
 
 def validate_spec(spec: Mapping[str, Any]) -> None:

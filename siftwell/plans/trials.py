@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import time
+import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, field, fields
 
@@ -14,6 +16,7 @@ from siftwell import schema
 from siftwell.errors import ConfigError, StorageError
 from siftwell.operators.store import latest
 from siftwell.plans.component import digest16
+from siftwell.sources.folders import Folder
 
 #: fixed values: stages that are paid once a corpus, and those that are paid for each question
 INDEX_STAGES = ("parse", "store_raw", "store_parsed", "chunk", "enrich")
@@ -65,12 +68,15 @@ class TrialLog:
         if not os.path.exists(self.path):
             return
         with open(self.path, encoding="utf-8") as f:
-            for number, line in enumerate(f, 1):
-                if line.strip():
-                    try:
-                        yield Trial.from_json(line)
-                    except (ValueError, TypeError) as error:
-                        raise StorageError(f"{self.path}, line {number}: {error}") from error
+            yield from self._trials(f)
+
+    def _trials(self, lines) -> Iterator[Trial]:
+        for number, line in enumerate(lines, 1):
+            if line.strip():
+                try:
+                    yield Trial.from_json(line)
+                except (ValueError, TypeError) as error:
+                    raise StorageError(f"{self.path}, line {number}: {error}") from error
 
     def read(self) -> list[Trial]:
         return list(self)
@@ -89,9 +95,34 @@ class TrialLog:
         return spark.sql(sql)
 
 
+class SharedTrialLog(TrialLog):
+    """A log that many writers append to, in a folder of any Hadoop file system.
+
+    Each append is a file of its own, which is there whole or not at all.  Its
+    record has a sequence, nanoseconds of the writer's clock and never less than
+    its last one, by which readers order records, whatever files they lie in.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(path.rstrip("/"))
+        self.spark, self._folder, self._last = spark, Folder(spark, path), 0
+
+    def append(self, trial: Trial) -> None:
+        self._last = max(time.time_ns(), self._last + 1)
+        record = {"seq": self._last} | json.loads(trial.to_json())
+        self._folder.put(f"{self._last:020d}-{uuid.uuid4().hex}.json", (json.dumps(record, sort_keys=True) + "\n").encode())
+
+    def __iter__(self) -> Iterator[Trial]:
+        if not self._folder.names():
+            return iter(())
+        lines = self.spark.read.text(self.path).where(F.trim("value") != "").withColumn("seq", F.get_json_object("value", "$.seq").cast("long")).orderBy("seq", "value")
+        return self._trials(json.dumps({k: v for k, v in json.loads(r.value).items() if k != "seq"}) if r.seq is not None else r.value for r in lines.toLocalIterator())
+
+
 def parsed(lines: DataFrame, name: str = "log") -> DataFrame:
-    """Trial records of JSON lines (value); a line that is none is an error."""
-    numbered = lines.withColumn("line", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    """Trial records of JSON lines (value), with line, the sequence in the record or else its place; a line that is none is an error."""
+    place = F.coalesce(F.get_json_object("value", "$.seq").cast("long"), F.monotonically_increasing_id())
+    numbered = lines.withColumn("line", place).where(F.trim("value") != "")
     rows = numbered.select(F.from_json("value", schema.TRIAL).alias("t"), "line").select("t.*", "line")
     bad = F.raise_error(F.concat(F.lit(f"{name} has a line that is no trial, number "), F.col("line").cast("string")))
     return rows.withColumn("trial_id", F.when(F.col("trial_id").isNull(), bad).otherwise(F.col("trial_id")))
@@ -164,15 +195,15 @@ _ENTRIES = "array<struct<name:string,config:map<string,string>,params:map<string
 
 
 def option(spec: Column, stage: str) -> Column:
-    """What a spec (JSON) has at a stage, as text: names with their settings in brackets, a chain with arrows; null without the stage."""
+    """What a spec (JSON) has at a stage, as text: name(setting=value,...), a chain joined by +, none for an empty one; null without the stage."""
     entries = F.from_json(F.get_json_object(spec, f"$.{stage}"), _ENTRIES)
 
     def shown(e):
         settings = F.coalesce(e["config"], e["params"], F.create_map().cast("map<string,string>"))
-        pairs = F.transform(F.array_sort(F.map_entries(settings)), lambda p: F.concat_ws(":", p["key"], p["value"]))
-        return F.concat(F.coalesce(e["name"], F.lit("?")), F.when(F.size(pairs) > 0, F.concat(F.lit("["), F.array_join(pairs, " "), F.lit("]"))).otherwise(F.lit("")))
+        pairs = F.transform(F.array_sort(F.map_entries(settings)), lambda p: F.concat_ws("=", p["key"], p["value"]))
+        return F.concat(F.coalesce(e["name"], F.lit("?")), F.when(F.size(pairs) > 0, F.concat(F.lit("("), F.array_join(pairs, ","), F.lit(")"))).otherwise(F.lit("")))
 
-    return F.when(F.size(entries) > 0, F.array_join(F.transform(entries, shown), " > ")).when(entries.isNotNull(), F.lit("none"))
+    return F.when(F.size(entries) > 0, F.array_join(F.transform(entries, shown), "+")).when(entries.isNotNull(), F.lit("none"))
 
 
 def top(trials: DataFrame, metric: str, n: int = 5) -> DataFrame:

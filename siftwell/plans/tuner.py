@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 
 from siftwell.errors import ConfigError, SiftError
 from siftwell.operators.metrics import Evaluator, aggregate
-from siftwell.plans.component import Component, digest16, registry
-from siftwell.plans.pipeline import PipelineBuilder, RagPipeline
-from siftwell.plans.space import SearchSpace
+from siftwell.plans.component import Component, registry
+from siftwell.plans.pipeline import IndexingPipeline, PipelineBuilder, RagPipeline
+from siftwell.plans.space import SearchSpace, validate_spec
+from siftwell.plans.stages import StageStore, table_fingerprint
 from siftwell.plans.trials import Leaderboard, Trace, Trial, TrialLog, trial_costs, trial_frame, trial_id
 
 
@@ -31,8 +32,11 @@ class Tuner(Component):
     def specs(self, space: SearchSpace) -> Iterator[dict]:
         raise NotImplementedError
 
-    def run(self, space: SearchSpace, samples: DataFrame, documents: DataFrame, builder: PipelineBuilder, evaluators: Sequence[Evaluator], log: TrialLog | None = None, k: int = 5) -> Leaderboard:
-        """samples: (qid, text, relevant_chunk_ids, relevant_doc_ids, reference_answer)."""
+    def run(self, space: SearchSpace, samples: DataFrame, documents: DataFrame, builder: PipelineBuilder, evaluators: Sequence[Evaluator], log: TrialLog | None = None, k: int = 5, stages: StageStore | None = None) -> Leaderboard:
+        """samples: (qid, text, relevant_chunk_ids, relevant_doc_ids, reference_answer); documents: those, or sources with their content.
+
+        stages keeps what specs have in common; one with a root is found again by the next run.
+        """
         screen = [e for e in evaluators if e.stage == "retrieval"]
         judges = [e for e in evaluators if e.stage == "generation"]
         if not screen:
@@ -41,7 +45,7 @@ class Tuner(Component):
             raise ConfigError("finalists must be positive")
         if samples.limit(1).count() == 0:
             raise ConfigError("there are no samples")
-        shared, trials, specs = Shared(builder, documents), [], {}
+        shared, trials, specs = Shared(builder, documents, stages or StageStore(samples.sparkSession)), [], {}
 
         def attempt(spec: dict, judges: Sequence[Evaluator]) -> None:
             trials.append(self._trial(spec, samples, shared, screen, judges, k))
@@ -56,7 +60,8 @@ class Tuner(Component):
             for row in board.top(self.config.finalists, by=self.config.screen_by).select("trial_id").collect():
                 attempt(specs[row.trial_id], judges)
             board = Leaderboard(trial_frame(samples.sparkSession, trials))
-        shared.release()
+        if stages is None:
+            shared.release()
         return board
 
     def _trial(self, spec, samples, shared, screen, judges, k) -> Trial:
@@ -82,42 +87,27 @@ class Tuner(Component):
 
 
 class Shared:
-    """What consecutive specs have in common: documents are cut once for each chunker and enrichers, and indexed once for each set of spaces.
-
-    A space expands with its earliest stage varying slowest, so only the last
-    chunks and the last corpus are kept.
-    """
-
-    CHUNKS, CORPUS = ("parser", "chunker", "enrich"), ("parser", "chunker", "enrich", "representations", "vector_store")
+    """What specs have in common, by a stage store: one parse for each parser, one cut for each chunker, one encoding for each space of the same chunks, in whatever order specs come."""
 
-    def __init__(self, builder: PipelineBuilder, documents: DataFrame):
-        self.builder, self.documents = builder, documents
-        self._chunks: tuple[str, DataFrame] | None = None
-        self._corpus: tuple[str, Any] | None = None
+    def __init__(self, builder: PipelineBuilder, source: DataFrame, stages: StageStore):
+        self.builder, self.source, self.stages = builder, source, stages
+        self.fingerprint = table_fingerprint(source)
 
     def indexed(self, spec: dict, trace: Trace) -> tuple[RagPipeline, DataFrame]:
         """The pipeline of spec over its indexed documents, and their chunks."""
-        key = lambda stages: digest16({s: spec.get(s) for s in stages})
-        cut, held = key(self.CHUNKS), key(self.CORPUS)
-        known = self._corpus is not None and self._corpus[0] == held
-        pipeline = self.builder.build(spec, self._corpus[1] if known else None, trace)
-        if self._chunks is None or self._chunks[0] != cut:
-            self.release()
-            made = pipeline.indexing.chunks(self.documents).persist()
-            made.count()
-            pipeline.indexing.release()
-            self._chunks = (cut, made)
+        validate_spec(spec)
+        parser, chunker, enrichers = self.builder.front(spec)
+        documents, chain = self.stages.documents(self.source, self.fingerprint, parser, lambda: IndexingPipeline(parser, chunker).documents(self.source), trace)
+        chunks, chain = self.stages.chunks(documents, chain, chunker, enrichers, trace)
+        if "vector_store" in spec:  # a store of its own is filled for each spec
+            pipeline = self.builder.build(spec, None, trace)
+            pipeline.corpus.add(chunks)
         else:
-            trace("chunk", 0.0, cache_hit=True)
-        if not known:
-            pipeline.corpus.add(self._chunks[1])
-            self._corpus = (held, pipeline.corpus)
-        return pipeline, self._chunks[1]
+            pipeline = self.builder.build(spec, self.stages.corpus(chunks, chain, self.builder.representations(spec)), trace)
+        return pipeline, chunks
 
     def release(self) -> None:
-        if self._chunks is not None:
-            self._chunks[1].unpersist()
-        self._chunks = self._corpus = None
+        self.stages.release()
 
 
 @registry.register
@@ -132,7 +122,7 @@ class GridTuner(Tuner):
 
 @registry.register
 class RandomTuner(Tuner):
-    """A seeded sample of the space, without repetition."""
+    """A seeded sample of the space, without repetition; specs are made from the numbers that are drawn, and the space is not listed."""
 
     name = "random"
 
@@ -149,5 +139,5 @@ class RandomTuner(Tuner):
             raise ConfigError("n_trials must be positive")
 
     def specs(self, space):
-        everything = list(space.expand())
-        yield from random.Random(self.config.seed).sample(everything, min(self.config.n_trials, len(everything)))
+        n = space.size()
+        yield from (space.at(i) for i in random.Random(self.config.seed).sample(range(n), min(self.config.n_trials, n)))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,12 +79,17 @@ class LocalBlobStore(BlobStore):
         return self._path(key).as_uri()
 
 
+#: file systems in which a file takes another's place by a rename; others are object stores
+RENAMING = (None, "file", "hdfs", "viewfs", "webhdfs", "har")
+
+
 @registry.register
 class HadoopBlobStore(BlobStore):
     """Blobs in any file system that Spark reaches (s3a://, hdfs://, file:).
 
     The root is made if it is not there.  A blob is written beside its place and
-    renamed, so that none is seen half written.  sign, a function of (address,
+    put there in one step, so that a reader finds the old one or the new one; in
+    an object store, where an upload is such a step itself, it is written at once.  sign, a function of (address,
     seconds), makes addresses that need no credentials.
     """
 
@@ -101,19 +107,23 @@ class HadoopBlobStore(BlobStore):
 
     def put(self, key, data):
         fs, path = self._file(key)
-        beside = self.spark._jvm.org.apache.hadoop.fs.Path(path.getParent(), f".{uuid.uuid4().hex}")
+        hadoop, here = self.spark._jvm.org.apache.hadoop.fs, path.toUri().getScheme() not in RENAMING
+        beside = path if here else hadoop.Path(path.getParent(), f".{uuid.uuid4().hex}")
+        fs.mkdirs(path.getParent())
         try:
-            fs.mkdirs(path.getParent())
             out = fs.create(beside, True)
             try:
                 out.write(bytearray(data))
             finally:
                 out.close()
-            fs.delete(path, False)
-            if not fs.rename(beside, path):
-                raise StorageError(f"{key!r} could not be put in its place")
-        finally:
-            fs.delete(beside, False)
+            if not here:
+                options = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+                options[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+                hadoop.FileContext.getFileContext(path.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(beside, path, options)
+        except Py4JJavaError as error:
+            if not here:
+                fs.delete(beside, False)
+            raise StorageError(f"{key!r} could not be put in its place: {error.java_exception}") from error
 
     def get(self, key):
         if not self.exists(key):

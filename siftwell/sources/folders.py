@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
+from siftwell.errors import StorageError
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset on a local master, as in tests, a temporary folder."""
@@ -38,8 +41,23 @@ class Folder:
         at = self._at(name)
         return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
 
+    def has(self, name: str) -> bool:
+        return self._fs.exists(self._at(name))
+
     def mark(self, name: str) -> None:
         self._fs.create(self._at(name), True).close()
 
     def remove(self, name: str = "") -> None:
         self._fs.delete(self._at(name), True)
+
+    def put(self, name: str, content: bytes) -> None:
+        """A small file, which is there whole or not at all; one of that name stays as it is until then."""
+        held = self._at(f"{name}.{uuid.uuid4().hex}.part")
+        out = self._fs.create(held, True)
+        try:
+            out.write(content)
+        finally:
+            out.close()
+        if not self._fs.rename(held, self._at(name)):
+            self._fs.delete(held, False)
+            raise StorageError(f"{self.path}/{name} could not be written")

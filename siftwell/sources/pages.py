@@ -81,6 +81,12 @@ def assembled(documents: DataFrame, page_chars: int = PAGE_CHARS, key: str = "do
     return out.withColumn("ocr_pages", F.lit(0)).drop("p", *([text] if text != "markdown" else []))
 
 
+def disassemble(documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, number, markdown, ocr_applied) of every page, from assembled texts and their spans: the way back from assemble."""
+    pages = documents.select(key, "markdown", F.explode("page_spans").alias("p"))
+    return pages.select(key, F.col("p.page_number").alias("number"), F.substring("markdown", F.col("p.start") + 1, F.col("p.end") - F.col("p.start")).alias("markdown"), F.col("p.ocr_applied").alias("ocr_applied"))
+
+
 def page_range(spans: Column, start: Column, end: Column) -> tuple[Column, Column]:
     """First and last page that [start, end) overlaps; null where it lies between pages."""
     hit = F.filter(spans, lambda p: (p["start"] < end) & (p["end"] > start))

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from siftwell.errors import ConfigError, ParseError, UnsupportedFormat
 from siftwell.plans.component import Component, registry
+from siftwell.sources import pdf
 from siftwell.sources.detect import detect_format, image_mime
 from siftwell.sources.html import html_markdown
+from siftwell.sources.office import BROKEN, office_pages
 from siftwell.sources.ocr import BATCH, MIN_CHARS, OcrEngine, OcrPolicy, page_windows, segment_plan
 from siftwell.sources.pages import PAGE_CHARS, assemble, assembled, decode_text, drop_blank
 
@@ -34,7 +36,13 @@ class Parser(Component):
     @classmethod
     def _assembled(cls, sources: DataFrame, rows: DataFrame) -> DataFrame:
         """Documents of page rows; one whose pages are all blank, or that has none, is empty and stays."""
-        found = sources.drop("content").join(assemble(drop_blank(rows)), "doc_id", "left")
+        kept = drop_blank(rows)
+        found = sources.drop("content").join(assemble(kept), "doc_id", "left")
+        if "span" in rows.columns:
+            spans = kept.where("span is not null").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "span"))), lambda s: s["span"]), ",").alias("__spans"))
+            own = F.col("metadata") if "metadata" in sources.columns else F.create_map().cast("map<string,string>")
+            told = F.map_concat(F.map_filter(own, lambda name, _: name != "page_span"), F.create_map(F.lit("page_span"), F.col("__spans")))
+            found = found.join(spans, "doc_id", "left").withColumn("metadata", F.when(F.col("__spans").isNull(), own).otherwise(F.coalesce(told, F.create_map(F.lit("page_span"), F.col("__spans"))))).drop("__spans")
         spans = "array<struct<page_number:int,start:int,end:int,ocr_applied:boolean>>"
         found = found.withColumn("markdown", F.coalesce("markdown", F.lit(""))).withColumn("page_spans", F.coalesce("page_spans", F.array().cast(spans)))
         return cls._documents(found.withColumn("page_count", F.coalesce("page_count", F.lit(0))).withColumn("ocr_pages", F.coalesce("ocr_pages", F.lit(0))))
@@ -108,14 +116,55 @@ class ConverterParser(Parser):
         return self._assembled(sources, rows)
 
 
+@registry.register
+class OfficeParser(Parser):
+    """Texts, slides and workbooks, without a converter; blank pages go.
+
+    A page is read when the one before it has been sent on, so a task holds an
+    archive and one page's text.
+    """
+
+    name, formats = "office", ("docx", "pptx", "xlsx")
+
+    def parse(self, sources: DataFrame) -> DataFrame:
+        def rows(batches):
+            for batch in batches:
+                ids, type_ = batch["doc_id"], batch.schema.field("doc_id").type
+                for i in range(batch.num_rows):
+                    doc, held, size = ids[i].as_py(), [], 0
+                    try:
+                        for number, page in enumerate(office_pages(batch["content"][i].as_py() or b"", batch["format"][i].as_py()), 1):
+                            held.append((doc, number, page))
+                            size += len(page)
+                            if size > 1 << 20:
+                                yield _batch(held, type_)
+                                held, size = [], 0
+                    except BROKEN as error:
+                        raise ParseError(f"{doc} is no office file that can be read: {error}") from error
+                    if held:
+                        yield _batch(held, type_)
+
+        kind = sources.schema["doc_id"].dataType.simpleString()
+        pages = sources.select("doc_id", "content", "format").mapInArrow(rows, f"doc_id {kind}, number int, markdown string")
+        return self._assembled(sources, pages.withColumn("ocr_applied", F.lit(False)))
+
+
+def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    ids, numbers, texts = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "number", "markdown"])
+
+
 @registry.register
 class PagedParser(Parser):
     """Paged documents, whose pages go by their text layer or by OCR.
 
     probe gives the characters of each page's text layer, convert the markdown
-    of the pages from one number to another, render one page's image and mime
-    type.  Runs of pages that go the same way are cut into windows, which are
-    converted in parallel; blank pages go.
+    of the pages from one number to another, by default those of the PDF reader
+    here; render gives one page's image and mime type.  Runs of pages that go the
+    same way are cut into windows, which are converted in parallel; blank pages
+    go.  A converter that knows no pages may give one text for a window: it
+    becomes the window's first page, and the document's metadata tell what it
+    spans (page_span: first-last, several by commas).
     """
 
     name, formats = "paged", ("pdf",)
@@ -128,13 +177,13 @@ class PagedParser(Parser):
 
     def __init__(self, probe=None, convert=None, render=None, engine: OcrEngine | None = None, config=None, **fields):
         super().__init__(config, **fields)
-        if probe is None or convert is None:
-            raise ConfigError("the paged parser needs probe= and convert=")
+        if (probe is None) != (convert is None):
+            raise ConfigError("the paged parser needs both of probe= and convert=, or neither")
         if engine is not None and render is None:
             raise ConfigError("OCR needs render=")
         if self.config.policy is OcrPolicy.FORCE and engine is None:
             raise ConfigError("forced OCR needs an engine")
-        self.probe, self.convert, self.render, self.engine = probe, convert, render, engine
+        self.probe, self.convert, self.render, self.engine = probe or pdf.probe, convert or pdf.convert, render, engine
 
     def describe(self):
         return super().describe() | {"engine": self.engine.describe() if self.engine else None}
@@ -154,13 +203,19 @@ class PagedParser(Parser):
         together = spans.groupBy("doc_id", "kind", F.floor(F.col("first") / (c.page_batch_size * WINDOWS)).alias("share")).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("windows"))
         work = together.join(sources.select("doc_id", "content"), "doc_id")
 
-        @F.arrow_udf("array<struct<number:int,markdown:string>>")
+        def paged(data: bytes, w: dict) -> list[dict]:
+            made = convert(data, w["first"], w["last"])
+            if isinstance(made, str):
+                return [{"number": w["first"], "markdown": made, "last": w["last"]}]
+            return [{"number": w["first"] + k, "markdown": page, "last": w["first"] + k} for k, page in enumerate(made)]
+
+        @F.arrow_udf("array<struct<number:int,markdown:string,last:int>>")
         def digital(content: pa.Array, windows: pa.Array) -> pa.Array:
-            out = [[{"number": w["first"] + k, "markdown": page} for w in ws for k, page in enumerate(convert(data, w["first"], w["last"]))] for data, ws in zip(content.to_pylist(), windows.to_pylist(), strict=True)]
-            return pa.array(out, pa.list_(pa.struct([("number", pa.int32()), ("markdown", pa.string())])))
+            out = [[p for w in ws for p in paged(data, w)] for data, ws in zip(content.to_pylist(), windows.to_pylist(), strict=True)]
+            return pa.array(out, pa.list_(pa.struct([("number", pa.int32()), ("markdown", pa.string()), ("last", pa.int32())])))
 
         text = work.where("kind = 'text'").select("doc_id", F.explode(digital(F.col("content"), F.col("windows"))).alias("p"))
-        rows = text.select("doc_id", "p.number", "p.markdown", F.lit(False).alias("ocr_applied"))
+        rows = text.select("doc_id", "p.number", "p.markdown", F.lit(False).alias("ocr_applied"), F.when(F.col("p.last") > F.col("p.number"), F.concat("p.number", F.lit("-"), "p.last")).alias("span"))
         if self.engine is not None:
 
             @F.arrow_udf("array<struct<number:int,image:binary,mime:string>>")
@@ -171,7 +226,7 @@ class PagedParser(Parser):
 
             each = work.where("kind = 'ocr'").select("doc_id", "content", F.explode("windows").alias("w")).select("doc_id", "content", F.array("w").alias("windows"))
             images = each.select("doc_id", F.explode(image(F.col("content"), F.col("windows"))).alias("i")).select("doc_id", "i.*")
-            rows = rows.unionByName(self.engine.apply(images).select("doc_id", "number", "markdown", "ocr_applied"))
+            rows = rows.unionByName(self.engine.apply(images).select("doc_id", "number", "markdown", "ocr_applied"), allowMissingColumns=True)
         return self._assembled(sources, rows)
 
 
@@ -203,9 +258,9 @@ class ImageParser(Parser):
 class AutoParser(Parser):
     """Each source by the parser of its detected format; a format without one is an error.
 
-    With probe and pages, PDF pages go by their text layer or by OCR (engine,
-    render); with an engine, images are read by it.  Otherwise both go to
-    convert, as office files do.
+    PDF pages go by their text layer or by OCR (engine, render), with probe and
+    pages in place of the reader here; images go to an engine.  With convert,
+    office files, and what of PDF and images has no such way, go to it.
     """
 
     name, formats = "auto", tuple(ROUTES)
@@ -217,9 +272,11 @@ class AutoParser(Parser):
 
     def __init__(self, convert=None, probe=None, pages=None, render=None, engine: OcrEngine | None = None, config=None, **fields):
         super().__init__(config, **fields)
-        self.given = {"converter": {"convert": convert}, "paged": {"probe": probe, "convert": pages, "render": render, "engine": engine}, "image": {"engine": engine}}
-        paged = {"pdf": "paged"} if probe is not None and pages is not None else {}
-        self.routes = dict(self.config.routes) | {f: p for f, p in (paged | ({"image": "image"} if engine is not None else {})).items() if self.config.routes.get(f) == "converter"}
+        self.given = {"converter": {"convert": convert}, "paged": {"probe": probe, "convert": pages, "render": render, "engine": engine if render is not None else None}, "image": {"engine": engine}}
+        own = {"pdf": "paged"} if convert is None or (probe is not None and pages is not None) else {}
+        own |= {f: "office" for f in OfficeParser.formats} if convert is None else {}
+        own |= {"image": "image"} if engine is not None else {}
+        self.routes = dict(self.config.routes) | {f: p for f, p in own.items() if self.config.routes.get(f) == "converter"}
         self._made: dict[str, Parser] = {}
 
     def _parser(self, name: str) -> Parser:

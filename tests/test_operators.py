@@ -289,8 +289,9 @@ def service_client(path):
                     out[x["id"]]["vectors"][x["space"]] = x["value"]
             return list(out.values())
 
-        def scroll(self, filters, limit):
-            kept = [p["payload"] for p in self._points() if all(p["payload"].get(k, p["payload"]["metadata"].get(k)) == v for k, v in filters.items())]
+        def scroll(self, filters, limit, low="", high=None):
+            points = sorted((p for p in self._points() if p["id"] >= low and (high is None or p["id"] < high)), key=lambda p: p["id"])
+            kept = [p["payload"] for p in points if all(p["payload"].get(k, p["payload"]["metadata"].get(k)) == v for k, v in filters.items())]
             return kept[:limit]
 
         def search(self, space, value, k, filters):
@@ -312,6 +313,11 @@ def test_service_store(spark, tmp_path):
     assert [r.id for r in c.fetch({"index": 2}).collect()] == ["d:2"] and c.search("dense", asked(spark, "fox"), 5, {"index": 2}).count() == 1
     c.store.update_vectors("dense", spark.createDataFrame([("d:0", [9.0] + [0.0] * 31)], "id string, vector array<double>"))
     assert connect().scroll({}, 1) and service.point_id("d:0") == service.point_id("d:0") != service.point_id("d:1")
+    firsts = sorted(("d:0", "d:1", "d:2"), key=service.point_id)
+    assert [r.id for r in c.fetch(limit=2).collect()] == firsts[:2]
+    assert c.store.chunks().rdd.getNumPartitions() == 16 and service.ServiceStore(spark, connect, ranges=3).chunks().rdd.getNumPartitions() == 3
+    ranges = service.id_ranges(7)
+    assert all(sum(low <= service.point_id(str(i)) and (high is None or service.point_id(str(i)) < high) for low, high in ranges) == 1 for i in range(300))
     again = service.ServiceStore(spark, connect)
     again.ensure_schema([index.VectorSpec("dense", "dense", 32)])
     with pytest.raises(ConfigError):

@@ -81,9 +81,9 @@ def test_leaderboard(spark):
         with pytest.raises(ConfigError):
             broken()
     m = board.marginals("chunker", by="q").collect()
-    assert m[0].option == "fixed[n:2]" and m[0].quality == pytest.approx(0.2) and sum(x.quality for x in m) == pytest.approx(0)
+    assert m[0].option == "fixed(n=2)" and m[0].quality == pytest.approx(0.2) and sum(x.quality for x in m) == pytest.approx(0)
     shown = spark.createDataFrame([('{"refine": []}',), ('{"refine": [{"name": "a", "config": {}}, {"name": "b", "config": {"k": 1, "j": "x"}}]}',), ('{"chunker": {"name": "c"}}',)], "spec string")
-    assert [r.o for r in shown.select(trials.option(F.col("spec"), "refine").alias("o")).collect()] == ["none", "a > b[j:x k:1]", None]
+    assert [r.o for r in shown.select(trials.option(F.col("spec"), "refine").alias("o")).collect()] == ["none", "a+b(j=x,k=1)", None]
 
 
 def test_trial_log(tmp_path, spark):
@@ -160,7 +160,7 @@ def test_builder_and_tuners(spark, tmp_path):
     several = SearchSpace(chunker=[choice("markdown-aware"), choice("fixed")], representations=[[choice("lexical")]], refine=[[], [choice("keyword")], [choice("score-threshold")]])
     shared = tuner.GridTuner(screen_by="ndcg@1").run(several, samples, docs, pipeline.PipelineBuilder(spark), [metrics.RetrievalEvaluator(k_values=(1,))])
     hits = [r.cache_hits.get("chunk") for r in shared.frame.orderBy("line").collect()]
-    assert hits == [None, True, True] * 2
+    assert hits == [False, True, True] * 2
     built = pipeline.PipelineBuilder(spark, given={"complete": lambda p: "x"}).build({"retriever": {"name": "multi-query", "params": {"inner": {"name": "index", "params": {"representation": "lexical"}}}}, "refine": [{"name": "keyword"}]})
     assert built.querying.retriever.inner.space == "lexical" and built.describe()["refine"][0]["name"] == "keyword"
     for broken in (lambda: tuner.GridTuner().run(s, samples, docs, None, []), lambda: tuner.GridTuner(finalists=0).run(s, samples, docs, None, [metrics.RetrievalEvaluator()]), lambda: tuner.GridTuner().run(s, samples.limit(0), docs, None, [metrics.RetrievalEvaluator()]), lambda: tuner.RandomTuner(n_trials=0)):

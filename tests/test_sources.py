@@ -87,6 +87,14 @@ def test_paged_documents_by_text_layer_and_ocr(spark):
     assert [(r.markdown, r.page_count, r.page_spans) for r in blank] == [("", 0, [])]
 
 
+def test_converters_without_pages_tell_what_they_span(spark):
+    source = blobs.with_doc_id(blobs.bytes_source(spark, [("x.pdf", b"a"), ("y.pdf", b"abc")], lang="en"))
+    parser = parsers.PagedParser(probe=lambda data: [99] * 5 if data == b"a" else [99], convert=lambda data, first, last: f"{data.decode()}{first}-{last}" if data == b"a" else ["one"], page_batch_size=2)
+    docs = {r.source_uri: r for r in parser.parse(source).collect()}
+    assert docs["x.pdf"].markdown == "a1-2\n\na3-4\n\na5-5" and docs["x.pdf"].metadata == {"lang": "en", "page_span": "1-2,3-4"} and docs["y.pdf"].metadata == {"lang": "en"}
+    assert [(r.number, r.markdown) for r in pages.disassemble(parser.parse(source).where("source_uri = 'x.pdf'")).orderBy("number").collect()] == [(1, "a1-2"), (3, "a3-4"), (5, "a5-5")]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("hi there")
     row = blobs.with_doc_id(blobs.read_sources(spark, str(tmp_path), team="x")).first()
