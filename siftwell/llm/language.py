@@ -10,8 +10,9 @@ the predicted language: its share in each set that was tried, weighted by the
 penalised likelihood of the set.
 
 Counts are pre-aggregated before their shuffle (a row for each language and
-bucket and task); the model that is broadcast has 2**BITS floats a language, and
-a lang column of more than MOST_LANGUAGES values is refused.
+bucket and task, which holds HELD_LANGUAGES at most); executors make the model's
+row of each language, and what is broadcast has 2**BITS floats a language.  A
+lang column of more than MOST_LANGUAGES values is refused.
 
 Defined results: null text or text without a letter is `und` with score 0; a
 null doc_id is not held out; rows whose lang is null are predicted and not
@@ -37,8 +38,10 @@ from siftwell.llm.shared import Scratch, spread, trim
 BITS = 14
 UNIT_WORDS = 6
 PENALTY = 4.0
-#: the bound of what is broadcast, 128 MB
+#: the bound of what is broadcast, 128 MB, of which the driver holds one copy and one more while it is sent
 MOST_LANGUAGES = 2048
+#: languages whose counts, 128 KB each, a task holds before it sends them on
+HELD_LANGUAGES = 64
 ROUNDS = 8
 _LETTER = bw.byte_class(lambda b: b >= 0x80 or chr(b).isalpha())
 _HAS_LETTER = regex.compile(r"\p{L}")
@@ -80,11 +83,15 @@ def trigrams(data: np.ndarray, off: np.ndarray, bits: int = BITS):
 
 
 class Model:
-    """Log probabilities, languages x buckets."""
+    """Log probabilities, buckets x languages."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
-        self.languages = languages
-        self.log = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * counts.shape[1])).astype(np.float32).T.copy()
+    def __init__(self, languages: list[str], log: np.ndarray):
+        self.languages, self.log = languages, log
+
+
+def log_chances(counts: np.ndarray) -> np.ndarray:
+    """Of each bucket, in the order of counts."""
+    return np.log((counts + 0.5) / (counts.sum() + 0.5 * len(counts))).astype(np.float32)
 
 
 def fit(docs: DataFrame, modulus: int = 3, held: int = 1, bits: int = BITS) -> Model | None:
@@ -95,33 +102,46 @@ def fit(docs: DataFrame, modulus: int = 3, held: int = 1, bits: int = BITS) -> M
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}
+
+        def told():
+            for name, cells in totals.items():
+                some = np.flatnonzero(cells)
+                yield pa.RecordBatch.from_pydict({"lang": [name] * len(some), "bucket": pa.array(some, pa.int32()), "n": pa.array(cells[some], pa.int64())})
+            totals.clear()
+
         for batch in batches:
             lang = batch["lang"].dictionary_encode()
             names, which = lang.dictionary.to_pylist(), lang.indices.to_numpy(zero_copy_only=False)
             data, off = bw.text_buffer(batch["text"])
             for i, j in bw.row_slices(off):
                 bucket, rows, _, _ = trigrams(data, off[i : j + 1], bits)
-                cell = np.bincount(which[i:j][rows].astype(np.int64) << bits | bucket, minlength=len(names) << bits)
-                for k, name in enumerate(names):
-                    totals[name] = totals.get(name, 0) + cell[k << bits : (k + 1) << bits]
+                here = which[i:j][rows]
+                for k in np.unique(which[i:j]).tolist():
+                    cell = np.bincount(bucket[here == k], minlength=1 << bits)
+                    totals[names[k]] = totals[names[k]] + cell if names[k] in totals else cell
+                if len(totals) > HELD_LANGUAGES:
+                    yield from told()
             trim()
-        for name, cells in totals.items():
-            some = np.flatnonzero(cells)
-            yield pa.RecordBatch.from_pydict({"lang": [name] * len(some), "bucket": pa.array(some, pa.int32()), "n": pa.array(cells[some], pa.int64())})
+        yield from told()
+
+    def chances(table: pa.Table) -> pa.Table:
+        counts = np.zeros(1 << bits)
+        counts[table["bucket"].to_numpy()] = table["n"].to_numpy()
+        return pa.table({"lang": table["lang"].slice(0, 1), "log": pa.array([log_chances(counts).tobytes()], pa.binary())})
 
     cells = known.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    cells = Scratch(docs.sparkSession).keep(cells, "cells")
+    scratch = Scratch(docs.sparkSession)
+    cells = scratch.keep(cells, "cells")
     languages = sorted(r["lang"] for r in cells.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"the column lang has more than {MOST_LANGUAGES} values")
     if not languages:
         return None
-    counts, number = np.zeros((len(languages), 1 << bits)), {x: k for k, x in enumerate(languages)}
-    found = cells.toArrow()
-    lang = found["lang"].combine_chunks().dictionary_encode()
-    row = np.array([number[x] for x in lang.dictionary.to_pylist()])[lang.indices.to_numpy()]
-    counts[row, found["bucket"].to_numpy()] = found["n"].to_numpy()
-    return Model(languages, counts)
+    # a row of 64 KB for each language, made by executors and taken one by one
+    log, number = np.zeros((1 << bits, len(languages)), np.float32), {x: k for k, x in enumerate(languages)}
+    for row in scratch.keep(cells.groupBy("lang").applyInArrow(chances, "lang string, log binary"), "chances").toLocalIterator():
+        log[:, number[row["lang"]]] = np.frombuffer(row["log"], np.float32)
+    return Model(languages, log)
 
 
 def _em(shares: np.ndarray, likely: np.ndarray, first: np.ndarray, rows: np.ndarray, units: np.ndarray, rounds: int) -> np.ndarray:

@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -157,3 +158,16 @@ def test_symbols_above_ascii_are_no_letters(spark, sf001):
     df = spark.createDataFrame([(1, "🎉🎉 — … 123"), (2, "東京")], "doc_id long, text string").withColumn("lang", F.lit("en"))
     by = {r.doc_id: r.lang_pred for r in language.identify(sf001("documents").select("doc_id", "text", "lang").where("doc_id > 2").unionByName(df)).where("doc_id < 3").collect()}
     assert by[1] == "und" and by[2] != "und"
+
+
+def test_many_languages_are_counted_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(language, "HELD_LANGUAGES", 8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = lambda k: " ".join(letters[(k + i) % 26] + letters[k % 26] + letters[(3 * k) % 26] + letters[(k // 26 + i) % 26] for i in range(12))
+    rows = [(3 * k + r, own(k), f"l{k:03d}") for k in range(40) for r in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    model = language.fit(docs, modulus=0)
+    assert model.languages == sorted({r[2] for r in rows}) and model.log.shape == (1 << language.BITS, 40) and model.log.dtype == np.float32
+    assert np.allclose(np.exp(model.log.astype(float)).sum(axis=0), 1, atol=1e-3)
+    got = {r.doc_id: r.lang_pred for r in language.predict(docs.select("doc_id", "text"), model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 76
