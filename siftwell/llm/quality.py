@@ -6,15 +6,17 @@ families is scaled to its share of the text, so a score is a sparse dot product
 of weights and shares, whatever the length.
 
 Training reads at most SAMPLE labelled rows, those of the least hash of their
-id, in one task (a bound that is a parameter); everything else covers all rows.
+id, in one task (a bound that is a parameter), which holds the weights and one
+batch of rows; everything else covers all rows.
 Scoring is one pass without a shuffle; what it broadcasts is the weights,
 2**BITS floats.
 
 Defined results: null or wordless text is scored by the bias alone; rows with a
 null id are scored as any other and not held out; a document that is labelled
 twice counts with its lower label; without labels of both kinds every score is
-the share of label 1 (0.5 without any); repeated rows repeat their result;
-other columns are ignored.
+the share of label 1 (0.5 without any); a text of any length is read whole, in
+memory proportional to it; repeated rows repeat their result; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -93,15 +95,6 @@ class Ftrl:
         self.n[idx] += g * g
 
 
-def _train(rows: list[tuple[int, int, bytes, bytes]], bits: int) -> np.ndarray:
-    model = Ftrl(1 << bits)
-    rows.sort()
-    for _ in range(EPOCHS):
-        for _, y, idx, x in rows:
-            model.update(np.frombuffer(idx, np.int32), np.frombuffer(x, np.float32), y)
-    return model.weights().astype(np.float32)
-
-
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, sample: int = SAMPLE, bits: int = BITS) -> np.ndarray | float:
     """Weights from the labelled documents whose crc32(doc_id) mod modulus is not held; a constant if there is one class."""
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("y"))
@@ -131,16 +124,18 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, sam
     rows = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "y", "text").mapInArrow(extract, "doc_id long, y int, idx binary, x binary")
 
     def learn(batches):
-        held_rows = []
-        for part in (batch.slice(k, 256) for batch in batches for k in range(0, batch.num_rows, 256)):
-            held_rows.extend(zip(*(part[c].to_pylist() for c in ("doc_id", "y", "idx", "x")), strict=True))
-        kinds = [y for _, y, _, _ in held_rows]
-        weights = _train(held_rows, bits).tobytes() if len(set(kinds)) == 2 else None
-        held_rows.clear()
+        """Rows in the order of epochs and ids; one batch is held at a time, however long the sampled texts are."""
+        model, n, ones = Ftrl(1 << bits), 0, 0
+        for part in (batch.slice(k, 16) for batch in batches for k in range(0, batch.num_rows, 16)):
+            for epoch, y, idx, x in zip(*(part[c].to_pylist() for c in ("epoch", "y", "idx", "x")), strict=True):
+                n, ones = n + (epoch == 0), ones + (epoch == 0 and y)
+                model.update(np.frombuffer(idx, np.int32), np.frombuffer(x, np.float32), y)
+        weights = model.weights().astype(np.float32).tobytes() if 0 < ones < n else None
         trim()
-        yield pa.RecordBatch.from_pydict({"n": [len(kinds)], "ones": [sum(kinds)], "weights": pa.array([weights], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"n": [n], "ones": [int(ones)], "weights": pa.array([weights], pa.binary())})
 
-    found = rows.repartition(1).mapInArrow(learn, "n long, ones long, weights binary").first()
+    turns = rows.withColumn("epoch", F.explode(F.array(*map(F.lit, range(EPOCHS))))).repartition(1).sortWithinPartitions("epoch", "doc_id", "y", "idx", "x")
+    found = turns.select("epoch", "y", "idx", "x").mapInArrow(learn, "n long, ones long, weights binary").first()
     if found is None or found["weights"] is None:
         return found["ones"] / found["n"] if found and found["n"] else 0.5
     return np.frombuffer(found["weights"], np.float32)
