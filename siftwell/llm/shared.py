@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 
 import numpy as np
@@ -14,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import bytewords as bw
+from siftwell.sources.folders import Folder, shared_folder
 
+# For the whole process, since it is a worker of these operators: Arrow's pool and the C library give memory back.
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
     # arrays from a megabyte up are mapped, so that they go back to the system when they are freed; set, this bound no longer grows
@@ -33,20 +34,6 @@ KEY_BITS = 48
 # --- tables in the folder that driver and executors share -----------------------------------------------------------
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset, as in tests, a temporary folder."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        given = sc._jsc.sc().getCheckpointDir()
-        if not given.isDefined() and sc.master != "local" and not sc.master.startswith("local["):
-            raise RuntimeError("on a cluster, set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = given.get() if given.isDefined() else "file://" + tempfile.mkdtemp(prefix="siftwell-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 #: rows are whole texts: batches that Spark sizes for short rows would hold a hundred megabytes in each task
 LEAN = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(8 << 20)), "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512")}
 
@@ -87,10 +74,9 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm, hadoop = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        folder = Folder(self.spark, self.root)
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
-            path.getFileSystem(hadoop).delete(path, True)
+            folder.remove(name)
 
 
 def spread(df: DataFrame) -> DataFrame:
