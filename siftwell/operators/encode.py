@@ -144,8 +144,12 @@ class HashedTermFrequency(SparseEncoder):
     class Config:
         buckets: int = 1 << 20
 
+    def places(self, text: Column) -> Column:
+        """The index of each word."""
+        return F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(self.config.buckets)).cast("int"))
+
     def passage(self, text):
-        at = F.array_sort(F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(self.config.buckets)).cast("int")))
+        at = F.array_sort(self.places(text))
 
         def runs(s: Column) -> Column:
             # runs of equal sorted indices: linear in the words

@@ -16,7 +16,7 @@ from siftwell.operators import search
 from siftwell.operators.encode import Embedder, SparseEncoder
 from siftwell.operators.filters import matching
 from siftwell.operators.lexical import LexicalIndex
-from siftwell.operators.store import Versions, latest, passing
+from siftwell.operators.store import Versions, latest, passing, stored
 from siftwell.plans.component import Component, registry
 from siftwell.sources.folders import Folder
 
@@ -108,6 +108,10 @@ class TableStore(Component):
         held = self._table("chunks")
         return held.rows(held.batches[-1:]).drop("seq")
 
+    def replaced(self) -> bool:
+        """Whether rows that were stored are dead now."""
+        return self._table("chunks").dead() is not None
+
     def chunks(self) -> DataFrame:
         live = self._table("chunks").live()
         return self.spark.createDataFrame([], schema.CHUNK) if live is None else live.drop("seq")
@@ -156,6 +160,11 @@ class Representation(Component):
     def encode(self, chunks: DataFrame) -> DataFrame | None:
         return None
 
+    @property
+    def indexes(self) -> bool:
+        """Whether add keeps something beside the store's vectors."""
+        return False
+
     def attach(self, store: TableStore) -> None:
         """Called once, with the store of the corpus that this belongs to."""
 
@@ -194,15 +203,26 @@ class DenseRepresentation(Representation):
 
 @registry.register
 class SparseRepresentation(Representation):
-    """Sparse vectors by an encoder, searched by inner product."""
+    """Sparse vectors by an encoder, searched by inner product.
+
+    With idf, a query's values are multiplied by the inverse document frequency
+    of their indices among the chunks that are stored now.  Frequencies are
+    counted once for each batch, when it is added, and kept in versions beside
+    the vectors; only where chunks were replaced since are they counted anew.
+    """
 
     name = "sparse"
 
+    @dataclass
+    class Config:
+        idf: bool = False
+
     def __init__(self, encoder: SparseEncoder | None = None, space: str | None = None, config=None, **fields):
         super().__init__(space, config, **fields)
         if encoder is None:
             raise ConfigError("the sparse representation needs encoder=")
         self.encoder = encoder
+        self.frequencies: Versions | None = None
 
     def describe(self):
         return super().describe() | {"space": self.space, "encoder": self.encoder.describe()}
@@ -213,9 +233,48 @@ class SparseRepresentation(Representation):
     def column(self, chunks):
         return self.encoder.passage(F.col("text"))
 
+    @property
+    def indexes(self):
+        return self.config.idf
+
+    def attach(self, store):
+        if self.config.idf and store.path and self.frequencies is None:
+            self.frequencies = Versions(store.spark, store.path, f"frequencies-{self.space}")
+
+    def add(self, chunks):
+        if self.frequencies is not None:
+            self.frequencies.append(_frequencies(chunks.select(self.column(chunks).alias("vector"))), replace=False)
+
+    def fitted(self, corpus: Corpus) -> DataFrame:
+        """(i, idf) of every index that a stored chunk has."""
+        held = self.frequencies.rows(self.frequencies.batches) if self.frequencies is not None and not corpus.store.replaced() else None
+        counted = _frequencies(corpus.store.space(self.space)) if held is None else held.groupBy("i").agg(F.sum("df").alias("df"))
+        n = corpus.store.chunks().count()
+        return counted.select("i", search.idf(F.lit(float(n)), F.col("df")).alias("idf"))
+
+    def weighted(self, asked: DataFrame, fitted: DataFrame, n: int) -> DataFrame:
+        """asked (qid, vector) with its values multiplied; an index that no chunk has is as rare as can be."""
+        flat = asked.select("qid", F.explode(F.arrays_zip(F.col("vector.indices").alias("i"), F.col("vector.values").alias("v"))).alias("t")).select("qid", F.col("t.i").alias("i"), F.col("t.v").alias("v"))
+        flat = stored(flat)
+        rare = search.idf(F.lit(float(n)), F.lit(0.0))
+        entries = flat.join(fitted.join(F.broadcast(flat.select("i").distinct()), "i", "left_semi"), "i", "left").select("qid", F.struct("i", (F.col("v") * F.coalesce("idf", rare)).alias("v")).alias("e"))
+        joined = entries.groupBy("qid").agg(F.array_sort(F.collect_list("e")).alias("e"))
+        made = joined.select("qid", F.struct(F.transform("e", lambda e: e["i"]).alias("indices"), F.transform("e", lambda e: e["v"]).alias("values")).alias("__vector"))
+        return asked.join(made, "qid", "left").select("qid", F.coalesce("__vector", "vector").alias("vector"))
+
     def search(self, corpus, queries, k, filters=None):
         asked = queries.select("qid", self.encoder.query(F.col("text")).alias("vector"))
-        return corpus.asked(self.space, asked, k, filters) or search.sparse_search(asked, corpus.side(self.space, filters), k, vector="vector")
+        found = corpus.asked(self.space, asked, k, filters)  # a service weighs by itself
+        if found is not None:
+            return found
+        if self.config.idf:
+            asked = self.weighted(asked, self.fitted(corpus), corpus.store.chunks().count())
+        return search.sparse_search(asked, corpus.side(self.space, filters), k, vector="vector")
+
+
+def _frequencies(vectors: DataFrame) -> DataFrame:
+    """(i, df): in how many vectors each index stands."""
+    return vectors.select(F.explode(F.array_distinct("vector.indices")).alias("i")).groupBy("i").agg(F.count("*").alias("df"))
 
 
 @registry.register
@@ -236,6 +295,10 @@ class LexicalRepresentation(Representation):
     def describe(self):
         return super().describe() | {"space": self.space}
 
+    @property
+    def indexes(self):
+        return True
+
     def attach(self, store):
         if self.index is None:
             self.index = LexicalIndex(store.spark, f"{store.path}/lexical-{self.space}" if store.path else None, k1=self.config.k1, b=self.config.b)

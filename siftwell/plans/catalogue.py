@@ -711,18 +711,65 @@ def rag_answers(spark, sf_dir):
     return out.select("qid", F.col("text").alias("answer"), F.transform("citations", lambda c: c["chunk_id"]).alias("cited"))
 
 
-@query()
+class _Lengths(encode.Embedder):
+    """Words by their length: a dense space that SQL can compute."""
+
+    name, dimensions = "lengths", 16
+
+    def passage(self, text):
+        return tx.let(tx.tokens(text), lambda w: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.size(F.filter(w, lambda t: F.length(t) % 16 == k)).cast("double")))
+
+
+class _Initials(encode.HashedTermFrequency):
+    """Words by their first letter and length: a sparse space that SQL can compute."""
+
+    name = "initials"
+
+    def places(self, text):
+        return F.transform(tx.tokens(text), lambda t: (F.ascii(t) * 32 + F.length(t) % 32).cast("int"))
+
+
+def _spaces_sql(name: str, key: str, score: str, weigh: bool = False) -> str:
+    """CTEs up to name(qid, chunk_id, score, rank), 60 deep, over chunk: inner products of counted keys of words."""
+    weight = f"* ln(1 + ({name}_n.n - coalesce(d, 0) + 0.5) / (coalesce(d, 0) + 0.5))" if weigh else ""
+    return f"""
+  {name}_c AS (SELECT id, {key} AS k, count(*)::DOUBLE AS v FROM (SELECT id, unnest({tok('text')}) AS t FROM chunk) GROUP BY ALL),
+  {name}_d AS (SELECT k, count(*) AS d FROM {name}_c GROUP BY k), {name}_n AS (SELECT count(*)::DOUBLE AS n FROM chunk),
+  {name}_q AS (SELECT qid, k, v {weight} AS v FROM (SELECT item_id AS qid, {key} AS k, count(*)::DOUBLE AS v FROM (SELECT item_id, unnest({tok('text')}) AS t FROM benchmark) GROUP BY ALL) LEFT JOIN {name}_d USING (k), {name}_n),
+  {name}_l AS (SELECT id, sqrt(sum(v * v)) AS l FROM {name}_c GROUP BY id), {name}_m AS (SELECT qid, sqrt(sum(v * v)) AS m FROM {name}_q GROUP BY qid),
+  {name}_p AS (SELECT qid, id, sum(c.v * q.v) AS dot FROM {name}_c c JOIN {name}_q q USING (k) GROUP BY ALL),
+  {name}_e AS (SELECT b.item_id AS qid, c.id AS chunk_id, coalesce({score}, 0) AS score FROM benchmark b JOIN chunk c ON true LEFT JOIN {name}_p p ON p.qid = b.item_id AND p.id = c.id LEFT JOIN {name}_l l ON l.id = c.id LEFT JOIN {name}_m m ON m.qid = b.item_id),
+  {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id DESC) AS rank FROM {name}_e) WHERE rank <= 60)"""
+
+
+_INITIALS = "unicode(t) * 32 + length(t) % 32"
+
+
+@query(f"""{chunks_sql()}, {bm25_sql('lex', k=60)}, {_spaces_sql('den', 'length(t) % 16', 'dot / (l * m)')}, {_spaces_sql('spa', _INITIALS, 'dot')}, {rrf_sql('f', [('den', 1.0), ('spa', 1.0), ('lex', 1.0)])} {SHOWN.format('f')}""")
 def search_hybrid(spark, sf_dir):
-    corpus = index.Corpus(index.TableStore(spark), [index.DenseRepresentation(encode.HashingEmbedder(dimensions=64)), index.SparseRepresentation(encode.HashedTermFrequency()), index.LexicalRepresentation()])
+    """A dense, a sparse and a lexical space of one corpus, fused."""
+    corpus = index.Corpus(index.TableStore(spark), [index.DenseRepresentation(_Lengths()), index.SparseRepresentation(_Initials()), index.LexicalRepresentation()])
     corpus.add(_chunks(spark, sf_dir))
     return _shown(retrieve.HybridRetriever(corpus).retrieve(_questions(spark, sf_dir), 10))
 
 
-@query()
+@query(f"{chunks_sql()}, {_spaces_sql('spa', _INITIALS, 'dot', weigh=True)} {SHOWN.format('spa')} WHERE rank <= 10")
+def search_sparse_idf(spark, sf_dir):
+    """A sparse space whose queries are weighed by what is stored; a third of the chunks is added in a second batch, and another third a second time."""
+    corpus = index.Corpus(index.TableStore(spark), [index.SparseRepresentation(_Initials(), idf=True)])
+    rows = _chunks(spark, sf_dir)
+    corpus.add(rows.where("doc_id % 3 < 2"))
+    corpus.add(rows.where("doc_id % 3 > 0"))
+    return _shown(corpus.search("sparse", _questions(spark, sf_dir), 10))
+
+
+_EVERY_SECOND = "SELECT item_id AS qid, array_to_string(list_filter(string_split(text, ' '), lambda x, i: i % 2 = 1), ' ') AS text FROM benchmark"
+
+
+@query(f"{chunks_sql()}, {bm25_sql('r', asked=_EVERY_SECOND)} {SHOWN.format('r')}")
 def search_hyde(spark, sf_dir):
-    corpus = index.Corpus(index.TableStore(spark), [index.LexicalRepresentation()])
-    corpus.add(_chunks(spark, sf_dir))
-    said = retrieve.HydeRetriever(retrieve.IndexRetriever(corpus), lambda prompt: prompt.rsplit(": ", 1)[-1].upper())
+    """The stored index is searched by what a stand-in for a model says: every second word of the question."""
+    said = retrieve.HydeRetriever(retrieve.IndexRetriever(corpus(spark, sf_dir)), lambda prompt: " ".join(prompt.split("Question: ", 1)[1].split(" ")[::2]))
     return _shown(said.retrieve(_questions(spark, sf_dir), 10))
 
 

@@ -104,13 +104,13 @@ class StageStore:
         for r in representations:
             if r.spec() is not None:
                 vectors[r.space] = self.keep("space", [*chain, r.describe()], lambda r=r: chunks.select("id", r.column(chunks).alias("vector")))
-            else:
+            if r.indexes:
 
                 def fill(path: str, r: Representation = r) -> None:
                     r.attach(StagedStore(self.spark, path, chunks, {}))
                     r.add(chunks)
 
-                path = self.build("space", [*chain, r.describe()], fill)
+                path = self.build("index", [*chain, r.describe()], fill)
                 r.attach(StagedStore(self.spark, path, chunks, {}))
         return Corpus(StagedStore(self.spark, self.folder.path, chunks, vectors), representations)
 
@@ -128,6 +128,9 @@ class StagedStore(Component):
     def ensure_schema(self, specs: Sequence[VectorSpec]) -> None:
         self.specs = {s.name: s for s in specs}
 
+    def replaced(self) -> bool:
+        return False
+
     def chunks(self) -> DataFrame:
         return self._chunks
 

@@ -61,7 +61,7 @@ def test_stages_are_found_again_in_any_order_and_session(spark, tmp_path):
         made, chunks = shared.indexed(spec, trials.Trace("t"))
         answers[n] = sorted(map(repr, made.query(samples.select("qid", "text"), 3).select("chunk_id", "pos", "text").collect()))
     cutters = {repr(spec["chunker"]) for spec in specs[:14]}
-    assert kept.made["parse"] == 1 and kept.made["chunk"] == len(cutters) == 3 and kept.made["enrich"] <= 3 and kept.made["space"] <= 12
+    assert kept.made["parse"] == 1 and kept.made["chunk"] == len(cutters) == 3 and kept.made["enrich"] <= 3 and kept.made["space"] + kept.made["index"] <= 12
     again = stages.StageStore(spark, root)
     shared = tuner.Shared(builder, sources, again)
     for n, spec in list(enumerate(specs[:14]))[::5]:
@@ -92,7 +92,7 @@ def test_tuner_with_stages(spark):
     s = SearchSpace(chunker=[choice("markdown-aware"), choice("fixed", chunk_chars=[50], overlap_chars=[0])], representations=[[choice("lexical")]], refine=[[], [choice("keyword")], [choice("score-threshold")]])
     kept = stages.StageStore(spark)
     board = tuner.RandomTuner(n_trials=6, seed=2, screen_by="ndcg@1").run(s, samples, docs, pipeline.PipelineBuilder(spark), [metrics.RetrievalEvaluator(k_values=(1,))], stages=kept)
-    assert len(board) == 6 and kept.made["chunk"] == 2 and kept.made["space"] == 2
+    assert len(board) == 6 and kept.made["chunk"] == 2 and kept.made["index"] == 2
     kept.release()
     assert not kept.folder.names()
 
