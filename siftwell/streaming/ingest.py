@@ -20,29 +20,26 @@ def watch_files(spark: SparkSession, path: str, pattern: str = "*", per_trigger:
 
 
 def ingest_stream(stream: DataFrame, pipeline: IndexingPipeline, known: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None):
-    """A query that indexes each content once: known, a Parquet folder, holds the documents that were parsed.
-
-    Documents are written before they are indexed, so chunks do not depend on
-    files that may go.  A batch that is run again after a failure finds its
-    documents there and upserts the same chunks: the sinks' last write wins.
+    """A query that indexes each content once, whenever it arrives again.
+
+    The stream's state, kept with the checkpoint, holds the hashes of contents
+    that came before, so a batch looks up its own contents and reads nothing that
+    is stored; for many millions of them, set RocksDB as the session's state
+    store.  Documents are written to known, in a folder of their batch, before
+    they are indexed, so chunks do not depend on files that may go.  A batch that
+    is run again after a failure writes the same folder again and upserts the
+    same chunks: the sinks' last write wins.
     """
+    new = stream.withColumn("__content", F.sha2("content", 256)).dropDuplicates(["__content"]).drop("__content")
 
     def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        folder = spark._jvm.org.apache.hadoop.fs.Path(known)
-        exists = lambda: folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
-        rows = blobs.with_doc_id(detect_format(batch)).dropDuplicates(["doc_id"])
-        if exists():
-            rows = blobs.missing(rows, spark.read.parquet(known), ["doc_id"])
-        rows = rows.persist()
-        if rows.limit(1).count():
-            pipeline.parser.parse(rows).withColumn("batch", F.lit(number).cast("long")).write.mode("append").parquet(known)
-        rows.unpersist()
-        if exists():
-            documents = spark.read.parquet(known).where(F.col("batch") == number).drop("batch")
-            if documents.limit(1).count():
-                chunks = pipeline.index_documents(documents)
-                if on_batch:
-                    on_batch(chunks, number)
-
-    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        folder = f"{known.rstrip('/')}/batch={number}"
+        pipeline.parser.parse(blobs.with_doc_id(detect_format(batch))).write.mode("overwrite").parquet(folder)
+        documents = batch.sparkSession.read.parquet(folder)
+        if documents.limit(1).count():
+            chunks = pipeline.index_documents(documents)
+            if on_batch:
+                on_batch(chunks, number)
+            chunks.unpersist()
+
+    return new.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -181,6 +181,23 @@ def test_ingest_and_stream(spark, tmp_path):
     (inbox / "b.txt").write_text("something new")
     arrive()
     assert p.corpus.store.chunks().count() == 4 and spark.read.parquet(str(tmp_path / "known")).count() == 2
+    # a third start remembers both, and a batch that fails is run again
+    (inbox / "again.txt").write_text("something new")
+    (inbox / "c.txt").write_text("a third thing")
+    seen = []
+
+    def fail(chunks, number):
+        seen.append(number)
+        if len(seen) == 1:
+            raise RuntimeError("cut off")
+
+    for _ in range(2):
+        run = ingest.ingest_stream(ingest.watch_files(spark, str(inbox)), p.indexing, str(tmp_path / "known"), str(tmp_path / "check"), fail)
+        try:
+            run.awaitTermination(120)
+        except Exception as error:
+            assert "cut off" in str(error)
+    assert seen == [seen[0]] * 2 and p.corpus.store.chunks().count() == 5 and spark.read.parquet(str(tmp_path / "known")).count() == 3
 
 
 def test_marginals_of_all_stages_in_one_pass(spark):
