@@ -40,6 +40,8 @@ from siftwell.llm.shared import spread, trim
 #: fixed value: the pattern that cuts byte-level vocabularies' words
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MEMO = 300_000
+#: pairs of tokens whose compatibility a worker keeps, nine bytes each
+PAIRS = 1 << 20
 MEMO_BYTES = 64
 PREFIX, SHORT = 4, (3, 2, 1)
 SHORT_WORD = 48
@@ -157,12 +159,13 @@ class Codec:
     def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """For each pair of tokens, whether merging their joined bytes gives them back."""
         code = left * self.size + right
+        if len(self.known) > PAIRS:
+            self.known, self.fits = self.known[:0], self.fits[:0]
         new = np.setdiff1d(code, self.known)
         if len(new):
             fits = [self.merge(self.table[c // self.size] + self.table[c % self.size]) == (c // self.size, c % self.size) for c in new.tolist()]
-            known, fit = np.concatenate([self.known, new]), np.concatenate([self.fits, fits])
-            order = np.argsort(known)
-            self.known, self.fits = known[order], fit[order].astype(bool)
+            at = np.searchsorted(self.known, new)
+            self.known, self.fits = np.insert(self.known, at, new), np.insert(self.fits, at, np.array(fits, bool))
         return self.fits[np.searchsorted(self.known, code)]
 
     def learn(self, words: list[str]) -> None:
