@@ -376,6 +376,14 @@ def parse_web(spark, sf_dir):
     return found.select("doc_id", F.col("page_count").cast("long").alias("page_count"), F.sha2("markdown", 256).alias("markdown_hash"))
 
 
+@query("SELECT doc_id, 1::BIGINT AS ocr_pages, 'image/png ' || length(text)::VARCHAR || ' ' || text AS markdown FROM documents")
+def parse_images(spark, sf_dir):
+    """Documents as images, by a stand-in for an engine that reads what follows their signature."""
+    files = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("i-"), "doc_id").alias("uri"), F.concat(F.unhex(F.lit("89504E470D0A1A0A")), F.col("text").cast("binary")).alias("content"))
+    engine = ocr.CallableOcr(lambda image, mime: f"{mime} {len(image[8:].decode())} {image[8:].decode()}")
+    return parsers.AutoParser(engine=engine).parse(detect.detect_format(files)).select("doc_id", F.col("ocr_pages").cast("long").alias("ocr_pages"), "markdown")
+
+
 @query(f"WITH RECURSIVE {PAGES_SQL} SELECT doc_id, number::BIGINT AS number, sha256(md) AS markdown_hash FROM page")
 def page_disassembly(spark, sf_dir):
     """The pages of assembled texts, taken from them by their spans."""
@@ -497,11 +505,15 @@ def chunk_markdown_fixed(spark, sf_dir):
     return c.select("id", F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"), "text")
 
 
-@query(f"""{chunks_sql(400, 0, MD_SQL)},
+_HEADED = f"""{chunks_sql(400, 0, MD_SQL)},
   line AS (SELECT doc_id, unnest(string_split(markdown, {_NL})) AS line, generate_subscripts(string_split(markdown, {_NL}), 1) AS n FROM doc),
-  head AS (SELECT * FROM (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM line) WHERE regexp_matches(line, '^ {{0,3}}#{{1,6}}\\s'))
-SELECT id, CASE WHEN line IS NULL OR starts_with(ltrim(text, ' ' || {_NL}), line) THEN text ELSE line || {_NL} || {_NL} || text END AS text
-FROM chunk c ASOF LEFT JOIN head h ON c.doc_id = h.doc_id AND h.off <= c.s""")
+  head AS (SELECT * FROM (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM line) WHERE regexp_matches(line, '^ {{0,3}}#{{1,6}}\\s')),
+  headed AS (
+    SELECT id, c.doc_id, CASE WHEN line IS NULL OR starts_with(ltrim(text, ' ' || {_NL}), line) THEN text ELSE line || {_NL} || {_NL} || text END AS text
+    FROM chunk c ASOF LEFT JOIN head h ON c.doc_id = h.doc_id AND h.off <= c.s)"""
+
+
+@query(f"{_HEADED} SELECT id, text FROM headed")
 def enrich_heading(spark, sf_dir):
     docs = _markdown(spark, sf_dir)
     return enrich.HeadingEnricher().enrich(chunking.FixedChunker(chunk_chars=400, overlap_chars=0).chunk(docs), docs).select("id", "text")
@@ -528,6 +540,15 @@ def enrich_contextual(spark, sf_dir):
     return enrich.ContextualEnricher(lambda prompt: f" {len(prompt) - empty} characters", max_document_chars=100).enrich(chunks, docs).select("id", "text")
 
 
+@query(f"{_HEADED} SELECT id, (length(text) + least(length(markdown), 100) + 2)::VARCHAR || ' characters' || {_NL} || {_NL} || text AS text FROM headed JOIN doc USING (doc_id)")
+def enricher_chain(spark, sf_dir):
+    """Headings, then a stand-in for a model that counts the characters of its prompt, the heading among them."""
+    empty = len("<document>\n\n</document>\n<chunk>\n\n</chunk>\nSay in one sentence what this chunk is about within the document.") - 2
+    docs = _markdown(spark, sf_dir)
+    chain = [enrich.HeadingEnricher(), enrich.ContextualEnricher(lambda prompt: f" {len(prompt) - empty} characters", max_document_chars=100)]
+    return enrich.enrich(chunking.FixedChunker(chunk_chars=400, overlap_chars=0).chunk(docs), docs, chain).select("id", "text")
+
+
 # --- encoders and search ----------------------------------------------------------------------------------------------------
 
 
@@ -652,6 +673,16 @@ def refine_threshold(spark, sf_dir):
     return _shown(refine.ScoreThreshold(min_score=12.0).refine(rows, _questions(spark, sf_dir), chunks).withColumn("rank", F.col("pos")))
 
 
+@query(f"""{chunks_sql()}, {bm25_sql('r')},
+  w AS (SELECT r.qid, chunk_id, list_distinct({tok('q.text')}) AS qw, list_distinct({tok('c.text')}) AS cw FROM r JOIN chunk c ON c.id = chunk_id JOIN r_q q ON q.qid = r.qid WHERE score >= 12.0),
+  j AS (SELECT qid, chunk_id, {_JACCARD} AS score FROM w)
+SELECT * FROM (SELECT qid, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id DESC) AS rank FROM j) WHERE rank <= 3""")
+def refiner_chain(spark, sf_dir):
+    """A threshold, then a reranking, then the first three."""
+    rows, chunks = _candidates(spark, sf_dir)
+    return _shown(refine.refine(rows, _questions(spark, sf_dir), chunks, [refine.ScoreThreshold(min_score=12.0), refine.KeywordRefiner()], 3).withColumn("rank", F.col("pos")))
+
+
 @query(f"""{chunks_sql()}, {bm25_sql('r', k=5)},
   g AS (SELECT r.qid, r.chunk_id, r.rank, a.doc_id, min(n.s) AS s, max(n.e) AS e FROM r JOIN chunk a ON a.id = r.chunk_id JOIN chunk n ON n.doc_id = a.doc_id AND n.idx BETWEEN a.idx - 1 AND a.idx + 1 GROUP BY ALL)
 SELECT qid, chunk_id, rank, s::BIGINT AS char_start, e::BIGINT AS char_end, substr(markdown, s + 1, e - s) AS text FROM g JOIN doc USING (doc_id)""")
@@ -753,6 +784,19 @@ def search_hybrid(spark, sf_dir):
     return _shown(retrieve.HybridRetriever(corpus).retrieve(_questions(spark, sf_dir), 10))
 
 
+@query(f"{chunks_sql()}, {bm25_sql('r')} {SHOWN.format('r')}")
+def search_reopened(spark, sf_dir):
+    """An index that took three batches, of which the last replaces chunks with what they were, opened again and compacted."""
+    path, rows = f"{shared_folder(spark)}/lexical-{uuid.uuid4().hex}", _chunks(spark, sf_dir)
+    first = index.LexicalIndex(spark, path)
+    first.add(rows.where("doc_id % 3 < 2"))
+    first.add(rows.where("doc_id % 3 = 2"))
+    again = index.LexicalIndex(spark, path)
+    again.add(rows.where("doc_id % 3 = 1"))
+    index.LexicalIndex(spark, path).compact()
+    return _shown(index.LexicalIndex(spark, path).search(_questions(spark, sf_dir), 10))
+
+
 @query(f"{chunks_sql()}, {_spaces_sql('spa', _INITIALS, 'dot', weigh=True)} {SHOWN.format('spa')} WHERE rank <= 10")
 def search_sparse_idf(spark, sf_dir):
     """A sparse space whose queries are weighed by what is stored; a third of the chunks is added in a second batch, and another third a second time."""
@@ -947,12 +991,17 @@ def trial_marginal(spark, sf_dir):
 
 
 @query("""
-SELECT (row_number() OVER (ORDER BY c, o, k))::BIGINT - 1 AS position, c::BIGINT AS chunk_chars, o::BIGINT AS overlap_chars, k AS refiner
-FROM (VALUES (200), (400)) a(c), (VALUES (0), (50)) b(o), (VALUES ('keyword'), ('none')) d(k)""")
+WITH z AS (SELECT DISTINCT (n_chars // 4000 + 1) * 400 AS c FROM documents)
+SELECT (row_number() OVER (ORDER BY c, o, k))::BIGINT - 1 AS position, c::BIGINT AS chunk_chars, o::BIGINT AS overlap_chars, k AS refiner, (SELECT count(*) FROM documents WHERE n_chars > c)::BIGINT AS longer
+FROM z, (VALUES (0), (50)) b(o), (VALUES ('keyword'), ('none')) d(k)""")
 def search_space_grid(spark, sf_dir):
-    space = SearchSpace(refine=[[choice("keyword")], []], chunker=[choice("fixed", chunk_chars=[200, 400], overlap_chars=[0, 50])])
-    rows = [(i, s["chunker"]["params"]["chunk_chars"], s["chunker"]["params"]["overlap_chars"], s["refine"][0]["name"] if s["refine"] else "none") for i, s in enumerate(space.expand())]
-    return spark.createDataFrame(rows, "position long, chunk_chars long, overlap_chars long, refiner string")
+    """The specs of a space whose chunk sizes are those that the documents' lengths suggest, and how many documents each cuts."""
+    docs = table(spark, sf_dir, "documents").select("n_chars")
+    sizes = sorted(r.c for r in docs.select(F.expr("(n_chars div 4000 + 1) * 400").alias("c")).distinct().collect())
+    space = SearchSpace(refine=[[choice("keyword")], []], chunker=[choice("fixed", chunk_chars=sizes, overlap_chars=[0, 50])])
+    specs = [(i, s["chunker"]["params"]["chunk_chars"], s["chunker"]["params"]["overlap_chars"], s["refine"][0]["name"] if s["refine"] else "none") for i, s in enumerate(space.expand())]
+    longer = docs.agg(*[F.count_if(F.col("n_chars") > c).alias(str(c)) for c in sizes]).select(F.explode(F.array(*[F.struct(F.lit(c).cast("long").alias("chunk_chars"), F.col(str(c)).alias("longer")) for c in sizes])).alias("x")).select("x.*")
+    return spark.createDataFrame(specs, "position long, chunk_chars long, overlap_chars long, refiner string").join(F.broadcast(longer), "chunk_chars")
 
 
 _LOGGED = """
