@@ -91,7 +91,8 @@ class Chunker(Component):
         kept = documents.withColumn("spans", spans).withColumn("piece", F.filter(pieces, lambda p: ~is_blank(p["text"])))
         metadata = F.col("metadata") if "metadata" in documents.columns else F.lit(None).cast("map<string,string>")
         page_spans = F.col("page_spans") if "page_spans" in documents.columns else F.lit(None).cast("array<struct<page_number:int,start:int,end:int,ocr_applied:boolean>>")
-        rows = kept.select(F.col("doc_id").cast("string").alias("doc_id"), metadata.alias("metadata"), page_spans.alias("ps"), F.posexplode("piece").alias("index", "p"))
+        # an inner explode would let a filter on the number of pieces move below, and all that makes them be computed twice
+        rows = kept.select(F.col("doc_id").cast("string").alias("doc_id"), metadata.alias("metadata"), page_spans.alias("ps"), F.posexplode_outer("piece").alias("index", "p")).where("p is not null")
         first, last = page_range(F.col("ps"), F.col("p.s"), F.col("p.e"))
         return rows.select(
             F.concat_ws(":", "doc_id", "index").alias("id"), "doc_id", F.col("p.text").alias("text"), F.col("index").cast("int").alias("index"), F.col("p.s").alias("char_start"), F.col("p.e").alias("char_end"), first.alias("page_start"), last.alias("page_end"), "metadata"

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import inspect
+import queue
+import threading
 import time
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.errors import ConfigError
@@ -20,25 +24,82 @@ from siftwell.sources.detect import detect_format
 Trace = Callable[..., None]
 
 
+def _clock() -> Column:
+    """Milliseconds of the clock of the executor that handles the row."""
+    return F.reflect(F.lit("java.lang.System"), F.lit("currentTimeMillis")).cast("long")
+
+
 class Traced:
-    """Stages whose time is told to trace: each is computed on its own, and kept for the next one."""
+    """Stages that are counted and timed while the plan that they are part of is computed.
+
+    With a trace, the rows of a stage are observed where they pass: their number
+    and the clock at the first and the last of them.  Nothing is computed or kept
+    for it, and the plan is else what it is without one, but that no filter moves
+    below a stage whose rows are counted.  `report` tells the
+    trace what was seen; it is called by pipelines that write their rows, and by
+    the caller once the rows that a pipeline returned are computed.  A stage that
+    several actions compute is told as the first of them saw it.  Its duration is
+    that of making its plan (with what is computed then) and of its rows' passing;
+    stages whose rows pass together overlap.
+    """
 
     trace: Trace | None = None
 
-    def timed(self, stage: str, make: Callable[[], DataFrame], **detail: Any) -> DataFrame:
+    def _told(self) -> list[tuple]:
+        return self.__dict__.setdefault("_pending", [])
+
+    def timed(self, stage: str, make: Callable[[], DataFrame], cached: bool = False, **detail: Any) -> DataFrame:
+        """make's rows, observed; cached says that only rows which a cache lacked are among them."""
         if self.trace is None:
             return make()
         began = time.perf_counter()
-        rows = make().persist()
-        rows.count()
-        self.trace(stage, 1000 * (time.perf_counter() - began), **detail)
-        self.__dict__.setdefault("_held", []).append(rows)
-        return rows
+        rows = make()
+        seen = Observation(f"{stage}-{uuid.uuid4().hex}")
+        self._told().append((stage, 1000 * (time.perf_counter() - began), seen, cached, detail))
+        return rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.min(_clock()).alias("first"), F.max(_clock()).alias("last"))
+
+    def acted(self, stage: str, act: Callable[[], Any]) -> None:
+        """A stage that computes something at once."""
+        began = time.perf_counter()
+        act()
+        if self.trace is not None:
+            self._told().append((stage, 1000 * (time.perf_counter() - began), None, False, {}))
+
+    def report(self, seconds: float = 10.0) -> None:
+        """Tells trace, in the order of the stages, of those that were computed; others are waited for so long and stay to be told."""
+        until, left = time.monotonic() + seconds, []
+        for entry in self._told():
+            stage, duration, seen, cached, detail = entry
+            found = _observed(seen, until - time.monotonic()) if seen is not None else {}
+            if found is None:
+                left.append(entry)
+                continue
+            if found:
+                duration += (found["last"] or 0) - (found["first"] or 0)
+                detail = detail | {"rows": found["rows"]} | ({"cache_hit": found["rows"] == 0} if cached else {})
+            self.trace(stage, duration, **detail)
+        self._pending = left
+
+
+def _observed(seen: Observation, seconds: float) -> dict[str, Any] | None:
+    """What was observed, or none where no action has ended in time: an observation itself waits without end.
+
+    It is empty where the action found its rows elsewhere, in a cache or not at
+    all, and passed none by the counter.
+    """
+    answer: queue.SimpleQueue = queue.SimpleQueue()
 
-    def release(self) -> None:
-        """Gives the kept stages back."""
-        for rows in self.__dict__.pop("_held", []):
-            rows.unpersist()
+    def wait() -> None:
+        try:
+            answer.put(seen.get)
+        except Py4JJavaError:
+            answer.put({})
+
+    threading.Thread(target=wait, daemon=True).start()
+    try:
+        return answer.get(timeout=max(seconds, 0.1))
+    except queue.Empty:
+        return None
 
 
 class IndexingPipeline(Traced):
@@ -62,10 +123,9 @@ class IndexingPipeline(Traced):
         rows = named.dropDuplicates(["doc_id"])
         if not self.cache:
             return self.timed("parse", lambda: self.parser.parse(rows))
-        self.timed("store_raw", lambda: blobs.through_cache(rows, rows.sparkSession, f"{self.cache}/raw", ["doc_id"], blobs.raw_blobs))
+        self.acted("store_raw", lambda: blobs.through_cache(rows, rows.sparkSession, f"{self.cache}/raw", ["doc_id"], blobs.raw_blobs))
         path = f"{self.cache}/parsed/{self.parser.fingerprint()}"
-        known = self.trace is not None and blobs.all_stored(rows, path, ["doc_id"])
-        return self.timed("parse", lambda: blobs.through_cache(rows, rows.sparkSession, path, ["doc_id"], self.parser.parse), cache_hit=known)
+        return blobs.through_cache(rows, rows.sparkSession, path, ["doc_id"], lambda new: self.timed("parse", lambda: self.parser.parse(new), cached=True))
 
     def chunks(self, documents: DataFrame) -> DataFrame:
         cut = self.timed("chunk", lambda: self.chunker.chunk(documents))
@@ -79,6 +139,8 @@ class IndexingPipeline(Traced):
         chunks = self.chunks(documents).persist()
         for sink in self.sinks:
             sink.add(chunks)
+        if self.sinks:
+            self.report()
         return chunks
 
 
@@ -124,6 +186,11 @@ class RagPipeline(Traced):
         found = self.query(queries, k, filters)
         return self.timed("generate", lambda: self.generator.generate(queries, found))
 
+    def report(self, seconds: float = 10.0) -> None:
+        for part in (self.indexing, self.querying):
+            part.report(seconds)
+        super().report(seconds)
+
     def components(self) -> dict[str, Any]:
         return {
             "parser": self.indexing.parser, "chunker": self.indexing.chunker, "enrich": self.indexing.enrichers, "representations": list(self.corpus.spaces.values()),

@@ -181,8 +181,11 @@ class Trace:
     def __init__(self, trial: str = ""):
         self.trial, self.events = trial, []
 
-    def __call__(self, stage: str, duration_ms: float, cache_hit: bool | None = None, usage: Mapping | None = None) -> None:
+    def __call__(self, stage: str, duration_ms: float, cache_hit: bool | None = None, usage: Mapping | None = None, rows: int | None = None) -> None:
+        """The rows of a stage are a number of its usage."""
         numbers = {k: float(v) for k, v in (usage or {}).items() if type(v) in (int, float)}
+        if rows is not None:
+            numbers[f"rows.{stage}"] = float(rows)
         self.events.append((self.trial, stage, float(duration_ms), cache_hit, numbers))
 
     def frame(self, spark: SparkSession) -> DataFrame:

@@ -70,15 +70,16 @@ class Tuner(Component):
         try:
             pipeline, chunks = shared.indexed(spec, trace)
             queries = samples.select("qid", "text")
-            found = pipeline.query(queries, k)
+            # every evaluator reads them
+            found = pipeline.query(queries, k).persist()
             answers = pipeline.timed("generate", lambda: pipeline.generator.generate(queries, found)) if judges else None
             rankings = found.select("qid", "chunk_id", found["pos"].alias("rank"))
             for e in [*screen, *judges]:
                 means = aggregate(e.evaluate(samples, rankings, chunks, answers), e.metrics()).first().asDict()
                 metrics |= {m: float(v) for m, v in means.items() if v is not None}
             described, prints = pipeline.describe(), pipeline.fingerprints()
-            pipeline.release()
-            pipeline.querying.release()
+            found.unpersist()
+            pipeline.report()
         except SiftError as error:
             metrics, note = {}, {"error": f"{type(error).__name__}: {error}"}
         paid = trial_costs(trace.frame(samples.sparkSession)).first() if trace.events else None

@@ -181,12 +181,6 @@ def through_cache(rows: DataFrame, spark: SparkSession, path: str, keys: list[st
     return rows.select(*keys).distinct().join(spark.read.schema(new.schema).parquet(path).dropDuplicates(keys), keys)
 
 
-def all_stored(rows: DataFrame, path: str, keys: list[str]) -> bool:
-    """Whether the Parquet cache at path lacks no row of rows."""
-    spark = rows.sparkSession
-    return bool(Folder(spark, path).names()) and missing(rows, spark.read.parquet(path), keys).limit(1).count() == 0
-
-
 class Catalogue:
     """Documents that were indexed: the first file name of a content stays unless it is overwritten."""
 

@@ -1,4 +1,5 @@
 import json
+import re
 from dataclasses import dataclass
 from enum import Enum
 
@@ -134,6 +135,8 @@ def test_index_and_ask(spark, tmp_path):
     assert len(raw) == 1 and raw[0].key.endswith("/original.md") and bytes(raw[0].content) == FACTS and p.indexing.catalogue.documents().first().source_uri == "facts.md"
     q = spark.createDataFrame([(1, "What is the capital of France?"), (2, "zzz qqq")], "qid long, text string")
     answers = {r.qid: r for r in p.ask(q, 2).collect()}
+    assert len(events) == 6
+    p.report()
     assert events[6:] == ["retrieve", "refine", "generate"]
     assert "Paris" in answers[1].text and answers[1].citations[0].marker == 1 and len(answers[1].citations[0].doc_id) == 64
     assert set(p.describe()) == set(p.fingerprints()) >= {"parser", "chunker", "refine"}
@@ -143,6 +146,47 @@ def test_index_and_ask(spark, tmp_path):
     assert isinstance(pipeline.default_retriever(other), retrieve.IndexRetriever)
 
 
+def _shape(df):
+    """The operators of a plan, without ids, counters and projections (those of two stages are merged where no counter is between them)."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    kinds = [m[1] for line in plan.splitlines() if (m := re.match(r"[ :]*(?:[+:]- )?([A-Z]\w+) ", line))]
+    return [k for k in kinds if k not in ("CollectMetrics", "Project")], kinds.count("CollectMetrics")
+
+
+def test_stages_are_observed_in_the_plan_they_are_part_of(spark, tmp_path):
+    told = []
+    note = lambda stage, ms, **detail: told.append((stage, ms, detail))
+    source = blobs.bytes_source(spark, [("facts.md", FACTS), ("more.md", b"# More\nText.\n"), ("again.md", FACTS)])
+    parts = (parsers.AutoParser(), registry.create("chunker", "markdown-aware"))
+    bare, traced = (pipeline.IndexingPipeline(*parts, trace=t) for t in (None, note))
+    plans = [_shape(p.chunks(p.documents(source))) for p in (bare, traced)]
+    # nothing that Python makes is made twice: pages, spans, and the office kind of an archive
+    assert plans[0][0].count("ArrowEvalPython") == 3
+    assert plans[0][0] == plans[1][0] and [n for _, n in plans] == [0, 2]
+    # nothing was computed yet: a stage that no action has computed stays to be told
+    traced.report(0.5)
+    assert told == []
+    traced = pipeline.IndexingPipeline(*parts, trace=note)
+    rows = traced.chunks(traced.documents(source))
+    assert rows.count() == 4
+    traced.report()
+    assert [(s, d) for s, _, d in told] == [("parse", {"rows": 2}), ("chunk", {"rows": 4})] and all(ms >= 0 for _, ms, _ in told)
+    traced.report()
+    assert len(told) == 2
+    # a cache: rows are those that it lacked
+    for expected in (2, 0):
+        told.clear()
+        kept = pipeline.IndexingPipeline(*parts, cache=str(tmp_path / "cache"), trace=note)
+        kept.documents(source)
+        kept.report()
+        assert [(s, d) for s, _, d in told] == [("store_raw", {}), ("parse", {"rows": expected, "cache_hit": expected == 0})]
+    record = trials.Trace("t")
+    for stage, ms, detail in told:
+        record(stage, ms, **detail)
+    cost = trials.trial_costs(record.frame(spark)).first()
+    assert cost.cost["rows.parse"] == 0.0 and dict(cost.cache_hits) == {"parse": True}
+
+
 def test_builder_and_tuners(spark, tmp_path):
     docs = spark.createDataFrame([("facts", FACTS.decode())], "doc_id string, markdown string")
     samples = spark.createDataFrame([(1, "capital of Japan", ["facts:1"], None, "The capital of Japan is Tokyo"), (2, "bread flour", ["facts:2"], None, "flour")], "qid long, text string, relevant_chunk_ids array<string>, relevant_doc_ids array<string>, reference_answer string")
