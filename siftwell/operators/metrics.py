@@ -5,14 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from siftwell.errors import ConfigError, EvaluationError
 from siftwell.functions.text import counted, let, normalised, tokens
 from siftwell.plans.component import Component, registry
 
+#: texts whose words are compared with passages at a time
+PASSAGE_ROWS = 200
+
 
 def by_document(rankings: DataFrame, chunks: DataFrame) -> DataFrame:
     """Rankings (qid, doc_id, rank) of documents: each stands where its first chunk does, without gaps."""
@@ -21,6 +27,72 @@ def by_document(rankings: DataFrame, chunks: DataFrame) -> DataFrame:
     return first.select("qid", "doc_id", F.row_number().over(w).alias("rank"))
 
 
+class Passages:
+    """Runs of words (qid, n, run) of a block of queries, as numbers of their words."""
+
+    def __init__(self, wanted: pa.Table):
+        qids, runs = wanted["qid"].combine_chunks(), wanted["run"].combine_chunks()
+        self.kind, self.qids = qids.type, qids.to_pylist()
+        self.words = pc.unique(pc.list_flatten(runs))
+        number = pc.index_in(pc.list_flatten(runs), self.words).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = wanted["n"].to_numpy()
+        starts = np.cumsum(sizes) - sizes
+        #: by length: sorted hashes, and for each the places in qids and the numbers
+        self.by_length = {}
+        for n in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == n)
+            rows = number[starts[at, None] + np.arange(n)]
+            hashes = _run_hashes(len(at), rows.T)
+            by = np.argsort(hashes, kind="stable")
+            self.by_length[n] = (hashes[by], at[by], rows[by])
+
+    def found(self, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place in qids) of the runs that stand in lists of words, each once."""
+        number = pc.fill_null(pc.index_in(pc.list_flatten(words), self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        row, ends = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.cumsum(sizes), sizes)
+        unknown = np.concatenate([[0], np.cumsum(number < 0)])
+        out = [np.zeros((0, 2), np.int64)]
+        for n, (hashes, at, runs) in self.by_length.items():
+            first = np.arange(max(0, len(number) - n + 1))
+            # inside a row, and of words that some query has
+            first = first[(first + n <= ends[: len(first)]) & (unknown[first + n] == unknown[first])]
+            mine = _run_hashes(len(first), (number[first + j] for j in range(n)))
+            low, high = np.searchsorted(hashes, mine, "left"), np.searchsorted(hashes, mine, "right")
+            times = high - low
+            place = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
+            here = np.repeat(first, times)
+            # hashes find, numbers decide
+            same = (number[here[:, None] + np.arange(n)] == runs[place]).all(axis=1)
+            out.append(np.unique(np.stack([row[here[same]], at[place[same]]], axis=1), axis=0))
+        return tuple(np.concatenate(out).T)
+
+
+def _run_hashes(size: int, columns) -> np.ndarray:
+    """Hashes of rows of numbers that are given column by column."""
+    out = np.zeros(size, np.uint64)
+    for column in columns:
+        out = out * np.uint64(0x9E3779B97F4A7C15) + column.astype(np.uint64) + np.uint64(1)
+    return out
+
+
+def passages(texts: DataFrame, key: str, block: Passages) -> DataFrame:
+    """(qid, key) of each row of texts (key, text) that has a run of the block; texts stay where they are."""
+    share = texts.sparkSession.sparkContext.broadcast(block)
+
+    def scan(batches):
+        asked = share.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, PASSAGE_ROWS):
+                part = batch.slice(at, PASSAGE_ROWS)
+                row, place = asked.found(part["w"])
+                yield pa.RecordBatch.from_pydict({"qid": pa.array([asked.qids[i] for i in place], asked.kind), key: part[key].take(pa.array(row, pa.int64()))})
+
+    rows = texts.select(key, tokens(F.col("text")).alias("w"))
+    kinds = f"qid {from_arrow_type(block.kind).simpleString()}, {key} {rows.schema[key].dataType.simpleString()}"
+    return rows.mapInArrow(scan, kinds).distinct()
+
+
 def ideal(n: Column, k: int) -> Column:
     """DCG of n relevant items at the top of k."""
     return F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))

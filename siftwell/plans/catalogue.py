@@ -839,13 +839,9 @@ PASSAGE_WORDS = 10
 def _passages(spark, sf_dir, texts, key):
     """(qid, key) of each row of texts (key, text) with PASSAGE_WORDS consecutive words of an item."""
     items = _questions(spark, sf_dir).select("qid", tx.tokens(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("n", F.least(F.size("w"), F.lit(PASSAGE_WORDS)))
-    runs = lambda w, n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda at: F.array_join(F.slice(w, at, n), " "))
-    wanted = items.select("qid", F.explode(F.array_distinct(runs(F.col("w"), F.col("n")))).alias("run"))
-    small = wanted.limit(search.QUERY_BLOCK + 1).count() <= search.QUERY_BLOCK
-    lengths = F.array(*[F.lit(r["n"]) for r in items.select("n").distinct().collect()]).cast("array<int>")
-    words = texts.select(key, F.explode(lengths).alias("n"), tx.tokens(F.col("text")).alias("w")).where(F.size("w") >= F.col("n"))
-    found = words.select(key, F.explode(runs(F.col("w"), F.col("n"))).alias("run")).join(F.broadcast(wanted) if small else wanted, "run")
-    return found.select("qid", key).distinct()
+    wanted = items.select("qid", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda at: F.slice("w", at, F.col("n"))))).alias("run"))
+    held = [metrics.Passages(part.toArrow()) for part in search.query_blocks(wanted.select("qid", "n", "run"))]
+    return reduce(DataFrame.unionByName, [metrics.passages(texts, key, block) for block in held])
 
 
 def passages_sql(source: str) -> str:

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from siftwell.errors import StorageError
-from siftwell.operators import index, search
+from siftwell.operators import index, metrics, search
 
 
 def test_best_of_slices():
@@ -58,3 +58,17 @@ def test_an_index_of_postings_is_refused(spark, tmp_path):
     spark.range(1).write.parquet(str(tmp_path / "default" / "lengths"))
     with pytest.raises(StorageError, match="postings"):
         index.LexicalIndex(spark, str(tmp_path))
+
+
+def test_passages(spark):
+    """Runs are found inside a row alone and by their words; every run of every text was a row of a join."""
+    words = lambda *texts: pa.array([t.split() if t is not None else None for t in texts], pa.list_(pa.string()))
+    runs = [(1, "a b c"), (1, "b c d"), (2, "a b c"), (3, "z"), (4, "c a")]
+    wanted = pa.table({"qid": [q for q, _ in runs], "n": [len(r.split()) for _, r in runs], "run": words(*(r for _, r in runs))})
+    block = metrics.Passages(wanted)
+    row, place = block.found(words("x a b c d", "b c", "d a", None, "", "z z c", "a b", "c b a"))
+    assert sorted((r, block.qids[p]) for r, p in zip(row, place, strict=True)) == [(0, 1), (0, 1), (0, 2), (5, 3)]
+    texts = spark.createDataFrame([(7, "X a-b  C d"), (8, "z"), (9, None)], "id long, text string")
+    found = metrics.passages(texts, "id", block)
+    assert sorted((r.qid, r.id) for r in found.collect()) == [(1, 7), (2, 7), (3, 8)]
+    assert "Generate" not in found._jdf.queryExecution().toString()
