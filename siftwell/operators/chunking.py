@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from siftwell.errors import ConfigError
 from siftwell.functions.text import is_blank
 from siftwell.plans.component import Component, registry
+from siftwell.sources.folders import text_batches
 from siftwell.sources.pages import page_range
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -86,6 +87,7 @@ class Chunker(Component):
 
     def chunk(self, documents: DataFrame) -> DataFrame:
         """Chunks of documents; narrow but for nothing: each document's chunks stay in its row until they are exploded."""
+        text_batches(documents.sparkSession)
         spans = _spans_udf(self.spans)(F.col("markdown"))
         pieces = F.transform("spans", lambda s: F.struct(s["start"].alias("s"), s["end"].alias("e"), F.substring("markdown", s["start"] + 1, s["end"] - s["start"]).alias("text")))
         kept = documents.withColumn("spans", spans).withColumn("piece", F.filter(pieces, lambda p: ~is_blank(p["text"])))

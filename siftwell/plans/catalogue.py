@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import text as tx
 from siftwell.operators import chunking, encode, enrich, generate, index, metrics, refine, retrieve, search
 from siftwell.operators.filters import matching
-from siftwell.operators.store import latest
+from siftwell.operators.store import latest, stored
 from siftwell.plans import files, pipeline, trials
 from siftwell.plans.space import SearchSpace, choice
 from siftwell.sources import blobs, detect, html, ocr, pages, parsers, pdf
@@ -526,7 +526,8 @@ def filter_metadata(spark, sf_dir):
 
 @query(f"""{chunks_sql()} SELECT id, text FROM chunk UNION ALL SELECT id || '#aug0', 'About ' || text FROM chunk WHERE idx = 0""")
 def enrich_synthetic(spark, sf_dir):
-    chunks = _chunks(spark, sf_dir)
+    # written once: the chunks stand in three places of the plan, each of which would cut the texts again
+    chunks = stored(_chunks(spark, sf_dir))
     return enrich.synthetic(chunks, chunks.where("index = 0").select("id", F.concat(F.lit("About "), "text").alias("text"))).select("id", "text")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import is_blank
+from siftwell.sources.folders import text_batches
 
 PAGE_CHARS = 8000
 JOINER = "\n\n"
@@ -45,6 +46,7 @@ def decode_text(content: Column, encoding: str = "UTF-8") -> Column:
 
 def plain_text_pages(documents: DataFrame, page_chars: int = PAGE_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, number, markdown, ocr_applied): a row for each page."""
+    text_batches(documents.sparkSession)
     pages = documents.select(key, F.explode(pages_udf(page_chars)(F.col(text))).alias("p"))
     return pages.select(key, "p.number", "p.markdown", F.lit(False).alias("ocr_applied"))
 
@@ -70,6 +72,7 @@ def assemble(pages: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def assembled(documents: DataFrame, page_chars: int = PAGE_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The same of plain texts, row by row and so without a shuffle."""
+    text_batches(documents.sparkSession)
     paged = documents.withColumn("p", pages_udf(page_chars)(F.col(text)))
     none = F.array().cast("array<struct<page_number:int,start:int,end:int,ocr_applied:boolean>>")
 

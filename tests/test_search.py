@@ -6,6 +6,7 @@ import pytest
 
 from siftwell.errors import StorageError
 from siftwell.operators import index, metrics, search
+from siftwell.plans import catalogue
 
 
 def test_best_of_slices():
@@ -72,3 +73,10 @@ def test_passages(spark):
     found = metrics.passages(texts, "id", block)
     assert sorted((r.qid, r.id) for r in found.collect()) == [(1, 7), (2, 7), (3, 8)]
     assert "Generate" not in found._jdf.queryExecution().toString()
+
+
+def test_synthetic_chunks_are_cut_once(spark, sf_dir):
+    """Texts went to Python once for each place that the chunks have in the plan, in batches of 10,000 rows."""
+    made = catalogue.enrich_synthetic(spark, sf_dir)
+    assert "EvalPython" not in made._jdf.queryExecution().toString()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
