@@ -1,9 +1,12 @@
-"""Text functions on columns; all stay in the JVM."""
+"""Text functions on columns; all but the counts of whole batches stay in the JVM."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +37,37 @@ def counted(words: Column) -> Column:
     return let(F.sort_array(words), lambda s: F.when(F.size(s) == 0, none).otherwise(runs(s)))
 
 
+def batch_counts(lists: pa.ListArray, codes: np.ndarray, width: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Distinct codes (0 to width - 1) of the items of each list of a batch, ascending: their codes, where each list's begin, and how often they occur."""
+    rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    width = max(1, width)
+    key, n = np.unique(rows * width + codes, return_counts=True)
+    starts = np.searchsorted(key, np.arange(len(lists) + 1, dtype=np.int64) * width)
+    return key % width, pa.array(starts.astype(np.int32)), n
+
+
+def ranked_codes(items: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Distinct items in order, and the place of each item among them."""
+    coded = items.dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary)
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy(zero_copy_only=False).astype(np.int64)] = np.arange(len(order))
+    return coded.dictionary.take(order), place[coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
+
+
+def word_counts(words: Column) -> Column:
+    """Struct (len, terms, tfs) of an array of words: their number, the distinct ones in order, and how often each occurs; a batch of rows is counted at a time."""
+
+    @F.arrow_udf("struct<len:int,terms:array<string>,tfs:array<int>>")
+    def count(lists: pa.Array) -> pa.Array:
+        terms, codes = ranked_codes(lists.flatten())
+        kept, starts, n = batch_counts(lists, codes, len(terms))
+        length = pc.list_value_length(lists).cast(pa.int32())
+        return pa.StructArray.from_arrays([length, pa.ListArray.from_arrays(starts, terms.take(pa.array(kept))), pa.ListArray.from_arrays(starts, pa.array(n.astype(np.int32)))], ["len", "terms", "tfs"])
+
+    return count(words)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.errors import ConfigError, EmbeddingError
-from siftwell.functions.text import let, tokens
+from siftwell.functions.text import batch_counts, ranked_codes, tokens
 from siftwell.plans.component import Component, registry
 
 _WORD = re.compile(r"\w+")
@@ -136,7 +136,7 @@ class SparseEncoder(Component):
 
 @registry.register
 class HashedTermFrequency(SparseEncoder):
-    """Term frequencies at hashed indices, in the JVM."""
+    """Term frequencies at hashed indices."""
 
     name = "hashed-tf"
 
@@ -149,15 +149,14 @@ class HashedTermFrequency(SparseEncoder):
         return F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(self.config.buckets)).cast("int"))
 
     def passage(self, text):
-        at = F.array_sort(self.places(text))
-
-        def runs(s: Column) -> Column:
-            # runs of equal sorted indices: linear in the words
-            first = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
-            return let(first, lambda p: F.struct(F.transform(p, lambda i: F.element_at(s, i)).alias("indices"), F.transform(p, lambda i, k: (F.coalesce(F.get(p, k + 1), F.size(s) + 1) - i).cast("double")).alias("values")))
-
-        none = F.struct(F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("values"))
-        return let(at, lambda s: F.when(F.size(s) == 0, none).otherwise(runs(s)))
+        # a batch of rows is counted at a time: a sort by a function of two values in each row took most of an encoding
+        @F.arrow_udf("struct<indices:array<int>,values:array<double>>")
+        def count(lists: pa.Array) -> pa.Array:
+            indices, codes = ranked_codes(lists.flatten())
+            kept, starts, n = batch_counts(lists, codes, len(indices))
+            return pa.StructArray.from_arrays([pa.ListArray.from_arrays(starts, indices.take(pa.array(kept))), pa.ListArray.from_arrays(starts, pa.array(n.astype(np.float64)))], ["indices", "values"])
+
+        return count(self.places(text))
 
 
 NAMESPACES = ("passages", "queries")

@@ -13,6 +13,9 @@ import uuid
 import zipfile
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -749,7 +752,13 @@ class _Lengths(encode.Embedder):
     name, dimensions = "lengths", 16
 
     def passage(self, text):
-        return tx.let(tx.tokens(text), lambda w: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.size(F.filter(w, lambda t: F.length(t) % 16 == k)).cast("double")))
+        @F.arrow_udf("array<double>")
+        def count(words: pa.Array) -> pa.Array:
+            row, size = (f(words).to_numpy(zero_copy_only=False).astype(np.int64) for f in (pc.list_parent_indices, lambda w: pc.utf8_length(w.flatten())))
+            found = np.bincount(row * 16 + size % 16, minlength=len(words) * 16).astype(np.float64)
+            return pa.ListArray.from_arrays(pa.array(np.arange(0, len(found) + 1, 16, dtype=np.int32)), pa.array(found))
+
+        return count(tx.tokens(text))
 
 
 class _Initials(encode.HashedTermFrequency):

@@ -1,11 +1,15 @@
 """What a task of a search keeps and hands on."""
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from siftwell.errors import StorageError
-from siftwell.operators import index, metrics, search
+from siftwell.functions import text as tx
+from siftwell.operators import encode, index, metrics, search
 from siftwell.plans import catalogue
 
 
@@ -80,3 +84,22 @@ def test_synthetic_chunks_are_cut_once(spark, sf_dir):
     made = catalogue.enrich_synthetic(spark, sf_dir)
     assert "EvalPython" not in made._jdf.queryExecution().toString()
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_words_are_counted_a_batch_at_a_time(spark):
+    """Encoders and the index sorted and compared the words of each row by interpreted functions, which was most of the time of search_hybrid."""
+    texts = ["b a b", "", None, "É é é x_1", "1 1 1 2", "b"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(2)
+    words = {r.id: r.w for r in df.select("id", tx.tokens(F.col("text")).alias("w")).collect()}
+    rows = search.term_rows(df)
+    encoded = df.select("id", encode.HashedTermFrequency(buckets=7).passage(F.col("text")).alias("v"))
+    for plan in (rows, encoded):
+        said = plan._jdf.queryExecution().executedPlan().toString()
+        assert "array_sort" not in said and "sort_array" not in said and "filter(" not in said
+    assert {r.id: (r.len, dict(zip(r.terms, r.tfs, strict=True))) for r in rows.collect()} == {i: (len(w), dict(Counter(w))) for i, w in words.items()}
+    assert all(r.terms == sorted(r.terms, key=str.encode) for r in rows.collect())
+    at = {r.id: Counter(r.p) for r in df.select("id", encode.HashedTermFrequency(buckets=7).places(F.col("text")).alias("p")).collect()}
+    assert {r.id: list(zip(r.v.indices, r.v.values, strict=True)) for r in encoded.collect()} == {i: sorted(c.items()) for i, c in at.items()}
+    lengths = df.select("id", catalogue._Lengths().passage(F.col("text")).alias("v")).collect()
+    assert {r.id: r.v for r in lengths} == {i: [float(sum(len(t) % 16 == k for t in w)) for k in range(16)] for i, w in words.items()}
+    assert search.term_rows(df.limit(0)).collect() == []
