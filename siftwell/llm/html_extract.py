@@ -2,17 +2,21 @@
 
 A page is cut into text lines at block elements.  What the markup itself names
 as no part of an article (menus, page headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, comments) is left out.  Lines inside an
-article or main element are the article.  Lines of a page that has no such
-element are undecided: pages of one host are paired by url path, their lines
-aligned by longest common subsequence, and shared lines deleted.  Pages of a
-host with the same lines (mirrors, other query strings, repeated rows) are one
-page at the first of their paths, and all get its text.
-
-Differencing is not applied to lines inside an article element: real articles
-share lines (licences, repeated sentences), which must stay.
-
-Only undecided pages are paired, by their line hashes.  Defined results: null
+adverts, forms, scripts, styles, comments) is left out.  Pages of one host are
+paired by url path, their lines aligned by longest common subsequence, and
+shared lines deleted.  Pages of a host with the same lines (mirrors, other
+query strings, repeated rows) are one page at the first of their paths, and all
+get its text.
+
+Lines of a page with an article or main element are those inside it, and such
+pages are paired with each other.  Real articles share lines (licences,
+repeated sentences), so a check of what was deleted follows there: the markup
+must set it apart.  A shared line goes only with its block, an element with a
+class or an id inside the article, all of whose lines are shared and which
+holds less than half of the article's; others are put back, and so is
+everything where a page has no line of its own (a copy).
+
+Pages are paired by their line hashes.  Defined results: null
 html is empty; a page alone on its host keeps its undecided lines; a page whose
 two neighbours share as much of its path is paired with the one before it;
 cut-off tags and references are text up to where they break; html of any length
@@ -27,6 +31,7 @@ import html as entities
 import math
 import os
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -59,6 +64,8 @@ _BLOCK = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES_P = _BLOCK - {"br"}
+#: elements that hold others and, with a class or an id, set a part of an article apart
+_HOLDS = frozenset("details div dl figure ol section table ul".split())
 
 
 def _noise(name: str, attrs: str, inside: bool) -> bool:
@@ -83,9 +90,15 @@ def _noise(name: str, attrs: str, inside: bool) -> bool:
 
 def lines(page: str) -> tuple[list[str], bool]:
     """Text lines of a page's article, and whether the markup marks the article."""
+    return placed_lines(page)[:2]
+
+
+def placed_lines(page: str) -> tuple[list[str], bool, list[int]]:
+    """lines, and the innermost block of the article in which each of them stands; -1 outside all."""
     inside_article: list[str] = []
+    blocks: list[int] = []
     anywhere: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped from here on, article from here on
+    stack: list[tuple[str, bool, bool, int]] = []  # name, dropped from here on, article from here on, block
     text: list[str] = []
 
     def dropped() -> bool:
@@ -102,12 +115,13 @@ def lines(page: str) -> tuple[list[str], bool]:
                 anywhere.append(line)
                 if inside():
                     inside_article.append(line)
+                    blocks.append(stack[-1][3])
 
     def add(part: str):
         if part and not dropped():
             text.append(part)
 
-    at, seen = 0, False
+    at, seen, named = 0, False, 0
     for m in _TOKEN.finditer(page):
         add(page[at : m.start()])
         at = m.end()
@@ -138,10 +152,13 @@ def lines(page: str) -> tuple[list[str], bool]:
             drop = dropped() or _noise(name, m["attrs"] or "", inside())
             article = inside() or (name in ("article", "main") and not drop)
             seen = seen or (article and not drop)
-            stack.append((name, drop, article))
+            block = stack[-1][3] if stack else -1
+            if inside() and name in _HOLDS and any(a[1].lower() in ("class", "id") for a in _ATTR.finditer(m["attrs"] or "")):
+                block, named = named, named + 1
+            stack.append((name, drop, article, block))
     add(page[at:])
     flush()
-    return (inside_article, True) if seen else (anywhere, False)
+    return (inside_article, True, blocks) if seen else (anywhere, False, [-1] * len(anywhere))
 
 
 def common(a: list[int], b: list[int]) -> set[int]:
@@ -193,28 +210,67 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def parse(batches):
         for batch in batches:
-            texts, sure, hashes = [], [], []
+            texts, sure, hashes, places = [], [], [], []
             for page in batch["html"]:
-                found, marked = lines(page.as_py() or "")
+                found, marked, blocks = placed_lines(page.as_py() or "")
                 texts.append(found)
                 sure.append(marked)
-                hashes.append(None if marked else [xxhash.xxh3_64_intdigest(x.encode()) >> 1 for x in found])
-            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.list_(pa.string())), pa.array(sure), pa.array(hashes, pa.list_(pa.int64()))], names=["page_id", "url", "lines", "sure", "hashes"])
+                hashes.append([xxhash.xxh3_64_intdigest(x.encode()) >> 1 for x in found])
+                places.append(blocks)
+            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.list_(pa.string())), pa.array(sure, pa.bool_()), pa.array(hashes, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["page_id", "url", "lines", "sure", "hashes", "blocks"])
 
     id_type, url_type = base.schema["page_id"].dataType.simpleString(), base.schema["url"].dataType.simpleString()
-    cut = scratch.keep(base.mapInArrow(parse, f"page_id {id_type}, url {url_type}, lines array<string>, sure boolean, hashes array<long>"), "lines")
-    done = cut.where("sure").select("page_id", "url", F.array_join("lines", " ").alias("text"))
-    return done.unionByName(_differenced(cut.where("not sure"), scratch)).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    cut = scratch.keep(base.mapInArrow(parse, f"page_id {id_type}, url {url_type}, lines array<string>, sure boolean, hashes array<long>, blocks array<int>"), "lines")
+    url = F.col("url").cast("string")
+    placed = cut.withColumn("host", host_of(url)).withColumn("path", path_of(url))
+    kept = _differenced(placed, scratch)
+    open_ = salted_join(placed.where("not sure"), kept.where("not sure").drop("sure"), ["host", "hashes"], "page_id", "left")
+    return _texts(open_).unionByName(_texts(_checked(placed.where("sure"), kept.where("sure").drop("sure"), scratch))).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def _texts(rows: DataFrame) -> DataFrame:
+    keep = F.when(F.col("keep").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, k: F.get("keep", k)))
+    return rows.select("page_id", "url", F.array_join(keep, " ").alias("text"))
+
 
+def confirmed(keep: list[bool], blocks: list[int]) -> list[bool]:
+    """keep of an article's lines, with those put back that no block of template sets apart."""
+    if not any(keep):
+        return [True] * len(keep)
+    size, own = Counter(blocks), {b for b, k in zip(blocks, keep, strict=True) if k}
+    return [k or b < 0 or b in own or 2 * size[b] >= len(blocks) for k, b in zip(keep, blocks, strict=True)]
 
-_PLACE = ("host", "path", "page_id", "tie")
+
+def _checked(marked: DataFrame, kept: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pages that mark an article with keep, where lines of theirs go.
+
+    The check takes hashes and blocks alone; only pages with a block and a
+    shared line can lose any, and no text is shuffled while their kinds are few.
+    """
+
+    @F.arrow_udf("array<boolean>")
+    def confirm(keep: pa.Array, blocks: pa.Array) -> pa.Array:
+        return pa.array([confirmed(k, b) for k, b in zip(keep.to_pylist(), blocks.to_pylist(), strict=True)], pa.list_(pa.bool_()))
+
+    asked = marked.where(F.exists("blocks", lambda b: b >= 0)).select("host", "hashes", "blocks").distinct()
+    found = salted_join(asked, kept.where(F.exists("keep", lambda k: ~k)), ["host", "hashes"], "blocks")
+    gone = scratch.keep(found.select("host", "hashes", "blocks", confirm("keep", "blocks").alias("keep")).where(F.exists("keep", lambda k: ~k)), "gone")
+    keys, n = ["host", "hashes", "blocks"], gone.count()
+    if n == 0:
+        return marked.withColumn("keep", F.lit(None).cast("array<boolean>"))
+    return marked.join(F.broadcast(gone), keys, "left") if n <= BROADCAST_PAGES else salted_join(marked, gone, keys, "page_id", "left")
+
+
+#: kinds of pages that lose lines of an article, which go with a broadcast
+BROADCAST_PAGES = 100_000
+_PLACE = ("sure", "host", "path", "page_id", "tie")
 
 
 def _keep(own: dict, back: dict | None, ahead: dict | None) -> list[bool]:
     """Which lines of a page stay beside the nearer of its neighbours; the one before wins a tie."""
 
     def near(other):
-        if other is None or other["host"] != own["host"]:
+        if other is None or other["host"] != own["host"] or other["sure"] != own["sure"]:
             return -1
         return len(os.path.commonprefix([own["path"], other["path"]]))
 
@@ -223,20 +279,18 @@ def _keep(own: dict, back: dict | None, ahead: dict | None) -> list[bool]:
     return [k not in shared for k in range(len(own["hashes"]))]
 
 
-def _differenced(cut: DataFrame, scratch: Scratch) -> DataFrame:
-    """Undecided pages without the lines that they share with the page of the nearest url path on their host.
+def _differenced(placed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(sure, host, hashes, keep): which lines of each page are not shared with the page of the nearest url path on its host.
 
-    Pages are dealt by ranges of (host, path), so a host of any size is many
-    tasks; the first and the last page of each range meet their neighbours in
-    one small task, two rows for each range.
+    Pages are dealt by ranges of (sure, host, path), so a host of any size is
+    many tasks; the first and the last page of each range meet their neighbours
+    in one small task, two rows for each range.
     """
-    url = F.col("url").cast("string")
-    placed = cut.withColumn("host", host_of(url)).withColumn("path", path_of(url))
     # copies are one page, so that a page never meets its own lines
-    distinct = placed.where("host <> ''").groupBy("host", "hashes").agg(F.min(F.struct("path", "page_id")).alias("at")).select("host", "at.path", "at.page_id", F.xxhash64("hashes").alias("tie"), "hashes")
-    n = max(2, int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    id_type = cut.schema["page_id"].dataType
-    fields = f"host: string, path: string, page_id: {id_type.simpleString()}, tie: long, hashes: array<long>"
+    distinct = placed.where("host <> ''").groupBy("sure", "host", "hashes").agg(F.min(F.struct("path", "page_id")).alias("at")).select("sure", "host", "at.path", "at.page_id", F.xxhash64("hashes").alias("tie"), "hashes")
+    n = max(2, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    id_type = placed.schema["page_id"].dataType
+    fields = f"sure: boolean, host: string, path: string, page_id: {id_type.simpleString()}, tie: long, hashes: array<long>"
     schema = f"{fields}, keep: array<boolean>, first: boolean, last: boolean, back: struct<{fields}>, ahead: struct<{fields}>"
 
     def ranges(batches):
@@ -257,15 +311,13 @@ def _differenced(cut: DataFrame, scratch: Scratch) -> DataFrame:
         before, own = None, next(rows, None)
         while own is not None:
             after = next(rows, None)
-            yield pa.RecordBatch.from_pylist([{"host": own["host"], "hashes": own["hashes"], "keep": _keep(own, before if own["first"] else own["back"], after if own["last"] else own["ahead"])}], kept)
+            yield pa.RecordBatch.from_pylist([{"sure": own["sure"], "host": own["host"], "hashes": own["hashes"], "keep": _keep(own, before if own["first"] else own["back"], after if own["last"] else own["ahead"])}], kept)
             before, own = own, after
 
-    kept = pa.schema([("host", pa.string()), ("hashes", pa.list_(pa.int64())), ("keep", pa.list_(pa.bool_()))])
-    page = [("host", pa.string()), ("path", pa.string()), ("page_id", to_arrow_type(id_type)), ("tie", pa.int64()), ("hashes", pa.list_(pa.int64()))]
+    kept = pa.schema([("sure", pa.bool_()), ("host", pa.string()), ("hashes", pa.list_(pa.int64())), ("keep", pa.list_(pa.bool_()))])
+    page = [("sure", pa.bool_()), ("host", pa.string()), ("path", pa.string()), ("page_id", to_arrow_type(id_type)), ("tie", pa.int64()), ("hashes", pa.list_(pa.int64()))]
     arrow = pa.schema([*page, ("keep", pa.list_(pa.bool_())), ("first", pa.bool_()), ("last", pa.bool_()), ("back", pa.struct(page)), ("ahead", pa.struct(page))])
     dealt = scratch.keep(distinct.repartitionByRange(n, *_PLACE).sortWithinPartitions(*_PLACE).mapInArrow(ranges, schema), "ranges")
-    inner = dealt.where("not first and not last").select("host", "hashes", "keep")
-    outer = dealt.where("first or last").repartition(1).sortWithinPartitions(*_PLACE).mapInArrow(ends, "host string, hashes array<long>, keep array<boolean>")
-    own = salted_join(placed, inner.unionByName(outer), ["host", "hashes"], "page_id", "left")
-    keep = F.when(F.col("keep").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, k: F.get("keep", k)))
-    return own.select("page_id", "url", F.array_join(keep, " ").alias("text"))
+    inner = dealt.where("not first and not last").select("sure", "host", "hashes", "keep")
+    outer = dealt.where("first or last").repartition(1).sortWithinPartitions(*_PLACE).mapInArrow(ends, "sure boolean, host string, hashes array<long>, keep array<boolean>")
+    return inner.unionByName(outer)
