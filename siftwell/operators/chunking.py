@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.errors import ConfigError
-from siftwell.functions.text import is_blank
+from siftwell.functions.text import is_blank, let
 from siftwell.plans.component import Component, registry
 from siftwell.sources.folders import text_batches
 from siftwell.sources.pages import page_range
@@ -89,7 +89,8 @@ class Chunker(Component):
         """Chunks of documents; narrow but for nothing: each document's chunks stay in its row until they are exploded."""
         text_batches(documents.sparkSession)
         spans = _spans_udf(self.spans)(F.col("markdown"))
-        pieces = F.transform("spans", lambda s: F.struct(s["start"].alias("s"), s["end"].alias("e"), F.substring("markdown", s["start"] + 1, s["end"] - s["start"]).alias("text")))
+        # let: what makes the markdown would else move into the lambda and join a document's pages anew for each of its pieces
+        pieces = let(F.col("markdown"), lambda m: F.transform("spans", lambda s: F.struct(s["start"].alias("s"), s["end"].alias("e"), F.substring(m, s["start"] + 1, s["end"] - s["start"]).alias("text"))))
         kept = documents.withColumn("spans", spans).withColumn("piece", F.filter(pieces, lambda p: ~is_blank(p["text"])))
         metadata = F.col("metadata") if "metadata" in documents.columns else F.lit(None).cast("map<string,string>")
         page_spans = F.col("page_spans") if "page_spans" in documents.columns else F.lit(None).cast("array<struct<page_number:int,start:int,end:int,ocr_applied:boolean>>")

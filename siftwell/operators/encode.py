@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,7 +154,8 @@ class HashedTermFrequency(SparseEncoder):
         @F.arrow_udf("struct<indices:array<int>,values:array<double>>")
         def count(lists: pa.Array) -> pa.Array:
             indices, codes = ranked_codes(lists.flatten())
-            kept, starts, n = batch_counts(lists, codes, len(indices))
+            rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            kept, starts, n = batch_counts(rows, len(lists), codes, len(indices))
             return pa.StructArray.from_arrays([pa.ListArray.from_arrays(starts, indices.take(pa.array(kept))), pa.ListArray.from_arrays(starts, pa.array(n.astype(np.float64)))], ["indices", "values"])
 
         return count(self.places(text))

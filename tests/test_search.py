@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftwell.errors import StorageError
 from siftwell.functions import text as tx
-from siftwell.operators import encode, index, metrics, search
+from siftwell.operators import chunking, encode, index, metrics, search
 from siftwell.plans import catalogue
 
 
@@ -103,3 +103,30 @@ def test_words_are_counted_a_batch_at_a_time(spark):
     lengths = df.select("id", catalogue._Lengths().passage(F.col("text")).alias("v")).collect()
     assert {r.id: r.v for r in lengths} == {i: [float(sum(len(t) % 16 == k for t in w)) for k in range(16)] for i, w in words.items()}
     assert search.term_rows(df.limit(0)).collect() == []
+
+
+def test_words_of_a_batch(spark):
+    """Words are found by classes of bytes, where a regular expression made a text of each: they are those of `tokens`, whatever lies at the ends of rows."""
+    draw = np.random.default_rng(3)
+    alphabet = np.array(list("ab1_ .,\u00e9\u07c0\u5b57\U0001d49c\u0663\u0308\u0301\u00b2\x00\u0130\u00df\U00010348\n-"))
+    texts = ["".join(draw.choice(alphabet, n)) for n in draw.integers(0, 9, 3000)] + ["", "b", "c ", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(2)
+    rows = df.select("id", tx.tokens(F.col("text")).alias("w"), tx.lowered(F.col("text")).alias("t")).orderBy("id").collect()
+    for at, end in ((0, len(rows)), (17, 900), (5, 5), (3000, 3001)):
+        words, row = tx.split_words(pa.array([r.t for r in rows], pa.string()).slice(at, end - at))
+        words.validate(full=True)
+        got = [[] for _ in range(at, end)]
+        for w, i in zip(words.to_pylist(), row.tolist(), strict=True):
+            got[i].append(w)
+        assert got == [r.w for r in rows[at:end]]
+    assert {r.id: (r.len, dict(zip(r.terms, r.tfs, strict=True))) for r in search.term_rows(df).collect()} == {r.id: (len(r.w), dict(Counter(r.w))) for r in rows}
+    assert "regexp" not in search.term_rows(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_are_joined_once_a_document(spark, sf_dir):
+    """A document's pages were joined anew for each of its chunks."""
+    plan = catalogue._chunks(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" in plan and "substring(array_join" not in plan
+    text = "".join(f"line {i} of a long text\n" for i in range(2000))
+    found = chunking.FixedChunker().chunk(spark.createDataFrame([("d", text)], "doc_id string, markdown string")).collect()
+    assert len(found) > 20 and all(r.text == text[r.char_start : r.char_end] for r in found)
