@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.errors import ConfigError, EmbeddingError
-from siftwell.functions.text import batch_counts, ranked_codes, tokens
+from siftwell.functions.text import batch_counts, lowered, ranked_codes, split_words, tokens
 from siftwell.plans.component import Component, registry
 
 _WORD = re.compile(r"\w+")
@@ -161,6 +161,26 @@ class HashedTermFrequency(SparseEncoder):
         return count(self.places(text))
 
 
+class CountedWords(SparseEncoder):
+    """Term frequencies at indices that are made of words: a batch's distinct words are asked for theirs at once."""
+
+    def indices(self, words: list[str]) -> list[int]:
+        raise NotImplementedError
+
+    def passage(self, text):
+        place = self.indices
+
+        @F.arrow_udf("struct<indices:array<int>,values:array<double>>")
+        def count(texts: pa.Array) -> pa.Array:
+            words, row = split_words(texts)
+            coded = words.dictionary_encode()
+            known, at = np.unique(np.array(place(coded.dictionary.to_pylist()), np.int32), return_inverse=True)
+            kept, starts, n = batch_counts(row, len(texts), at[coded.indices.to_numpy(zero_copy_only=False)], len(known))
+            return pa.StructArray.from_arrays([pa.ListArray.from_arrays(starts, pa.array(known[kept])), pa.ListArray.from_arrays(starts, pa.array(n.astype(np.float64)))], ["indices", "values"])
+
+        return count(lowered(text))
+
+
 NAMESPACES = ("passages", "queries")
 
 

@@ -103,9 +103,9 @@ class TableStore(Component):
             raise StorageError(f"no chunk {', '.join(str(r.id) for r in missing)}")
         self._table(f"space-{space}").append(rows.select("id", "vector").dropDuplicates(["id"]))
 
-    def last(self) -> DataFrame:
-        """The chunks of the last upsert."""
-        held = self._table("chunks")
+    def last(self, space: str | None = None) -> DataFrame:
+        """The chunks of the last upsert, or their rows in a space."""
+        held = self._table("chunks" if space is None else f"space-{space}")
         return held.rows(held.batches[-1:]).drop("seq")
 
     def replaced(self) -> bool:
@@ -168,8 +168,8 @@ class Representation(Component):
     def attach(self, store: TableStore) -> None:
         """Called once, with the store of the corpus that this belongs to."""
 
-    def add(self, chunks: DataFrame) -> None:
-        """Called with the chunks that the store has just taken."""
+    def add(self, chunks: DataFrame, vectors: DataFrame | None = None) -> None:
+        """Called with the chunks that the store has just taken; vectors: (vector) of all of them, where it holds them."""
 
     def search(self, corpus: Corpus, queries: DataFrame, k: int, filters=None) -> DataFrame:
         raise NotImplementedError
@@ -241,15 +241,15 @@ class SparseRepresentation(Representation):
         if self.config.idf and store.path and self.frequencies is None:
             self.frequencies = Versions(store.spark, store.path, f"frequencies-{self.space}")
 
-    def add(self, chunks):
+    def add(self, chunks, vectors=None):
         if self.frequencies is not None:
-            self.frequencies.append(_frequencies(chunks.select(self.column(chunks).alias("vector"))), replace=False)
+            self.frequencies.append(_frequencies(chunks.select(self.column(chunks).alias("vector")) if vectors is None else vectors), replace=False)
 
-    def fitted(self, corpus: Corpus) -> DataFrame:
-        """(i, idf) of every index that a stored chunk has."""
+    def fitted(self, corpus: Corpus, n: int | None = None) -> DataFrame:
+        """(i, idf) of every index that a stored chunk has; n: their number, counted here unless it is given."""
         held = self.frequencies.rows(self.frequencies.batches) if self.frequencies is not None and not corpus.store.replaced() else None
         counted = _frequencies(corpus.store.space(self.space)) if held is None else held.groupBy("i").agg(F.sum("df").alias("df"))
-        n = corpus.store.chunks().count()
+        n = corpus.store.chunks().count() if n is None else n
         return counted.select("i", search.idf(F.lit(float(n)), F.col("df")).alias("idf"))
 
     def weighted(self, asked: DataFrame, fitted: DataFrame, n: int) -> DataFrame:
@@ -268,7 +268,8 @@ class SparseRepresentation(Representation):
         if found is not None:
             return found
         if self.config.idf:
-            asked = self.weighted(asked, self.fitted(corpus), corpus.store.chunks().count())
+            n = corpus.store.chunks().count()
+            asked = self.weighted(asked, self.fitted(corpus, n), n)
         return search.sparse_search(asked, corpus.side(self.space, filters), k, vector="vector")
 
 
@@ -303,7 +304,7 @@ class LexicalRepresentation(Representation):
         if self.index is None:
             self.index = LexicalIndex(store.spark, f"{store.path}/lexical-{self.space}" if store.path else None, k1=self.config.k1, b=self.config.b)
 
-    def add(self, chunks):
+    def add(self, chunks, vectors=None):
         self.index.add(chunks)
 
     def search(self, corpus, queries, k, filters=None):
@@ -337,8 +338,12 @@ class Corpus(Component):
         columns = {s: f"__vector_{uuid.uuid4().hex[:8]}" for s in own}
         self.store.upsert(chunks.select("*", *[own[s].column(chunks).alias(c) for s, c in columns.items()]), columns)
         taken = self.store.last()
-        for r in self.spaces.values():
-            r.add(taken)
+        for s, r in self.spaces.items():
+            # what was just encoded is not encoded again
+            if s in own and isinstance(self.store, TableStore):
+                r.add(taken, self.store.last(s))
+            else:
+                r.add(taken)
 
     def update_representation(self, space: str) -> None:
         """Encodes one space anew."""

@@ -753,21 +753,22 @@ class _Lengths(encode.Embedder):
 
     def passage(self, text):
         @F.arrow_udf("array<double>")
-        def count(words: pa.Array) -> pa.Array:
-            row, size = (f(words).to_numpy(zero_copy_only=False).astype(np.int64) for f in (pc.list_parent_indices, lambda w: pc.utf8_length(w.flatten())))
-            found = np.bincount(row * 16 + size % 16, minlength=len(words) * 16).astype(np.float64)
+        def count(texts: pa.Array) -> pa.Array:
+            words, row = tx.split_words(texts)
+            size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+            found = np.bincount(row * 16 + size % 16, minlength=len(texts) * 16).astype(np.float64)
             return pa.ListArray.from_arrays(pa.array(np.arange(0, len(found) + 1, 16, dtype=np.int32)), pa.array(found))
 
-        return count(tx.tokens(text))
+        return count(tx.lowered(text))
 
 
-class _Initials(encode.HashedTermFrequency):
+class _Initials(encode.CountedWords):
     """Words by their first letter and length: a sparse space that SQL can compute."""
 
     name = "initials"
 
-    def places(self, text):
-        return F.transform(tx.tokens(text), lambda t: (F.ascii(t) * 32 + F.length(t) % 32).cast("int"))
+    def indices(self, words):
+        return [ord(w[0]) * 32 + len(w) % 32 for w in words]
 
 
 def _spaces_sql(name: str, key: str, score: str, weigh: bool = False) -> str:

@@ -130,3 +130,25 @@ def test_pages_are_joined_once_a_document(spark, sf_dir):
     text = "".join(f"line {i} of a long text\n" for i in range(2000))
     found = chunking.FixedChunker().chunk(spark.createDataFrame([("d", text)], "doc_id string, markdown string")).collect()
     assert len(found) > 20 and all(r.text == text[r.char_start : r.char_end] for r in found)
+
+
+def test_what_was_encoded_is_counted_as_it_is_stored(spark):
+    """Frequencies encoded every batch a second time."""
+    asked = []
+
+    class Watched(catalogue._Initials):
+        def passage(self, text):
+            asked.append(1)
+            return super().passage(text)
+
+    corpus = index.Corpus(index.TableStore(spark), [index.SparseRepresentation(Watched(), idf=True)])
+    rows = spark.createDataFrame([("a", "ab ab cd"), ("b", "ab x"), ("c", None)], "id string, text string")
+    corpus.add(rows)
+    assert len(asked) == 1
+    own = corpus.representation("sparse")
+    counted = {r.i: r.df for r in own.frequencies.rows(own.frequencies.batches).collect()}
+    assert counted == {ord("a") * 32 + 2: 2, ord("c") * 32 + 2: 1, ord("x") * 32 + 1: 1}
+    corpus.add(rows.where("id = 'b'").withColumn("text", F.lit("zzz")))
+    assert len(asked) == 2 and corpus.store.replaced()
+    assert {r.i for r in own.fitted(corpus).collect()} == {ord("a") * 32 + 2, ord("c") * 32 + 2, ord("z") * 32 + 3}
+    corpus.store.drop()
