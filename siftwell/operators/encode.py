@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
@@ -18,8 +17,6 @@ from siftwell.errors import ConfigError, EmbeddingError
 from siftwell.functions.text import batch_counts, lowered, ranked_codes, split_words, tokens
 from siftwell.plans.component import Component, registry
 
-_WORD = re.compile(r"\w+")
-
 
 class Embedder(Component):
     """Dense vectors; passages and queries may be encoded differently."""
@@ -44,14 +41,25 @@ def _place(token: str, dimensions: int) -> tuple[int, float]:
     return value % dimensions, 1.0 if value >> 63 else -1.0
 
 
+#: texts that are embedded at a time
+EMBED_ROWS = 1_000
+
+
+def hashed_vectors(texts: list[str], dimensions: int) -> np.ndarray:
+    """Signed counts of each text's hashed words, scaled to length 1, as rows; zero without words.  The place of a word is looked up once for all texts."""
+    words, row = split_words(pa.array([t.lower() for t in texts], pa.string()))
+    coded = words.dictionary_encode()
+    places = [_place(w, dimensions) for w in coded.dictionary.to_pylist()]
+    bucket, sign = np.array([p for p, _ in places], np.int64), np.array([s for _, s in places])
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    # sums of ones are exact in any order
+    out = np.bincount(row * dimensions + bucket[codes], weights=sign[codes], minlength=len(texts) * dimensions).astype(np.float64).reshape(len(texts), dimensions)
+    length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return out / np.where(length > 0, length, 1.0)
+
+
 def hashed_vector(text: str, dimensions: int) -> np.ndarray:
-    """Signed counts of hashed words, scaled to length 1; zero without words."""
-    out = np.zeros(dimensions)
-    for token in _WORD.findall(text.lower()):
-        bucket, sign = _place(token, dimensions)
-        out[bucket] += sign
-    length = float(np.sqrt(out @ out))
-    return out / length if length else out
+    return hashed_vectors([text], dimensions)[0]
 
 
 @registry.register
@@ -73,7 +81,8 @@ class HashingEmbedder(Embedder):
 
         @F.arrow_udf("array<double>")
         def embed(texts: pa.Array) -> pa.Array:
-            flat = np.concatenate([hashed_vector(t.as_py() or "", dimensions) for t in texts]) if len(texts) else np.zeros(0)
+            parts = (texts.slice(at, EMBED_ROWS).to_pylist() for at in range(0, len(texts), EMBED_ROWS))
+            flat = np.concatenate([np.zeros(0), *(hashed_vectors([t or "" for t in part], dimensions).ravel() for part in parts)])
             return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dimensions, dtype=np.int32)), pa.array(flat))
 
         return embed(text)

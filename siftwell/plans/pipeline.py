@@ -135,8 +135,17 @@ class IndexingPipeline(Traced):
         return self.index_documents(self.documents(sources))
 
     def index_documents(self, documents: DataFrame) -> DataFrame:
-        """Chunks, written to every sink; they are computed once."""
-        chunks = self.chunks(documents).persist()
+        """Chunks, written to every sink; they are computed once.
+
+        Where a corpus of tables is the only sink, it reads them once and those
+        returned are what it has stored; else they are persisted.
+        """
+        chunks = self.chunks(documents)
+        if len(self.sinks) == 1 and isinstance(self.sinks[0], index.Corpus) and isinstance(self.sinks[0].store, index.TableStore):
+            self.sinks[0].add(chunks)
+            self.report()
+            return self.sinks[0].store.last()
+        chunks = chunks.persist()
         for sink in self.sinks:
             sink.add(chunks)
         if self.sinks:

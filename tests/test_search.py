@@ -1,5 +1,7 @@
 """What a task of a search keeps and hands on."""
 
+import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from siftwell.errors import StorageError
 from siftwell.functions import text as tx
 from siftwell.operators import chunking, encode, index, metrics, search
-from siftwell.plans import catalogue
+from siftwell.plans import catalogue, pipeline
 
 
 def test_best_of_slices():
@@ -152,3 +154,29 @@ def test_what_was_encoded_is_counted_as_it_is_stored(spark):
     assert len(asked) == 2 and corpus.store.replaced()
     assert {r.i for r in own.fitted(corpus).collect()} == {ord("a") * 32 + 2, ord("c") * 32 + 2, ord("z") * 32 + 3}
     corpus.store.drop()
+
+
+def test_vectors_of_a_batch():
+    """Words went through a loop of Python one by one."""
+    texts = ["b a b", "", "É é x_1 ßİ 1,2", "Ab-aB", "a" * 300, " "]
+    for text, got in zip(texts, encode.hashed_vectors(texts, 16), strict=True):
+        want = np.zeros(16)
+        for word in re.findall(r"\w+", text.lower()):
+            value = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+            want[value % 16] += 1.0 if value >> 63 else -1.0
+        length = np.sqrt(want @ want)
+        assert (got == (want / length if length else want)).all()
+    assert encode.hashed_vectors([], 16).shape == (0, 16)
+
+
+def test_an_indexed_corpus_is_not_cached(spark):
+    """All chunks were kept by the executors, where the corpus has stored them."""
+    corpus = index.Corpus(index.TableStore(spark), [index.DenseRepresentation(encode.HashingEmbedder(dimensions=8)), index.LexicalRepresentation()])
+    rag = pipeline.RagPipeline(corpus, chunker=chunking.FixedChunker(chunk_chars=40, overlap_chars=5))
+    docs = spark.createDataFrame([("d", "some words of a text. " * 9), ("e", "others")], "doc_id string, markdown string")
+    made = rag.index_documents(docs)
+    level = made.storageLevel
+    assert not (level.useMemory or level.useDisk) and "InMemoryRelation" not in made._jdf.queryExecution().toString()
+    want = chunking.FixedChunker(chunk_chars=40, overlap_chars=5).chunk(docs)
+    assert made.columns == want.columns and sorted(map(repr, made.collect())) == sorted(map(repr, want.collect()))
+    corpus.store.drop()
