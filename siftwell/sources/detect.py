@@ -68,9 +68,10 @@ def _office(content: pa.Array) -> pa.Array:
     for value in content:
         found = None
         try:
-            with zipfile.ZipFile(io.BytesIO(value.as_py() or b"")) as z:
-                names = z.namelist()
-            found = next((fmt for prefix, fmt in MEMBERS if any(n.startswith(prefix) for n in names)), None)
+            if value.is_valid:
+                with zipfile.ZipFile(io.BytesIO(value.as_py())) as z:
+                    names = z.namelist()
+                found = next((fmt for prefix, fmt in MEMBERS if any(n.startswith(prefix) for n in names)), None)
         except (zipfile.BadZipFile, OSError):
             pass
         out.append(found)
@@ -80,7 +81,9 @@ def _office(content: pa.Array) -> pa.Array:
 def detect_format(sources: DataFrame) -> DataFrame:
     """sources (uri, content, and format_hint if there is one) with format.
 
-    Only rows that begin as a ZIP archive leave the JVM, to read its directory.
+    Only contents that begin as a ZIP archive leave the JVM, to read its
+    directory.  Each row is read once: a union of archives and others would make
+    or load every content twice.
     """
     c, uri = F.col("content"), F.coalesce(F.col("uri"), F.lit(""))
     hint = F.col("format_hint") if "format_hint" in sources.columns else F.lit(None).cast("string")
@@ -92,10 +95,9 @@ def detect_format(sources: DataFrame) -> DataFrame:
     by_magic = F.coalesce(*[F.when(_begins(c, m), F.lit(fmt)) for m, fmt in MAGIC], F.when(webp, F.lit("image")))
     zipped = _begins(c, "504B0304")
     native = F.coalesce(hint, by_magic, F.when(zipped, F.lit("zip")), F.when(html, F.lit("html")), ext, F.when(looks_like_text(c), F.lit("txt")), F.lit("unknown"))
-    rows = sources.withColumn("format", native)
-    names = [*sources.columns, "format"]
-    archives = rows.where("format = 'zip'").withColumn("format", F.coalesce(_office(c), ext, F.lit("unknown")))
-    return rows.where("format <> 'zip'").select(*names).unionByName(archives.select(*names))
+    archive = F.col("format") == "zip"
+    member = F.coalesce(_office(F.when(archive, c)), ext, F.lit("unknown"))
+    return sources.withColumn("format", native).withColumn("format", F.when(archive, member).otherwise(F.col("format")))
 
 
 def canonical_extension(fmt: Column, uri: Column) -> Column:

@@ -54,19 +54,23 @@ def plain_text_pages(documents: DataFrame, page_chars: int = PAGE_CHARS, key: st
 def assemble(pages: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, markdown, page_spans, page_count, ocr_pages): pages joined by an empty line, with their places."""
     ordered = F.array_sort(F.collect_list(F.struct("number", "markdown", "ocr_applied")))
-    docs = pages.groupBy(key).agg(ordered.alias("p"))
+    return joined(pages.groupBy(key).agg(ordered.alias("p")), "p")
+
+
+def joined(documents: DataFrame, pages: str) -> DataFrame:
+    """documents with their pages, an array (number, markdown, ocr_applied) in order, joined by an empty line, and their places."""
     none = F.array().cast("array<struct<page_number:int,start:int,end:int,ocr_applied:boolean>>")
 
     def place(spans: Column, p: Column) -> Column:
         begin = F.when(F.size(spans) == 0, F.lit(0)).otherwise(F.element_at(spans, -1)["end"] + len(JOINER))
         return F.concat(spans, F.array(F.struct(p["number"].cast("int").alias("page_number"), begin.cast("int").alias("start"), (begin + F.length(p["markdown"])).cast("int").alias("end"), p["ocr_applied"].alias("ocr_applied"))))
 
-    return docs.select(
-        key,
-        F.array_join(F.transform("p", lambda p: p["markdown"]), JOINER).alias("markdown"),
-        F.aggregate("p", none, place).alias("page_spans"),
-        F.size("p").alias("page_count"),
-        F.size(F.filter("p", lambda p: p["ocr_applied"])).alias("ocr_pages"),
+    return documents.select(
+        *[c for c in documents.columns if c != pages],
+        F.array_join(F.transform(pages, lambda p: p["markdown"]), JOINER).alias("markdown"),
+        F.aggregate(pages, none, place).alias("page_spans"),
+        F.size(pages).alias("page_count"),
+        F.size(F.filter(pages, lambda p: p["ocr_applied"])).alias("ocr_pages"),
     )
 
 

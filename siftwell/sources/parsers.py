@@ -8,15 +8,18 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwell.errors import ConfigError, ParseError, UnsupportedFormat
+from siftwell.functions.text import is_blank
 from siftwell.plans.component import Component, registry
 from siftwell.sources import pdf
 from siftwell.sources.detect import detect_format, image_mime
 from siftwell.sources.html import html_markdown
 from siftwell.sources.office import BROKEN, office_pages
 from siftwell.sources.ocr import BATCH, MIN_CHARS, OcrEngine, OcrPolicy, page_windows, segment_plan
-from siftwell.sources.pages import PAGE_CHARS, assemble, assembled, decode_text, drop_blank
+from siftwell.sources.folders import text_batches
+from siftwell.sources.pages import PAGE_CHARS, assemble, assembled, decode_text, drop_blank, joined
 
 #: windows of pages that one copy of a file is sent for
 WINDOWS = 32
@@ -165,6 +168,9 @@ class PagedParser(Parser):
     go.  A converter that knows no pages may give one text for a window: it
     becomes the window's first page, and the document's metadata tell what it
     spans (page_span: first-last, several by commas).
+
+    With the reader here, which finds characters and text at once, a file is
+    opened once and its document is put together where it was read.
     """
 
     name, formats = "paged", ("pdf",)
@@ -188,8 +194,50 @@ class PagedParser(Parser):
     def describe(self):
         return super().describe() | {"engine": self.engine.describe() if self.engine else None}
 
+    def _read_once(self, sources: DataFrame) -> DataFrame:
+        """Documents of sources in one pass; a task holds a file, about 1 MB of pages and the images of a batch."""
+        render, engine, c = self.render, self.engine, self.config
+        kinds = pa.list_(pa.struct([("number", pa.int32()), ("markdown", pa.string()), ("ocr_applied", pa.bool_())]))
+        kept = [name for name in ("doc_id", "uri", "metadata") if name in sources.columns]
+
+        def scanned(chars: int) -> bool:
+            return c.policy is OcrPolicy.FORCE or (c.policy is OcrPolicy.AUTO and engine is not None and chars < c.min_chars_digital)
+
+        def recognized(waiting: list[tuple]) -> None:
+            texts = engine.recognize_batch([(image, mime) for _, image, mime in waiting]) if waiting else []
+            for (page, _, _), text in zip(waiting, texts, strict=True):
+                page["markdown"] = text
+            waiting.clear()
+
+        def rows(batches):
+            for batch in batches:
+                at, held, size, waiting = 0, [], 0, []
+                for i in range(batch.num_rows):
+                    content, pages = batch["content"][i].as_py(), []
+                    for number, (chars, text) in enumerate(pdf.page_texts(content), 1):
+                        scan = scanned(chars)
+                        pages.append({"number": number, "markdown": None if scan else text, "ocr_applied": scan})
+                        size += len(text)
+                        if scan:
+                            waiting.append((pages[-1], *render(content, number)))
+                            if len(waiting) >= c.page_batch_size:
+                                recognized(waiting)
+                    held.append(pages)
+                    if size > 1 << 20 or i + 1 == batch.num_rows:
+                        recognized(waiting)
+                        yield pa.RecordBatch.from_arrays([*(batch[name].slice(at, len(held)) for name in kept), pa.array(held, kinds)], names=[*kept, "p"])
+                        at, held, size = i + 1, [], 0
+
+        text_batches(sources.sparkSession)
+        page = T.StructType().add("number", "integer").add("markdown", "string").add("ocr_applied", "boolean")
+        schema = T.StructType([T.StructField(name, sources.schema[name].dataType) for name in kept]).add("p", T.ArrayType(page))
+        read = sources.select(*kept, "content").mapInArrow(rows, schema)
+        return self._documents(joined(read.withColumn("p", F.filter("p", lambda p: ~is_blank(p["markdown"]))), "p"))
+
     def parse(self, sources):
         probe, convert, render, c = self.probe, self.convert, self.render, self.config
+        if probe is pdf.probe and convert is pdf.convert and (self.engine is None or type(self.engine).apply is OcrEngine.apply):
+            return self._read_once(sources)
 
         @F.arrow_udf("array<int>")
         def counts(content: pa.Array) -> pa.Array:

@@ -3,6 +3,7 @@
 import io
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,67 @@ def test_pdf_pages_go_by_text_layer_or_engine(spark):
     read = parsers.PagedParser(render=lambda data, n: (b"%d" % n, "image/png"), engine=ocr.CallableOcr(lambda image, mime: f"[{image.decode()}]")).parse(source).first()
     assert read.markdown == "x" * 40 + "\n\n[2]\n\n" + "z" * 40 and (read.page_count, read.ocr_pages) == (3, 1)
     assert pdf.text_layer(source.withColumn("more", F.lit(1))).select("page", "chars").collect() == [(1, 40), (2, 0), (3, 40)]
+
+
+def test_pdf_files_are_made_and_read_once(spark, tmp_path):
+    from siftwell.sources import ocr
+
+    log = str(tmp_path / "log")
+    pages = [["x" * 40], ["y" * 40], ["z" * 40]]
+
+    def note(what):
+        with open(log, "a") as f:
+            f.write(what + "\n")
+
+    @F.arrow_udf("binary")
+    def made(ids: pa.Array) -> pa.Array:
+        for i in ids.to_pylist():
+            note(f"made {i}")
+        return pa.array([files.pdf(pages, i % 2 == 1, {2}) for i in ids.to_pylist()], pa.binary())
+
+    def seen(image, mime):
+        note("seen")
+        return f"[{image.decode()}]"
+
+    docs = spark.range(6).select(F.col("id").alias("doc_id"), F.concat(F.lit("f-"), "id").alias("uri"))
+    source = detect.detect_format(docs.withColumn("content", made.asNondeterministic()("doc_id")))
+    read = parsers.AutoParser(render=lambda data, n: (b"%d" % n, "image/png"), engine=ocr.CallableOcr(seen)).parse(source)
+    rows = read.select("doc_id", "markdown", "page_count", "ocr_pages").collect()
+    assert sorted(r.doc_id for r in rows) == list(range(6))
+    assert {(r.markdown, r.page_count, r.ocr_pages) for r in rows} == {("x" * 40 + "\n\n[2]\n\n" + "z" * 40, 3, 1)}
+    with open(log) as f:
+        lines = f.read().splitlines()
+    assert all(lines.count(f"made {i}") == 2 for i in range(6))  # for the formats there are, and for the documents
+    assert lines.count("seen") == 6
+    assert "Join" not in read._jdf.queryExecution().toString()
+
+
+def test_pdf_scans_reach_the_engine_in_batches_over_files(spark):
+    from siftwell.sources import ocr
+
+    class Batches(ocr.OcrEngine):
+        name = "batches"
+
+        def recognize_batch(self, images):
+            return [f"{image.decode()} of {len(images)}" if image != b"3" else " " for image, _ in images]
+
+    made = files.pdf([["x" * 40], ["y"], ["z" * 40]], False, {1, 3})
+    source = spark.createDataFrame([(None, "a", made, {"k": "v"}), (1, "b", made, None), (1, "c", files.pdf([["w" * 40]], True), {})], "doc_id long, uri string, content binary, metadata map<string,string>").coalesce(1)
+    parser = lambda **kw: parsers.PagedParser(render=lambda data, n: (b"%d" % n, "image/png"), engine=Batches(), page_batch_size=4, **kw).parse(source)
+    got = [(r.doc_id, r.source_uri, r.markdown, r.metadata, r.page_count, r.ocr_pages, [(s.page_number, s.start, s.end) for s in r.page_spans]) for r in parser().collect()]
+    assert sorted(got, key=lambda r: r[1]) == [
+        (None, "a", "1 of 4\n\n2 of 4", {"k": "v"}, 2, 2, [(1, 0, 6), (2, 8, 14)]), (1, "b", "1 of 4\n\n2 of 2", None, 2, 2, [(1, 0, 6), (2, 8, 14)]), (1, "c", "w" * 40, {}, 1, 0, [(1, 0, 40)]),
+    ]
+    odd = source.withColumn("doc_id", F.struct(F.lit(1).alias("a b"))).withColumn("metadata", F.create_map(F.lit("a"), F.lit("b")))
+    assert {(r.doc_id["a b"], r.metadata["a"]) for r in parsers.PagedParser().parse(odd).collect()} == {(1, "b")}
+    assert [r.ocr_pages for r in parser(policy=ocr.OcrPolicy.FORCE).orderBy("source_uri").collect()] == [2, 2, 1]
+    assert [(r.markdown, r.page_count, r.ocr_pages) for r in parser(policy=ocr.OcrPolicy.NEVER).orderBy("source_uri").collect()] == [("y", 1, 0), ("y", 1, 0), ("w" * 40, 1, 0)]
+
+
+def test_codes_of_pdf_strings():
+    assert pdf.value(b"<00 01 0>", 0) == (b"\0\1\0", 9) and pdf.value(b"<0 001>", 0) == (b"\0\1", 7) and pdf.value(b"<>", 0) == (b"", 2)
+    assert pdf.value(b"(a b) (c(d)\\))", 0) == (b"a b", 5) and pdf.value(b"(c(d)\\))", 0) == (b"c(d))", 8)
+    assert pdf.value(b"/A#42 1", 0) == ("AB", 5) and pdf.value(b"null ", 0) == (None, 4)
+    font = pdf.Font(pdf.Pdf(files.pdf([["a"]], False)), {"Subtype": "Type0"})
+    font.map.update({1: "a", 2: "ffi"})
+    assert font.shown(b"\0\1\0\2\0\3\2") == "affi\ufffdffi" and font.shown(b"") == "" and set(font.map) == {1, 2}
